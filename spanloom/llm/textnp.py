@@ -19,13 +19,15 @@ U64 = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+_BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 2**64)
 _LOW = 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n - 1, base, dtype=U64)]).astype(U64), dtype=U64)
+    factors = np.full(n, base, dtype=U64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=U64)
 
 
 class _Powers:
