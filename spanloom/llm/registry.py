@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.op1 import op1_language_id
+from spanloom.llm.op3 import op3_secret_scan
+from spanloom.llm.op6 import op6_mixing
 from spanloom.llm.op8 import op8_quality_rules
 from spanloom.llm.op9 import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
+        op3_secret_scan,
+        op6_mixing,
         op8_quality_rules,
         op9_url_filter,
     )
