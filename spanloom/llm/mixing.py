@@ -6,8 +6,9 @@ none is above (solved at once by ordering sources by words over weight).
 
 A document is to be taken ``c`` = target over source size times: floor(c) copies are certain, and the rest ``p`` is its
 inclusion probability in a Pareto sample: documents are ranked by (u / (1 - u)) / (p / (1 - p)) with a uniform u, and
-the first ones are taken.  The sample's size is fixed in words: it ends at the document that brings it nearest to what
-the target leaves after the certain copies.  u is a hash of the id, so reruns agree.
+the first ones are taken.  The sample's size is fixed in words, by what the target leaves after the certain copies: it
+ends before the document that would pass this, and later documents that still fit fill the gap, to the nearest word
+count.  u is a hash of the id, so reruns agree.
 
 Running sums over a source of any size: ranks are cut into ``cuts`` ranges, words are summed for each range (on the
 map side first), and only the documents of the one range where the sum passes the target are sorted.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.arrowmap import append_struct, free_name
+from spanloom.llm.arrowmap import append_struct
 from spanloom.llm.store import written
 from spanloom.llm.textnp import Texts, words_of
 
@@ -65,43 +66,54 @@ def _uniform(doc_id: Column, seed: int) -> Column:
     return (h.cast("double") + 0.5) / float(1 << 52)
 
 
+def _fill(rows: DataFrame, eligible: Column, need: Column, took: str, nearest: bool, few: bool, cuts: int) -> DataFrame:
+    """``rows`` with a boolean ``took``: eligible rows of a key in order of rank while their words stay within ``need``;
+    with ``nearest`` also the next one, if that comes nearer to it."""
+    rows = rows.withColumn("fits", eligible).withColumn("need", need)
+    rows = rows.withColumn("place", F.least(F.floor(F.col("rank") * cuts), F.lit(cuts - 1)).cast("int"))
+    by_cut = rows.where("fits").groupBy("key", "place").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    by_cut = by_cut.withColumn("upto", F.sum("words").over(Window.partitionBy("key").orderBy("place")))
+    # The range where the sum passes the need is the only one whose documents are sorted.
+    passing = by_cut.where("upto > need").groupBy("key").agg(F.min(F.struct("place", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
+    passing = written(passing, "edges")
+    rows = rows.join(F.broadcast(passing) if few else passing, "key", "left")
+    at, open_ = F.coalesce("edge.place", F.lit(cuts)), F.col("need") > 0
+    border = F.col("fits") & (F.col("place") == at)
+    inside = rows.where(~border).withColumn(took, F.col("fits") & (F.col("place") < at) & open_)
+    order = Window.partitionBy("key").orderBy("rank", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.col("need") - F.col("edge.before") - F.sum("size").over(order)
+    enough = (gap >= 0) | (gap + F.col("size") > -gap) if nearest else gap >= 0
+    edge = rows.where(border).withColumn(took, enough & open_)
+    return inside.unionByName(edge).drop("fits", "need", "place", "edge")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, seed: int = 11, cuts: int = 4096) -> DataFrame:
     """All columns of ``docs`` and source_size, target (both of the row's source) and taken (words, repeats counted).
 
     docs is read several times: pass a table that is stored.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
+    sizes = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(f"`{size}`").alias("source_size"))
     goal = written(targets(sizes, weights, share, max_copies), "targets")
     c = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    copies = F.least(F.floor(c + 1e-12), F.lit(max_copies)).cast("long")
-    goal = goal.withColumn("copies", copies).withColumn("rest", F.greatest(F.lit(0.0), c - F.col("copies")))
-    goal = goal.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
-    goal = goal.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"), F.struct("source_size", "target", "copies", "rest", "need").alias("goal"))
+    goal = goal.withColumn("copies", F.least(F.floor(c + 1e-12), F.lit(max_copies)).cast("long"))
+    goal = goal.withColumn("rest", F.greatest(F.lit(0.0), c - F.col("copies")))
+    goal = goal.withColumn("left_over", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    goal = goal.select(key.alias("key"), F.struct("source_size", "target", "copies", "rest", "left_over").alias("goal"))
     few = goal.count() <= BROADCAST_SOURCES
-    key, mixed, sampled, place = (free_name(docs, x) for x in ("mix_key", "goal", "pareto", "place"))
-    goal = goal.select(F.col("mix_key").alias(key), F.col("goal").alias(mixed))
-    u = _uniform(F.col(f"`{id_col}`"), seed)
-    p = F.col(f"`{mixed}`.rest")
+    packed = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")  # whatever they are called
+    rows = docs.select(packed, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").alias("size"))
+    rows = rows.withColumn("key", key).drop("source").join(F.broadcast(goal) if few else goal, "key")
+    u, p = _uniform(F.col("id"), seed), F.col("goal.rest")
     odds = (u / (1 - u)) * F.try_divide(1 - p, p)
-    rows = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("")))
-    rows = rows.join(F.broadcast(goal) if few else goal, key)
-    rows = rows.withColumn(sampled, F.coalesce(odds / (1 + odds), F.lit(1.0)))
-    rows = rows.withColumn(place, F.least(F.floor(F.col(f"`{sampled}`") * cuts), F.lit(cuts - 1)).cast("int"))
-    # Words up to each cut; the cut where they pass the need is the only one whose documents are sorted.
-    by_cut = rows.groupBy(key, place).agg(F.sum(size).alias("cut_words"), F.first(f"{mixed}.need").alias("cut_need"))
-    upto = F.sum("cut_words").over(Window.partitionBy(key).orderBy(place))
-    passing = by_cut.withColumn("cut_upto", upto).where("cut_upto >= cut_need").groupBy(key)
-    passing = passing.agg(F.min(F.struct(F.col(place), (F.col("cut_upto") - F.col("cut_words")).alias("before"))).alias("edge"))
-    edge = free_name(docs, "edge")
-    passing = written(passing.select(key, F.col("edge").alias(edge)).withColumn(edge, F.struct(F.col(f"`{edge}`.`{place}`").alias("place"), F.col(f"`{edge}`.before").alias("before"))), "edges")
-    rows = rows.join(F.broadcast(passing) if few else passing, key, "left")
-    at = F.coalesce(F.col(f"`{edge}`.place"), F.lit(cuts))
-    wanted = F.col(f"`{mixed}`.need") > 0
-    inside = rows.where(F.col(place) != at).withColumn(sampled, (F.col(place) < at) & wanted)
-    order = Window.partitionBy(key).orderBy(F.col(sampled), F.col(f"`{size}`"), F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, size)]))
-    gap = F.col(f"`{mixed}`.need") - F.col(f"`{edge}`.before") - F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # Taken while the sum stays below the need; the next one too if that comes nearer.
-    border = rows.where(F.col(place) == at).withColumn(sampled, ((gap >= 0) | (gap + F.col(f"`{size}`") > -gap)) & wanted)
-    both = inside.unionByName(border)
-    taken = (F.col(f"`{mixed}`.copies") + F.col(f"`{sampled}`").cast("long")) * F.col(f"`{size}`")
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{mixed}`.source_size").alias("source_size"), F.col(f"`{mixed}`.target").alias("target"), taken.alias("taken"))
+    rows = rows.withColumn("rank", F.coalesce(odds / (1 + odds), F.lit(1.0))).withColumn("tie", F.xxhash64("id", "size")).drop("id")
+    # First the sample in order of rank, up to the first document that would pass the need; then later documents that
+    # still fit, so that one very long document doesn't leave a source far from its target.
+    rows = written(_fill(rows, F.lit(True), F.col("goal.left_over"), "first", False, few, cuts), "sampled")
+    got = rows.groupBy("key").agg(F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("got"))
+    got = written(got, "got")
+    rows = rows.join(F.broadcast(got) if few else got, "key")
+    left = F.col("goal.left_over") - F.col("got")
+    rows = _fill(rows, ~F.col("first") & (F.col("size") <= left), left, "second", True, few, cuts)
+    taken = (F.col("goal.copies") + F.col("first").cast("long") + F.col("second").cast("long")) * F.col("size")
+    return rows.select("row.*", F.col("goal.source_size").alias("source_size"), F.col("goal.target").alias("target"), taken.alias("taken"))
