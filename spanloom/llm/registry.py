@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.op1 import op1_language_id
 from spanloom.llm.op3 import op3_secret_scan
+from spanloom.llm.op4 import OP4_SQL, op4_warc
 from spanloom.llm.op6 import op6_mixing
 from spanloom.llm.op8 import op8_quality_rules
 from spanloom.llm.op9 import OP9_SQL, op9_url_filter
+from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id,
         op3_secret_scan,
+        op4_warc,
         op6_mixing,
         op8_quality_rules,
         op9_url_filter,
+        op10_decontaminate,
     )
 }
-SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
