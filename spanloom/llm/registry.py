@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.op1 import op1_language_id
+from spanloom.llm.op2 import op2_suffix_dedup
 from spanloom.llm.op3 import op3_secret_scan
 from spanloom.llm.op4 import OP4_SQL, op4_warc
 from spanloom.llm.op6 import op6_mixing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_suffix_dedup,
         op3_secret_scan,
         op4_warc,
         op6_mixing,
