@@ -10,6 +10,7 @@ from spanloom.llm.op1 import op1_language_id
 from spanloom.llm.op2 import op2_suffix_dedup
 from spanloom.llm.op3 import op3_secret_scan
 from spanloom.llm.op4 import OP4_SQL, op4_warc
+from spanloom.llm.op5 import OP5_SQL, op5_substring_dedup
 from spanloom.llm.op6 import op6_mixing
 from spanloom.llm.op8 import op8_quality_rules
 from spanloom.llm.op9 import OP9_SQL, op9_url_filter
@@ -22,10 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_suffix_dedup,
         op3_secret_scan,
         op4_warc,
+        op5_substring_dedup,
         op6_mixing,
         op8_quality_rules,
         op9_url_filter,
         op10_decontaminate,
     )
 }
-SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
