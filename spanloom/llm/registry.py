@@ -12,6 +12,7 @@ from spanloom.llm.op3 import op3_secret_scan
 from spanloom.llm.op4 import OP4_SQL, op4_warc
 from spanloom.llm.op5 import OP5_SQL, op5_substring_dedup
 from spanloom.llm.op6 import op6_mixing
+from spanloom.llm.op7 import OP7_SQL, op7_ngram_join
 from spanloom.llm.op8 import op8_quality_rules
 from spanloom.llm.op9 import OP9_SQL, op9_url_filter
 from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
@@ -25,9 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_warc,
         op5_substring_dedup,
         op6_mixing,
+        op7_ngram_join,
         op8_quality_rules,
         op9_url_filter,
         op10_decontaminate,
     )
 }
-SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
