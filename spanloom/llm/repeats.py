@@ -27,10 +27,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.anchors import Runs
 from spanloom.llm.store import partitions, without_nulls, written
-from spanloom.llm.textnp import U64, Texts, chunks, prefix_sums, range_hash, whole
+from spanloom.llm.textnp import U64, Texts, chunks, mix, prefix_sums, range_hash, whole
 
 
 def pack(*arrays) -> bytes:
@@ -98,36 +100,75 @@ def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - first, size)
 
 
+def home_of(ids: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) % U64(n_buckets)).astype(np.int64)
+
+
 def find_runs(docs: DataFrame, kind: Kind, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             parts, rows = [], []
-            for piece in chunks(whole(batch.column(3))):
+            for piece in chunks(whole(batch.column(2))):
                 r, doc = kind.runs(piece)
-                parts.append((r.gram, doc + piece.row, r.start, r.count, r.ahead))
-            gram, doc, start, count, ahead = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((r.gram, doc + piece.row, r.start, r.count))
+            gram, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             for bucket, at in _split((gram % U64(n_buckets)).astype(np.int64)):
-                own, local = np.unique(doc[at], return_inverse=True)
-                rows.append((bucket, pack(home[own], ids[own], hashes[own], local.astype(np.uint32), gram[at], start[at].astype(np.uint32), count[at].astype(np.uint8), ahead[at].astype(np.uint8))))
+                rows.append((bucket, pack(np.diff(ids[doc[at]], prepend=0), hashes[doc[at]], gram[at], start[at].astype(np.uint32), count[at].astype(np.uint8))))
             if rows:
                 yield _batches(["bucket", "payload"], rows, [pa.int32(), pa.binary()])
 
     return docs.mapInArrow(run, "bucket int, payload binary")
 
 
-def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, parts in _by_bucket(batches):
-        home, ids, hashes = (np.concatenate([p[i][p[3]] for p in parts]) for i in range(3))
-        gram, start, count, ahead = (np.concatenate([p[i] for p in parts]) for i in range(4, 8))
-        order = np.argsort(gram)
-        same = gram[order[1:]] == gram[order[:-1]]
-        keep = order[np.append(same, False) | np.append(False, same)]
-        rows = [(h, pack(ids[k], hashes[k], gram[k], start[k], count[k], ahead[k])) for h, at in _split(home[keep]) for k in [keep[at]]]
-        if rows:
-            yield _batches(["home", "payload"], rows, [pa.int32(), pa.binary()])
+def pack_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Texts by home bucket, compressed together: (home, payload of ids, hashes, sizes, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                texts = whole(batch.column(2))
+                yield _batches(["home", "payload"], [(h, _pack_rows(ids, hashes, texts, at)) for h, at in _split(home_of(ids, n_buckets))], [pa.int32(), pa.binary()])
+
+    return docs.mapInArrow(run, "home int, payload binary")
+
+
+def _pack_rows(ids: np.ndarray, hashes: np.ndarray, texts: Texts, at: np.ndarray) -> bytes:
+    size = texts.offsets[at + 1] - texts.offsets[at]
+    return pack(ids[at], hashes[at], size, texts.data[expand(texts.offsets[at], size)])
+
+
+def _unpack_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, Texts]:
+    ids, hashes, size, data = (np.concatenate(x) for x in zip(*[unpack(x.as_buffer()) for x in column], strict=True))
+    return ids, hashes, Texts(data, np.append(0, np.cumsum(size)), 0)
+
+
+def _take(texts: Texts, at: np.ndarray) -> Texts:
+    size = texts.offsets[at + 1] - texts.offsets[at]
+    return Texts(texts.data[expand(texts.offsets[at], size)], np.append(0, np.cumsum(size)), 0)
+
+
+def repeated_runs(n_buckets: int):
+    """For mapInArrow: runs of a bucket to those whose anchor occurs twice or more, packed by home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _by_bucket(batches):
+            ids = np.concatenate([np.cumsum(p[0]) for p in parts])
+            hashes, gram, start, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+            order = np.argsort(gram)
+            same = gram[order[1:]] == gram[order[:-1]]
+            keep = np.sort(order[np.append(same, False) | np.append(False, same)])
+            rows = []
+            for h, at in _split(home_of(ids[keep], n_buckets)):
+                k = keep[at]
+                rows.append((h, pack(ids[k], hashes[k], gram[k], start[k], count[k])))
+            if rows:
+                yield _batches(["home", "payload"], rows, [pa.int32(), pa.binary()])
+
+    return run
 
 
 def _rows_of(ids: np.ndarray, hashes: np.ndarray, wanted_ids: np.ndarray, wanted_hashes: np.ndarray) -> np.ndarray:
@@ -142,23 +183,22 @@ def _rows_of(ids: np.ndarray, hashes: np.ndarray, wanted_ids: np.ndarray, wanted
 
 
 def contexts(kind: Kind, n_buckets: int):
-    """For cogroup: texts of a home bucket and its repeated runs to contexts (bucket, payload) and texts (id, hash, text)."""
+    """For cogroup: texts of a home bucket and its repeated runs to contexts (bucket, home, payload) and the texts that
+    have some (home, payload)."""
+    schema = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("payload", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("home", pa.int32()), ("id", pa.int64()), ("hash", pa.int64()), ("text", pa.string())])
         if not right.num_rows or not left.num_rows:
             return schema.empty_table()
-        ids, hashes = (left.column(i).to_numpy() for i in (1, 2))
         home = left.column(0)[0].as_py()
-        parts = [unpack(x.as_buffer()) for x in right.column(1)]
-        run_id, run_hash, gram, start, count, ahead = (np.concatenate(x) for x in zip(*parts, strict=True))
-        row = _rows_of(ids, hashes, run_id, run_hash)
-        used, local = np.unique(row, return_inverse=True)
-        texts = left.column(3).take(pa.array(used))
+        ids, hashes, all_texts = _unpack_rows(left.column(1))
+        run_id, run_hash, gram, start, count = (np.concatenate(x) for x in zip(*[unpack(x.as_buffer()) for x in right.column(1)], strict=True))
+        used, local = np.unique(_rows_of(ids, hashes, run_id, run_hash), return_inverse=True)
         order = np.argsort(local, kind="stable")
-        local, start, count, gram, run_id, run_hash = local[order], start[order].astype(np.int64), count[order].astype(np.int64), gram[order], run_id[order], run_hash[order]
+        local, start, count, gram = local[order], start[order].astype(np.int64), count[order].astype(np.int64), gram[order]
+        run_id, run_hash = run_id[order], run_hash[order]
         sent: dict[int, list] = {}
-        for piece in chunks(whole(texts), 4 << 20):
+        for piece in chunks(_take(all_texts, used), 4 << 20):
             a, b = np.searchsorted(local, [piece.row, piece.row + len(piece)])
             if a == b:
                 continue
@@ -170,26 +210,29 @@ def contexts(kind: Kind, n_buckets: int):
                 size = hi[own] - lo[own]
                 data = piece.data[expand(lo[own], size)]
                 k = a + at
-                sent.setdefault(bucket, []).append((data, size, seal[own], gram[a + own], count[a + own], which, run_id[k], run_hash[k], start[k]))
-        rows = [(b, pack(home, x), None, None, None, None) for b, x in sent.items()]
-        rows += [(None, None, home, int(ids[k]), int(hashes[k]), t) for k, t in zip(used, texts.to_pylist(), strict=True)]
+                sent.setdefault(bucket, []).append((data, size.astype(np.uint32), gram[a + own], count[a + own].astype(np.uint8), which.astype(np.uint32), run_id[k], run_hash[k], start[k].astype(np.uint32)))
+        rows = [(b, home, pack(x)) for b, x in sent.items()]
+        rows.append((None, home, _pack_rows(ids, hashes, all_texts, used)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def earlier(kind: Kind):
+def earlier(kind: Kind, n_buckets: int):
     """For mapInArrow: contexts of a bucket to removed windows, packed by home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _by_bucket(batches):
-            pieces = [(home, p) for home, several in parts for p in several]
-            base = np.cumsum([0] + [len(p[1]) for _, p in pieces])
-            data, size, seal, gram, count = (np.concatenate([p[i] for _, p in pieces]) for i in range(5))
-            which = np.concatenate([p[5] + base[k] for k, (_, p) in enumerate(pieces)])
-            ids, hashes, start = (np.concatenate([p[i] for _, p in pieces]) for i in range(6, 9))
-            home = np.concatenate([np.full(len(p[6]), h, dtype=np.int64) for h, p in pieces])
+            pieces = [p for (several,) in parts for p in several]
+            base = np.cumsum([0] + [len(p[1]) for p in pieces])
+            data, size, gram, count = (np.concatenate([p[i] for p in pieces]) for i in range(4))
+            which = np.concatenate([p[4].astype(np.int64) + base[k] for k, p in enumerate(pieces)])
+            ids, hashes, start = (np.concatenate([p[i] for p in pieces]) for i in range(5, 8))
+            size, start = size.astype(np.int64), start.astype(np.int64)
             at = np.cumsum(size) - size
+            piece = Texts(data, np.append(at, len(data)), 0)
+            seal = range_hash(prefix_sums(piece), at, at + size)
+            home = home_of(ids, n_buckets)
             # Equal contexts become one string.
             _, first, back = np.unique(seal, return_index=True, return_inverse=True)
             string = back[which]
@@ -233,47 +276,47 @@ def earlier(kind: Kind):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, id_col: str, text: str, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """For each distinct (id, hash) with a removed window: id, hash and what ``finish`` makes of the text and the windows.
+def same_id_differs(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id has several rows."""
+    return bool(docs.groupBy(F.col(f"`{id_col}`")).agg(F.count(F.lit(1)).alias("n")).where(f"`{id_col}` IS NOT NULL AND n > 1").limit(1).count())
+
+
+def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """docs: id, hash (tells rows of equal id apart), text.  For each distinct (id, hash) with a removed window: id, hash
+    and what ``finish`` makes of the text and the windows.
 
     finish(texts, document of each removed run, start, count): arrays, one value for each document.
     """
     spark = docs.sparkSession
-    rows = without_nulls(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "id").where("text IS NOT NULL")
+    rows = without_nulls(docs.select("id", "hash", "text"), "id").where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (4 * bucket_bytes))
     n_buckets = max(4 * tasks, total // bucket_bytes)
-    rows = rows.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_buckets)).cast("int").alias("home"), "id", F.xxhash64("text").alias("hash"), "text")
     runs = find_runs(rows, kind, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    again = runs.mapInArrow(repeated_runs, "home int, payload binary")
-    met = rows.groupBy("home").cogroup(again.groupBy("home")).applyInArrow(contexts(kind, n_buckets), "bucket int, payload binary, home int, id long, hash long, text string")
+    again = runs.mapInArrow(repeated_runs(n_buckets), "home int, payload binary")
+    met = pack_texts(rows, n_buckets).groupBy("home").cogroup(again.groupBy("home")).applyInArrow(contexts(kind, n_buckets), "bucket int, home int, payload binary")
     met = written(met, "contexts")
     strings = met.where("bucket IS NOT NULL").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    gone = strings.mapInArrow(earlier(kind), "home int, payload binary")
+    gone = strings.mapInArrow(earlier(kind, n_buckets), "home int, payload binary")
+    out_schema = f"id long, hash long, {schema}"
+    empty = to_arrow_schema(T.StructType.fromDDL(out_schema)).empty_table()
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "hash", *[f.split()[0] for f in schema.split(", ")]]
         if not right.num_rows or not left.num_rows:
             return empty
-        ids, hashes = left.column(1).to_numpy(), left.column(2).to_numpy()
+        ids, hashes, texts = _unpack_rows(left.column(1))
         gone_id, gone_hash, start, count = (np.concatenate(x) for x in zip(*[unpack(x.as_buffer()) for x in right.column(1)], strict=True))
-        row = _rows_of(ids, hashes, gone_id, gone_hash)
-        used, local = np.unique(row, return_inverse=True)
+        used, local = np.unique(_rows_of(ids, hashes, gone_id, gone_hash), return_inverse=True)
         order = np.argsort(local, kind="stable")
         local, start, count = local[order], start[order], count[order].astype(np.int64)
         made = []
-        for piece in chunks(whole(left.column(3).take(pa.array(used)))):
+        for piece in chunks(_take(texts, used)):
             a, b = np.searchsorted(local, [piece.row, piece.row + len(piece)])
             made.append(finish(piece, local[a:b] - piece.row, start[a:b], count[a:b]))
         columns = [pa.concat_arrays([pa.array(x) for x in c]) for c in zip(*made, strict=True)]
-        return pa.table([pa.array(ids[used]), pa.array(hashes[used]), *columns], names=names)
-
-    out_schema = f"id long, hash long, {schema}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+        return pa.table([pa.array(ids[used]), pa.array(hashes[used]), *columns], names=empty.schema.names)
 
-    empty = to_arrow_schema(StructType.fromDDL(out_schema)).empty_table()
-    texts = met.where("bucket IS NULL").select("home", "id", "hash", "text")
+    texts = met.where("bucket IS NULL").select("home", "payload")
     return texts.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(end, out_schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.anchors import Runs, anchor_runs
 from spanloom.llm.arrowmap import append_struct
-from spanloom.llm.repeats import Kind, Strings, covered, expand, remove_repeats, windows_of
+from spanloom.llm.repeats import Kind, Strings, covered, expand, remove_repeats, same_id_differs, windows_of
 from spanloom.llm.store import without_nulls
 from spanloom.llm.textnp import U64, Texts, mix, word_hash, words_of
 
@@ -151,9 +151,11 @@ def _whole(texts: Texts) -> list:
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """For each row with an id: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     kind = Kind(word_runs(window), _extent(window), lambda s: earlier_windows(s, window), True)
-    found = remove_repeats(docs, kind, _finish(window), "n_removed long, kept_sha256 string", id_col, text)
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = without_nulls(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), raw.alias("text")), "id").select("id", F.xxhash64("text").alias("hash"), "text")
+    seal = F.xxhash64(raw) if same_id_differs(docs, id_col) else F.lit(0).cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), seal.alias("hash"), raw.alias("text"))
+    found = remove_repeats(rows, kind, _finish(window), "n_removed long, kept_sha256 string")
+    rows = without_nulls(rows, "id")
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
     rows = append_struct(rows, "text", "all", _whole, fields).select("id", "hash", "all.n_words", "all.whole")
     out = rows.join(found, ["id", "hash"], "left")

@@ -7,8 +7,8 @@ and the common prefixes with both neighbours are updated where it is put in.  Th
 the suffix numbers lie in two files that are read and written in turn, front to back, so memory holds only a few
 numbers for each string.  Runs of common prefixes of at least the window's size are equal windows.
 
-Strings whose anchor no other string has can share no window with another one and are not sorted.  Everything else
-about the job is in repeats.py.
+Strings whose anchor no other string has can share no window with another one and are not sorted; of the others, only
+the stretch from the first to the last window whose hash occurs twice.  Everything else about the job is in repeats.py.
 
 Cases: a null text is empty; texts shorter than a window lose nothing; ids as in repeats.py (a row without an id gives
 no row); rows of equal id and text get equal results; an empty table gives an empty result.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.anchors import Runs, anchor_runs
-from spanloom.llm.repeats import Kind, Strings, covered, expand, remove_repeats, windows_of
+from spanloom.llm.repeats import Kind, Strings, covered, expand, remove_repeats, same_id_differs, windows_of
 from spanloom.llm.store import without_nulls
 from spanloom.llm.textnp import U64, Texts, prefix_sums, range_hash
 
@@ -46,6 +46,8 @@ class Collection:
         self.data = np.append(data, np.zeros(cap, dtype=np.uint8))
         total = int(self.size.sum()) + self.n
         self.folder = tempfile.TemporaryDirectory()
+        self.numbers = np.arange(self.BLOCK, dtype=np.uint32)
+        self.symbols = np.arange(258, dtype=np.uint32) << np.uint32(18)
         self.files = [np.memmap(f"{self.folder.name}/{k}", dtype=U64, mode="w+", shape=(total,)) for k in "ab"]
 
     def close(self) -> None:
@@ -79,17 +81,15 @@ class Collection:
             seen = np.concatenate([[0], seen])[:257]
             running = np.zeros(257, dtype=np.int64)
             for lo in range(0, size, self.BLOCK):
+                # Symbols with their places in the block, sorted: each symbol's places stand together in order.
                 a, b = np.searchsorted(place, [lo, lo + self.BLOCK])
-                block = old[lo : min(size, lo + self.BLOCK)].view(np.uint8)[::8]
-                count = np.bincount(block, minlength=257)
-                if a < b:
-                    by_symbol = np.argsort(block, kind="stable")
-                    rank = np.empty(len(block), dtype=np.int64)
-                    rank[by_symbol] = np.arange(len(block))
-                    own = symbol[a:b]
-                    inside = rank[place[a:b] - lo] - (np.cumsum(count) - count)[own]
-                    target[a:b] = seen[own] + running[own] + inside
-                running += count
+                block = old[lo : min(size, lo + self.BLOCK)]
+                keys = np.sort(((block & U64(0xFF)).astype(np.uint32) << np.uint32(18)) | self.numbers[: len(block)])
+                begin = np.searchsorted(keys, self.symbols)
+                own = symbol[a:b]
+                inside = np.searchsorted(keys, (own.astype(np.uint32) << np.uint32(18)) | (place[a:b] - lo).astype(np.uint32)) - begin[own]
+                target[a:b] = seen[own] + running[own] + inside
+                running += np.diff(begin)
             order = np.argsort(target)
             live, target = live[order], target[order]
             length[live] -= 1
@@ -109,18 +109,21 @@ class Collection:
         for lo in range(0, size + len(target), self.BLOCK):
             hi = min(size + len(target), lo + self.BLOCK)
             a, b = np.searchsorted(target, [lo, hi])
-            mask = np.ones(hi - lo, dtype=bool)
-            mask[target[a:b] - lo] = False
-            block = np.empty(hi - lo, dtype=U64)
-            block[~mask] = entries[a:b]
-            n = hi - lo - (b - a)
-            block[mask] = old[read : read + n]
-            read += n
-            new[lo:hi] = block
+            if a == b:
+                new[lo:hi] = old[read : read + hi - lo]
+            else:
+                own = target[a:b] - lo
+                put = np.zeros(hi - lo, dtype=np.int32)
+                put[own] = 1
+                block = old[read : read + hi - lo].take(self.numbers[: hi - lo] - np.cumsum(put, dtype=np.int32), mode="clip")
+                block[own] = entries[a:b]
+                new[lo:hi] = block
+            read += hi - lo - (b - a)
 
     def _common(self, entries: np.ndarray, size: int, target: np.ndarray) -> None:
         """Update common prefixes at new entries and right after them."""
-        at = np.unique(np.concatenate([target, target + 1]))
+        after = target[np.append(target[1:] != target[:-1] + 1, True)] + 1
+        at = np.concatenate([target, after])
         at = at[(at > 0) & (at < size)]
         for lo in range(0, len(at), 1 << 15):
             k = at[lo : lo + (1 << 15)]
@@ -146,6 +149,16 @@ class Collection:
         return out
 
 
+def _twins(hashes: np.ndarray) -> np.ndarray:
+    """Whether each value occurs twice or more."""
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
 def earlier_windows(strings: Strings, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, window) pairs whose window another string has earlier."""
     none = np.zeros(0, dtype=np.int64)
@@ -153,8 +166,21 @@ def earlier_windows(strings: Strings, window: int) -> tuple[np.ndarray, np.ndarr
     chosen = np.flatnonzero(size[group] > 1)
     if not len(chosen):
         return none, none
+    # Only stretches of windows that have a twin (by hash) are worth sorting.
     length = np.diff(strings.offsets)[chosen]
-    collection = Collection(strings.data[expand(strings.offsets[chosen], length)], np.append(0, np.cumsum(length)), window)
+    data = strings.data[expand(strings.offsets[chosen], length)]
+    begin = np.cumsum(length) - length
+    windows = length - window + 1
+    start = expand(begin, windows)
+    twin = _twins(range_hash(prefix_sums(Texts(data, np.append(begin, len(data)), 0)), start, start + window))
+    owner = np.repeat(np.arange(len(chosen)), windows)[twin]
+    if not len(owner):
+        return none, none
+    place = (start - np.repeat(begin, windows))[twin]
+    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    chosen, skip = chosen[owner[edge]], place[edge]
+    begin, length = begin[owner[edge]] + skip, place[np.append(edge[1:], len(owner)) - 1] - skip + window
+    collection = Collection(data[expand(begin, length)], np.append(0, np.cumsum(length)), window)
     try:
         every = collection.build()
         equal = ((every >> U64(8)) & U64(0xFF)) >= U64(window)
@@ -163,7 +189,8 @@ def earlier_windows(strings: Strings, window: int) -> tuple[np.ndarray, np.ndarr
         del every
     finally:
         collection.close()
-    string, at = chosen[(entries >> U64(32)).astype(np.int64)], ((entries >> U64(16)) & U64(0xFFFF)).astype(np.int64)
+    local = (entries >> U64(32)).astype(np.int64)
+    string, at = chosen[local], ((entries >> U64(16)) & U64(0xFFFF)).astype(np.int64) + skip[local]
     cls = np.cumsum(~equal)
     order = np.lexsort((strings.start[string] + at, strings.doc[string], cls))
     later = np.append(False, cls[order][1:] == cls[order][:-1])
@@ -207,9 +234,11 @@ def _finish(window: int):
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 100) -> DataFrame:
     """For each row with an id: id, n_bytes, n_removed, n_spans, kept_sha256."""
     kind = Kind(byte_runs(window), _extent(window), lambda s: earlier_windows(s, window), False)
-    found = remove_repeats(docs, kind, _finish(window), "n_removed long, n_spans long, kept_sha256 string", id_col, text)
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = without_nulls(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(raw).alias("hash"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(F.encode(raw, "UTF-8"), 256).alias("whole")), "id")
-    out = rows.join(found, ["id", "hash"], "left")
+    seal = F.xxhash64(raw) if same_id_differs(docs, id_col) else F.lit(0).cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), seal.alias("hash"), raw.alias("text"))
+    found = remove_repeats(rows, kind, _finish(window), "n_removed long, n_spans long, kept_sha256 string")
+    sizes = without_nulls(rows.select("id", "hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("whole")), "id")
+    out = sizes.join(found, ["id", "hash"], "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
