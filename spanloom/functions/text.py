@@ -91,12 +91,12 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(""))
 
 
-def cost_usd(usage: dict[str, Column], price: dict[str, Column]) -> Column:
-    """Dollars of a call, to six digits; null without a price.  A cache-write price of 0 counts as 1.25 times the input's."""
+def cost_usd(usage: dict[str, Column], price: dict[str, Column], digits: int = 6) -> Column:
+    """Dollars of a call, to some digits; null without a price.  A cache-write price of 0 counts as 1.25 times the input's."""
     write = F.coalesce(F.when(price["cache_write"] != 0, price["cache_write"]), price["input"] * 1.25)
     read = F.coalesce(price["cache_read"], price["input"] * 0.1)
     total = usage["input"] * price["input"] + usage["output"] * price["output"] + usage["cache_read"] * read + usage["cache_write"] * write
-    return F.bround(total / 1e6, 6)
+    return F.bround(total / 1e6, digits)
 
 
 def usage_of(prompt: Column, input_tokens: Column, read: Column, nested_read: Column, write: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.catalog import ALIAS_SQL, CATALOG_SQL, MIGRATION_SQL
 
 _NUMBERED = """SELECT event_id, user_id, event_type, value, ts, props, CAST(regexp_extract(props, '[0-9]+', 0) AS bigint) AS k,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM {events}"""
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS ord FROM {events}"""
 
 #: Runs of traces: a user's events as a heap-shaped tree.
 RUNS = f"""SELECT r.event_id AS run_id, r.user_id AS trace_id, r.ord AS ord, p.event_id AS parent_id,
@@ -25,7 +25,7 @@ FROM ({_NUMBERED}) r LEFT JOIN ({_NUMBERED}) p ON p.user_id = r.user_id AND r.or
 #: Calls: every assistant turn with the turns before it.
 TURNS = "SELECT conv_id, turn, role, text FROM {conversations}"
 
-_ITEMS = """SELECT event_id, user_id % 20 AS job_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS seq, event_type, value FROM {events}"""
+_ITEMS = """SELECT event_id, user_id % 20 AS job_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS bigint) AS seq, event_type, value FROM {events}"""
 #: One row for each request and label: the original and two candidates.
 CELLS = f"""SELECT i.event_id, i.job_id, i.seq, c.label, c.pos, 5 AS runs, CAST((i.event_id + 7 * c.pos) % 6 AS bigint) AS kept, CAST((i.event_id * 3) % 5 AS bigint) AS agree,
   CAST(floor(i.value * 10) AS bigint) * (c.pos + 1) AS latency_ms, CAST(i.event_id % 97 AS bigint) * (4 - c.pos) AS cost_micros,
