@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_byte
     rows = without_nulls(docs.select("id", "hash", "text"), "id").where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (4 * bucket_bytes))
-    n_buckets = max(4 * tasks, total // bucket_bytes)
+    n_buckets = max(64, total // bucket_bytes)
     runs = find_runs(rows, kind, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     again = runs.mapInArrow(repeated_runs(n_buckets), "home int, payload binary")
     met = pack_texts(rows, n_buckets).groupBy("home").cogroup(again.groupBy("home")).applyInArrow(contexts(kind, n_buckets), "bucket int, home int, payload binary")
