@@ -18,8 +18,10 @@ from spanloom.llm.store import written
 
 
 def _with_text(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
-    length = {"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {}
-    return df.select(*[{"text": text, **length}.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+    new = free_name(df, "new_text")  # not "text": a later column of the same select could mean the new one by it
+    made = F.col(f"`{new}`")
+    length = {"n_chars": F.length(made).cast("long")} if "n_chars" in columns else {}
+    return df.withColumn(new, text).select(*[{"text": made, **length}.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
