@@ -1,19 +1,20 @@
 """Similarity join of documents on sets of word shingles: exact Jaccard, size-aware, heavy and light.
 
 Two sets link when their intersection is at least ``similarity`` of their union.  Equal sets are one class from the
-start.  All shingles are ordered, frequent ones last.  A set of n shingles that links with another one shares at least
-t = ceil(similarity * n) of its shingles with it, so in that order:
+start.  All shingles are ordered: those of many characters first, those found frequent last.  A set of n shingles that
+links with another one shares at least t = ceil(similarity * n) of its shingles with it, so in that order:
 
-*  among its first n - t + 1 shingles is one of the other set's as well (*heavy* sets: inverted lists of these), and
+*  among its first n - t + k shingles are k of the other set's as well (*heavy* sets: inverted lists of these; k grows
+   with n, and a pair must meet in k lists, so that one shared passage makes no candidate), and
 *  among its first n - t + 2 are two of them (*light* sets: all subsets of two of these, each a key of its own).
 
 Subsets are more keys, but almost only similar sets share one; lists are fewer keys with more partners to verify.  Sets
-of up to ``boundary`` shingles are light.  The boundary is the size where, on a bounded sample of sets, the keys that
-subsets cost more outweigh the partners that lists cost more.  Light sets that could link with a heavy one are in the
+of up to ``boundary`` shingles are light.  The boundary is the size for which a bounded sample of sets costs least: a
+key for each subset, against a key for each list and the partners that it holds.  Light sets that could link with a heavy one are in the
 lists too, where two light sets do not meet.
 
 Lists and subsets of up to ``small_list`` sets give their pairs; a longer one gives a star, and stars that touch are a
-*cluster*.  A cluster's sets are dealt into tiles of about ``tile_sets``, and each two tiles meet in a task.  Tasks
+*cluster*: sets that meet in a longer list are in one cluster, however many lists they share.  A cluster's sets are dealt into tiles of about ``tile_sets``, and each two tiles meet in a task.  Tasks
 verify on whole sets, skip pairs that are linked through others already and give a spanning forest.  So nothing
 emits all pairs of a group, and no link between components is lost.
 
@@ -41,12 +42,20 @@ from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, whole, word_hash
 BROADCAST_IDS = 2_000_000
 
 
+def _ranked(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hashes whose order puts shingles of many characters first: they are the rarer ones."""
+    return ((U64(63) - np.minimum(chars, 63).astype(U64)) << U64(58)) | (hashes >> U64(6))
+
+
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document in order of hash, and offsets."""
+    """Distinct shingles of each document in order, and offsets."""
     words = words_of(texts)
     h = word_hash(texts, words, lower=True)
     g, first = grams(h, words.first, size)
     count = words.count
+    chars = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    at = expand(words.first[:-1], np.diff(first))
+    g = _ranked(g, chars[at + size] - chars[at])
     out = []
     for d in range(len(texts)):
         x = np.sort(g[first[d] : first[d + 1]])
@@ -55,7 +64,7 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
             with np.errstate(over="ignore"):
                 for v in h[words.first[d] : words.first[d + 1]]:
                     acc = acc * U64(0x5851F42D4C957F2D) + v
-            x = mix(np.array([acc], dtype=U64))
+            x = _ranked(mix(np.array([acc], dtype=U64)), chars[words.first[d + 1]] - chars[words.first[d]])
         out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
@@ -71,6 +80,11 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def shared_lists(n: np.ndarray, percent: int) -> np.ndarray:
+    """In how many lists two sets must meet, at the size of the set that needs fewer."""
+    return np.minimum(least_overlap(n, percent), 1 + n // 25)
+
+
 def scan(docs: DataFrame, size: int, local_df: int, n_sample: int) -> DataFrame:
     """Rows of three kinds: a document (id, n, seal); a frequent shingle of a batch (gram, df); a sampled set."""
 
@@ -117,22 +131,23 @@ def order_key(sets: np.ndarray, frequent: np.ndarray, df: np.ndarray) -> np.ndar
     return np.where(frequent[at] == sets, df[at], 0)
 
 
-def choose_boundary(samples: list[np.ndarray], frequent: np.ndarray, df: np.ndarray, percent: int, pair_cost: float) -> int:
-    """The largest size up to which subsets cost no more than lists, from sampled sets.
+def choose_boundary(samples: list[np.ndarray], frequent: np.ndarray, df: np.ndarray, percent: int, pair_cost: float, small_list: int) -> int:
+    """The size up to which subsets are to be listed, so that all sampled sets together cost least.
 
-    A set's subsets cost one each; its lists cost one each and ``pair_cost`` for every partner that a list is expected
-    to hold (its frequency, or 1 if it is not frequent, less 1).
+    A set's subsets cost one each.  Its lists cost one each and ``pair_cost`` for every partner that a list is expected to
+    hold (how often the shingle was found, less 1); a list that is too long for pairs costs one link of a star.
     """
-    if not samples:
-        return 1
-    partners = np.mean([float(np.maximum(order_key(x, frequent, df) - 1, 0).mean()) for x in samples])
-    best = 1
-    for n in range(2, 1000):
+    sizes, subsets, lists = [0], [0.0], [0.0]
+    for x in sorted(samples, key=len):
+        n = len(x)
         p = n - int(least_overlap(np.array([n]), percent)[0]) + 1
-        if math.comb(p + 1, 2) > p * (1 + pair_cost * partners):
-            break
-        best = n
-    return best
+        found = np.sort(order_key(x, frequent, df))[:p]
+        partners = np.where(found > small_list, 1, np.maximum(found - 1, 0))
+        sizes.append(n)
+        subsets.append(float(math.comb(min(p + 1, n), 2)))
+        lists.append(p + pair_cost * float(partners.sum()))
+    total = np.cumsum(subsets) + np.sum(lists) - np.cumsum(lists)
+    return max(1, sizes[int(np.argmin(total))])
 
 
 def keys_of(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, df: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +164,7 @@ def keys_of(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, df: np.
         ordered = sets[order]
     keys, owners = [], []
     single = (n > boundary) | ((n >= 2) & (100 * n >= percent * (boundary + 1)))
-    p = np.where(single, n - t + 1, 0)
+    p = np.where(single, n - t + shared_lists(n, percent), 0)
     keys.append(ordered[expand(offsets[:-1], p)] & ~U64(1))
     owners.append(np.repeat(np.arange(len(n)), p))
     for size in np.unique(n[(n >= 2) & (n <= boundary)]):
@@ -167,8 +182,19 @@ def keys_of(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, df: np.
 def postings(docs: DataFrame, size: int, shared, percent: int, boundary: int, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, df = shared.value
+
+        def rows_of(parts: list[tuple]) -> pa.RecordBatch:
+            key, seal, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows = []
+            for bucket, at in _split(((key >> U64(1)) % U64(n_buckets)).astype(np.int64)):
+                own, local = np.unique(seal[at], return_inverse=True)
+                size_of = np.zeros(len(own), dtype=np.int64)
+                size_of[local] = n[at]
+                rows.append((bucket, pack(key[at], local.astype(np.uint32), own, size_of)))
+            return _batches(["bucket", "payload"], rows, [pa.int32(), pa.binary()])
+
         for batch in batches:
-            parts, seen = [], set()
+            parts, held, seen = [], 0, set()
             for piece in chunks(whole(batch.column(0))) if batch.num_rows else ():
                 sets, offsets = shingle_sets(piece, size)
                 s = seals(sets, offsets)
@@ -176,17 +202,14 @@ def postings(docs: DataFrame, size: int, shared, percent: int, boundary: int, n_
                 n = np.diff(offsets)
                 sets, s, n = sets[np.repeat(new, n)], s[new], n[new]
                 key, owner = keys_of(sets, np.concatenate([[0], np.cumsum(n)]), frequent, df, percent, boundary)
-                parts.append((key, s[owner], n[owner]))
+                if len(key):
+                    parts.append((key, s[owner], n[owner]))
+                    held += len(key)
+                if held >= 1 << 20:  # bounds what a task holds
+                    yield rows_of(parts)
+                    parts, held = [], 0
             if parts:
-                key, seal, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                rows = []
-                for bucket, at in _split(((key >> U64(1)) % U64(n_buckets)).astype(np.int64)):
-                    own, local = np.unique(seal[at], return_inverse=True)
-                    size_of = np.zeros(len(own), dtype=np.int64)
-                    size_of[local] = n[at]
-                    rows.append((bucket, pack(key[at], local.astype(np.uint32), own, size_of)))
-                if rows:
-                    yield _batches(["bucket", "payload"], rows, [pa.int32(), pa.binary()])
+                yield rows_of(parts)
 
     return docs.mapInArrow(run, "bucket int, payload binary")
 
@@ -215,10 +238,12 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
                 b.append(j[fits])
             if a:
                 i, j = np.concatenate(a), np.concatenate(b)
-                pairs = np.stack([np.minimum(seal[i], seal[j]), np.maximum(seal[i], seal[j])], axis=1)
-                pairs = np.unique(pairs, axis=0)
-                rows = [(task, pack(pairs[k]), None, None) for task, k in _split((mix(pairs[:, 0].view(U64)) % U64(n_tasks)).astype(np.int64))]
-                yield _batches(["task", "payload", "a", "b"], rows, [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+                # A subset alone is enough; of lists, two sets must share as many as the smaller one asks for.
+                met = np.where(key[i] & U64(1) == 1, _ENOUGH, 1)
+                pairs = _summed(np.minimum(seal[i], seal[j]), np.maximum(seal[i], seal[j]), met, shared_lists(np.minimum(n[i], n[j]), percent))
+                rows = [(task, pack(*(x[k] for x in pairs)), None, None) for task, k in _split((mix(pairs[0].view(U64)) % U64(n_tasks)).astype(np.int64))]
+                if rows:
+                    yield _batches(["task", "payload", "a", "b"], rows, [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
             light = (key[cut] & U64(1) == 0) & (n[cut + length - 1] <= boundary)
             for k in np.flatnonzero((length > small_list) & ~light):
                 # A star for each range of sizes in which sets can link; ranges overlap by one step.
@@ -239,14 +264,27 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
     return run
 
 
+_ENOUGH = 1 << 20
+
+
+def _summed(a: np.ndarray, b: np.ndarray, met: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the sum of ``met``."""
+    order = np.lexsort((b, a))
+    a, b, met, asked = a[order], b[order], met[order].astype(np.int64), asked[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(met, first) if len(first) else met, asked[first]
+
+
 def unique_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, payload) sorted by task: each task's pairs once, and a row for every set that it needs."""
+    """Rows (task, payload) sorted by task: each task's pairs that met often enough, and a row for every set needed."""
     names, kinds = ["task", "payload", "seal"], [pa.int64(), pa.binary(), pa.int64()]
     for task, parts in _by_bucket(batches):
-        pairs = np.unique(np.concatenate([p[0] for p in parts]), axis=0)
-        needed = np.unique(pairs)
-        yield _batches(names, [(task, pack(pairs), None)], kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(needed), task)), pa.nulls(len(needed)).cast(pa.binary()), pa.array(needed)], names=names)
+        a, b, met, asked = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        pairs = np.stack([a, b], axis=1)[met >= asked]
+        if len(pairs):
+            needed = np.unique(pairs)
+            yield _batches(names, [(task, pack(pairs), None)], kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(needed), task)), pa.nulls(len(needed)).cast(pa.binary()), pa.array(needed)], names=names)
 
 
 class Forest:
@@ -330,7 +368,7 @@ def _cluster_tasks(star: DataFrame, tile_sets: int) -> DataFrame:
     return rows.select("seal", (-F.abs(F.shiftright(task, 1)) - 1).alias("task"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 10.0) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 2.0) -> DataFrame:
     """For each row with an id: id, n_shingles and component_id (the smallest id that links reach, its own included).
 
     frequent_limit: of the most frequent shingles, so many (16 bytes each) are known to all tasks; it bounds memory and
@@ -345,11 +383,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     frequent = top["gram"].to_numpy(np.int64).view(U64)
     order = np.argsort(frequent)
     frequent, df = frequent[order], top["df"].to_numpy(np.int64)[order]
-    samples = [np.frombuffer(r.sample, dtype=U64) for r in scanned.where("sample IS NOT NULL").orderBy("seal").limit(200).select("sample").collect()]
-    boundary = choose_boundary(samples, frequent, df, percent, pair_cost)
+    samples = [np.frombuffer(r.sample, dtype=U64) for r in scanned.where("sample IS NOT NULL").orderBy("seal").limit(500).select("sample").collect()]
+    boundary = choose_boundary(samples, frequent, df, percent, pair_cost, small_list)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (32 << 20))
-    n_buckets = max(4 * tasks, total // (8 << 20))
+    n_buckets = max(64, total // (8 << 20))
     shared = spark.sparkContext.broadcast((frequent, df))
     lists = postings(rows.select("text"), size, shared, percent, boundary, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = written(lists.mapInArrow(candidates(percent, boundary, small_list, n_buckets), "task long, payload binary, a long, b long"), "candidates")
