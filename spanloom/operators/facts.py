@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import masked, out_shape
+from spanloom.sources.storage import cut
 
 
 def frame_stripped(rows: DataFrame, by: str, row: str, text: str) -> DataFrame:
@@ -41,34 +42,26 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int, pool: int = 400) -> DataFrame:
+def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
     """Up to ``most`` rows of each group, in order, whose word sets are less than 0.8 alike with every kept one.
 
-    Lines that all rows of a group have are left out first.  The walk sees the first ``pool`` rows of a group, as the
-    sample is a bounded report and not a filter.
+    Lines that all rows of a group have are left out first.  The greedy walk is ``most`` rounds over all groups at once:
+    each keeps a group's first row and drops what is alike, so no group is gathered and none is cut short.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    first = rows.withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= pool)
-    lines = first.select(by, order, F.explode(F.array_distinct(F.split(text, "\n"))).alias("l_"))
-    n = first.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    lines = rows.select(by, order, F.explode(F.array_distinct(F.split(text, "\n"))).alias("l_"))
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
     common = lines.groupBy(by, "l_").agg(F.count(F.lit(1)).alias("m_")).join(n, by).where("m_ = n_").groupBy(by).agg(F.collect_list("l_").alias("common_"))
-    first = first.join(common, by, "left")
+    own = rows.join(common, by, "left")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("common_", F.array().cast("array<string>")), x)), "\n")
     words = words_of(rest)
-    first = first.withColumn("w_", F.when(F.size(words) > 0, words).otherwise(words_of(F.col(text))))
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("w_").alias("w"))))
-    start = F.array().cast(items_type(first, order))
-
-    def keep(done: Column, x: Column) -> Column:
-        alike = lambda k: F.size(F.array_intersect(k["w"], x["w"])) / F.greatest(F.lit(1), F.size(F.array_union(k["w"], x["w"]))) >= 0.8
-        return F.when((F.size(done) >= most) | F.exists(done, alike), done).otherwise(F.array_append(done, x))
-
-    kept = first.groupBy(by).agg(items.alias("items_")).select(by, F.explode(F.aggregate("items_", start, keep)).alias("x"))
-    return kept.select(by, F.col("x.o").alias(order))
-
-
-def items_type(rows: DataFrame, order: str) -> str:
-    return f"array<struct<o:{dict(rows.dtypes)[order]},w:array<string>>>"
+    left = cut(own.select(by, F.col(order).alias("o_"), F.when(F.size(words) > 0, words).otherwise(words_of(F.col(text))).alias("w_")))
+    kept = None
+    for _ in range(most):
+        first = left.groupBy(by).agg(F.min(F.struct("o_", "w_")).alias("k_"))
+        kept = first.select(by, F.col("k_.o_").alias(order)) if kept is None else kept.unionByName(first.select(by, F.col("k_.o_").alias(order)))
+        alike = F.size(F.array_intersect("k_.w_", "w_")) / F.greatest(F.lit(1), F.size(F.array_union("k_.w_", "w_"))) >= 0.8
+        left = left.join(first, by).where((F.col("o_") > F.col("k_.o_")) & ~alike).select(by, "o_", "w_")
+    return kept
 
 
 def frame_variants(calls: DataFrame, by: str, item: str, trace: str, text: str) -> DataFrame:

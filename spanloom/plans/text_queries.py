@@ -165,7 +165,7 @@ def facts_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def facts_diverse_sample(spark: SparkSession, d: str) -> DataFrame:
     """A bounded sample of inputs that differ: the limit is the feature."""
-    return facts.diverse_sample(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "text"), "source", "doc_id", "text", 5, pool=40)
+    return facts.diverse_sample(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "text"), "source", "doc_id", "text", 5)
 
 
 @query()
