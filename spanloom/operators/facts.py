@@ -65,38 +65,22 @@ def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int) -
 
 
 def frame_variants(calls: DataFrame, by: str, item: str, trace: str, text: str) -> DataFrame:
-    """Authored kinds of calls at one node: (by, item, frame), where frame is '' unless at least two long word prefixes
-    recur and meet inside traces.
+    """Authored kinds of calls at one node: (by, item, frame), where frame is '' unless at least two frames recur and meet
+    inside traces.
 
-    Each node's texts are sorted and walked once; groups are nodes, of which a graph has few calls each.
+    A frame is a beginning of six words or more that calls share, so calls of one frame are those with equal first six
+    words.  It is real with two calls and a fifth of the node's; of traces with several calls, half must have two.
     """
-    import pandas as pd
-
-    def walk(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.assign(text_=own[text].fillna("")).sort_values("text_", kind="stable")
-        groups: list[tuple[list[str], list]] = []
-        which = []
-        for words in own["text_"].str.split():
-            shared = 0
-            if groups:
-                last = groups[-1][0]
-                shared = next((i for i, (a, b) in enumerate(zip(last, words, strict=False)) if a != b), min(len(last), len(words)))
-            if groups and shared >= 6:
-                groups[-1] = (groups[-1][0][:shared], groups[-1][1])
-            else:
-                groups.append((words, []))
-            which.append(len(groups) - 1)
-        own = own.assign(group_=which)
-        sizes = own["group_"].value_counts()
-        real = [g for g, (prefix, _) in enumerate(groups) if sizes[g] >= max(2, 0.2 * len(own)) and len(prefix) >= 6]
-        names = {g: "" for g in range(len(groups))}
-        several = own.groupby(trace).filter(lambda t: len(t) > 1)
-        met = several[several["group_"].isin(real)].groupby(trace)["group_"].nunique() if len(several) else pd.Series(dtype=int)
-        if len(real) >= 2 and len(several) and (met >= 2).sum() >= 0.5 * several[trace].nunique():
-            for g in real:
-                slug = "".join(c for c in "".join(groups[g][0][:3]).lower() if c.isascii() and c.isalnum())[:14]
-                names[g] = slug or f"f{g}"
-        return pd.DataFrame({by: own[by], item: own[item], "frame": own["group_"].map(names)})
-
-    kinds = dict(calls.dtypes)
-    return calls.select(by, item, trace, text).groupBy(by).applyInPandas(walk, f"{by} {kinds[by]}, {item} {kinds[item]}, frame string")
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    rows = calls.select(by, item, trace, F.when(F.size(words) >= 6, F.slice(words, 1, 6)).alias("six_"), F.col(text).alias("t_"))
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    frames = rows.groupBy(by, "six_").agg(F.count(F.lit(1)).alias("size_"), F.min("t_").alias("t_"))
+    frames = frames.withColumn("place_", F.row_number().over(Window.partitionBy(by).orderBy("t_")) - 1).join(n, by)
+    real = frames.where(F.col("six_").isNotNull() & (F.col("size_") >= F.greatest(F.lit(2.0), F.col("n_") * 0.2)))
+    slug = F.substring(F.regexp_replace(F.lower(F.array_join(F.slice("six_", 1, 3), "")), "[^a-z0-9]+", ""), 1, 14)
+    real = real.select(by, "six_", F.when(slug != "", slug).otherwise(F.concat(F.lit("f"), F.col("place_").cast("string"))).alias("frame_"))
+    per_trace = rows.join(real, [by, "six_"], "left").groupBy(by, trace).agg(F.count(F.lit(1)).alias("c_"), F.count_distinct("frame_", "six_").alias("r_"))
+    met = per_trace.where("c_ >= 2").groupBy(by).agg(F.count(F.lit(1)).alias("several_"), F.count_if(F.col("r_") >= 2).alias("both_")).where(F.col("both_") * 2 >= F.col("several_"))
+    two = real.groupBy(by).agg(F.count(F.lit(1)).alias("k_")).where("k_ >= 2").join(met, by, "left_semi")
+    shown = real.join(two, by, "left_semi")
+    return rows.join(shown, [by, "six_"], "left").select(by, item, F.coalesce("frame_", F.lit("")).alias("frame"))

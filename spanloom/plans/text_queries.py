@@ -168,7 +168,16 @@ def facts_diverse_sample(spark: SparkSession, d: str) -> DataFrame:
     return facts.diverse_sample(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "text"), "source", "doc_id", "text", 5)
 
 
-@query()
+@query(
+    oracle(
+        """WITH c AS (SELECT coalesce(node_hint, name) AS node, run_id, trace_id, string_split(CASE WHEN k % 2 = 0 THEN 'Plan the next steps for the request ' ELSE 'Review the answer below for any mistakes ' END || k, ' ')[1:6] AS six FROM runs WHERE run_type = 'llm'),
+r AS (SELECT node, six, left(regexp_replace(lower(array_to_string(six[1:3], '')), '[^a-z0-9]+', '', 'g'), 14) AS frame FROM c GROUP BY node, six HAVING count(*) >= greatest(2, 0.2 * (SELECT count(*) FROM c x WHERE x.node = c.node))),
+t AS (SELECT node, trace_id, count(*) AS n, count(DISTINCT r.six) AS k FROM c LEFT JOIN r USING (node, six) GROUP BY ALL),
+ok AS (SELECT node FROM t WHERE n >= 2 GROUP BY node HAVING count(*) FILTER (WHERE k >= 2) * 2 >= count(*) INTERSECT SELECT node FROM r GROUP BY node HAVING count(*) >= 2)
+SELECT node, run_id, CASE WHEN node IN (SELECT node FROM ok) THEN coalesce(r.frame, '') ELSE '' END AS frame FROM c LEFT JOIN r USING (node, six)""",
+        "runs",
+    )
+)
 def facts_frame_variants(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "runs").where("run_type = 'llm'").withColumn("node", F.coalesce("node_hint", "name"))
     said = F.concat(F.when(F.col("k") % 2 == 0, "Plan the next steps for the request ").otherwise("Review the answer below for any mistakes "), F.col("k").cast("string"))
