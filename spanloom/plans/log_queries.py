@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import runs
 from spanloom.plans.fixtures import oracle, table
 from spanloom.plans.registry import query
 from spanloom.sources import logs
@@ -149,3 +150,73 @@ def stream_claims(spark: SparkSession, d: str) -> DataFrame:
 def stream_callbacks(spark: SparkSession, d: str) -> DataFrame:
     e = _stream(spark, d).select((F.col("user_id") % 20).alias("job_id"), "ts")
     return streams.drained(streams.callbacks_once(e), f"callbacks_{uuid.uuid4().hex}")
+
+
+@query(
+    """WITH c AS (SELECT event_id, event_id % 5 * 100 AS recorded, event_id % 700 AS tokens, CASE event_id % 6 WHEN 0 THEN 'prompt is too long' WHEN 1 THEN 'Credit balance is too low' WHEN 2 THEN 'not allowed to access model' WHEN 3 THEN 'boom' ELSE '' END AS error, CASE WHEN event_id % 7 = 0 THEN 401 ELSE 500 END AS status FROM events)
+SELECT event_id, CAST(least(1024, CASE WHEN recorded > 0 THEN recorded ELSE greatest(512, tokens * 3) END) AS BIGINT) AS budget,
+ CASE WHEN error = '' THEN NULL WHEN NOT contains(error, 'not allowed to access') AND (status = 401 OR contains(lower(error), 'credit balance')) THEN 'account' WHEN contains(error, 'too long') THEN 'too large' ELSE 'request' END AS about
+FROM c WHERE recorded > 0 OR tokens > 0"""
+)
+def calls_budget_and_errors(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    error = F.element_at(F.array(*[F.lit(x) for x in ("prompt is too long", "Credit balance is too low", "not allowed to access model", "boom", "", "")]), (e % 6 + 1).cast("int"))
+    recorded, tokens = e % 5 * 100, e % 700
+    rows = spark.read.parquet(f"{d}/events.parquet").where((recorded > 0) | (tokens > 0))
+    about = runs.judge_error(error, F.when(e % 7 == 0, 401).otherwise(500))
+    return rows.select("event_id", runs.replay_budget(recorded, tokens, F.lit(""), F.lit(1024)).alias("budget"), about.alias("about"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events)
+SELECT event_id, CAST(coalesce(trunc(date_diff('microsecond', ts, until) / 1000), 0) AS BIGINT) AS runtime_ms, CASE WHEN until IS NOT NULL THEN CAST(greatest(0, trunc(date_diff('microsecond', until, ts) / 1000)) AS BIGINT) END AS ttft_ms FROM e"""
+)
+def calls_times(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("until", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return e.select("event_id", runs.runtime_ms(F.col("ts"), F.col("until")).alias("runtime_ms"), runs.ttft_ms(F.col("until"), F.col("ts")).alias("ttft_ms"))
+
+
+@query(
+    """WITH i AS (SELECT event_id AS id, event_id % 900 AS item, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS model, event_id % 5 AS kind FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY item) > 1 AS twice FROM i)
+SELECT id, array_to_string([x FOR x IN [CASE WHEN twice THEN 'duplicate item id' END, CASE WHEN kind = 1 THEN 'candidate labels must be unique' END,
+ CASE WHEN kind = 2 THEN 'candidate label ''original'' is reserved for the original model' END, CASE WHEN model = '' THEN 'request.model is required' END, CASE WHEN kind = 3 THEN 'request.messages needs a user message' END] IF x IS NOT NULL], '; ') AS problems FROM n"""
+)
+def jobs_submit_problems(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    kind = F.col("event_id") % 5
+    second = F.when(kind == 1, "mini").when(kind == 2, "original").otherwise("router")
+    twice = F.count(F.lit(1)).over(Window.partitionBy(F.col("event_id") % 900)) > 1
+    p = runs.problems(twice, F.array(F.lit("mini"), second), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")), F.array(F.lit("system"), F.when(kind == 3, "assistant").otherwise("user")))
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.array_join(p, "; ").alias("problems"))
+
+
+@query("SELECT conv_id, (turn // 2) AS part, 'USER:' || chr(10) || 'q' || conv_id || chr(10) || chr(10) || upper(role) || ':' || chr(10) || text AS request, turn FROM conversations WHERE role IN ('user', 'assistant')")
+def judges_request_text(spark: SparkSession, d: str) -> DataFrame:
+    """The request as a judge reads it."""
+    first = F.struct(F.lit("user").alias("role"), F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("content"))
+    messages = F.array(first, F.struct("role", F.col("text").alias("content")))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").where("role IN ('user', 'assistant')")
+    return rows.select("conv_id", F.floor(F.col("turn") / 2).alias("part"), runs.request_text(messages, F.array().cast("array<string>")).alias("request"), "turn")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN lower(role) = 'system' THEN 'system' WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN conv_id % 3 = 1 THEN 'a' || chr(10) || text ELSE text END AS content FROM conversations WHERE text <> ''"""
+)
+def messages_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Messages logged in three shapes (plain, serialised constructor with parts, type and data), read back alike."""
+    from spanloom.functions.messages import messages
+
+    kind = F.col("conv_id") % 3
+    t = spark.read.parquet(f"{d}/conversations.parquet").where("text <> ''")
+    plain = F.to_json(F.struct("role", F.col("text").alias("content")))
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.lit("a").alias("text")), F.struct(F.lit("thinking").alias("type"), F.lit("no").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    name = F.when(F.col("role") == "user", "HumanMessage").when(F.col("role") == "system", "SystemMessage").otherwise("AIMessage")
+    built = F.to_json(F.struct(F.lit("constructor").alias("type"), F.array(F.lit("schema"), name).alias("id"), F.struct(parts.alias("content")).alias("kwargs")))
+    kept = F.to_json(F.struct(F.when(F.col("role") == "assistant", "ai").otherwise(F.col("role")).alias("type"), F.struct(F.col("text").alias("content")).alias("data")))
+    one = F.when(kind == 0, plain).when(kind == 1, built).otherwise(kept)
+    rows = t.select("conv_id", "turn", F.concat(F.lit('{"messages": ['), one, F.lit("]}")).alias("inputs"))
+    m = messages(F.col("inputs"))[0]
+    return rows.select("conv_id", "turn", m["role"].alias("role"), m["content"].alias("content"))
