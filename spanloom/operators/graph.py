@@ -180,3 +180,26 @@ def merge_variants(stats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("variants"),
     )
     return merged.withColumn("error_rate", F.bround(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
+
+
+def sub_agents(runs: DataFrame) -> DataFrame:
+    """llm runs with ``agent``: the run right below the nearest tool above it whose name starts with "task", else the
+    orchestrator."""
+    row = F.struct("run_id", "parent_id", "name", "run_type")
+    traces = runs.groupBy("trace_id").agg(F.collect_list(row).alias("rows"))
+    tree = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["run_id"], r)))
+    traces = traces.select("trace_id", "rows", tree.alias("tree"), F.least(F.lit(DEPTH), F.size("rows")).alias("depth"))
+    task = lambda r: F.coalesce((r["run_type"] == "tool") & F.startswith(r["name"], F.lit("task")), F.lit(False))
+
+    def step(state: Column, _: Column) -> Column:
+        up = F.try_element_at(F.col("tree"), state["at"])
+        going = up.isNotNull() & ~state["found"]
+        name = F.when(going & ~task(up), up["name"]).otherwise(state["below"])
+        return F.struct(F.when(going, up["parent_id"]).alias("at"), name.alias("below"), (state["found"] | (going & task(up))).alias("found"))
+
+    def walk(r: Column) -> Column:
+        start = F.struct(r["parent_id"].alias("at"), F.lit(None).cast("string").alias("below"), F.lit(False).alias("found"))
+        end = F.aggregate(F.sequence(F.lit(1), F.col("depth")), start, step)
+        return F.struct(r["run_id"], r["run_type"], F.when(end["found"], F.coalesce(end["below"], F.lit("(task, unnamed)"))).otherwise("(orchestrator)").alias("agent"))
+
+    return traces.select("trace_id", F.explode(F.transform("rows", walk)).alias("r")).where("r.run_type = 'llm'").select("trace_id", "r.run_id", "r.agent")

@@ -189,3 +189,18 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     up = e.groupBy(F.col("dst").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("upstream"))
     down = e.groupBy(F.col("src").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("downstream"))
     return up.join(down, "key", "full").select("key", F.coalesce("upstream", F.lit("")).alias("upstream"), F.coalesce("downstream", F.lit("")).alias("downstream"))
+
+
+@query(
+    oracle(
+        """WITH t AS (SELECT * REPLACE (CASE WHEN run_type = 'tool' AND name IN ('n2', 'n3') THEN 'task-' || name ELSE name END AS name) FROM runs),
+up AS (SELECT trace_id, run_id, parent_id AS at, 1 AS depth FROM t WHERE run_type = 'llm' AND parent_id IS NOT NULL UNION ALL SELECT up.trace_id, up.run_id, p.parent_id, depth + 1 FROM up JOIN t p ON p.run_id = up.at WHERE p.parent_id IS NOT NULL),
+a AS (SELECT up.run_id, depth, p.name, p.run_type = 'tool' AND starts_with(p.name, 'task') AS task FROM up JOIN t p ON p.run_id = up.at), n AS (SELECT run_id, min(depth) AS d FROM a WHERE task GROUP BY run_id)
+SELECT r.trace_id, r.run_id, CASE WHEN n.d IS NULL THEN '(orchestrator)' ELSE coalesce(b.name, '(task, unnamed)') END AS agent FROM t r LEFT JOIN n USING (run_id) LEFT JOIN a b ON b.run_id = r.run_id AND b.depth = n.d - 1 WHERE r.run_type = 'llm'""",
+        "runs",
+        recursive=True,
+    )
+)
+def graph_sub_agents(spark: SparkSession, d: str) -> DataFrame:
+    named = F.when((F.col("run_type") == "tool") & F.col("name").isin("n2", "n3"), F.concat(F.lit("task-"), "name")).otherwise(F.col("name"))
+    return G.sub_agents(table(spark, d, "runs").withColumn("name", named))
