@@ -12,6 +12,6 @@ def cut(df: DataFrame) -> DataFrame:
     folder of our own is used only where the session names none, as in tests."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
