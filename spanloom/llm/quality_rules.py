@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,7 @@ def text_stats(texts: Texts) -> list[np.ndarray]:
     line_doc = np.searchsorted(texts.offsets, start, side="right") - 1
     lines = range_hash(prefix_sums(texts), start, end)
     for k in np.flatnonzero(end - start > 512):
-        lines[k] = hash(texts.data[start[k] : end[k]].tobytes()) & (2**64 - 1)
+        lines[k] = xxhash.xxh64_intdigest(texts.data[start[k] : end[k]].tobytes())
     order, same = _equal_within(lines, line_doc)
     dup_lines = np.bincount(line_doc[order[same]], minlength=len(docs))
     # Words in three-word windows that the text has twice or more.

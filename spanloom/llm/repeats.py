@@ -281,7 +281,7 @@ def same_id_differs(docs: DataFrame, id_col: str) -> bool:
     return bool(docs.groupBy(F.col(f"`{id_col}`")).agg(F.count(F.lit(1)).alias("n")).where(f"`{id_col}` IS NOT NULL AND n > 1").limit(1).count())
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_bytes: int = 4 << 20) -> DataFrame:
     """docs: id, hash (tells rows of equal id apart), text.  For each distinct (id, hash) with a removed window: id, hash
     and what ``finish`` makes of the text and the windows.
 
