@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanloom.llm.textnp import Texts, chunks, whole
+from spanloom.llm.textnp import Texts, chunks, releasing, whole
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -43,4 +43,4 @@ def append_struct(df: DataFrame, text: str, name: str, compute: Callable[[Texts]
             struct = pa.StructArray.from_arrays(columns, names)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)

@@ -267,7 +267,7 @@ def without(text: Column, ranges: Column) -> Column:
     return F.when(F.size(ranges) == 0, text).otherwise(F.aggregate(ranges, start, cut, rest))
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20) -> tuple[DataFrame, str]:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 2 << 20) -> tuple[DataFrame, str]:
     """``docs`` and a struct column of n_words, n_hit, n_items, items (sorted), spans (code points to remove); and its name."""
     rows = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

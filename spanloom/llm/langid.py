@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.llm.arrowmap import append_struct
-from spanloom.llm.textnp import LOWER, U64, Texts, Words, chunks, code_points_before, lut, mix, whole, word_hash, words_of
+from spanloom.llm.textnp import LOWER, U64, Texts, Words, chunks, code_points_before, lut, mix, releasing, whole, word_hash, words_of
 
 UND = "und"
 #: Bytes that may be in words here: ASCII letters and all bytes beyond ASCII.
@@ -139,7 +139,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(table[at])], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(releasing(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counted["lang"]))
     table = np.zeros(((1 << _BITS) + len(SCRIPTS), len(languages)))
     table[counted["bucket"].to_numpy(), [languages.index(x) for x in counted["lang"]]] = counted["n"]

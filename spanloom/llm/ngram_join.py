@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
 from spanloom.llm.store import partitions, without_nulls, written
-from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, whole, word_hash, words_of
+from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, releasing, whole, word_hash, words_of
 
 #: Ids of up to so many documents are broadcast when their texts are read again; beyond, they are joined.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def _ranked(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
@@ -112,15 +112,20 @@ def scan(docs: DataFrame, size: int, local_df: int, n_sample: int) -> DataFrame:
             n, s = np.concatenate(own_n), np.concatenate(own_seals)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), *[none.cast(k) for k in kinds[3:]]], names=names)
-            gram, df = np.unique(np.concatenate(fresh), return_counts=True)
-            gram, df = gram[df >= local_df], df[df >= local_df]
+            grams_ = np.concatenate(fresh)
+            fresh.clear()
+            grams_.sort()
+            cut = np.flatnonzero(np.append(True, grams_[1:] != grams_[:-1])) if len(grams_) else np.zeros(0, np.int64)
+            df = np.diff(np.append(cut, len(grams_)))
+            gram, df = grams_[cut[df >= local_df]], df[df >= local_df]
+            del grams_, cut
             none = pa.nulls(len(gram))
             yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds[:3]], pa.array(gram.view(np.int64)), pa.array(df), none.cast(kinds[5])], names=names)
             samples = sorted(samples)[:n_sample]
             none = pa.nulls(len(samples))
             yield pa.RecordBatch.from_arrays([none.cast(kinds[0]), none.cast(kinds[1]), pa.array([x for x, _ in samples], pa.int64()), none.cast(kinds[3]), none.cast(kinds[4]), pa.array([x for _, x in samples], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, seal long, gram long, df long, sample binary")
+    return docs.mapInArrow(releasing(run), "id long, n long, seal long, gram long, df long, sample binary")
 
 
 def order_key(sets: np.ndarray, frequent: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -211,7 +216,7 @@ def postings(docs: DataFrame, size: int, shared, percent: int, boundary: int, n_
             if parts:
                 yield rows_of(parts)
 
-    return docs.mapInArrow(run, "bucket int, payload binary")
+    return docs.mapInArrow(releasing(run), "bucket int, payload binary")
 
 
 def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
@@ -390,9 +395,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     n_buckets = max(64, total // (8 << 20))
     shared = spark.sparkContext.broadcast((frequent, df))
     lists = postings(rows.select("text"), size, shared, percent, boundary, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = written(lists.mapInArrow(candidates(percent, boundary, small_list, n_buckets), "task long, payload binary, a long, b long"), "candidates")
+    found = written(lists.mapInArrow(releasing(candidates(percent, boundary, small_list, n_buckets)), "task long, payload binary, a long, b long"), "candidates")
     pairs = found.where("payload IS NOT NULL").select("task", "payload").repartition(tasks, "task").sortWithinPartitions("task")
-    pairs = written(pairs.mapInArrow(unique_pairs, "task long, payload binary, seal long"), "pairs")
+    pairs = written(pairs.mapInArrow(releasing(unique_pairs), "task long, payload binary, seal long"), "pairs")
     clusters = _cluster_tasks(found.where("a IS NOT NULL").select("a", "b"), tile_sets)
     needed = written(pairs.where("seal IS NOT NULL").select("seal", "task").unionByName(clusters), "needed")
     # One document stands for each set; its text is read again for the tasks that need the set.
@@ -412,9 +417,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
                 if made:
                     yield _batches(names, made, kinds)
 
-    sets = rows.join(at, "id").select("id", "text", "want", "tasks").mapInArrow(read, "task long, seal long, node long, shingles binary")
+    sets = rows.join(at, "id").select("id", "text", "want", "tasks").mapInArrow(releasing(read), "task long, seal long, node long, shingles binary")
     spec = pairs.where("payload IS NOT NULL").select("task", "payload").unionByName(clusters_spec(needed))
-    links = spec.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(verify(percent), "a long, b long")
+    links = spec.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(releasing(verify(percent)), "a long, b long")
     # Rows of equal id are one node, whatever sets they have: sets of equal ids and equal sets link their ids.
     same = known.where("n > 0").join(reps.withColumnRenamed("id", "rep"), "seal").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     part = components(links.select("a", "b").unionByName(same))

@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.anchors import Runs
 from spanloom.llm.store import partitions, without_nulls, written
-from spanloom.llm.textnp import U64, Texts, chunks, mix, prefix_sums, range_hash, whole
+from spanloom.llm.textnp import U64, Texts, chunks, mix, prefix_sums, range_hash, releasing, whole
 
 
 def pack(*arrays) -> bytes:
@@ -120,7 +120,7 @@ def find_runs(docs: DataFrame, kind: Kind, n_buckets: int) -> DataFrame:
             if rows:
                 yield _batches(["bucket", "payload"], rows, [pa.int32(), pa.binary()])
 
-    return docs.mapInArrow(run, "bucket int, payload binary")
+    return docs.mapInArrow(releasing(run), "bucket int, payload binary")
 
 
 def pack_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -133,7 +133,7 @@ def pack_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
                 texts = whole(batch.column(2))
                 yield _batches(["home", "payload"], [(h, _pack_rows(ids, hashes, texts, at)) for h, at in _split(home_of(ids, n_buckets))], [pa.int32(), pa.binary()])
 
-    return docs.mapInArrow(run, "home int, payload binary")
+    return docs.mapInArrow(releasing(run), "home int, payload binary")
 
 
 def _pack_rows(ids: np.ndarray, hashes: np.ndarray, texts: Texts, at: np.ndarray) -> bytes:
@@ -293,11 +293,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_byte
     tasks = max(partitions(spark), total // (4 * bucket_bytes))
     n_buckets = max(64, total // bucket_bytes)
     runs = find_runs(rows, kind, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    again = runs.mapInArrow(repeated_runs(n_buckets), "home int, payload binary")
-    met = pack_texts(rows, n_buckets).groupBy("home").cogroup(again.groupBy("home")).applyInArrow(contexts(kind, n_buckets), "bucket int, home int, payload binary")
+    again = runs.mapInArrow(releasing(repeated_runs(n_buckets)), "home int, payload binary")
+    met = pack_texts(rows, n_buckets).groupBy("home").cogroup(again.groupBy("home")).applyInArrow(releasing(contexts(kind, n_buckets)), "bucket int, home int, payload binary")
     met = written(met, "contexts")
     strings = met.where("bucket IS NOT NULL").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    gone = strings.mapInArrow(earlier(kind, n_buckets), "home int, payload binary")
+    gone = strings.mapInArrow(releasing(earlier(kind, n_buckets)), "home int, payload binary")
     out_schema = f"id long, hash long, {schema}"
     empty = to_arrow_schema(T.StructType.fromDDL(out_schema)).empty_table()
 
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, bucket_byte
         return pa.table([pa.array(ids[used]), pa.array(hashes[used]), *columns], names=empty.schema.names)
 
     texts = met.where("bucket IS NULL").select("home", "payload")
-    return texts.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(end, out_schema)
+    return texts.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(releasing(end), out_schema)
 
 
 def windows_of(offsets: np.ndarray, size: int) -> np.ndarray:

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.store import new_path, partitions, written
+from spanloom.llm.textnp import releasing
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -158,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
         if bundle is not None:
             yield index()
 
-    return written(rows.mapInArrow(write, INDEX), "warc-index")
+    return written(rows.mapInArrow(releasing(write), INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -189,7 +190,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     rows = index.select("bundle", "frame", "at", "bytes").repartition(partitions(index.sparkSession), "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
-    return rows.mapInArrow(read, "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return rows.mapInArrow(releasing(read), "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_folder(spark, name: str = "warc") -> str:
