@@ -3,8 +3,9 @@
 Patterns (each leftmost and non-overlapping for itself): assignments to names of secrets, access key ids and long
 runs of hex digits.  The *token-efficiency* test looks at every run of at least ``min_run`` characters that keys are
 made of: a public byte-level vocabulary learned ordinary words, so a run with few characters a token is a random
-string.  Known digests (hex of the length of a usual digest), identifiers (UUIDs, numbers, names joined of words) and
-what a pattern has found already are left out.
+string, with or without digits; names joined of words have many.  Known digests (hex of the length of a usual digest),
+UUIDs and runs without a letter (numbers, rules) are left out.  Where a pattern has found a part of a run already, each
+part beside it that is as long as a run is tested by itself.
 
 Cases: a null text is empty and has no span; repeated rows, null ids and extra columns are carried along; offsets are
 code points of the whole text, ends exclusive; a text of one long run is one candidate.
@@ -33,9 +34,8 @@ KINDS = ["assign", "access", "hex", "random"]
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-NAME = re.compile(rb"[A-Z]?[a-z]+([_./-]?[A-Z]?[a-z]+)*[_./-]?[0-9]{0,4}|[A-Z]+([_./-][A-Z]+)*")
 RUN = lut(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-DIGIT, LETTER = lut(b"0123456789"), lut(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+LETTER = lut(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 VOCABULARY = os.environ.get("SPANLOOM_TIKTOKEN", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How byte-level BPE cuts a text before merging: contractions, words, numbers, the rest, white space (fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,8 +51,8 @@ def encoding(path: str):
 
 
 def is_known(run: bytes) -> bool:
-    """A digest, an identifier or a name joined of words: not a secret by itself."""
-    if UUID.fullmatch(run) or NAME.fullmatch(run) or not re.search(rb"[A-Za-z]", run):
+    """A digest, a UUID or a number: not a secret by itself."""
+    if UUID.fullmatch(run) or not re.search(rb"[A-Za-z]", run):
         return True
     return len(run) in DIGEST_SIZES and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", run) is not None
 
@@ -67,6 +67,18 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no span covers; spans in order of their starts."""
+    out = []
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def scanner(vocabulary: str, min_run: int, max_ratio: float, mask: str | None):
     """A function for append_struct; with ``mask``, also the text with all spans replaced by it."""
 
@@ -74,10 +86,8 @@ def scanner(vocabulary: str, min_run: int, max_ratio: float, mask: str | None):
         points = code_points_before(texts)
         runs = words_of(texts, RUN)
         long = runs.end - runs.start >= min_run
-        # Runs of letters alone that stand in running text are words; random strings carry digits as well.
-        digits = np.concatenate([[0], np.cumsum(DIGIT[texts.data])])
         letters = np.concatenate([[0], np.cumsum(LETTER[texts.data])])
-        long &= (digits[runs.end] > digits[runs.start]) & (letters[runs.end] > letters[runs.start])
+        long &= letters[runs.end] > letters[runs.start]
         doc = runs.doc[long]
         by_doc: dict[int, list[tuple[int, int]]] = {}
         for d, s, e in zip(doc.tolist(), runs.start[long].tolist(), runs.end[long].tolist(), strict=True):
@@ -89,11 +99,12 @@ def scanner(vocabulary: str, min_run: int, max_ratio: float, mask: str | None):
             base = base_spans(raw)
             more = []
             for s, e in by_doc.get(d, ()):
-                run = raw[s - at : e - at]
-                if any(a < e - at and s - at < b for a, _, b in base) or is_known(run):
-                    continue
-                if len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run.decode())):
-                    more.append((s - at, 3, e - at))
+                for a, b in outside(s - at, e - at, base):
+                    run = raw[a:b]
+                    if len(run) < min_run or is_known(run):
+                        continue
+                    if len(run) <= max_ratio * len(encoding(vocabulary).encode_ordinary(run.decode())):
+                        more.append((a, 3, b))
             origin = points[at]
 
             def said(spans, at=at, origin=origin) -> str:

@@ -152,6 +152,20 @@ def test_secrets(spark):
     assert got[7]["n_assign"] == 0 and KINDS[-1] == "random"
 
 
+def test_secrets_of_letters_and_beside_patterns(spark):
+    lower, mixed, hexed = "xkqzvbnwmtrplkjhgfdswpc27", "qWkZpLmXvBnRtYaSdFghQzKj", "0123456789abcdef" * 2
+    texts = [
+        (1, f"see {lower} and {mixed} here", None, None),
+        (2, "getUserAccountByIdentifier internationalization word_joined_name_of_things12", None, None),
+        (3, f"{mixed}{hexed}{mixed[::-1]}", None, None),
+        (4, f"{'1234567890' * 3} D41D8CD98F00B204E9800998ECF8427E {'+---' * 9}", None, None),
+    ]
+    got = {r["doc_id"]: r["s"] for r in scan_secrets(table(spark, texts), "s", mask="[x]").collect()}
+    assert got[1]["masked"] == "see [x] and [x] here"
+    assert got[2]["spans"] == "" and got[4]["spans"] == ""
+    assert got[3]["spans"] == "random:0:24,hex:24:56,random:56:80"
+
+
 def test_language_model(spark, docs, none):
     words = {"aa": ["alpha", "beta", "gamma"], "bb": ["ичто", "это", "так"], "cc": ["zulu", "yankee", "xray"]}
     rng = np.random.default_rng(2)
