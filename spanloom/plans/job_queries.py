@@ -62,9 +62,19 @@ def votes_call_plan(spark: SparkSession, d: str) -> DataFrame:
 SELECT item, turn FROM a WHERE (item, trim(output)) IN (SELECT item, trim(output) FROM r)"""
 )
 def votes_exact_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _exact_copies(spark, d, "turn % 2 = 1")
+
+
+@query()
+def votes_exact_copies_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that equal a turn of their conversation, all turns being references."""
+    return _exact_copies(spark, d, "true")
+
+
+def _exact_copies(spark: SparkSession, d: str, references: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/conversations.parquet")
     answers = t.select(F.col("conv_id").alias("item"), "turn", F.concat(F.lit("  "), "text").alias("output"))
-    return V.exact_copies(answers, t.where("turn % 2 = 1").select(F.col("conv_id").alias("item"), F.col("text").alias("output"))).select("item", "turn")
+    return V.exact_copies(answers, t.where(references).select(F.col("conv_id").alias("item"), F.col("text").alias("output"))).select("item", "turn")
 
 
 _REPLIES = """SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'EQUIVALENT: same facts' WHEN 1 THEN concat('Verdict: DRIFT - dropped ', event_type) WHEN 2 THEN 'I think so' WHEN 3 THEN concat('thinking\n**VARIATION** shorter ', event_type)

@@ -26,6 +26,12 @@ def logs_latest_revision(spark: SparkSession, d: str) -> DataFrame:
     return logs.latest_revision(table(spark, d, "runs").where("ord <= 3"), 100).select("run_id", "revision")
 
 
+@query()
+def logs_latest_revision_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The newest revision's roots, newest first: the limit is the feature."""
+    return logs.latest_revision(table(spark, d, "runs").where("parent_id IS NULL"), 100).select("run_id", "revision")
+
+
 @query(oracle("SELECT count(*) AS n, count(*) >= 120 AS capped FROM (SELECT 1 FROM runs WHERE parent_id IS NULL LIMIT 120)", "runs"))
 def logs_capped_count(spark: SparkSession, d: str) -> DataFrame:
     """A count that stops at its cap: the limit is the feature."""
@@ -51,7 +57,16 @@ def logs_agents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle("SELECT run_id, coalesce(nullif(output, ''), error) AS response FROM runs WHERE run_id IN (SELECT event_id FROM events WHERE event_id % 97 = 0)", "runs"))
 def logs_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids = spark.read.parquet(f"{d}/events.parquet").where("event_id % 97 = 0").select(F.col("event_id").alias("run_id"))
+    return _lookup(spark, d, spark.read.parquet(f"{d}/events.parquet").where("event_id % 97 = 0").select(F.col("event_id").alias("run_id")))
+
+
+@query()
+def logs_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of the runs that any document is numbered after."""
+    return _lookup(spark, d, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("run_id")))
+
+
+def _lookup(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
     return logs.lookup(table(spark, d, "runs"), ids, "run_id").select("run_id", F.coalesce(F.when(F.col("output") != "", F.col("output")), F.col("error")).alias("response"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
@@ -59,8 +59,18 @@ g AS (SELECT *, sum(CASE WHEN before = role THEN 0 ELSE 1 END) OVER (PARTITION B
 SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS content FROM g GROUP BY conv_id, island"""
 )
 def text_merged_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns of one role as one message, without the system's; of two turns in three."""
+    return _merged(turns(spark, d).where("turn % 3 <> 2"))
+
+
+@query()
+def text_merged_turns_whole(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring turns of one role as one message, without the system's."""
-    rows = turns(spark, d).where("role <> 'system' AND turn % 3 <> 2").withColumn("role", F.when(F.col("role") == "assistant", "assistant").otherwise("user")).withColumn("text", X.strip(F.col("text"))).where("text <> ''")
+    return _merged(turns(spark, d))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    rows = rows.where("role <> 'system'").withColumn("role", F.when(F.col("role") == "assistant", "assistant").otherwise("user")).withColumn("text", X.strip(F.col("text"))).where("text <> ''")
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = rows.withColumn("new", F.when(F.lag("role").over(w).eqNullSafe(F.col("role")), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
@@ -121,8 +131,18 @@ r AS (SELECT n.doc_id, n.source, coalesce(string_agg(l.l, chr(10) ORDER BY p) FI
 SELECT source, count(DISTINCT t) AS distinct_output FROM r GROUP BY source"""
 )
 def facts_frame_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return _frame_stripped(spark, d, F.substring("text", 1, 40))
+
+
+@query()
+def facts_frame_stripped_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct documents of each source, whole texts, without the lines that all of a source have."""
+    return _frame_stripped(spark, d, F.col("text"))
+
+
+def _frame_stripped(spark: SparkSession, d: str, text: Column) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    t = F.concat(F.lit("Header line\n"), F.substring("text", 1, 40), F.lit(" "), F.col("doc_id").cast("string"))
+    t = F.concat(F.lit("Header line\n"), text, F.lit(" "), F.col("doc_id").cast("string"))
     return facts.frame_stripped(docs.select("source", "doc_id", t.alias("t")), "source", "doc_id", "t")
 
 
