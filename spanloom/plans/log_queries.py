@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,13 +158,13 @@ def stream_claims(spark: SparkSession, d: str) -> DataFrame:
     e = _stream(spark, d)
     kind = F.element_at(F.array(F.lit("claim"), F.lit("claim"), F.lit("beat"), F.lit("done")), (F.col("event_id") % 4 + 1).cast("int"))
     log = e.select((F.col("event_id") % 500).alias("item"), F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("worker"), (F.col("event_id") % 1000).alias("at"), kind.alias("kind"))
-    return streams.drained(streams.claims(log), f"claims_{uuid.uuid4().hex}")
+    return streams.drained(streams.claims(log), "claims")
 
 
 @query()
 def stream_callbacks(spark: SparkSession, d: str) -> DataFrame:
     e = _stream(spark, d).select((F.col("user_id") % 20).alias("job_id"), "ts")
-    return streams.drained(streams.callbacks_once(e), f"callbacks_{uuid.uuid4().hex}")
+    return streams.drained(streams.callbacks_once(e), "callbacks")
 
 
 @query(

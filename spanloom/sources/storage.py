@@ -1,10 +1,17 @@
-"""Cutting lineage in shared storage."""
+"""Cutting lineage in shared storage, and paths there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below ``spark.checkpoint.dir`` that no other run uses; in a folder of our own where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

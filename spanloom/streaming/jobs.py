@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanloom.sources.storage import new_path
+
 
 def daily(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Events, errors and users of each day and type; rows later than the watermark are dropped."""
@@ -55,10 +57,15 @@ def callbacks_once(finished: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there and give its output as a table (for batch use and tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """Run a stream over what is there and give its output as a table (for batch use and tests).  The output and the
+    checkpoint lie in shared storage; rows whose window the watermark has not passed are not in it."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # what is read where the stream has no batch
+    sink = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, f"{name}-state"))
+    query = sink.outputMode("append").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import timedelta
 
 from spanloom.plans.queries import QUERIES
+from spanloom.streaming import jobs as streams
 from test_queries import SF
 
 
@@ -35,3 +36,21 @@ def test_sessions_hold_all_events(spark):
             before = ts
     got = QUERIES["stream_sessions"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_claims_go_through_files(spark):
+    out = QUERIES["stream_claims"](spark, SF)
+    want = Counter((r.event_id % 500, f"w{r.user_id % 5}", r.event_id % 1000) for r in events(spark))
+    assert Counter((r.item, r.worker, r["at"]) for r in out.collect()) == want
+    assert out.inputFiles()
+
+
+def test_callbacks_once_each(spark):
+    out = QUERIES["stream_callbacks"](spark, SF)
+    assert sorted(r.job_id for r in out.collect()) == sorted({r.user_id % 20 for r in events(spark)}) and out.inputFiles()
+
+
+def test_drained_stream_without_rows(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    log = spark.readStream.schema("item long, worker string, at long, kind string").parquet(str(tmp_path / "log"))
+    assert streams.drained(streams.claims(log), "none").collect() == []
