@@ -4,18 +4,24 @@ Targets: sources in order of name (null last) have the weights of ``weights`` in
 No target exceeds ``max_copies`` times its source's words; what is above is shared by weight among the others until
 none is above (solved at once by ordering sources by words over weight).
 
-A document is to be taken ``c`` = target over source size times: floor(c) copies are certain, and the rest ``p`` is its
-inclusion probability in a Pareto sample: documents are ranked by (u / (1 - u)) / (p / (1 - p)) with a uniform u, and
-the first ones are taken.  The sample's size is fixed in words, by what the target leaves after the certain copies: it
-ends before the document that would pass this, and later documents that still fit fill the gap, to the nearest word
-count.  u is a hash of the id, so reruns agree.
+A document is to be taken ``e`` = min(max_copies, k * size ** size_power) times, where k is what makes the expected
+words of its source equal the target: longer documents of a source are the likelier ones (``size_power`` 0: all alike).
+floor(e) copies are certain, and the rest ``p`` is the document's own inclusion probability in a Pareto sample of its
+source: documents are ranked by (u / (1 - u)) / (p / (1 - p)) with a uniform u, and the first ones are taken.  The
+sample's size is fixed in words, by what the target leaves after the certain copies: it ends before the document that
+would pass this, and later documents that still fit fill the gap, to the nearest word count.  u is a hash of the id, so
+reruns agree.
+
+k comes from a table of the sizes that occur in a source: with the j longest sizes at the limit it would be k_j, and the
+largest of all k_j is the one that fits.
 
 Running sums over a source of any size: ranks are cut into ``cuts`` ranges, words are summed for each range (on the
-map side first), and only the documents of the one range where the sum passes the target are sorted.
+map side first), and only the documents of the one range where the sum passes the target are sorted.  Sources
+themselves are one row each and are ordered in one task, so they may be millions, not billions.
 
 Cases: null texts have size 0; null sources are a source of their own; rows with equal ids and equal sizes are told
 apart only by their number; a null id is hashed as such; an empty table gives an empty result; sources of size 0 have
-target 0.
+target 0; columns that are called like the results are kept, and the results then get underscores before their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.arrowmap import append_struct
+from spanloom.llm.arrowmap import append_struct, free_name
 from spanloom.llm.store import written
 from spanloom.llm.textnp import Texts, words_of
 
@@ -87,33 +93,56 @@ def _fill(rows: DataFrame, eligible: Column, need: Column, took: str, nearest: b
     return inside.unionByName(edge).drop("fits", "need", "place", "edge")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, seed: int = 11, cuts: int = 4096) -> DataFrame:
-    """All columns of ``docs`` and source_size, target (both of the row's source) and taken (words, repeats counted).
+def expected_copies(by_size: DataFrame, max_copies: float, size_power: float) -> DataFrame:
+    """key and factor: what the power of a size is multiplied by to give a document's expected copies.
+
+    by_size: key, size, n (documents of that size) and target of the key.
+    """
+    weight = F.pow(F.col("size").cast("double"), F.lit(size_power))
+    rows = by_size.where("size > 0").withColumn("words", (F.col("size") * F.col("n")).cast("double")).withColumn("part", weight * F.col("words"))
+    longer = Window.partitionBy("key").orderBy(F.desc("size"))
+    capped = F.coalesce(F.sum("words").over(longer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("part").over(longer.rowsBetween(0, Window.unboundedFollowing))
+    return rows.select("key", ((F.col("target") - max_copies * capped) / open_).alias("k")).groupBy("key").agg(F.max("k").alias("factor"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_copies: int = 3, size_power: float = 0.5, seed: int = 11, cuts: int = 4096) -> DataFrame:
+    """All columns of ``docs`` and source_size, target (both of the row's source), chance (its inclusion probability
+    beyond certain copies), copies and taken (words, repeats counted).
 
     docs is read several times: pass a table that is stored.
     """
-    sizes = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(f"`{size}`").alias("source_size"))
-    goal = written(targets(sizes, weights, share, max_copies), "targets")
-    c = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    goal = goal.withColumn("copies", F.least(F.floor(c + 1e-12), F.lit(max_copies)).cast("long"))
-    goal = goal.withColumn("rest", F.greatest(F.lit(0.0), c - F.col("copies")))
-    goal = goal.withColumn("left_over", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
+    names = {x: free_name(docs, x) for x in ("source_size", "target", "chance", "copies", "taken")}
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    goal = goal.select(key.alias("key"), F.struct("source_size", "target", "copies", "rest", "left_over").alias("goal"))
+    by_size = docs.groupBy(F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    by_size = written(by_size.withColumn("key", key), "source-sizes")
+    sizes = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goal = written(targets(sizes, weights, share, max_copies).withColumn("key", key).drop("source"), "targets")
     few = goal.count() <= BROADCAST_SOURCES
+    at_hand = lambda t: F.broadcast(t) if few else t
+    by_size = by_size.select("key", "size", "n").join(at_hand(goal), "key")
+    factor = written(expected_copies(by_size, max_copies, size_power), "factors")
+    expected = F.least(F.lit(float(max_copies)), F.coalesce("factor", F.lit(0.0)) * F.pow(F.col("size").cast("double"), F.lit(size_power)))
+    certain = F.floor(expected + 1e-9).cast("long")
+    sure = by_size.join(at_hand(factor), "key", "left").groupBy("key").agg(F.sum(certain * F.col("size") * F.col("n")).alias("sure"))
+    goal = goal.join(factor, "key", "left").join(sure, "key")
+    goal = written(goal.select("key", "factor", F.struct("source_size", "target", F.greatest(F.lit(0.0), F.col("target") - F.col("sure")).alias("left_over")).alias("goal")), "goals")
     packed = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")  # whatever they are called
     rows = docs.select(packed, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").alias("size"))
-    rows = rows.withColumn("key", key).drop("source").join(F.broadcast(goal) if few else goal, "key")
-    u, p = _uniform(F.col("id"), seed), F.col("goal.rest")
+    rows = rows.withColumn("key", key).drop("source").join(at_hand(goal), "key")
+    rows = rows.withColumn("copies", certain).withColumn("chance", F.greatest(F.lit(0.0), expected - certain)).drop("factor")
+    u, p = _uniform(F.col("id"), seed), F.col("chance")
     odds = (u / (1 - u)) * F.try_divide(1 - p, p)
     rows = rows.withColumn("rank", F.coalesce(odds / (1 + odds), F.lit(1.0))).withColumn("tie", F.xxhash64("id", "size")).drop("id")
     # First the sample in order of rank, up to the first document that would pass the need; then later documents that
     # still fit, so that one very long document doesn't leave a source far from its target.
-    rows = written(_fill(rows, F.lit(True), F.col("goal.left_over"), "first", False, few, cuts), "sampled")
+    may = F.col("copies") < max_copies
+    rows = written(_fill(rows, may, F.col("goal.left_over"), "first", False, few, cuts), "sampled")
     got = rows.groupBy("key").agg(F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).alias("got"))
     got = written(got, "got")
-    rows = rows.join(F.broadcast(got) if few else got, "key")
+    rows = rows.join(at_hand(got), "key")
     left = F.col("goal.left_over") - F.col("got")
-    rows = _fill(rows, ~F.col("first") & (F.col("size") <= left), left, "second", True, few, cuts)
-    taken = (F.col("goal.copies") + F.col("first").cast("long") + F.col("second").cast("long")) * F.col("size")
-    return rows.select("row.*", F.col("goal.source_size").alias("source_size"), F.col("goal.target").alias("target"), taken.alias("taken"))
+    rows = _fill(rows, may & ~F.col("first") & (F.col("size") <= left), left, "second", True, few, cuts)
+    copies = F.col("copies") + F.col("first").cast("long") + F.col("second").cast("long")
+    out = {"source_size": F.col("goal.source_size"), "target": F.col("goal.target"), "chance": F.col("chance"), "copies": copies, "taken": copies * F.col("size")}
+    return rows.select("row.*", *[out[x].alias(names[x]) for x in out])

@@ -10,7 +10,7 @@ from spanloom.llm.store import written
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     sized = with_size(docs.select("doc_id", "source", "text"), "text", "size").select("doc_id", "source", "size")
-    return mix(written(sized, "sizes")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(written(sized, "sizes")).select("doc_id", "source", "size", "source_size", "target", "taken", "chance")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

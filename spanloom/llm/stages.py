@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.arrowmap import free_name
 from spanloom.llm.decontaminate import find_phrases, without
+from spanloom.llm.mixing import mix, with_size
 from spanloom.llm.ngram_join import BROADCAST_IDS, jaccard_components
-from spanloom.llm.op6 import mix_documents
 from spanloom.llm.quality_rules import fit_rules, judge
 from spanloom.llm.secret_scan import scan_secrets
 from spanloom.llm.store import written
@@ -60,5 +60,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mix_documents(docs)
+    """The mix itself: each document as often as it is taken (column ``copy`` counts from 1), with all its columns and its
+    size, source_size, target and taken.  Documents that are not taken go.  A new column whose name is used already gets
+    underscores before it."""
+    size = free_name(docs, "size")
+    mixed = mix(written(with_size(docs, "text", size), "sizes"), size=size)
+    extra = mixed.columns[len(docs.columns) :]
+    chance, copies = extra[-3], extra[-2]
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"`{copies}`"))).alias(free_name(mixed, "copy"))
+    taken = mixed.where(F.col(f"`{copies}`") > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in mixed.columns if c not in (chance, copies)], number)
