@@ -288,7 +288,7 @@ def unique_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.stack([a, b], axis=1)[met >= asked]
         if len(pairs):
             needed = np.unique(pairs)
-            yield _batches(names, [(task, pack(pairs), None)], kinds)
+            yield _batches(names, [(task, pack(pairs.ravel()), None)], kinds)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(needed), task)), pa.nulls(len(needed)).cast(pa.binary()), pa.array(needed)], names=names)
 
 
@@ -323,7 +323,7 @@ def verify(percent: int):
         forest, links = Forest(len(sets)), []
         payloads = [x for x in left.column(1) if x.is_valid]
         for raw in payloads:
-            pairs = np.searchsorted(seal, unpack(raw.as_buffer())[0])
+            pairs = np.searchsorted(seal, unpack(raw.as_buffer())[0]).reshape(-1, 2)
             for i, j in pairs.tolist():
                 if forest.root(i) != forest.root(j):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

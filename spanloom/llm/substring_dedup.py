@@ -1,15 +1,19 @@
 """Removal of repeated word sequences with suffix trees that are partitioned by prefix.
 
-A bucket's strings (see repeats.py) give a suffix for each window.  *Vertically*, suffixes are split by prefixes of
-variable length: a prefix of more than ``most`` suffixes is made longer by one word until each fits (or reaches the
-window's size, where all its suffixes are equal and no tree is needed), and prefixes are packed into groups of about
-``most`` suffixes.  *Horizontally*, each group's subtrees grow one word a round, for all nodes at once, reading words
-for those suffixes alone that still share their node with another.  Nodes that reach the depth of a window are the
-repeats; their leaves are its occurrences.
+Contexts (see repeats.py) are dealt by prefixes of variable length: of the words from a context's anchor on, the first 1,
+2, 4 or 8, whichever is the shortest prefix that at most ``most`` contexts of the corpus have, as counted over all of
+them; where even 8 are too frequent, the whole anchor.  Rare prefixes are packed into groups that fit memory.
+
+A group's strings give a suffix for each window; a string with copies gives each twice, as its earliest occurrence and
+as its copies.  *Vertically*, suffixes are split again by prefixes: a prefix of more than ``most`` suffixes is made
+longer by one word until each fits (or reaches the window's size, where all its suffixes are equal and no tree is
+needed), and prefixes are packed into groups of about ``most`` suffixes.  *Horizontally*, each group's subtrees grow one
+word a round, for all nodes at once, reading words for those suffixes alone that still share their node with another.
+Nodes that reach the depth of a window are the repeats; their leaves are its occurrences, and all removals come from them.
 
 Cases: a null text has no words; texts shorter than a window lose nothing; a document that repeats itself loses
-nothing, as only a smaller id is earlier; rows without an id give no row; rows of equal id and text get equal results;
-an empty table gives an empty result.
+nothing, as only a smaller id is earlier; a row without an id is earlier than no other and loses nothing; rows of equal
+id and text get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,24 +29,27 @@ from pyspark.sql import types as T
 
 from spanloom.llm.anchors import Runs, anchor_runs
 from spanloom.llm.arrowmap import append_struct
-from spanloom.llm.repeats import Kind, Strings, covered, expand, remove_repeats, same_id_differs, windows_of
-from spanloom.llm.store import without_nulls
+from spanloom.llm.repeats import Kind, Strings, checked_gram, covered, expand, remove_repeats, same_id_differs, windows_of
 from spanloom.llm.textnp import U64, Texts, mix, word_hash, words_of
 
 GRAM = 25
+#: Lengths of prefixes by which contexts are dealt.
+PREFIXES = (1, 2, 4, 8)
 _FACTOR = U64(0x5851F42D4C957F2D)
 
 
 def word_runs(window: int):
+    gram = checked_gram(window, GRAM)
+
     def runs(texts: Texts) -> tuple[Runs, np.ndarray]:
         words = words_of(texts)
         h = word_hash(texts, words)
-        n = max(0, len(h) - GRAM + 1)
+        n = max(0, len(h) - gram + 1)
         grams = np.zeros(n, dtype=U64)
-        for j in range(GRAM if n else 0):
+        for j in range(gram if n else 0):
             grams *= _FACTOR
             grams += h[j : j + n]
-        found = anchor_runs(mix(grams), windows_of(words.first, window), window - GRAM + 1)
+        found = anchor_runs(mix(grams), windows_of(words.first, window), window - gram + 1)
         doc = np.searchsorted(words.first, found.start, side="right") - 1
         found.start = found.start - words.first[doc]
         return found, doc
@@ -59,6 +66,24 @@ def _extent(window: int):
     return extent
 
 
+def _prefixes(window: int):
+    gram = checked_gram(window, GRAM)
+
+    def prefixes(texts: Texts, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Hashes of the first words of anchors, for each length; a length above the anchor's own stops there."""
+        words = words_of(texts)
+        h, at = word_hash(texts, words), words.first[doc] + anchor
+        total, out = np.zeros(len(at), dtype=U64), []
+        for j in range(PREFIXES[-1]):
+            if j < gram:
+                total = total * _FACTOR + h[at + j]
+            if j + 1 in PREFIXES:
+                out.append(mix(total))
+        return np.stack(out, axis=1)
+
+    return prefixes
+
+
 def prefix_groups(symbols: np.ndarray, suffixes: np.ndarray, window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of suffixes: (suffix, number of its prefix, length of that prefix)."""
     node, depth, left = np.zeros(len(suffixes), dtype=np.int64), 0, suffixes
@@ -106,28 +131,34 @@ def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, node: np.ndarray, dept
     return np.concatenate([s for s, _ in done]), np.concatenate([n + b for (_, n), b in zip(done, base, strict=False)])
 
 
-def earlier_windows(strings: Strings, window: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window) pairs whose window a document of smaller rank has."""
+def earlier_windows(strings: Strings, window: int, most: int = 1 << 16) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(string, window) pairs that the earliest occurrence of a string loses, as a document of smaller rank has that window,
+    and those that its copies lose."""
     none = np.zeros(0, dtype=np.int64)
     texts = Texts(strings.data, strings.offsets, 0)
     words = words_of(texts)
     if not len(words):
-        return none, none
+        return (none, none), (none, none)
     _, symbols = np.unique(word_hash(texts, words), return_inverse=True)
-    suffixes = expand(words.first[:-1], strings.count)
-    owner = np.repeat(np.arange(len(strings.count)), strings.count)
+    n = len(symbols)
+    many = np.flatnonzero(strings.copies)
+    # Copies are suffixes of a second row of the same words.
+    suffixes = np.concatenate([expand(words.first[:-1], strings.count), expand(words.first[many] + n, strings.count[many])])
+    owner = np.repeat(np.concatenate([np.arange(len(strings.count)), many]), np.concatenate([strings.count, strings.count[many]]))
+    symbols = np.concatenate([symbols, symbols])
     string_of = np.full(len(symbols), -1, dtype=np.int64)
     string_of[suffixes] = owner
-    found = [(none, none)]
+    found = [none]
     for group, node, depth in prefix_groups(symbols, suffixes, window, most):
         leaves, node = deep_nodes(symbols, group, node, depth, window)
         if len(leaves):
-            doc = strings.doc[string_of[leaves]]
+            doc = np.where(leaves < n, strings.doc[string_of[leaves]], np.iinfo(np.int64).max)
             first = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, node, doc)
-            later = leaves[doc > first[node]]
-            found.append((string_of[later], later - words.first[string_of[later]]))
-    return np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found])
+            found.append(leaves[doc > first[node]])
+    later = np.concatenate(found)
+    at, copy = later - words.first[string_of[later]], later >= n
+    return (string_of[later[~copy]], at[~copy]), (string_of[later[copy]], at[copy] - n)
 
 
 def _finish(window: int):
@@ -148,15 +179,16 @@ def _whole(texts: Texts) -> list:
     return [words_of(texts).count, [hashlib.sha256(b" ".join(texts.bytes_of(d).split())).hexdigest() for d in range(len(texts))]]
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """For each row with an id: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
-    kind = Kind(word_runs(window), _extent(window), lambda s: earlier_windows(s, window), True)
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, most: int = 1 << 12) -> DataFrame:
+    """For each row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).  most: contexts that a
+    prefix may have."""
+    kind = Kind(word_runs(window), _extent(window), _prefixes(window), lambda s: earlier_windows(s, window), True)
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    seal = F.xxhash64(raw) if same_id_differs(docs, id_col) else F.lit(0).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), seal.alias("hash"), raw.alias("text"))
-    found = remove_repeats(rows, kind, _finish(window), "n_removed long, kept_sha256 string")
-    rows = without_nulls(rows, "id")
+    zero = F.lit(0).cast("long")
+    seal = F.xxhash64(raw) if same_id_differs(docs, id_col) else zero
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), seal.alias("hash"), zero.alias("salt"), raw.alias("text"))
+    found = remove_repeats(rows, kind, _finish(window), "n_removed long, kept_sha256 string", len(PREFIXES), most=most)
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
     rows = append_struct(rows, "text", "all", _whole, fields).select("id", "hash", "all.n_words", "all.whole")
     out = rows.join(found, ["id", "hash"], "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

@@ -29,15 +29,17 @@ def documents(seed=0):
         for _ in range(rng.randint(0, 4)):
             own[rng.randrange(len(own))] = rng.choice(vocabulary)
         rows.append((100 + i, " ".join(own), "en", "hot"))
-    rows += [(200, say(6000), "en", "a"), (201, say(30) + " " + (say(60) + " ") * 3, "en", "a"), (202, "x" * 5000, "en", "c"), (203, "the same line\n" * 30, "en", "c")]
+    rows += [(None, say(40) + " " + passage + " " + passage, "en", "a"), (200, say(6000), "en", "a"), (201, say(30) + " " + (say(60) + " ") * 3, "en", "a"), (202, "x" * 5000, "en", "c"), (203, "the same line\n" * 30, "en", "c")]
     rng.shuffle(rows)
     return rows
 
 
 def removed_bytes(rows, size=100):
     seen, out = set(), {}
-    for i, text in sorted((r[0], r[1] or "") for r in rows if r[0] is not None):
+    for i, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, r)):
         raw = text.encode()
+        if i is None:  # earlier than no other row, and no other is earlier
+            seen = set()
         gone = [False] * len(raw)
         for s in range(len(raw) - size + 1):
             w = raw[s : s + size]
@@ -51,15 +53,15 @@ def removed_bytes(rows, size=100):
 
 def removed_words(rows, size=50):
     first = {}
-    words = {r[0]: WORD.findall(r[1] or "") for r in rows if r[0] is not None}
-    for i in sorted(words):
+    words = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    for i in sorted(x for x in words if x is not None):
         for s in range(len(words[i]) - size + 1):
             first.setdefault(tuple(words[i][s : s + size]), i)
     out = {}
     for i, w in words.items():
         gone = set()
         for s in range(len(w) - size + 1):
-            if first[tuple(w[s : s + size])] < i:
+            if i is not None and first[tuple(w[s : s + size])] < i:
                 gone.update(range(s, s + size))
         out[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
     return out

@@ -29,10 +29,37 @@ def test_repeated_bytes(docs, rows):
     assert by_id(remove_repeated_bytes(docs)) == brute.removed_bytes(rows)
 
 
+@pytest.mark.parametrize("window", [2, 33, 300])
+def test_repeated_bytes_of_other_windows(docs, rows, window):
+    assert by_id(remove_repeated_bytes(docs, window=window)) == brute.removed_bytes(rows, window)
+
+
 def test_repeated_words(docs, rows):
     assert by_id(remove_repeated_words(docs)) == brute.removed_words(rows)
 
 
+@pytest.mark.parametrize("how", [{"window": 4}, {"window": 70}, {"most": 3}])
+def test_repeated_words_of_other_windows(docs, rows, how):
+    assert by_id(remove_repeated_words(docs, **how)) == brute.removed_words(rows, how.get("window", 50))
+
+
+@pytest.mark.parametrize("f", [remove_repeated_bytes, remove_repeated_words])
+def test_windows_out_of_range(docs, f):
+    with pytest.raises(ValueError, match="windows of"):
+        f(docs, window=40_000)
+
+
+def test_rows_without_an_id_stand_alone(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " " + text), (1, text), (2, text)]
+    many = table(spark, [(*r, "en", "a") for r in rows])
+    n = len(text)
+    cut = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(many).collect()), key=str)
+    assert cut == sorted([(None, n, 0), (None, n, 0), (None, 2 * n + 1, n), (1, n, 0), (2, n, n)], key=str)
+    words = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeated_words(many).collect()), key=str)
+    assert words == sorted([(None, 60, 0), (None, 60, 0), (None, 120, 0), (1, 60, 0), (2, 60, 60)], key=str)
+
+
 def test_components(docs, rows):
     assert by_id(jaccard_components(docs)) == brute.components(rows)
 
@@ -45,9 +72,9 @@ def test_components_do_not_depend_on_parameters(docs, rows, how):
 def test_repeated_rows_and_ids(spark):
     text = " ".join(f"w{i}" for i in range(120))
     many = table(spark, [(1, text, "en", "a"), (1, text, "en", "a"), (1, "other " + text, "en", "a"), (2, text, "en", "a"), (None, text, "en", "a")])
-    removed = sorted((r["doc_id"], r["n_removed"]) for r in remove_repeated_words(many).collect())
+    removed = sorted((r["doc_id"], r["n_removed"]) for r in remove_repeated_words(many).where("doc_id IS NOT NULL").collect())
     assert removed == [(1, 0), (1, 0), (1, 0), (2, 120)]
-    cut = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(many).collect())
+    cut = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(many).where("doc_id IS NOT NULL").collect())
     assert len(cut) == 4 and cut[-1][1:] == (len(text), len(text)) and sum(c[2] for c in cut[:3]) in (len(text), 2 * len(text))
     assert {r["component_id"] for r in jaccard_components(many).collect()} == {1}
 
@@ -57,20 +84,23 @@ def test_empty_tables(none, f):
     assert f(none).collect() == []
 
 
-def test_collection_sorts_suffixes():
+@pytest.mark.parametrize(("block", "cap"), [(1 << 18, 20), (64, 20), (97, 300)])
+def test_collection_sorts_suffixes(monkeypatch, block, cap):
+    monkeypatch.setattr(Collection, "BLOCK", block)
     rng = np.random.default_rng(3)
-    strings = [bytes(rng.integers(97, 100, rng.integers(1, 30), dtype=np.uint8)) for _ in range(60)]
-    made = Collection(np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings])), 20)
-    entries = [int(x) for x in made.build()]
-    got = [(e >> 32, e >> 16 & 0xFFFF, e >> 8 & 0xFF, e & 0xFF) for e in entries]
+    strings = [bytes(rng.integers(97, 100, rng.integers(0, 30), dtype=np.uint8)) for _ in range(200)] + [b"ab" * 200, b"ab" * 190]
+    made = Collection(np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings])), cap)
+    entries = made.build()
+    string, start = made.suffixes(entries)
+    entries = entries.astype(np.int64)
     made.close()
-    suffix = [strings[s][a:] for s, a, _, _ in got]
-    assert len(got) == sum(len(s) + 1 for s in strings)
+    suffix = [strings[s][a:] for s, a in zip(string, start, strict=True)]
+    assert len(suffix) == sum(len(s) + 1 for s in strings)
     assert suffix == sorted(suffix)
-    for (_, _, lcp, _), x, y in zip(got[1:], suffix, suffix[1:], strict=False):
+    for e, x, y in zip(entries[1:], suffix, suffix[1:], strict=False):
         common = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-        assert lcp == min(common, 20)
-    assert all(b == (strings[s][a - 1] + 1 & 0xFF if a else 0) for s, a, _, b in got)
+        assert e >> 8 == min(common, cap)
+    assert all(e & 0xFF == (strings[s][a - 1] + 1 if a else 0) for s, a, e in zip(string, start, entries, strict=True))
 
 
 def test_suffix_array_and_fm_index():
