@@ -8,30 +8,33 @@ links with another one shares at least t = ceil(similarity * n) of its shingles
    with n, and a pair must meet in k lists, so that one shared passage makes no candidate), and
 *  among its first n - t + 2 are two of them (*light* sets: all subsets of two of these, each a key of its own).
 
-Subsets are more keys, but almost only similar sets share one; lists are fewer keys with more partners to verify.  Sets
-of up to ``boundary`` shingles are light.  The boundary is the size for which a bounded sample of sets costs least: a
-key for each subset, against a key for each list and the partners that it holds.  Light sets that could link with a heavy one are in the
-lists too, where two light sets do not meet.
+Subsets are more keys, but almost only similar sets share two; lists are fewer keys with more partners to verify.  Sets
+of up to ``boundary`` shingles are light.  The boundary is the size for which sampled sets cost least: a key for each
+subset or list, and ``pair_cost`` keys for every partner that would be verified in vain.  Such partners are counted in
+the batch that a sampled set comes from and scaled up to all documents, so the boundary grows with the corpus.  Light
+sets that could link with a heavy one are in the lists too, where two light sets do not meet.
 
 Lists and subsets of up to ``small_list`` sets give their pairs; a longer one gives a star, and stars that touch are a
-*cluster*: sets that meet in a longer list are in one cluster, however many lists they share.  A cluster's sets are dealt into tiles of about ``tile_sets``, and each two tiles meet in a task.  Tasks
-verify on whole sets, skip pairs that are linked through others already and give a spanning forest.  So nothing
-emits all pairs of a group, and no link between components is lost.
+*cluster*: sets that meet in a longer list are in one cluster, however many lists they share.  A cluster's sets are dealt into
+tiles of about ``tile_sets``, and each two tiles meet in a task.  Tasks verify on whole sets, skip sets that are linked
+through others already and give a spanning forest.  So nothing emits all pairs of a group, and no link between components
+is lost; a cluster of m sets that do not link costs (m / tile_sets) ** 2 tasks of bounded size.
 
 Cases: a null text or one without words has an empty set and no links; a text of fewer words than a shingle has one
-shingle, all its words; rows without an id are left out; rows of equal id are one node, each with its own n_shingles; an
-empty table gives an empty result; extra columns are not looked at.
+shingle, all its words; rows without an id have their own n_shingles, no links and no component; rows of equal id are
+one node, each with its own n_shingles; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
@@ -85,17 +88,22 @@ def shared_lists(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(least_overlap(n, percent), 1 + n // 25)
 
 
-def scan(docs: DataFrame, size: int, local_df: int, n_sample: int) -> DataFrame:
-    """Rows of three kinds: a document (id, n, seal); a frequent shingle of a batch (gram, df); a sampled set."""
+def scan(docs: DataFrame, size: int, percent: int, frequent_df: int, local_df: int = 3, n_sample: int = 4) -> DataFrame:
+    """Rows of three kinds: a document (id, n, seal); a frequent shingle of a batch (gram, df); what a sampled set would
+    cost (n, subsets, lists, and partners in vain of either, for each document of its batch)."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_SCAN))
+    names = schema.names
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["id", "n", "seal", "gram", "df", "sample"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         seen: set[int] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             own_n, own_seals, fresh = [], [], []
-            samples: list[tuple[int, bytes]] = []
             for piece in chunks(whole(batch.column(1))):
                 sets, offsets = shingle_sets(piece, size)
                 s = seals(sets, offsets)
@@ -103,29 +111,72 @@ def scan(docs: DataFrame, size: int, local_df: int, n_sample: int) -> DataFrame:
                 n = np.diff(offsets)
                 own_n.append(n)
                 own_seals.append(s)
-                fresh.append(sets[np.repeat(new, n)])
-                order = np.argsort(s)
-                for d in order[(n[order] > 0) & new[order]][:n_sample]:
-                    samples.append((int(s[d]), sets[offsets[d] : offsets[d + 1]].tobytes()))
+                fresh.append((sets[np.repeat(new, n)], n[new], s[new]))
             if len(seen) > 1 << 20:
                 seen.clear()  # copies are counted again at worst; counts only order shingles
             n, s = np.concatenate(own_n), np.concatenate(own_seals)
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), *[none.cast(k) for k in kinds[3:]]], names=names)
-            grams_ = np.concatenate(fresh)
+            yield rows_of(id=batch.column(0), n=n, seal=s)
+            sets, n, s = (np.concatenate(x) for x in zip(*fresh, strict=True))
             fresh.clear()
-            grams_.sort()
-            cut = np.flatnonzero(np.append(True, grams_[1:] != grams_[:-1])) if len(grams_) else np.zeros(0, np.int64)
-            df = np.diff(np.append(cut, len(grams_)))
-            gram, df = grams_[cut[df >= local_df]], df[df >= local_df]
-            del grams_, cut
-            none = pa.nulls(len(gram))
-            yield pa.RecordBatch.from_arrays([*[none.cast(k) for k in kinds[:3]], pa.array(gram.view(np.int64)), pa.array(df), none.cast(kinds[5])], names=names)
-            samples = sorted(samples)[:n_sample]
-            none = pa.nulls(len(samples))
-            yield pa.RecordBatch.from_arrays([none.cast(kinds[0]), none.cast(kinds[1]), pa.array([x for x, _ in samples], pa.int64()), none.cast(kinds[3]), none.cast(kinds[4]), pa.array([x for _, x in samples], pa.binary())], names=names)
+            if not len(sets):
+                continue
+            ordered = np.sort(sets)
+            cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            df = np.diff(np.append(cut, len(ordered)))
+            gram, df = ordered[cut[df >= local_df]], df[df >= local_df]
+            del ordered, cut
+            yield rows_of(gram=gram.view(np.int64), df=df)
+            # By size: sets of every size class are sampled, those of the smallest seals.
+            order = np.lexsort((s, size_class(n)))
+            order = order[n[order] > 0]
+            place = np.arange(len(order)) - np.searchsorted(size_class(n)[order], size_class(n)[order])
+            chosen = order[place < n_sample]
+            yield rows_of(class_=size_class(n)[chosen], **costs_of(sets, n, chosen, gram[df >= frequent_df], df[df >= frequent_df], percent))
+
+    return docs.mapInArrow(releasing(run), _SCAN)
+
+
+_SCAN = "id long, n long, seal long, gram long, df long, class_ long, subsets long, lists long, vain_subsets long, vain_lists long, among long"
+
 
-    return docs.mapInArrow(releasing(run), "id long, n long, seal long, gram long, df long, sample binary")
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps of about a fifth."""
+    return np.floor(np.log2(np.maximum(n, 1)) * 4).astype(np.int64)
+
+
+def costs_of(sets: np.ndarray, n: np.ndarray, chosen: np.ndarray, frequent: np.ndarray, df: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """For chosen sets: how many subsets and lists they give, and how many sets of this batch would be verified in vain.
+
+    A set that has half of the shingles looked at is likely to link and costs the same either way."""
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(n)), n)
+    heads, which = [], []
+    t = least_overlap(n[chosen], percent)
+    subset_head, list_head = np.minimum(n[chosen] - t + 2, n[chosen]), n[chosen] - t + shared_lists(n[chosen], percent)
+    for k, d in enumerate(chosen.tolist()):
+        own = sets[offsets[d] : offsets[d + 1]]
+        own = own[np.lexsort((own, order_key(own, frequent, df)))]
+        for side, head in enumerate((subset_head[k], list_head[k])):
+            heads.append(own[:head])
+            which.append(np.full(head, 2 * k + side))
+    vain = np.zeros(2 * len(chosen), dtype=np.int64)
+    if heads:
+        gram, which = np.concatenate(heads), np.concatenate(which)
+        order = np.argsort(gram, kind="stable")
+        gram, which = gram[order], which[order]
+        wanted = np.unique(gram)
+        hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, sets), len(wanted) - 1)] == sets)
+        lo = np.searchsorted(gram, sets[hit])
+        many = np.searchsorted(gram, sets[hit], side="right") - lo
+        pair = which[expand(lo, many)] * len(n) + np.repeat(owner[hit], many)
+        pair, met = np.unique(pair, return_counts=True)
+        k, other = pair // len(n), pair % len(n)
+        own = n[chosen[k // 2]]
+        asked = np.where(k % 2 == 0, 2, shared_lists(np.minimum(own, n[other]), percent))
+        head = np.where(k % 2 == 0, subset_head[k // 2], list_head[k // 2])
+        fits = (100 * np.minimum(own, n[other]) >= percent * np.maximum(own, n[other])) & (other != chosen[k // 2])
+        vain = np.bincount(k[fits & (met >= asked) & (2 * met < head)], minlength=2 * len(chosen))
+    return {"subsets": subset_head * (subset_head - 1) // 2, "lists": list_head, "vain_subsets": vain[0::2], "vain_lists": vain[1::2], "among": np.full(len(chosen), len(n))}
 
 
 def order_key(sets: np.ndarray, frequent: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -136,23 +187,28 @@ def order_key(sets: np.ndarray, frequent: np.ndarray, df: np.ndarray) -> np.ndar
     return np.where(frequent[at] == sets, df[at], 0)
 
 
-def choose_boundary(samples: list[np.ndarray], frequent: np.ndarray, df: np.ndarray, percent: int, pair_cost: float, small_list: int) -> int:
-    """The size up to which subsets are to be listed, so that all sampled sets together cost least.
+def choose_boundary(sampled: DataFrame, documents: int, pair_cost: float) -> int:
+    """The size up to which subsets are to be listed, so that the sampled sets together cost least; of equals, the largest.
 
-    A set's subsets cost one each.  Its lists cost one each and ``pair_cost`` for every partner that a list is expected to
-    hold (how often the shingle was found, less 1); a list that is too long for pairs costs one link of a star.
+    sampled: rows of ``scan``.  One row for each size class comes to the driver, so at most a few hundred.
     """
-    sizes, subsets, lists = [0], [0.0], [0.0]
-    for x in sorted(samples, key=len):
-        n = len(x)
-        p = n - int(least_overlap(np.array([n]), percent)[0]) + 1
-        found = np.sort(order_key(x, frequent, df))[:p]
-        partners = np.where(found > small_list, 1, np.maximum(found - 1, 0))
-        sizes.append(n)
-        subsets.append(float(math.comb(min(p + 1, n), 2)))
-        lists.append(p + pair_cost * float(partners.sum()))
-    total = np.cumsum(subsets) + np.sum(lists) - np.cumsum(lists)
-    return max(1, sizes[int(np.argmin(total))])
+    scale = F.lit(documents) / F.col("among")
+    cost = lambda side: F.avg(F.col(side) + F.lit(pair_cost) * scale * F.col(f"vain_{side}")).alias(side)
+    rows = sampled.where("class_ IS NOT NULL").groupBy("class_").agg(cost("subsets"), cost("lists")).orderBy("class_").collect()
+    best, boundary, total = 0.0, 1, 0.0
+    for r in rows:
+        total += r.subsets - r.lists
+        if total <= best:
+            best, boundary = total, largest_size(r.class_)
+    return max(1, boundary)
+
+
+def largest_size(size_class_: int) -> int:
+    """The largest size of a class."""
+    n = int(2 ** ((size_class_ + 1) / 4)) + 1
+    while n > 1 and int(size_class(np.array([n]))[0]) > size_class_:
+        n -= 1
+    return n
 
 
 def keys_of(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, df: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,9 +302,9 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
                 # A subset alone is enough; of lists, two sets must share as many as the smaller one asks for.
                 met = np.where(key[i] & U64(1) == 1, _ENOUGH, 1)
                 pairs = _summed(np.minimum(seal[i], seal[j]), np.maximum(seal[i], seal[j]), met, shared_lists(np.minimum(n[i], n[j]), percent))
-                rows = [(task, pack(*(x[k] for x in pairs)), None, None) for task, k in _split((mix(pairs[0].view(U64)) % U64(n_tasks)).astype(np.int64))]
+                rows = [(task, pack(*(x[k] for x in pairs)), None, None, int((pairs[2][k] >= _ENOUGH).sum()), int((pairs[2][k] < _ENOUGH).sum())) for task, k in _split((mix(pairs[0].view(U64)) % U64(n_tasks)).astype(np.int64))]
                 if rows:
-                    yield _batches(["task", "payload", "a", "b"], rows, [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
+                    yield _batches(_FOUND, rows, [pa.int64(), pa.binary(), *[pa.int64()] * 4])
             light = (key[cut] & U64(1) == 0) & (n[cut + length - 1] <= boundary)
             for k in np.flatnonzero((length > small_list) & ~light):
                 # A star for each range of sizes in which sets can link; ranges overlap by one step.
@@ -263,13 +319,14 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
                         links.append(own[[hi - 1, hi]][None, :])
                     lo = hi
                 links = np.concatenate(links)
-                none = pa.nulls(len(links))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["task", "payload", "a", "b"])
+                none = pa.nulls(len(links), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.string()).cast(pa.binary()), pa.array(links[:, 0]), pa.array(links[:, 1]), none, none], names=_FOUND)
 
     return run
 
 
 _ENOUGH = 1 << 20
+_FOUND = ["task", "payload", "a", "b", "by_subsets", "by_lists"]
 
 
 def _summed(a: np.ndarray, b: np.ndarray, met: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -338,24 +395,29 @@ def verify(percent: int):
 
 
 def _all_pairs(sets: list[np.ndarray], n: np.ndarray, forest: Forest, percent: int) -> list[tuple[int, int]]:
-    """Links among all sets of a tile: each set against the larger ones within reach, shingles numbered densely."""
+    """Links among all sets of a tile: each set against those larger ones within reach that nothing links to it yet.
+    Shingles are numbered densely."""
     order = np.argsort(n, kind="stable")
     sizes = n[order]
     _, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+    part = np.arange(len(order))
     links = []
     for i in range(len(order) - 1):
         hi = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
-        if hi <= i + 1:
+        open_ = np.flatnonzero(part[i + 1 : hi] != part[i]) + i + 1
+        if not len(open_):
             continue
         own = ids[offsets[i] : offsets[i + 1]]
         mark[own] = 1
-        both = np.add.reduceat(mark[ids[offsets[i + 1] : offsets[hi]]], offsets[i + 1 : hi] - offsets[i + 1])
+        step = sizes[open_]
+        both = np.add.reduceat(mark[ids[expand(offsets[open_], step)]], np.cumsum(step) - step)
         mark[own] = 0
-        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 : hi] - both)) + i + 1:
+        for j in open_[100 * both >= percent * (sizes[i] + step - both)].tolist():
             if forest.join(int(order[i]), int(order[j])):
                 links.append((int(order[i]), int(order[j])))
+                part[part == part[j]] = part[i]
     return links
 
 
@@ -373,29 +435,33 @@ def _cluster_tasks(star: DataFrame, tile_sets: int) -> DataFrame:
     return rows.select("seal", (-F.abs(F.shiftright(task, 1)) - 1).alias("task"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 2.0) -> DataFrame:
-    """For each row with an id: id, n_shingles and component_id (the smallest id that links reach, its own included).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 200.0, report: dict | None = None) -> DataFrame:
+    """For each row: id, n_shingles and component_id (the smallest id that links reach, its own included).
 
     frequent_limit: of the most frequent shingles, so many (16 bytes each) are known to all tasks; it bounds memory and
-    changes only the order in which shingles are looked at, never the result.
+    changes only the order in which shingles are looked at, never the result.  pair_cost: what a verification costs in
+    keys; a key takes well under a microsecond, reading two sets again some fifty.  report: gets the boundary, and how
+    many pairs subsets and lists gave.
     """
     spark = docs.sparkSession
-    rows = without_nulls(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), "id")
-    scanned = written(scan(rows, size, 3, 50), "sets")
-    known = scanned.where("id IS NOT NULL").select("id", "n", "seal")
+    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    scanned = written(scan(every, size, percent, frequent_df), "sets")
+    nameless = scanned.where("n IS NOT NULL AND id IS NULL").select("n")
+    known, rows = scanned.where("id IS NOT NULL").select("id", "n", "seal"), without_nulls(every, "id")
     counts = scanned.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= frequent_df)
     top = counts.orderBy(F.desc("df"), "gram").limit(frequent_limit).toPandas()
     frequent = top["gram"].to_numpy(np.int64).view(U64)
     order = np.argsort(frequent)
     frequent, df = frequent[order], top["df"].to_numpy(np.int64)[order]
-    samples = [np.frombuffer(r.sample, dtype=U64) for r in scanned.where("sample IS NOT NULL").orderBy("seal").limit(500).select("sample").collect()]
-    boundary = choose_boundary(samples, frequent, df, percent, pair_cost, small_list)
+    boundary = choose_boundary(scanned, known.count(), pair_cost)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (32 << 20))
     n_buckets = max(64, total // (8 << 20))
     shared = spark.sparkContext.broadcast((frequent, df))
     lists = postings(rows.select("text"), size, shared, percent, boundary, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = written(lists.mapInArrow(releasing(candidates(percent, boundary, small_list, n_buckets)), "task long, payload binary, a long, b long"), "candidates")
+    found = written(lists.mapInArrow(releasing(candidates(percent, boundary, small_list, n_buckets)), "task long, payload binary, a long, b long, by_subsets long, by_lists long"), "candidates")
+    if report is not None:
+        report.update(boundary=boundary, **found.agg(F.sum("by_subsets").alias("by_subsets"), F.sum("by_lists").alias("by_lists"), F.count("a").alias("by_stars")).first().asDict())
     pairs = found.where("payload IS NOT NULL").select("task", "payload").repartition(tasks, "task").sortWithinPartitions("task")
     pairs = written(pairs.mapInArrow(releasing(unique_pairs), "task long, payload binary, seal long"), "pairs")
     clusters = _cluster_tasks(found.where("a IS NOT NULL").select("a", "b"), tile_sets)
@@ -424,7 +490,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     same = known.where("n > 0").join(reps.withColumnRenamed("id", "rep"), "seal").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     part = components(links.select("a", "b").unionByName(same))
     out = known.join(part.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    out = out.select("id", "n", F.coalesce("component", "id").alias("component_id")).unionByName(nameless.select(none.alias("id"), "n", none.alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def clusters_spec(needed: DataFrame) -> DataFrame:

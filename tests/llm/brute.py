@@ -73,7 +73,7 @@ def shingles(text, size=5):
 
 
 def components(rows, percent=75):
-    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    sets, nameless = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}, {None: (len(shingles(r[1])), None) for r in rows if r[0] is None}
     up = {i: i for i in sets}
 
     def root(i):
@@ -88,7 +88,7 @@ def components(rows, percent=75):
             if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: (len(sets[i]), root(i)) for i in ids} | nameless
 
 
 def statistics(text):

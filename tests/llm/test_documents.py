@@ -8,7 +8,7 @@ import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
-from spanloom.llm import registry, stages
+from spanloom.llm import ngram_join, registry, stages
 from spanloom.llm.decontaminate import FMIndex, find_phrases, suffix_array
 from spanloom.llm.langid import identify, train, viterbi
 from spanloom.llm.mixing import mix, targets, with_size
@@ -64,7 +64,7 @@ def test_components(docs, rows):
     assert by_id(jaccard_components(docs)) == brute.components(rows)
 
 
-@pytest.mark.parametrize("how", [{"small_list": 3, "tile_sets": 8}, {"pair_cost": 1e6}, {"frequent_limit": 1}, {"frequent_df": 3}])
+@pytest.mark.parametrize("how", [{"small_list": 3, "tile_sets": 8}, {"pair_cost": 1e9}, {"pair_cost": 0.0}, {"frequent_limit": 1}, {"frequent_df": 3}])
 def test_components_do_not_depend_on_parameters(docs, rows, how):
     assert by_id(jaccard_components(docs, **how)) == brute.components(rows)
 
@@ -76,7 +76,30 @@ def test_repeated_rows_and_ids(spark):
     assert removed == [(1, 0), (1, 0), (1, 0), (2, 120)]
     cut = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(many).where("doc_id IS NOT NULL").collect())
     assert len(cut) == 4 and cut[-1][1:] == (len(text), len(text)) and sum(c[2] for c in cut[:3]) in (len(text), 2 * len(text))
-    assert {r["component_id"] for r in jaccard_components(many).collect()} == {1}
+    assert {r["component_id"] for r in jaccard_components(many).collect()} == {1, None}
+
+
+def test_both_sides_of_the_join_answer(spark):
+    """Short texts that all share a phrase are cheaper by subsets (no order puts it last here); long near copies by lists."""
+    rng = np.random.default_rng(7)
+    word = lambda: "w" + str(rng.integers(0, 10**6))
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(4)]
+        rows += [(2 * i, " ".join([*own, "a phrase of eight words that all have"])), (2 * i + 1, " ".join([*own, "a phrase of eight words that all have", *[word()] * (i % 3)]))]
+    long = [word() for _ in range(200)]
+    rows += [(1000 + i, " ".join(long[: 190 + i])) for i in range(6)]
+    report = {}
+    got = by_id(jaccard_components(table(spark, [(*r, "en", "a") for r in rows]).coalesce(1), frequent_df=10**9, report=report))
+    assert got == brute.components(rows)
+    assert 1 < report["boundary"] < 100 and report["by_subsets"] > 0 and report["by_lists"] > 0
+
+
+def test_tiles_give_a_spanning_forest():
+    sets = [np.arange(k % 3, 200 + k % 3).astype(np.uint64) for k in range(500)]
+    forest = ngram_join.Forest(500)
+    links = ngram_join._all_pairs(sets, np.full(500, 200), forest, 75)
+    assert len(links) == 499 and len({forest.root(i) for i in range(500)}) == 1
 
 
 @pytest.mark.parametrize("f", [remove_repeated_bytes, remove_repeated_words, jaccard_components])
@@ -263,7 +286,7 @@ def test_stages_keep_columns_and_take_effect(spark, docs, none, folder, rows):
             assert 203 not in kept and 200 in kept
         if name == "near_duplicates":
             want = brute.components(rows)
-            assert set(kept) == {i for i, (_, c) in want.items() if i == c}
+            assert set(kept) == {i for i, (_, c) in want.items() if i == c}  # a row without an id stays
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
             hit = brute.phrases([(r[0], r[1]) for r in rows], items)
