@@ -83,10 +83,10 @@ def test_both_sides_of_the_join_answer(spark):
     """Short texts that all share a phrase are cheaper by subsets (no order puts it last here); long near copies by lists."""
     rng = np.random.default_rng(7)
     word = lambda: "w" + str(rng.integers(0, 10**6))
-    rows = []
+    phrase, rows = " ".join(f"phrase{k}" for k in range(8)), []
     for i in range(300):
         own = [word() for _ in range(4)]
-        rows += [(2 * i, " ".join([*own, "a phrase of eight words that all have"])), (2 * i + 1, " ".join([*own, "a phrase of eight words that all have", *[word()] * (i % 3)]))]
+        rows += [(2 * i, " ".join([*own, phrase])), (2 * i + 1, " ".join([*own, phrase, *[word()] * (i % 3)]))]
     long = [word() for _ in range(200)]
     rows += [(1000 + i, " ".join(long[: 190 + i])) for i in range(6)]
     report = {}
