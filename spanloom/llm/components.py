@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.store import written
+from spanloom.llm.store import new_path, remove, written_at
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,10 +29,14 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     of the longest path.
     """
     pair = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = written(links.where("a <> b").select(*pair).distinct(), "links")
+    spark = links.sparkSession
+    path = new_path(spark, "links")
+    edges = written_at(links.where("a <> b").select(*pair).distinct(), path)
     before = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "links")
+        last, path = path, new_path(spark, "links")
+        edges = written_at(_star(_star(edges, True), False), path)
+        remove(spark, last)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break

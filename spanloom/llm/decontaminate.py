@@ -20,6 +20,7 @@ are carried along.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -137,7 +138,7 @@ class Phrases:
 
 
 def phrases_of(ids: list[str], texts: pa.Array, window: int) -> Phrases:
-    items = sorted(set(ids))
+    items = sorted({i for i in ids if i is not None})
     piece = whole(texts)
     words = words_of(piece, IS_ALNUM)
     known, symbols = np.unique(word_hash(piece, words, lower=True), return_inverse=True)
@@ -146,7 +147,9 @@ def phrases_of(ids: list[str], texts: pa.Array, window: int) -> Phrases:
         own = (symbols[words.first[k] : words.first[k + 1]] + 1).tolist()
         size = min(window, len(own))
         for i in range(len(own) - size + 1) if size else ():
-            found.setdefault(size, {}).setdefault(tuple(own[i : i + size]), set()).add(items.index(name) if len(items) < 50 else _place(items, name))
+            owners = found.setdefault(size, {}).setdefault(tuple(own[i : i + size]), set())
+            if name is not None:
+                owners.add(bisect_left(items, name))
     by_size = {}
     for size, table in found.items():
         owners = [sorted(x) for x in table.values()]
@@ -155,12 +158,6 @@ def phrases_of(ids: list[str], texts: pa.Array, window: int) -> Phrases:
     return Phrases(known, items, by_size)
 
 
-def _place(items: list[str], name: str) -> int:
-    import bisect
-
-    return bisect.bisect_left(items, name)
-
-
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, and which range each is from."""
     size = hi - lo
@@ -269,7 +266,7 @@ def without(text: Column, ranges: Column) -> Column:
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 2 << 20) -> tuple[DataFrame, str]:
     """``docs`` and a struct column of n_words, n_hit, n_items, items (sorted), spans (code points to remove); and its name."""
-    rows = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     name, columns, spark = free_name(docs, "found"), [F.col(f"`{c}`") for c in docs.columns], docs.sparkSession

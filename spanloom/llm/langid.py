@@ -168,7 +168,7 @@ def word_scores(model: Model, texts: Texts, words: Words) -> np.ndarray:
 def viterbi(scores: np.ndarray, first: np.ndarray, switch_cost: float, block: int = 64) -> np.ndarray:
     """The best language of each word; documents are ranges of words, given by offsets."""
     n, k = scores.shape
-    path = np.zeros(n, dtype=np.int8)
+    path = np.zeros(n, dtype=np.int16)
     count = np.diff(first)
     blocks = -(-count // block)
     b0 = np.concatenate([[0], np.cumsum(blocks)])
@@ -210,7 +210,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch_cost: float, block: in
         state[d] = (entry[b] + by_block[b, :, state[d]]).argmax(axis=1)
     # Inside each block, from what it is entered with to the state that it is left in.
     value = entry[order].copy()
-    came = np.zeros((block, nb, k), dtype=np.int8)
+    came = np.zeros((block, nb, k), dtype=np.int16)
     for t in range(block):
         if m := int(live[t]):
             v = value[:m]

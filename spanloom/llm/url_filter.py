@@ -3,9 +3,10 @@
 A listed entry is a host and the beginning of a path.  It fits a URL whose host is the entry's or a subdomain of it
 and whose path starts with the entry's path; of the entries that fit, the longest one decides.
 
-Each URL gives one key for each *shape* of the list (a number of host labels and a length of path), so a few keys.  The
-keys are tested against a blocked Bloom filter: one 64-bit word a block, four bits a key, so a test reads a single
-word.  Only possible hits are exploded and meet the list in a hash join, which removes the false positives.
+The filter is blocked: one 64-bit word a block, four bits a key, so a test reads a single word.  It holds the listed
+hosts, and the pairs of host and path.  A URL's host and domains above it are tested first, so most URLs end there; for
+those that pass, the beginnings of the path that have a listed length.  Only possible hits are exploded and meet the list
+in a hash join, which removes the false positives; all other rows go by it unshuffled.
 
 Cases: a null URL or one without ``://`` has an empty host and path and fits no entry; repeated rows each get their
 own row of the result; entries listed twice count once, and of two verdicts for one entry the larger string (block)
@@ -63,39 +64,44 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", id_col: s
         .agg(F.max("verdict").alias("verdict"))
         .select("host", "path", "verdict", F.concat("host", "path").alias("rule"), F.concat_ws("\x00", "host", "path").alias("key"))
     )
-    n = listed.count()
-    words = max(8, n * bits_per_key // 64)
-    # One row for each number of labels and length of path in the list: bounded by the longest host and path.
-    labels = F.size(F.split("host", r"\."))
-    shapes = sorted((r.labels, r.chars) for r in listed.select(labels.alias("labels"), F.length("path").alias("chars")).distinct().collect())
-    rid, hits, hit = (free_name(pages, x) for x in ("row_id", "hits", "hit"))
-    rows = pages.select(F.monotonically_increasing_id().alias(rid), F.col(id_col), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
-
-    def key_of(m: int, chars: int) -> Column:
-        fits = (F.col("host") != "") & (dots >= m - 1) & (F.length("path") >= chars)
-        return F.when(fits, F.concat_ws("\x00", F.substring_index("host", ".", -m), F.substring("path", 1, chars)))
-
-    if not shapes:
-        none = F.lit(None).cast("string")
-        return rows.select(id_col, "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
-    keys = F.array_compact(F.array(*[key_of(m, chars) for m, chars in shapes]))
+    # Shapes: bounded by the longest host and path of the list, not by its length.
+    shape = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("chars")).first()
+    rid, hits, hit, host, path = (free_name(pages, x) for x in ("row_id", "hits", "hit", "host_", "path_"))
+    rows = pages.select(F.col(f"`{id_col}`").alias(id_col), url_host(F.col(f"`{url}`")).alias(host), url_path(F.col(f"`{url}`")).alias(path))
+    shown = [F.col(id_col), F.col(host).alias("host"), F.col(path).alias("path")]
+    none = F.lit(None).cast("string")
+    if not shape.n:
+        return rows.select(*shown, none.alias("rule"), F.lit(default).alias("verdict"))
+    keyed = listed.select("key").union(listed.select(F.concat("host", F.lit("\x00"))).distinct())
+    words = max(8, 2 * shape.n * bits_per_key // 64)
+    ints = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)])
+    dots = F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit("")))
+    above = F.transform(F.filter(ints(shape.labels), lambda m: (F.col(host) != "") & (dots >= m - 1)), lambda m: F.concat(F.call_function("substring_index", F.col(host), F.lit("."), -m), F.lit("\x00")))
+    lengths = F.filter(ints(shape.chars), lambda c: F.length(path) >= c)
+    paths = lambda h: F.transform(lengths, lambda c: F.concat(h, F.substring(F.col(path), F.lit(1), c)))
+    right = listed.select(F.col("key").alias(hit), "rule", F.col("verdict").alias("listed_verdict"), F.length("rule").alias("rule_chars"), F.length("host").alias("host_chars"))
+    right = F.broadcast(right) if shape.n <= broadcast_entries else right
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct("rule_chars", "host_chars", "rule", "listed_verdict"))).alias("best")
+    judged = lambda possible: possible.join(right, hit, "left").groupBy(rid, id_col, host, path).agg(best).select(*shown, F.col("best.rule").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))
     if words <= literal_words:
-        found = {r.word: r.bits for r in bloom_words(listed, "key", words).collect()}  # at most literal_words rows
+        found = {r.word: r.bits for r in bloom_words(keyed, "key", words).collect()}  # at most literal_words rows
         bits = F.array(*[F.lit(found.get(i, 0)).cast("long") for i in range(words)])
-        keys = F.filter(keys, lambda k: F.get(bits, _word(F.xxhash64(k), words)).bitwiseAND(_mask(k)) == _mask(k))
-        possible = rows.select("*", F.explode_outer(keys).alias(hit))
-    else:
-        word = free_name(pages, "word")
-        every = rows.select("*", F.explode_outer(keys).alias(hit)).withColumn(word, _word(F.xxhash64(F.col(hit)), words))
-        table = bloom_words(listed, "key", words).select(F.col("word").alias(word), F.col("bits").alias("bloom_bits"))
+        passes = lambda k: F.get(bits, _word(F.xxhash64(k), words)).bitwiseAND(_mask(k)) == _mask(k)
+        rows = rows.withColumn(hits, F.filter(F.flatten(F.transform(F.filter(above, passes), paths)), passes))
+        clean = rows.where(F.size(hits) == 0).select(*shown, none.alias("rule"), F.lit(default).alias("verdict"))
+        return judged(rows.where(F.size(hits) > 0).withColumn(rid, F.monotonically_increasing_id()).select(rid, id_col, host, path, F.explode(hits).alias(hit))).unionByName(clean)
+    word = free_name(pages, "word")
+    table = bloom_words(keyed, "key", words).select(F.col("word").alias(word), F.col("bits").alias("bloom_bits"))
+
+    def tested(keys: DataFrame) -> DataFrame:
+        """Keys that cannot be listed as null."""
+        met = keys.withColumn(word, _word(F.xxhash64(F.col(hit)), words)).join(table, word, "left")
         passed = F.col("bloom_bits").bitwiseAND(_mask(F.col(hit))) == _mask(F.col(hit))
-        possible = every.join(table, word, "left").withColumn(hit, F.when(passed, F.col(hit))).drop(word, "bloom_bits")
-    right = listed.select(F.col("key").alias(hit), "rule", F.col("verdict").alias("listed_verdict"), F.length("rule").alias("rule_chars"), F.length("host").alias("host_chars"))
-    right = F.broadcast(right) if n <= broadcast_entries else right
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct("rule_chars", "host_chars", "rule", "listed_verdict"))).alias("best")
-    exact = possible.join(right, hit, "left").groupBy(rid, id_col, "host", "path").agg(best)
-    return exact.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))
+        return met.withColumn(hit, F.when(passed, F.col(hit))).drop(word, "bloom_bits")
+
+    hosts = tested(rows.withColumn(rid, F.monotonically_increasing_id()).select(rid, id_col, host, path, F.explode_outer(above).alias(hit)))
+    pairs = hosts.select(rid, id_col, host, path, F.explode_outer(F.when(F.col(hit).isNotNull(), paths(F.col(hit)))).alias(hit))
+    return judged(tested(pairs))
 
 
 def entries_of(spark, rules: list[tuple[str, str, str]]) -> DataFrame:

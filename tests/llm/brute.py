@@ -111,15 +111,15 @@ def phrases(rows, items, size=10):
     for name, text in items:
         w = BENCH_WORD.findall((text or "").translate(ASCII_LOWER))
         n = min(size, len(w))
-        for i in range(len(w) - n + 1) if n and name is not None else ():
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+        for i in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[i : i + n]), set()).update([] if name is None else [str(name)])
     out = {}
     for i, text in rows:
         w = BENCH_WORD.findall((text or "").translate(ASCII_LOWER))
         hit, found = set(), set()
         for n in {len(x) for x in windows}:
             for s in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[s : s + n])):
+                if (own := windows.get(tuple(w[s : s + n]))) is not None:
                     hit.update(range(s, s + n))
                     found |= own
         out[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))

@@ -152,7 +152,7 @@ def test_decontamination(spark, folder, rows):
 
 def test_decontamination_in_blocks(spark, docs, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
-    pick = lambda **k: sorted((r["doc_id"], str(r["f"])) for out, name in [find_phrases(docs, bench, **k)] for r in out.select("doc_id", F.col(name).alias("f")).collect())
+    pick = lambda **k: sorted((str(r["doc_id"]), str(r["f"])) for out, name in [find_phrases(docs, bench, **k)] for r in out.select("doc_id", F.col(name).alias("f")).collect())
     assert pick() == pick(block_bytes=200, shard_bytes=500)
     assert all(r["n_hit"] == 0 for out, name in [find_phrases(docs, bench.limit(0))] for r in out.select(f"{name}.n_hit").collect())
 

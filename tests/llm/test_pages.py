@@ -105,3 +105,13 @@ def test_empty_and_repeated_entries(spark):
     twice = entries_of(spark, [("allow", "org", "/"), ("block", "ORG", "/"), ("block", "org", "/")])
     assert judge_urls(pages, twice).first()["verdict"] == "block"
     assert judge_urls(pages.limit(0), twice).collect() == []
+
+
+def test_long_lists_need_few_keys(spark):
+    """Thousands of hosts, paths of 300 lengths: the plan stays small, and most rows pass by the join."""
+    rules = [("block", f"h{i}.net", "/" + "p" * (i % 300)) for i in range(1000)] + [("allow", "h7.net", "/ppppppp/")]
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.net/" + "p" * 150 + "/q") for i in range(0, 2000, 50)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    for i in range(0, 2000, 50):
+        fits = i < 1000 and i % 300 <= 150
+        assert got[i] == ((f"h{i}.net/" + "p" * (i % 300), "block") if fits else (None, "allow"))
