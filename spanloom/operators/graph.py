@@ -1,18 +1,22 @@
 """Run trees to an execution graph: call-sites, their statistics, structural nodes, totals and flow edges.
 
 A run is a row with trace_id, run_id, parent_id, ord (its place in the trace), run_type, name and node_hint.  Keys of
-every exchange are the trace or the call-site; nothing gathers more than one trace or the values of one call-site.
+every exchange are the trace, the run or the call-site; what is gathered of a trace is bounded (see ``upward``).
+Traces may be of any depth.  Where a trace has a run id several times, children mean the first of these runs in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import eligible, is_generic, is_json
 from spanloom.sources.storage import cut
 
-DEPTH = 64
+#: Traces of up to so many runs are walked in one array; larger ones by joins.
+SMALL_TRACE = 1024
 
 
 def _own_label() -> Column:
@@ -20,54 +24,84 @@ def _own_label() -> Column:
     return F.coalesce(F.when(F.col("node_hint") != "", F.col("node_hint")), named_chain)
 
 
-def resolve_by_walk(runs: DataFrame) -> DataFrame:
-    """``runs`` with node, tagged and path: each trace is one sorted array, and each run walks up in it.
+def upward(runs: DataFrame, value: Column, joined: Callable[[Column, Column], Column], small: int = SMALL_TRACE) -> DataFrame:
+    """trace_id, run_id and said: what ``value`` is for a run and its ancestors, from the run up.
+
+    joined(nearer, further) puts two stretches of a way up together.  By pointer doubling: each run knows a stretch and
+    the run above it; in a round it takes over that run's stretch and pointer, so k rounds pass 2 ** k runs and none is
+    missed, however deep the trace.  Traces of up to ``small`` runs do all rounds on an array; larger ones join on
+    (trace, run) in each round, so no trace need fit in a row.  In a cycle stretches repeat, which joined should allow.
+    """
+    own = runs.select("trace_id", "ord", "run_id", F.col("parent_id").alias("at"), value.alias("said"))
+    sizes = own.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_"))
+    largest = sizes.agg(F.max("n_")).first()[0] or 0
+    if largest <= small:
+        return _upward_in_arrays(own, joined)
+    big = sizes.where(F.col("n_") > small).select("trace_id")
+    rest = own.join(big, "trace_id", "left_anti")
+    return _upward_in_arrays(rest, joined).unionByName(_upward_by_joins(own.join(big, "trace_id", "left_semi"), joined, largest))
+
+
+def _upward_in_arrays(own: DataFrame, joined: Callable[[Column, Column], Column]) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("ord", "run_id", "at", "said")))
+    traces = own.groupBy("trace_id").agg(rows.alias("rows"))
+    traces = traces.select("trace_id", "rows", F.transform("rows", lambda r: r["run_id"]).alias("ids"))
+    above = F.transform("rows", lambda r: F.coalesce(F.array_position("ids", r["at"]), F.lit(0)).cast("int") - 1)
+    first = F.struct(above.alias("up"), F.transform("rows", lambda r: r["said"]).alias("said"))
+
+    def jump(s: Column, _: Column) -> Column:
+        up = F.transform(s["up"], lambda u: F.when(u >= 0, F.get(s["up"], u)).otherwise(-1))
+        said = F.transform(s["said"], lambda x, i: F.when(F.get(s["up"], i) >= 0, joined(x, F.get(s["said"], F.get(s["up"], i)))).otherwise(x))
+        return F.struct(up.alias("up"), said.alias("said"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("rows"))).cast("int") + 1)
+    end = traces.select("trace_id", "ids", F.aggregate(rounds, first, jump)["said"].alias("said"))
+    each = end.select("trace_id", "ids", F.posexplode(F.arrays_zip("ids", "said")).alias("at", "r"))
+    return each.where(F.array_position("ids", F.col("r.ids")) == F.col("at") + 1).select("trace_id", F.col("r.ids").alias("run_id"), "r.said")
+
+
+def _upward_by_joins(own: DataFrame, joined: Callable[[Column, Column], Column], largest: int) -> DataFrame:
+    first = F.min_by(F.struct("at", "said"), F.struct("ord", "at", "said")).alias("f")
+    state = cut(own.groupBy("trace_id", "run_id").agg(first).select("trace_id", "run_id", "f.at", "f.said"))
+    for _ in range(largest.bit_length() + 1):
+        if not state.where("at IS NOT NULL").limit(1).count():
+            break
+        ahead = state.select("trace_id", F.col("run_id").alias("at"), F.col("at").alias("next_"), F.col("said").alias("further_"), F.lit(True).alias("there_"))
+        moved = state.join(ahead, ["trace_id", "at"], "left")
+        said = F.when(F.col("there_"), joined(F.col("said"), F.col("further_"))).otherwise(F.col("said"))
+        state = cut(moved.select("trace_id", "run_id", F.col("next_").alias("at"), said.alias("said")))
+    return state.select("trace_id", "run_id", "said")
+
+
+def _of_parent(runs: DataFrame, said: DataFrame, name: str) -> DataFrame:
+    """``runs`` with what was said of their parents and above; null without a parent."""
+    return runs.join(said.select("trace_id", F.col("run_id").alias("parent_id"), F.col("said").alias(name)), ["trace_id", "parent_id"], "left")
+
+
+def resolve(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
+    """``runs`` with node, tagged and path.
 
     node: the run's hint, else that of the nearest ancestor with a hint or the name of the nearest named chain, else its
-    own name (then tagged is false).  path: named ancestors from the outermost, without the node itself.  For traces
-    of ordinary size; see resolve_by_jumps for very large ones.
+    own name (then tagged is false).  path: named ancestors from the outermost, without the node itself.
     """
-    row = F.struct(*[F.col(c) for c in runs.columns], _own_label().alias("label_"))
-    traces = runs.groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    tree = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["run_id"], F.struct(r["parent_id"], r["label_"]))))
-    traces = traces.select("rows", tree.alias("tree"), F.least(F.lit(DEPTH), F.size("rows")).alias("depth"))
-
-    def step(state: Column, _: Column) -> Column:
-        up = F.try_element_at(F.col("tree"), state["at"])
-        labels = F.when(up["label_"].isNotNull(), F.array_append(state["labels"], up["label_"])).otherwise(state["labels"])
-        return F.struct(F.when(up.isNotNull(), up["parent_id"]).alias("at"), labels.alias("labels"))
-
-    def walk(r: Column) -> Column:
-        start = F.struct(r["parent_id"].alias("at"), F.array().cast("array<string>").alias("labels"))
-        return F.aggregate(F.sequence(F.lit(1), F.col("depth")), start, step)["labels"]
-
-    # The walk is inside the exploded array, so that it is done once, however often its result is used.
-    walked = F.transform("rows", lambda r: F.struct(r.alias("run"), walk(r).alias("above_")))
-    rows = traces.select(F.explode(walked).alias("r")).select("r.run.*", "r.above_")
+    label = _own_label()
+    named = F.when(label.isNotNull(), F.array(F.struct("run_id", label.alias("label")))).otherwise(F.array().cast(_NAMED.format(dict(runs.dtypes)["run_id"])))
+    said = upward(runs, named, lambda near, far: F.array_distinct(F.concat(near, far)), small)
+    rows = _of_parent(runs, said, "above_").withColumn("above_", F.coalesce(F.transform("above_", lambda x: x["label"]), F.array().cast("array<string>")))
     own = F.when(F.col("node_hint") != "", F.col("node_hint"))
-    found = F.coalesce(own, F.try_element_at("above_", F.lit(1)))
+    found = F.coalesce(own, F.get("above_", F.lit(0)))
     rows = rows.withColumn("node", F.coalesce(found, F.when(F.col("name") != "", F.col("name")), F.lit("llm"))).withColumn("tagged", found.isNotNull())
     path = F.array_join(F.reverse(F.filter("above_", lambda x: ~is_generic(x) & (x != F.col("node")))), "/")
-    return rows.withColumn("path", path).drop("above_", "label_")
+    return rows.withColumn("path", path).select(*runs.columns, "node", "tagged", "path")
 
 
-def resolve_by_jumps(runs: DataFrame, rounds: int = 6) -> DataFrame:
-    """trace_id, run_id and label (nearest label above a run) by pointer doubling: a join on (trace, run) a round.
+_NAMED = "array<struct<run_id:{},label:string>>"
 
-    After k rounds a pointer has passed 2**k runs, so no trace need fit in a row.
-    """
-    own = runs.select("trace_id", "run_id", F.col("parent_id").alias("at"), _own_label().alias("label_"))
-    state = own.select("trace_id", "run_id", "at", F.lit(None).cast("string").alias("label"))
-    up = own.select("trace_id", F.col("run_id").alias("at"), F.col("label_").alias("up_label"), F.col("at").alias("up_at"))
-    state = state.join(up, ["trace_id", "at"], "left").select("trace_id", "run_id", F.when(F.col("up_label").isNull(), F.col("up_at")).alias("at"), F.col("up_label").alias("label"))
-    for _ in range(rounds):
-        up = state.select("trace_id", F.col("run_id").alias("hop"), F.col("label").alias("up_label"), F.col("at").alias("up_at"))
-        # The pointed-to run has passed its own label already when it was not taken, so only what lies above it counts.
-        state = state.join(own.select("trace_id", F.col("run_id").alias("at"), F.col("label_").alias("there")), ["trace_id", "at"], "left")
-        state = state.join(up.withColumnRenamed("hop", "at"), ["trace_id", "at"], "left")
-        label = F.coalesce("label", "there", "up_label")
-        state = cut(state.select("trace_id", "run_id", F.when(label.isNull(), F.col("up_at")).alias("at"), label.alias("label")))
-    return state.select("trace_id", "run_id", "label")
+
+def nearest_label(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
+    """trace_id, run_id and label: the nearest label above a run."""
+    said = upward(runs, _own_label(), F.coalesce, small)
+    return _of_parent(runs, said, "label").select("trace_id", "run_id", "label")
 
 
 def call_sites(resolved: DataFrame, agent: str) -> DataFrame:
@@ -75,18 +109,23 @@ def call_sites(resolved: DataFrame, agent: str) -> DataFrame:
     calls = resolved.where(F.col("run_type") == "llm")
     variant = F.when(F.col("last_role") == "tool", "after-tool").otherwise("initial")
     calls = calls.withColumn("variant_", variant)
-    per_node = Window.partitionBy("path", "node")
-    several = (F.min("variant_").over(per_node) != F.max("variant_").over(per_node))
-    calls = calls.withColumn("variant", F.when(several, F.col("variant_")).otherwise(""))
+    calls = cut(calls)  # read for the kinds, the calls and, mostly, statistics
+    # Added up before the shuffle, so a call-site of a third of all calls is as good as any.
+    kinds = calls.groupBy("path", "node").agg((F.min("variant_") != F.max("variant_")).alias("several_"))
+    calls = calls.join(kinds, ["path", "node"]).withColumn("variant", F.when(F.col("several_"), F.col("variant_")).otherwise("")).drop("several_")
     topology = F.concat_ws("/", F.lit(agent), F.when(F.col("path") != "", F.col("path")), F.col("node"))
     key = F.concat(topology, F.when(F.col("variant") != "", F.concat(F.lit("~"), F.col("variant"))).otherwise(""))
     return calls.withColumn("site", topology).withColumn("key", key).withColumn("usable", eligible(F.col("error"), F.col("output")) == "ok").drop("variant_")
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The q-quantile by truncated nearest rank; 0 of nothing."""
-    at = F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(q))).cast("int")
-    return F.coalesce(F.get(F.sort_array(values), at), F.lit(0))
+def nearest_rank(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles of each group by truncated nearest rank, from how often each value occurs: no group is gathered."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n_"))
+    upto = Window.partitionBy(by).orderBy(value)
+    all_ = Window.partitionBy(by)
+    counted = counted.withColumn("upto_", F.sum("n_").over(upto)).withColumn("of_", F.sum("n_").over(all_))
+    at = lambda q: F.least(F.col("of_") - 1, F.floor(F.col("of_") * F.lit(q)))
+    return counted.groupBy(by).agg(*[F.min(F.when(F.col("upto_") > at(q), F.col(value))).cast("long").alias(name) for name, q in quantiles.items()])
 
 
 def modal(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
@@ -105,7 +144,6 @@ def node_stats(calls: DataFrame) -> DataFrame:
     """Statistics of each call-site over its usable calls; unusable ones count in errors_excluded alone."""
     ok = F.col("usable")
     of = lambda c: F.when(ok, c)
-    outs = F.collect_list(of(F.col("out_tokens")))
     n = F.count_if(ok)
     stats = calls.groupBy("key").agg(
         F.min("node").alias("node"),
@@ -120,12 +158,13 @@ def node_stats(calls: DataFrame) -> DataFrame:
         F.sum(of(F.col("n_tools"))).alias("tools"),
         F.count_if(ok & is_json(F.col("output"))).alias("n_json"),
         F.count_if(ok & (F.col("last_role") == "tool")).alias("n_tool_input"),
-        nearest_rank(outs, 0.5).cast("long").alias("out_p50"),
-        nearest_rank(outs, 0.95).cast("long").alias("out_p95"),
         F.min(of(F.col("day"))).alias("first_day"),
         F.max(of(F.col("day"))).alias("last_day"),
     )
-    stats = stats.where("samples > 0")  # a call-site of errors alone is no node
+    ranks = nearest_rank(calls.where("usable"), "key", "out_tokens", {"out_p50": 0.5, "out_p95": 0.95})
+    zero = F.lit(0).cast("long")
+    stats = stats.where("samples > 0").join(ranks, "key", "left")  # a call-site of errors alone is no node
+    stats = stats.withColumn("out_p50", F.coalesce("out_p50", zero)).withColumn("out_p95", F.coalesce("out_p95", zero))
     kind = F.when(F.col("n_json") * 2 > F.col("samples"), "json").when(F.col("avg_out") < 25, "short").otherwise("free-form")
     rate = F.bround(F.col("errors_excluded") / (F.col("samples") + F.col("errors_excluded")), 3)
     return stats.withColumn("out_type", kind).withColumn("error_rate", rate)
@@ -182,24 +221,17 @@ def merge_variants(stats: DataFrame) -> DataFrame:
     return merged.withColumn("error_rate", F.bround(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
 
 
-def sub_agents(runs: DataFrame) -> DataFrame:
+def sub_agents(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
     """llm runs with ``agent``: the run right below the nearest tool above it whose name starts with "task", else the
     orchestrator."""
-    row = F.struct("run_id", "parent_id", "name", "run_type")
-    traces = runs.groupBy("trace_id").agg(F.collect_list(row).alias("rows"))
-    tree = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["run_id"], r)))
-    traces = traces.select("trace_id", "rows", tree.alias("tree"), F.least(F.lit(DEPTH), F.size("rows")).alias("depth"))
-    task = lambda r: F.coalesce((r["run_type"] == "tool") & F.startswith(r["name"], F.lit("task")), F.lit(False))
-
-    def step(state: Column, _: Column) -> Column:
-        up = F.try_element_at(F.col("tree"), state["at"])
-        going = up.isNotNull() & ~state["found"]
-        name = F.when(going & ~task(up), up["name"]).otherwise(state["below"])
-        return F.struct(F.when(going, up["parent_id"]).alias("at"), name.alias("below"), (state["found"] | (going & task(up))).alias("found"))
-
-    def walk(r: Column) -> Column:
-        start = F.struct(r["parent_id"].alias("at"), F.lit(None).cast("string").alias("below"), F.lit(False).alias("found"))
-        end = F.aggregate(F.sequence(F.lit(1), F.col("depth")), start, step)
-        return F.struct(r["run_id"], r["run_type"], F.when(end["found"], F.coalesce(end["below"], F.lit("(task, unnamed)"))).otherwise("(orchestrator)").alias("agent"))
-
-    return traces.select("trace_id", F.explode(F.transform("rows", walk)).alias("r")).where("r.run_type = 'llm'").select("trace_id", "r.run_id", "r.agent")
+    task = F.coalesce((F.col("run_type") == "tool") & F.startswith("name", F.lit("task")), F.lit(False))
+    # Of a stretch: whether a task is in it, the run right below that (null if outside), and the outermost run.
+    own = F.struct(task.alias("found"), F.lit(None).cast("string").alias("below"), F.col("name").alias("last"))
+
+    def joined(near: Column, far: Column) -> Column:
+        below = F.when(near["found"], near["below"]).when(far["found"], F.coalesce(far["below"], near["last"]))
+        return F.struct((near["found"] | far["found"]).alias("found"), below.alias("below"), far["last"].alias("last"))
+
+    rows = _of_parent(runs.where("run_type = 'llm'"), upward(runs, own, joined, small), "above_")
+    agent = F.when(F.col("above_.found"), F.coalesce("above_.below", F.lit("(task, unnamed)"))).otherwise("(orchestrator)")
+    return rows.select("trace_id", "run_id", agent.alias("agent"))

@@ -13,7 +13,7 @@ from spanloom.plans.registry import query
 _GENERIC = ", ".join(f"'{x}'" for x in SCAFFOLDING)
 _LABEL = f"CASE WHEN coalesce(node_hint, '') <> '' THEN node_hint WHEN run_type = 'chain' AND lower(trim(name)) NOT IN ({_GENERIC}) THEN name END"
 _UP = f"""up AS (SELECT trace_id, run_id, parent_id AS at, 1 AS depth FROM runs WHERE parent_id IS NOT NULL
-  UNION ALL SELECT up.trace_id, up.run_id, p.parent_id, depth + 1 FROM up JOIN runs p ON p.trace_id = up.trace_id AND p.run_id = up.at WHERE p.parent_id IS NOT NULL AND depth < 64),
+  UNION ALL SELECT up.trace_id, up.run_id, p.parent_id, depth + 1 FROM up JOIN runs p ON p.trace_id = up.trace_id AND p.run_id = up.at WHERE p.parent_id IS NOT NULL),
 above AS (SELECT up.run_id, depth, {_LABEL} AS label FROM up JOIN runs p ON p.trace_id = up.trace_id AND p.run_id = up.at),
 nearest AS (SELECT run_id, arg_min(label, depth) AS label FROM above WHERE label IS NOT NULL GROUP BY run_id),
 named AS (SELECT r.*, coalesce(nullif(r.node_hint, ''), n.label, nullif(r.name, ''), 'llm') AS node, coalesce(nullif(r.node_hint, ''), n.label) IS NOT NULL AS tagged FROM runs r LEFT JOIN nearest n ON n.run_id = r.run_id),
@@ -37,7 +37,7 @@ stats AS (SELECT * EXCLUDE (outs), CAST(outs[least(len(outs) - 1, CAST(floor(len
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve_by_walk(table(spark, d, "runs"))
+    return G.resolve(table(spark, d, "runs"))
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def graph_resolve_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle(f"WITH {_UP} SELECT r.trace_id, r.run_id, n.label FROM runs r LEFT JOIN nearest n ON n.run_id = r.run_id", "runs", recursive=True))
 def graph_nearest_label_by_jumps(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve_by_jumps(table(spark, d, "runs"))
+    return G.nearest_label(table(spark, d, "runs"), small=0)
 
 
 @query(oracle(f"WITH {_STATS} SELECT * FROM stats", "runs", recursive=True))

@@ -107,18 +107,36 @@ def test_majority_with_abstentions(spark):
     assert got == {0: (False, "unclear", "0/1"), 1: (True, "match", "2/3"), 2: (False, "drift", "1/1")}
 
 
-def test_resolution_stops_at_missing_parents_and_cycles(spark):
+RUN = "trace_id string, run_id long, parent_id long, ord long, run_type string, name string, node_hint string"
+
+
+@pytest.mark.parametrize("small", [1024, 0])
+def test_resolution_stops_at_missing_parents_and_cycles(spark, small):
     rows = [("t", 1, 2, 1, "llm", "m", None), ("t", 2, 1, 2, "chain", "langgraph", None), ("t", 3, 99, 3, "llm", "m", None), ("t", 4, None, 4, "chain", "plan", None), ("t", 5, 4, 5, "llm", "m", None)]
-    runs = spark.createDataFrame(rows, "trace_id string, run_id long, parent_id long, ord long, run_type string, name string, node_hint string")
-    got = {r["run_id"]: (r["node"], r["tagged"]) for r in graph.resolve_by_walk(runs).collect()}
-    assert got[1] == ("m", False) and got[3] == ("m", False) and got[5] == ("plan", True)
-    jumps = {r["run_id"]: r["label"] for r in graph.resolve_by_jumps(runs).collect()}
-    assert jumps[1] is None and jumps[3] is None and jumps[5] == "plan"
+    rows += [("u", 1, 2, 1, "llm", "m", None), ("u", 2, 3, 2, "chain", "inner", None), ("u", 3, 2, 3, "chain", "outer", None)]
+    runs = spark.createDataFrame(rows, RUN)
+    got = {(r["trace_id"], r["run_id"]): (r["node"], r["tagged"], r["path"]) for r in graph.resolve(runs, small).collect()}
+    assert got["t", 1] == ("m", False, "") and got["t", 3] == ("m", False, "") and got["t", 5] == ("plan", True, "")
+    assert got["u", 1] == ("inner", True, "outer") and got["u", 3] == ("inner", True, "outer") and len(got) == 8
+    labels = {(r["trace_id"], r["run_id"]): r["label"] for r in graph.nearest_label(runs, small).collect()}
+    assert labels["t", 1] is None and labels["t", 3] is None and labels["t", 5] == "plan" and labels["u", 1] == "inner"
+
+
+@pytest.mark.parametrize("small", [1024, 0])
+def test_ancestors_of_any_depth(spark, small):
+    """The one label is 200 runs above; ids repeat; a run below a task is 150 above."""
+    rows = [("t", 0, None, 0, "chain", "x", "hint"), ("t", 50, 0, 1, "tool", "task: search", None), ("t", 51, 50, 2, "chain", "langgraph", None)]
+    rows += [("t", i, i - 1, i, "chain", "langgraph", None) for i in range(52, 200)] + [("t", 200, 199, 200, "llm", "m", None), ("t", 200, 199, 201, "llm", "m", None), ("t", 199, None, 202, "chain", "langgraph", None)]
+    runs = spark.createDataFrame(rows, RUN)
+    got = [(r["node"], r["tagged"], r["path"]) for r in graph.resolve(runs, small).where("run_id = 200").collect()]
+    assert got == [("hint", True, "")] * 2
+    assert [r["agent"] for r in graph.sub_agents(runs, small).collect()] == ["langgraph"] * 2
 
 
 def test_nearest_rank_truncates(spark):
-    values = F.array(*[F.lit(i) for i in range(1, 21)])
-    assert one(spark, graph.nearest_rank(values, 0.95)) == 20
+    rows = spark.createDataFrame([("a", i) for i in range(1, 21)] + [("b", 7)] * 3 + [("c", None)], "k string, v long")
+    got = {r["k"]: (r["p50"], r["p95"]) for r in graph.nearest_rank(rows, "k", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"a": (11, 20), "b": (7, 7)}
 
 
 def test_diverse_sample(spark):
