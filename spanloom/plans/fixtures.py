@@ -41,13 +41,19 @@ VOTES = """SELECT e.event_id AS item, c.pos AS cand, r.run AS run, v.vote AS vot
 FROM {events} e CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS t(pos)) c CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS t(run)) r
 CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(vote)) v"""
 
+#: Runs of the original (cand 0, whose first run is the recorded one) and of two candidates.
+ANSWERS = """SELECT e.event_id AS item, c.pos AS cand, r.run AS run, CASE WHEN c.pos = 0 THEN 'original-model' WHEN (e.event_id + r.run) % 4 = 0 THEN 'mini-b' WHEN (e.event_id + r.run) % 7 = 0 THEN '' ELSE 'mini-a' END AS model,
+  CASE WHEN (e.event_id + r.run * 3 + c.pos) % 9 = 0 THEN NULL ELSE (e.event_id * 7 + r.run * 11 + c.pos) % 900 END AS latency_ms, CASE WHEN (e.event_id + r.run) % 8 = 0 THEN NULL ELSE (e.event_id * 13 + r.run) % 5000 END AS cost_micros,
+  CASE WHEN (e.event_id + r.run + c.pos) % 10 = 0 THEN 'failed' ELSE '' END AS error, c.pos = 0 AND r.run = 0 AS recorded
+FROM {events} e CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(pos)) c CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS t(run)) r"""
+
 #: Deployments of a gateway, named after catalog models in the ways that gateways name them.
 DEPLOYED = f"""SELECT p.p_partkey AS deployment, concat(CASE p.p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'bedrock/us.' WHEN 2 THEN 'vertex/' ELSE 'x' END, c.name,
   CASE p.p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-20250101' ELSE ':v2' END) AS wire_name, p.p_size AS max_output, CASE WHEN p.p_partkey % 7 = 0 THEN 'embedding' ELSE 'chat' END AS mode
 FROM {{part}} p JOIN ({CATALOG_SQL}) c ON c.ord = p.p_partkey % 61"""
 
-TABLES = {"runs": RUNS, "turns": TURNS, "cells": CELLS, "votes": VOTES, "deployed": DEPLOYED}
-_BASE = {"runs": "events", "turns": "conversations", "cells": "events", "votes": "events", "deployed": "part"}
+TABLES = {"runs": RUNS, "turns": TURNS, "cells": CELLS, "votes": VOTES, "answers": ANSWERS, "deployed": DEPLOYED}
+_BASE = {"runs": "events", "turns": "conversations", "cells": "events", "votes": "events", "answers": "events", "deployed": "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
-    """SQL over derived tables: runs, turns, cells, votes, deployed; catalog, alias, migration are always there."""
+    """SQL over derived tables: runs, turns, cells, votes, answers, deployed; catalog, alias, migration are always there."""
     ctes = [f"catalog AS ({CATALOG_SQL})", f"alias AS ({ALIAS_SQL})", f"migration AS ({MIGRATION_SQL})"]
     ctes += [f"{n} AS (" + TABLES[n].format(**{_BASE[n]: _BASE[n]}) + ")" for n in names]
     body = body.strip()
