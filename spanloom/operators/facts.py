@@ -60,7 +60,8 @@ def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int) -
         first = left.groupBy(by).agg(F.min(F.struct("o_", "w_")).alias("k_"))
         kept = first.select(by, F.col("k_.o_").alias(order)) if kept is None else kept.unionByName(first.select(by, F.col("k_.o_").alias(order)))
         alike = F.size(F.array_intersect("k_.w_", "w_")) / F.greatest(F.lit(1), F.size(F.array_union("k_.w_", "w_"))) >= 0.8
-        left = left.join(first, by).where((F.col("o_") > F.col("k_.o_")) & ~alike).select(by, "o_", "w_")
+        # Written each round: the next one reads it twice.
+        left = cut(left.join(first, by).where((F.col("o_") > F.col("k_.o_")) & ~alike).select(by, "o_", "w_"))
     return kept
 
 

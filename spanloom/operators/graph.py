@@ -192,7 +192,8 @@ def function_nodes(runs: DataFrame, agent: str) -> DataFrame:
 
 
 def flow_edges(resolved: DataFrame, agent: str) -> DataFrame:
-    """Pairs of neighbouring nodes inside traces, repeats of one node collapsed, counted; A to B to A is kept."""
+    """Pairs of neighbouring nodes inside traces, repeats of one node collapsed, counted; A to B to A is kept.  The most
+    frequent first, of equals the one seen first."""
     name = F.coalesce("node_hint", "name")
     own = F.when(~is_generic(name), F.concat_ws("/", F.lit(agent), name))
     llm = F.when(eligible(F.col("error"), F.col("output")) == "ok", F.concat_ws("/", F.lit(agent), F.when(F.col("path") != "", F.col("path")), F.col("node")))
@@ -200,7 +201,8 @@ def flow_edges(resolved: DataFrame, agent: str) -> DataFrame:
     w = Window.partitionBy("trace_id").orderBy("ord", "run_id")
     kept = keyed.withColumn("before_", F.lag("k_").over(w)).where("before_ IS NULL OR before_ <> k_")
     pairs = kept.withColumn("dst", F.lead("k_").over(w)).where("dst IS NOT NULL")
-    return pairs.groupBy(F.col("k_").alias("src"), "dst").agg(F.count(F.lit(1)).alias("count"))
+    counted = pairs.groupBy(F.col("k_").alias("src"), "dst").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("trace_id", "ord")).alias("seen_"))
+    return counted.orderBy(F.desc("count"), "seen_").drop("seen_")
 
 
 def merge_variants(stats: DataFrame) -> DataFrame:

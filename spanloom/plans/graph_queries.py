@@ -56,7 +56,7 @@ def graph_nearest_label_by_jumps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle(f"WITH {_STATS} SELECT * FROM stats", "runs", recursive=True))
 def graph_node_stats(spark: SparkSession, d: str) -> DataFrame:
-    return G.node_stats(calls(spark, d))
+    return G.node_stats(calls(spark, d)).orderBy(F.desc("avg_out"), "key")
 
 
 @query(

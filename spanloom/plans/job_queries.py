@@ -58,23 +58,14 @@ def votes_call_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT conv_id AS item, turn, '  ' || text AS output FROM conversations), r AS (SELECT conv_id AS item, text AS output FROM conversations WHERE turn % 2 = 1)
-SELECT item, turn FROM a WHERE (item, trim(output)) IN (SELECT item, trim(output) FROM r)"""
+    """WITH a AS (SELECT conv_id AS item, turn, trim('  ' || text || CASE WHEN turn % 3 = 0 THEN '!' ELSE '' END) AS output FROM conversations), r AS (SELECT DISTINCT conv_id AS item, trim(text) AS output FROM conversations)
+SELECT item, turn FROM a JOIN r USING (item, output)"""
 )
 def votes_exact_copies(spark: SparkSession, d: str) -> DataFrame:
-    return _exact_copies(spark, d, "turn % 2 = 1")
-
-
-@query()
-def votes_exact_copies_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that equal a turn of their conversation, all turns being references."""
-    return _exact_copies(spark, d, "true")
-
-
-def _exact_copies(spark: SparkSession, d: str, references: str) -> DataFrame:
+    """Answers that equal a turn of their conversation; every third one was changed."""
     t = spark.read.parquet(f"{d}/conversations.parquet")
-    answers = t.select(F.col("conv_id").alias("item"), "turn", F.concat(F.lit("  "), "text").alias("output"))
-    return V.exact_copies(answers, t.where(references).select(F.col("conv_id").alias("item"), F.col("text").alias("output"))).select("item", "turn")
+    changed = F.concat(F.lit("  "), "text", F.when(F.col("turn") % 3 == 0, "!").otherwise(""))
+    return V.exact_copies(t.select(F.col("conv_id").alias("item"), "turn", changed.alias("output")), t.select(F.col("conv_id").alias("item"), F.col("text").alias("output"))).select("item", "turn")
 
 
 _REPLIES = """SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'EQUIVALENT: same facts' WHEN 1 THEN concat('Verdict: DRIFT - dropped ', event_type) WHEN 2 THEN 'I think so' WHEN 3 THEN concat('thinking\n**VARIATION** shorter ', event_type)
@@ -152,8 +143,8 @@ def jobs_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     oracle(
-        """SELECT c.* EXCLUDE (event_id), o.latency_ms AS original_latency_ms, o.cost_micros AS original_cost_micros, o.kept AS original_kept
-FROM cells c JOIN cells o ON o.job_id = c.job_id AND o.seq = c.seq AND o.label = 'original' WHERE c.label <> 'original'""",
+        """WITH w AS (SELECT * EXCLUDE (event_id), max(CASE WHEN label = 'original' THEN latency_ms END) OVER o AS original_latency_ms, max(CASE WHEN label = 'original' THEN cost_micros END) OVER o AS original_cost_micros,
+max(CASE WHEN label = 'original' THEN kept END) OVER o AS original_kept FROM cells WINDOW o AS (PARTITION BY job_id, seq)) SELECT * FROM w WHERE label <> 'original'""",
         "cells",
     )
 )

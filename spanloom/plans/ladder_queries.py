@@ -67,7 +67,7 @@ def ladder_open_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle(f"WITH {_SITES_SQL}, {_NEXT}, {_MIGRATE}, {_DOWN} SELECT * FROM down", "runs"))
 def ladder_downgrades(spark: SparkSession, d: str) -> DataFrame:
-    return L.downgrades(sites(spark, d), C.catalog(spark), C.migrations(spark), AS_OF, 10_000)
+    return L.downgrades(sites(spark, d), C.catalog(spark), C.migrations(spark), AS_OF, 10_000).orderBy(F.desc("usd"), "key")
 
 
 @query(

@@ -19,13 +19,8 @@ def logs_newest_traces(spark: SparkSession, d: str) -> DataFrame:
     return logs.newest_traces(table(spark, d, "runs"), 40).select("run_id", "trace_id", "ord")
 
 
-@query(oracle("WITH r AS (SELECT * FROM runs WHERE ord <= 3) SELECT run_id, revision FROM r WHERE revision = (SELECT arg_max(revision, (day, run_id)) FROM r) ORDER BY day DESC, run_id DESC LIMIT 100", "runs"))
+@query(oracle("WITH r AS (SELECT * FROM runs WHERE parent_id IS NULL) SELECT run_id, revision FROM r WHERE revision = (SELECT arg_max(revision, (day, run_id)) FROM r) ORDER BY day DESC, run_id DESC LIMIT 100", "runs"))
 def logs_latest_revision(spark: SparkSession, d: str) -> DataFrame:
-    return logs.latest_revision(table(spark, d, "runs").where("ord <= 3"), 100).select("run_id", "revision")
-
-
-@query()
-def logs_latest_revision_whole(spark: SparkSession, d: str) -> DataFrame:
     """The newest revision's roots, newest first: the limit is the feature."""
     return logs.latest_revision(table(spark, d, "runs").where("parent_id IS NULL"), 100).select("run_id", "revision")
 
@@ -53,18 +48,10 @@ def logs_agents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "runs").where("node_hint IS NOT NULL").select(F.col("node_hint").alias("agent")).distinct().orderBy(F.lower("agent")).limit(200)
 
 
-@query(oracle("SELECT run_id, coalesce(nullif(output, ''), error) AS response FROM runs WHERE run_id IN (SELECT event_id FROM events WHERE event_id % 97 = 0)", "runs"))
+@query(oracle("SELECT run_id, coalesce(nullif(output, ''), error) AS response FROM runs WHERE run_id IN (SELECT doc_id FROM documents)", "runs"))
 def logs_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return _lookup(spark, d, spark.read.parquet(f"{d}/events.parquet").where("event_id % 97 = 0").select(F.col("event_id").alias("run_id")))
-
-
-@query()
-def logs_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
     """Responses of the runs that any document is numbered after."""
-    return _lookup(spark, d, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("run_id")))
-
-
-def _lookup(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("run_id"))
     return logs.lookup(table(spark, d, "runs"), ids, "run_id").select("run_id", F.coalesce(F.when(F.col("output") != "", F.col("output")), F.col("error")).alias("response"))
 
 
@@ -141,13 +128,16 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.option("pathGlobFilter", "events.parquet").parquet(d) if single else stream.parquet(f"{d}/events.parquet")
 
 
-@query()
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     """The stream's counts over all events as a batch: a stream keeps back the windows that its watermark has not passed."""
     return streams.daily(spark.read.parquet(f"{d}/events.parquet"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, count(*) AS n FROM s GROUP BY user_id, k"""
+)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """The stream's sessions over all events as a batch, those that may still go on included."""
     return streams.sessions(spark.read.parquet(f"{d}/events.parquet"))
@@ -161,7 +151,7 @@ def stream_claims(spark: SparkSession, d: str) -> DataFrame:
     return streams.drained(streams.claims(log), "claims")
 
 
-@query()
+@query("SELECT DISTINCT user_id % 20 AS job_id FROM events")
 def stream_callbacks(spark: SparkSession, d: str) -> DataFrame:
     e = _stream(spark, d).select((F.col("user_id") % 20).alias("job_id"), "ts")
     return streams.drained(streams.callbacks_once(e), "callbacks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
@@ -31,9 +31,13 @@ _CALLS = """c AS (SELECT conv_id, turn, role, text, string_agg(CASE WHEN role =
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(turns(spark, d))
+
+
+def _calls(rows: DataFrame) -> DataFrame:
     """A call for every assistant turn, with the messages before it."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = turns(spark, d).withColumn("messages", F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w))
+    rows = rows.withColumn("messages", F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w))
     return rows.where("role = 'assistant'").select(F.col("conv_id").alias("trace_id"), "turn", "messages", F.col("text").alias("output"))
 
 
@@ -54,17 +58,11 @@ def text_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system' AND turn % 3 <> 2),
+    """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system'),
 g AS (SELECT *, sum(CASE WHEN before = role THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t WHERE text <> ''))
 SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS content FROM g GROUP BY conv_id, island"""
 )
 def text_merged_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring turns of one role as one message, without the system's; of two turns in three."""
-    return _merged(turns(spark, d).where("turn % 3 <> 2"))
-
-
-@query()
-def text_merged_turns_whole(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring turns of one role as one message, without the system's."""
     return _merged(turns(spark, d))
 
@@ -124,25 +122,16 @@ def text_graph_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, source, 'Header line' || chr(10) || left(text, 40) || ' ' || doc_id AS t FROM documents), n AS (SELECT doc_id, source, lower(regexp_replace(trim(t, ' ' || chr(10)), '[0-9]+', '#', 'g')) AS t FROM d),
+    """WITH d AS (SELECT doc_id, source, 'Header line' || chr(10) || text || ' ' || doc_id AS t FROM documents), n AS (SELECT doc_id, source, lower(regexp_replace(trim(t, ' ' || chr(10)), '[0-9]+', '#', 'g')) AS t FROM d),
 l AS (SELECT doc_id, source, p, string_split(t, chr(10))[p] AS l FROM n, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(p)), k AS (SELECT source, count(*) AS n FROM n GROUP BY source),
 c AS (SELECT source, l FROM l GROUP BY source, l HAVING count(DISTINCT doc_id) = (SELECT n FROM k WHERE k.source = l.source) AND count(DISTINCT doc_id) > 1),
 r AS (SELECT n.doc_id, n.source, coalesce(string_agg(l.l, chr(10) ORDER BY p) FILTER (WHERE l.l IS NOT NULL), '') AS t FROM n LEFT JOIN (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = l.source AND c.l = l.l)) l ON l.doc_id = n.doc_id GROUP BY n.doc_id, n.source)
 SELECT source, count(DISTINCT t) AS distinct_output FROM r GROUP BY source"""
 )
 def facts_frame_stripped(spark: SparkSession, d: str) -> DataFrame:
-    return _frame_stripped(spark, d, F.substring("text", 1, 40))
-
-
-@query()
-def facts_frame_stripped_whole(spark: SparkSession, d: str) -> DataFrame:
     """Distinct documents of each source, whole texts, without the lines that all of a source have."""
-    return _frame_stripped(spark, d, F.col("text"))
-
-
-def _frame_stripped(spark: SparkSession, d: str, text: Column) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    t = F.concat(F.lit("Header line\n"), text, F.lit(" "), F.col("doc_id").cast("string"))
+    t = F.concat(F.lit("Header line\n"), F.col("text"), F.lit(" "), F.col("doc_id").cast("string"))
     return facts.frame_stripped(docs.select("source", "doc_id", t.alias("t")), "source", "doc_id", "t")
 
 
@@ -159,12 +148,17 @@ def facts_shape_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CALLS}, r AS (SELECT c.conv_id, c.turn, c.users, (SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'assistant') AS asst,
- (SELECT bool_or(contains(lower(text), 'ent')) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'user') AS quoted FROM c WHERE role = 'assistant')
-SELECT conv_id % 7 AS node, count(*) AS n, count(*) FILTER (WHERE users > 1 OR asst > 0) * 2 > count(*) AS multi_turn, false AS has_tool_result, false AS rag_present FROM r GROUP BY ALL"""
+    """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN conv_id % 3 = 0 THEN '[2] ' || text WHEN conv_id % 7 = 1 THEN 'Retrieved: ' || text ELSE text END AS text FROM conversations),
+r AS (SELECT c.conv_id, c.turn, count(*) FILTER (WHERE p.role = 'user') > 1 OR count(*) FILTER (WHERE p.role = 'assistant') > 0 AS multi, count(*) FILTER (WHERE p.role = 'tool') > 0 AS tool,
+ count(*) FILTER (WHERE p.role = 'user' AND (regexp_matches(p.text, '\\[[0-9]+\\]') OR contains(lower(p.text), 'retrieved'))) > 0 AS quoted FROM m c LEFT JOIN m p ON p.conv_id = c.conv_id AND p.turn < c.turn WHERE c.role = 'assistant' GROUP BY ALL)
+SELECT conv_id % 7 AS node, count(*) AS n, count(*) FILTER (WHERE multi) * 2 > count(*) AS multi_turn, bool_or(tool) AS has_tool_result, count(*) FILTER (WHERE quoted) * 2 > count(*) AS rag_present FROM r GROUP BY ALL"""
 )
 def facts_structure(spark: SparkSession, d: str) -> DataFrame:
-    rows = calls(spark, d).select((F.col("trace_id") % 7).alias("node"), F.transform("messages", lambda m: m["role"]).alias("roles"), F.transform("messages", lambda m: m["content"]).alias("contents"))
+    """Calls in which every fifth user's turn is a tool's result, and some conversations quote documents."""
+    role = F.when((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 5 == 0), "tool").otherwise(F.col("role"))
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("[2] "), "text")).when(F.col("conv_id") % 7 == 1, F.concat(F.lit("Retrieved: "), "text")).otherwise(F.col("text"))
+    rows = _calls(turns(spark, d).select("conv_id", "turn", role.alias("role"), text.alias("text")))
+    rows = rows.select((F.col("trace_id") % 7).alias("node"), F.transform("messages", lambda m: m["role"]).alias("roles"), F.transform("messages", lambda m: m["content"]).alias("contents"))
     return facts.structure(rows, "node")
 
 
