@@ -15,7 +15,7 @@ from spanloom.llm.mixing import mix, targets, with_size
 from spanloom.llm.ngram_join import jaccard_components
 from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.quality_rules import fit_rules, judge, learn_rules
-from spanloom.llm.secret_scan import KINDS, scan_secrets
+from spanloom.llm.secret_scan import KINDS, VOCABULARY, encoding, scan_secrets
 from spanloom.llm.substring_dedup import remove_repeated_words
 from spanloom.llm.suffix_dedup import Collection, remove_repeated_bytes
 
@@ -299,11 +299,106 @@ def test_stages_keep_columns_and_take_effect(spark, docs, none, folder, rows):
                     assert len(brute.BENCH_WORD.findall(kept[i]["text"])) == hit[i][0] - hit[i][1] and kept[i]["n_chars"] == len(kept[i]["text"])
 
 
-def test_pipeline(spark, folder):
+def test_secret_query(spark, folder, rows):
+    encode = encoding(VOCABULARY).encode_ordinary
+    got = by_id(registry.QUERIES["op3_secret_scan"](spark, folder))
+    want = {}
+    for i, text, *_ in rows:
+        base, every = brute.secrets(text, encode)
+        n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        want[i] = (*n, brute.sha(brute.said(base)), brute.said(every))
+    assert got == want and sum(v[4].count("random") for v in got.values()) >= 9
+
+
+@pytest.mark.parametrize(("alphabet", "size"), [("abcdefghijklmnopqrstuvwxyz", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40)])
+def test_generated_keys_are_found(spark, alphabet, size):
+    rng = np.random.default_rng(11)
+    keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(300)]
+    got = scan_secrets(table(spark, [(i, f"the value {k} was seen", None, None) for i, k in enumerate(keys)]), "s").select("s.spans").collect()
+    assert sum(r["spans"] != "" for r in got) >= 0.9 * len(keys)
+
+
+def test_ordinary_names_are_no_keys(spark):
+    words = "customer invoice number total shipping address manager request handler default value account settings network timeout".split()
+    rng = np.random.default_rng(12)
+    names = ["_".join(rng.choice(words, 4)) for _ in range(150)] + ["".join(w.title() for w in rng.choice(words, 4)) for _ in range(150)]
+    got = scan_secrets(table(spark, [(i, f"call {k} here", None, None) for i, k in enumerate(names)]), "s").select("s.spans").collect()
+    assert sum(r["spans"] != "" for r in got) <= 0.01 * len(names)
+
+
+def test_mixing_query(spark, folder, rows):
+    got = registry.QUERIES["op6_mixing"](spark, folder).collect()
+    sized = [(r[0], r[3], len(brute.WORD.findall(r[1] or ""))) for r in rows]
+    want = [(i, s, n, total, round(goal, 6), n * c) for (i, s, n), (total, goal, c) in zip(sized, brute.mixing(sized), strict=True)]
+    assert sorted(((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got), key=str) == sorted(want, key=str)
+    assert len({r["chance"] for r in got if r["source"] == "hot"}) > 2  # chances differ inside a ranked set
+
+
+def rejects(rules):
+    """The learned list on a plain text."""
+
+    def fit(text):
+        words, chars, symbols, dup, repeated = brute.statistics(text)
+        text = text or ""
+        lines = sum(bool(brute.WORD.search(x)) for x in text.split("\n"))
+        over = lambda a, b: a / b if b else 0.0
+        upper, digits = sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text)
+        x = {"words": words, "chars_per_word": over(chars, words), "symbols_per_word": over(symbols, words), "dup_line_share": over(dup, lines), "repeat_share": over(repeated, words), "words_per_line": over(words, lines), "upper_share": over(upper, len(text)), "digit_share": over(digits, len(text))}
+        return any(all((x[c.feature] > c.at) == c.above for c in rule) for rule in rules)
+
+    return fit
+
+
+def test_quality_query(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rules = fit_rules(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    bad = rejects(rules)
+    got = {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"]) for r in registry.QUERIES["op8_quality_rules"](spark, folder).collect()}
+    for r in docs.collect():
+        n, _, _, _, repeated = brute.statistics(r["text"])
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert got[r["doc_id"]] == (n, failed, not failed and not bad(r["text"]))
+
+
+def test_contradictory_labels_are_left_out(spark):
+    docs = table(spark, [(i, "good word " * 30 + f"t{i}" if i % 2 else "# $ % " * 40 + f"t{i}", None, None) for i in range(200)])
+    both = lambda i: [(i, 0, 0), (i, 1, 0)]
+    labels = spark.createDataFrame([x for i in range(200) for x in both(i)], "doc_id long, quality int, toxic int")
+    assert fit_rules(docs, labels) == []
+    assert fit_rules(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+
+
+def test_repeated_rows_have_one_language(spark, none):
+    model = train(table(spark, [(i, "alpha beta gamma" if i % 2 else "ichi ni san", "aa" if i % 2 else "bb", "s") for i in range(40)]))
+    rows = [(1, "alpha beta", None, None)] * 3 + [(None, "ichi ni", None, None)] * 2
+    got = sorted((str(r["doc_id"]), r["f"]["lang"]) for r in identify(table(spark, rows), model, "f").collect())
+    assert got == [("1", "aa")] * 3 + [("None", "bb")] * 2
+
+
+def test_mixing_stage_makes_a_corpus(spark, docs, none, folder, rows):
+    out = stages.mixing(spark, docs, folder)
+    size, total, target, taken, copy = out.columns[len(docs.columns) :]
+    assert out.columns[: len(docs.columns)] == docs.columns and size == "_size"
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["doc_id"], r["text"]), []).append((r[copy], r[taken], r[size]))
+    sized = [(r[0], r[3], len(brute.WORD.findall(r[1] or ""))) for r in rows]
+    for r, (_, _, n), (_, _, c) in zip(rows, sized, brute.mixing(sized), strict=True):
+        assert sorted(got.get((r[0], r[1]), [])) == [(k + 1, n * c, n) for k in range(c)]
+    assert stages.mixing(spark, none, folder).collect() == []
+
+
+def test_pipeline(spark, folder, rows):
+    """The whole pipeline against plain Python on the awkward table; the learned list alone is the operator's own."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, folder)
-    want = sorted(map(str, docs.collect()))
-    assert want and sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == want
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rules = fit_rules(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = brute.pipeline(rows, items, rejects(rules), encoding(VOCABULARY).encode_ordinary)
+    out = corpus_pipeline.run(spark, folder)
+    size, _, target, taken, copy = out.columns[len(docs.columns) :]
+    got = [(r["doc_id"], r["text"], r["source"], r[size], round(r[target], 6), r[taken], r[copy]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 30
+    assert any("[secret]" in g[1] for g in got)
