@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
-from spanloom.llm.store import partitions, without_nulls, written
+from spanloom.llm.store import MANY_ROWS, batch_rows, partitions, without_nulls, written
 from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, releasing, whole, word_hash, words_of
 
 #: Ids of up to so many documents are broadcast when their texts are read again; beyond, they are joined.
@@ -139,6 +139,10 @@ def scan(docs: DataFrame, size: int, percent: int, frequent_df: int, local_df: i
 _SCAN = "id long, n long, seal long, gram long, df long, class_ long, subsets long, lists long, vain_subsets long, vain_lists long, among long"
 
 
+#: Pairs of a sampled set and a document that are looked at together.
+_SLICE = 1 << 20
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
     """Sizes in steps of about a fifth."""
     return np.floor(np.log2(np.maximum(n, 1)) * 4).astype(np.int64)
@@ -168,14 +172,19 @@ def costs_of(sets: np.ndarray, n: np.ndarray, chosen: np.ndarray, frequent: np.n
         hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, sets), len(wanted) - 1)] == sets)
         lo = np.searchsorted(gram, sets[hit])
         many = np.searchsorted(gram, sets[hit], side="right") - lo
-        pair = which[expand(lo, many)] * len(n) + np.repeat(owner[hit], many)
-        pair, met = np.unique(pair, return_counts=True)
-        k, other = pair // len(n), pair % len(n)
-        own = n[chosen[k // 2]]
-        asked = np.where(k % 2 == 0, 2, shared_lists(np.minimum(own, n[other]), percent))
-        head = np.where(k % 2 == 0, subset_head[k // 2], list_head[k // 2])
-        fits = (100 * np.minimum(own, n[other]) >= percent * np.maximum(own, n[other])) & (other != chosen[k // 2])
-        vain = np.bincount(k[fits & (met >= asked) & (2 * met < head)], minlength=2 * len(chosen))
+        # A slice of whole documents at a time, so that a shingle that all have needs no more memory.
+        begin = np.flatnonzero(np.append(True, owner[hit][1:] != owner[hit][:-1])) if len(hit) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(many)])
+        cuts = np.append(begin[np.append(True, total[begin][1:] // _SLICE != total[begin][:-1] // _SLICE)] if len(begin) else begin, len(hit))
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            pair = which[expand(lo[x:y], many[x:y])] * len(n) + np.repeat(owner[hit[x:y]], many[x:y])
+            pair, met = np.unique(pair, return_counts=True)
+            k, other = pair // len(n), pair % len(n)
+            own = n[chosen[k // 2]]
+            asked = np.where(k % 2 == 0, 2, shared_lists(np.minimum(own, n[other]), percent))
+            head = np.where(k % 2 == 0, subset_head[k // 2], list_head[k // 2])
+            fits = (100 * np.minimum(own, n[other]) >= percent * np.maximum(own, n[other])) & (other != chosen[k // 2])
+            vain += np.bincount(k[fits & (met >= asked) & (2 * met < head)], minlength=2 * len(chosen))
     return {"subsets": subset_head * (subset_head - 1) // 2, "lists": list_head, "vain_subsets": vain[0::2], "vain_lists": vain[1::2], "among": np.full(len(chosen), len(n))}
 
 
@@ -444,6 +453,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     many pairs subsets and lists gave.
     """
     spark = docs.sparkSession
+    batch_rows(spark, MANY_ROWS)
     every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     scanned = written(scan(every, size, percent, frequent_df), "sets")
     nameless = scanned.where("n IS NOT NULL AND id IS NULL").select("n")

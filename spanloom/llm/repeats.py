@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.anchors import Runs
-from spanloom.llm.store import partitions, written
+from spanloom.llm.store import MANY_ROWS, batch_rows, partitions, written
 from spanloom.llm.textnp import U64, Texts, chunks, mix, prefix_sums, range_hash, releasing, whole
 
 _CODES = ["|b1", "|u1", "<u2", "<u4", "<u8", "<i4", "<i8"]
@@ -398,6 +398,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish, schema: str, lengths: in
     that the kind gives.  most: contexts in a group, about.
     """
     spark = docs.sparkSession
+    batch_rows(spark, MANY_ROWS)
     rows = docs.select("id", "hash", "salt", "text").where("id IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (4 * home_bytes))

@@ -46,6 +46,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """From now on so many rows in an Arrow batch.  A batch of whole documents is held several times over by the executor
+    and its Python worker; operators that work on each document by itself need no more than a thousand at once, those
+    that count or pack within a batch want the most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Rows of a batch for work on single documents, and for work across a batch.
+FEW_ROWS, MANY_ROWS = 1_000, 10_000
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
