@@ -134,3 +134,14 @@ def kpis(rows: DataFrame) -> DataFrame:
     """One row of a report: total cost, verified savings and safe call-sites."""
     safe = F.col("verdict") == "SAFE"
     return rows.agg(F.bround(F.sum("cost"), 4).alias("total_cost"), F.bround(F.coalesce(F.sum(F.when(safe, F.col("downgrade_usd"))), F.lit(0.0)), 4).alias("verified_savings"), F.count_if(safe).alias("safe"))
+
+
+def first_pick(ranked: DataFrame, order: list[Column], most: int = 5) -> DataFrame:
+    """What is chosen at first: of the first ``most`` rows, those that can be tested and would save something."""
+    return ranked.orderBy(*order).limit(most).where("testable AND opportunity > 0")
+
+
+def matching(rows: DataFrame, graph: str = "", find: str = "") -> DataFrame:
+    """Rows of one graph (all without one) whose node has ``find``, in either case."""
+    rows = rows.where(F.col("graph_path") == graph) if graph else rows
+    return rows.where(F.contains(F.lower("node"), F.lower(F.lit(find))))

@@ -60,3 +60,15 @@ def confusion(votes: DataFrame, by: list[str]) -> DataFrame:
 def uncached(calls: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Calls whose answer is not in the cache, each once."""
     return calls.dropDuplicates([key]).join(cache.select(key).distinct(), key, "left_anti")
+
+
+def unknown(selected: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys that were selected but that nothing is known of, each once."""
+    return selected.select(key).distinct().join(known, key, "left_anti")
+
+
+def found(cells: DataFrame, by: str, text: str, label: str | None = None, verdict: str | None = None) -> DataFrame:
+    """Results (by) whose id has ``text`` literally, in either case, and of which one and the same cell has label and verdict."""
+    rows = cells.where(F.contains(F.lower(F.col(by).cast("string")), F.lower(F.lit(text))))
+    rows = rows.where(F.col("label") == label) if label else rows
+    return (rows.where(F.col("verdict") == verdict) if verdict else rows).select(by).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW_RUN = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("id", "trace_id", "parent_run_id", "dotted_order", "run_type", "name", "start_time", "end_time", "error", "inputs", "outputs", "extra")]
+    [T.StructField(n, T.StringType()) for n in ("id", "trace_id", "parent_run_id", "dotted_order", "run_type", "name", "start_time", "end_time", "error", "inputs", "outputs", "extra", "prompt_tokens", "completion_tokens", "prompt_tokens_details", "completion_tokens_details", "total_cost")]
 )
 
 
