@@ -17,6 +17,7 @@ from spanloom.llm.op8 import op8_quality_rules
 from spanloom.llm.op9 import OP9_SQL, op9_url_filter
 from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.op11 import OP11_SQL, op11_fill_in_middle
+from spanloom.llm.op12 import OP12_SQL, op12_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_url_filter,
         op10_decontaminate,
         op11_fill_in_middle,
+        op12_prefix_trie,
     )
 }
-SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_prefix_trie": OP12_SQL}
