@@ -18,6 +18,7 @@ from spanloom.llm.op9 import OP9_SQL, op9_url_filter
 from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.op11 import OP11_SQL, op11_fill_in_middle
 from spanloom.llm.op12 import OP12_SQL, op12_prefix_trie
+from spanloom.llm.op13 import op13_learned_partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontaminate,
         op11_fill_in_middle,
         op12_prefix_trie,
+        op13_learned_partitions,
     )
 }
 SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_prefix_trie": OP12_SQL}
