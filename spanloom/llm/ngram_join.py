@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from spanloom.llm.arrowmap import append_struct, free_name
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
 from spanloom.llm.store import MANY_ROWS, batch_rows, partitions, without_nulls, written
@@ -380,11 +381,9 @@ def verify(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         from spanloom.llm.repeats import unpack
 
-        node = right.column(2).to_numpy() if right.num_rows else np.zeros(0, np.int64)
-        seal = right.column(1).to_numpy() if right.num_rows else node
+        seal = right.column(1).to_numpy() if right.num_rows else np.zeros(0, np.int64)
         seal, first = np.unique(seal, return_index=True)
-        node = node[first]
-        sets = [np.frombuffer(x.as_buffer(), dtype=U64) for x in right.column(3).take(pa.array(first))] if len(first) else []
+        sets = [np.frombuffer(x.as_buffer(), dtype=U64) for x in right.column(2).take(pa.array(first))] if len(first) else []
         n = np.array([len(x) for x in sets], dtype=np.int64)
         forest, links = Forest(len(sets)), []
         payloads = [x for x in left.column(1) if x.is_valid]
@@ -398,7 +397,7 @@ def verify(percent: int):
         if not payloads and len(sets):
             links += _all_pairs(sets, n, forest, percent)
         at = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pa.table([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
+        return pa.table([pa.array(seal[at[:, 0]]), pa.array(seal[at[:, 1]])], names=["a", "b"])
 
     return run
 
@@ -444,8 +443,10 @@ def _cluster_tasks(star: DataFrame, tile_sets: int) -> DataFrame:
     return rows.select("seal", (-F.abs(F.shiftright(task, 1)) - 1).alias("task"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 200.0, report: dict | None = None) -> DataFrame:
-    """For each row: id, n_shingles and component_id (the smallest id that links reach, its own included).
+def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 200.0, report: dict | None = None) -> DataFrame:
+    """For each row: id, n (shingles), seal (of its set), class (the smallest seal that links reach from this one, its own
+    included) and component (the smallest id of a row of the class).  Equal sets are one node; equal ids join nothing.  A row
+    with an empty set is alone, without a class; one without an id has n alone.
 
     frequent_limit: of the most frequent shingles, so many (16 bytes each) are known to all tasks; it bounds memory and
     changes only the order in which shingles are looked at, never the result.  pair_cost: what a verification costs in
@@ -483,26 +484,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     at = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["task", "seal", "node", "shingles"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names, kinds = ["task", "seal", "shingles"], [pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids, want, where = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for piece in chunks(whole(batch.column(1))) if batch.num_rows else ():
+            want, where = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for piece in chunks(whole(batch.column(0))) if batch.num_rows else ():
                 sets, offsets = shingle_sets(piece, size)
                 own = seals(sets, offsets)
-                made = [(t, want[k], ids[k], sets[offsets[d] : offsets[d + 1]].tobytes()) for d in range(len(piece)) for k in [piece.row + d] if own[d] == want[k] for t in where[k]]
+                made = [(t, want[k], sets[offsets[d] : offsets[d + 1]].tobytes()) for d in range(len(piece)) for k in [piece.row + d] if own[d] == want[k] for t in where[k]]
                 if made:
                     yield _batches(names, made, kinds)
 
-    sets = rows.join(at, "id").select("id", "text", "want", "tasks").mapInArrow(releasing(read), "task long, seal long, node long, shingles binary")
+    sets = rows.join(at, "id").select("text", "want", "tasks").mapInArrow(releasing(read), "task long, seal long, shingles binary")
     spec = pairs.where("payload IS NOT NULL").select("task", "payload").unionByName(clusters_spec(needed))
     links = spec.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(releasing(verify(percent)), "a long, b long")
-    # Rows of equal id are one node, whatever sets they have: sets of equal ids and equal sets link their ids.
-    same = known.where("n > 0").join(reps.withColumnRenamed("id", "rep"), "seal").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    part = components(links.select("a", "b").unionByName(same))
-    out = known.join(part.withColumnRenamed("node", "id"), "id", "left")
+    part = written(components(links.select("a", "b")).withColumnRenamed("node", "seal"), "linked")
+    # Only linked sets are grouped; any other set's component is the smallest id that has it.
+    linked = part.join(reps, "seal")
+    linked = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("seal", F.col("component").alias("class"), "least")
+    of_set = reps.join(linked, "seal", "left").select("seal", F.coalesce("class", "seal").alias("class"), F.coalesce("least", "id").alias("component"))
     none = F.lit(None).cast("long")
-    out = out.select("id", "n", F.coalesce("component", "id").alias("component_id")).unionByName(nameless.select(none.alias("id"), "n", none.alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    filled = known.where("n > 0").join(of_set, "seal", "left").select("id", "n", "seal", "class", "component")
+    bare = known.where("n = 0").select("id", "n", "seal", none.alias("class"), F.col("id").alias("component"))
+    return filled.unionByName(bare).unionByName(nameless.select(none.alias("id"), "n", *[none.alias(c) for c in ("seal", "class", "component")]))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """For each row: id, n_shingles and component_id (the smallest id that links reach, its own included).  Rows of equal id are one
+    node here, whatever their sets, so they join the components of their sets.  how: parameters of ``set_components``."""
+    rows = written(set_components(docs, id_col, text, **how), "rows")
+    least, largest = F.min("component").alias("least"), F.max("component").alias("largest")
+    several = written(rows.where("id IS NOT NULL").groupBy("id").agg(least, largest).where("least <> largest").select("id", "least"), "several")
+    if several.count():
+        joined = rows.join(several, "id").where("component <> least").select(F.col("component").alias("a"), F.col("least").alias("b"))
+        merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        rows = rows.join(merged, "component", "left").withColumn("component", F.coalesce("merged", "component"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def with_seal(docs: DataFrame, text: str, name: str, size: int = 5) -> DataFrame:
+    """All columns and the seal of each text's set, 0 for an empty set."""
+    compute = lambda texts: [seals(*shingle_sets(texts, size))]
+    at = free_name(docs, f"{name}_of")
+    out = append_struct(docs, text, at, compute, T.StructType([T.StructField("seal", T.LongType())]))
+    return out.withColumn(name, F.col(f"`{at}`.seal")).drop(at)
 
 
 def clusters_spec(needed: DataFrame) -> DataFrame:

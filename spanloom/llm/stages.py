@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.arrowmap import free_name
 from spanloom.llm.decontaminate import find_phrases, without
 from spanloom.llm.mixing import BROADCAST_SOURCES, mix, with_size
-from spanloom.llm.ngram_join import BROADCAST_IDS, jaccard_components
+from spanloom.llm.ngram_join import BROADCAST_IDS, set_components, with_seal
 from spanloom.llm.quality_rules import fit_rules, judge
 from spanloom.llm.secret_scan import scan_secrets
 from spanloom.llm.store import FEW_ROWS, batch_rows, written
@@ -33,17 +33,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one of the smallest id stays; of rows with equal ids, the longest text (the
-    first in order among equal lengths).  Rows without an id stay, as they can't be grouped."""
-    parts = written(jaccard_components(docs.select("doc_id", "text")), "components")
-    goes = written(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "goes")
-    twice = written(parts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id")), "twice")
+    """Of rows whose sets links connect, the one of the smallest id stays; of those with this id, the longest text (the first in
+    order among equal lengths).  Each row is judged by its own set: rows that share an id and nothing else all stay, as
+    do rows without an id and those without words."""
+    parts = written(set_components(docs.select("doc_id", "text")), "components").where("id IS NOT NULL")
+    seal, of_set, least, chars = (free_name(docs, x) for x in ("set_seal", "set_class", "set_least", "set_chars"))
+    twice = written(parts.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone_id")), "twice")
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+    some = small(twice)
+    goes = written(parts.where("id <> component").join(some, F.col("id") == F.col("gone_id"), "left_anti").select(F.col("id").alias("gone_id")), "goes")
     left = docs.join(small(goes), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    once = left.join(small(twice), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = left.join(small(twice), F.col("doc_id") == F.col("gone_id"), "left_semi")
-    best = F.max(F.struct(F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), F.xxhash64("text").alias("seal"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("best")
-    return once.unionByName(again.groupBy("doc_id").agg(best).select("best.row.*"))
+    once = left.join(some, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # Rows of repeated ids, few as a rule, are told apart by their sets.
+    sets = parts.where("n > 0").join(some, F.col("id") == F.col("gone_id"), "left_semi").select(F.col("seal").alias(seal), F.col("class").alias(of_set), F.col("component").alias(least)).distinct()
+    again = with_seal(left.join(some, F.col("doc_id") == F.col("gone_id"), "left_semi"), "text", seal)
+    bare = again.where(F.col(seal) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    first = again.where(F.col(seal) != 0).join(sets, seal).where(F.col(least) == F.col("doc_id"))
+    best = F.max(F.struct(F.length("text").alias(chars), F.xxhash64("text").alias(seal), row)).alias("best")
+    return once.unionByName(bare).unionByName(first.groupBy("doc_id", of_set).agg(best).select("best.row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,33 @@ def components(rows, percent=75):
     return {i: (len(sets[i]), root(i)) for i in ids} | nameless
 
 
+def near_kept(rows, percent=75):
+    """Which rows the near-duplicate stage keeps, by row and not by id: for each row its number, or nothing if it goes."""
+    sets = [shingles(r[1]) for r in rows]
+    use = [k for k, r in enumerate(rows) if r[0] is not None and sets[k]]
+    up = {k: k for k in use}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for n, a in enumerate(use):
+        for b in use[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                up[root(b)] = root(a)
+    classes = {}
+    for k in use:
+        classes.setdefault(root(k), []).append(k)
+    kept = {k for k in range(len(rows)) if k not in up}
+    for members in classes.values():
+        least = min(rows[k][0] for k in members)
+        longest = max(len(rows[k][1]) for k in members if rows[k][0] == least)
+        kept.add(min(k for k in members if rows[k][0] == least and len(rows[k][1]) == longest))
+    return kept
+
+
 def statistics(text):
     text = text or ""
     words = WORD.findall(text)
@@ -258,8 +285,8 @@ def pipeline(rows, items, rejects, encode):
     copy) of every row of the corpus."""
     stats = [statistics(r[1]) for r in rows]
     rows = [r for r, s in zip(rows, stats, strict=True) if s[0] >= 50 and 100 * s[4] <= 50 * s[0] and not rejects(r[1])]
-    part = components(rows)
-    rows = [r for r in rows if r[0] is None or part[r[0]][1] == r[0]]
+    kept = near_kept(rows)
+    rows = [r for k, r in enumerate(rows) if k in kept]
     rows = [(r[0], *decontaminated(r[1], items), r[3]) for r in rows]
     rows = [(i, t if t is None else masked(t, secrets(t, encode)[1]), s) for i, t, gone, s in rows if not gone]
     sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]

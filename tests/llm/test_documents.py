@@ -299,6 +299,26 @@ def test_stages_keep_columns_and_take_effect(spark, docs, none, folder, rows):
                     assert len(brute.BENCH_WORD.findall(kept[i]["text"])) == hit[i][0] - hit[i][1] and kept[i]["n_chars"] == len(kept[i]["text"])
 
 
+def test_near_duplicates_are_judged_by_row(spark):
+    """Rows that share an id and nothing else are all clean; only rows that link go."""
+    say = lambda word, n=60: " ".join(f"{word}{i}" for i in range(n))
+    a, b, near = say("a"), say("b"), say("a") + " tail"
+    rows = [(1, a), (2, a), (2, say("unrelated")), (3, say("x")), (3, say("y")), (4, b), (4, b), (4, b + " end"), (5, b), (None, a), (None, a), (6, ""), (6, None), (6, "short one"), (7, "short one"), (7, near), (1, near)]
+    rows = [(i, t, "en", "s") for i, t in rows]
+    got = [(r["doc_id"], r["text"]) for r in stages.near_duplicates(spark, table(spark, rows), "").collect()]
+    want = [(r[0], r[1]) for k, r in enumerate(rows) if k in brute.near_kept(rows)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(2, say("unrelated")), (3, say("x")), (3, say("y")), (6, "short one"), (6, "")} <= set(got) and (2, a) not in got and (1, near) in got and (1, a) not in got
+
+
+def test_hot_id_of_unrelated_texts(spark):
+    """A third of all rows have one id: none is lost, and links of the others hold."""
+    say = lambda word, n=30: " ".join(f"{word}w{i}" for i in range(n))
+    rows = [(9, say(f"h{i}"), "en", "s") for i in range(150)] + [(100 + i, say(f"o{i // 2}"), "en", "s") for i in range(300)]
+    got = [(r["doc_id"], r["text"]) for r in stages.near_duplicates(spark, table(spark, rows), "").collect()]
+    assert sorted(got) == sorted((r[0], r[1]) for k, r in enumerate(rows) if k in brute.near_kept(rows)) and len(got) == 300
+
+
 def test_secret_query(spark, folder, rows):
     encode = encoding(VOCABULARY).encode_ordinary
     got = by_id(registry.QUERIES["op3_secret_scan"](spark, folder))
