@@ -38,6 +38,8 @@ from spanloom.llm.textnp import U64, Texts, chunks, mix, prefix_sums, range_hash
 
 _CODES = ["|b1", "|u1", "<u2", "<u4", "<u8", "<i4", "<i8"]
 _SMALL = 1 << 10
+#: Stands in for the id of rows that have none; their salt keeps them apart.
+NO_ID = -(2**63)
 #: At most so many prefixes, and 4 lengths of each, are known to be frequent; groups grow before this does.
 FREQUENT_PREFIXES = 100_000
 
@@ -123,8 +125,10 @@ def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - first, size)
 
 
-def home_of(ids: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) % U64(n_buckets)).astype(np.int64)
+def home_of(ids: np.ndarray, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The home of a row: by its id, and by its text's hash where it has none."""
+    key = np.where(ids == NO_ID, hashes, ids).astype(np.int64)
+    return (mix(key.view(U64)) % U64(n_buckets)).astype(np.int64)
 
 
 def find_runs(docs: DataFrame, kind: Kind, n_buckets: int) -> DataFrame:
@@ -154,7 +158,7 @@ def find_runs(docs: DataFrame, kind: Kind, n_buckets: int) -> DataFrame:
                 at = single[asked.get(bucket, nothing)]
                 rows.append((bucket, False, pack(once[told.get(bucket, nothing)], np.diff(ids[doc[at]], prepend=0), hashes[doc[at]], gram[at], start[at], count[at], ahead[at])))
             many = np.flatnonzero(known)
-            for home, k in _split(home_of(ids[doc[many]], n_buckets)):
+            for home, k in _split(home_of(ids[doc[many]], hashes[doc[many]], n_buckets)):
                 at = many[k]
                 rows.append((home, True, pack(ids[doc[at]], hashes[doc[at]], gram[at], start[at], count[at], ahead[at])))
             if rows:
@@ -192,7 +196,7 @@ def repeated_runs(n_buckets: int):
             hashes, gram, start, count, ahead = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
             keep = np.flatnonzero(_twins(gram) | np.isin(gram, once))
             rows = []
-            for h, at in _split(home_of(ids[keep], n_buckets)):
+            for h, at in _split(home_of(ids[keep], hashes[keep], n_buckets)):
                 k = keep[at]
                 rows.append((h, pack(ids[k], hashes[k], gram[k], start[k], count[k], ahead[k])))
             if rows:
@@ -214,7 +218,7 @@ def pack_texts(docs: DataFrame, n_buckets: int) -> DataFrame:
             if batch.num_rows:
                 ids, hashes, salts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 texts = whole(batch.column(3))
-                yield _batches(["home", "payload"], [(h, _pack_rows(ids, hashes, salts, texts, at)) for h, at in _split(home_of(ids, n_buckets))], [pa.int32(), pa.binary()])
+                yield _batches(["home", "payload"], [(h, _pack_rows(ids, hashes, salts, texts, at)) for h, at in _split(home_of(ids, hashes, n_buckets))], [pa.int32(), pa.binary()])
 
     return docs.mapInArrow(releasing(run), "home int, payload binary")
 

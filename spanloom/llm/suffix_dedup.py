@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.anchors import Runs, anchor_runs
-from spanloom.llm.repeats import Kind, Strings, checked_gram, covered, expand, remove_repeats, same_id_differs, windows_of
+from spanloom.llm.repeats import NO_ID, Kind, Strings, checked_gram, covered, expand, remove_repeats, same_id_differs, windows_of
 from spanloom.llm.textnp import Texts, prefix_sums, range_hash
 
 GRAM = 32
-#: Stands in for the id of rows that have none; their salt keeps them apart.
-NO_ID = -(2**63)
 
 
 def _upto(values: np.ndarray, at: np.ndarray) -> np.ndarray:

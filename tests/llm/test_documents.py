@@ -15,6 +15,7 @@ from spanloom.llm.mixing import mix, targets, with_size
 from spanloom.llm.ngram_join import jaccard_components
 from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.quality_rules import fit_rules, judge, learn_rules
+from spanloom.llm.repeats import NO_ID, home_of
 from spanloom.llm.secret_scan import KINDS, VOCABULARY, encoding, scan_secrets
 from spanloom.llm.substring_dedup import remove_repeated_words
 from spanloom.llm.suffix_dedup import Collection, remove_repeated_bytes
@@ -60,6 +61,19 @@ def test_rows_without_an_id_stand_alone(spark):
     assert words == sorted([(None, 60, 0), (None, 60, 0), (None, 120, 0), (1, 60, 0), (2, 60, 60)], key=str)
 
 
+def test_rows_without_an_id_are_dealt_to_all_homes(spark):
+    """Ten thousand rows without an id use every home; texts that repeat inside such rows are still found."""
+    hashes = np.random.default_rng(0).integers(-(2**63), 2**63, 10_000)
+    used = np.bincount(home_of(np.full(10_000, NO_ID), hashes, 64), minlength=64)
+    assert used.min() > 80 and used.max() < 250
+    assert len(set(home_of(np.arange(5) // 5 + 7, hashes[:5], 64))) == 1  # an id's rows stay together
+    rng = np.random.default_rng(1)
+    say = lambda: "".join(rng.choice(list("abcdefgh"), 130))
+    rows = [(None, (own := say()) + " " + own if i % 2 else say()) for i in range(200)]
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(table(spark, [(*r, "en", "a") for r in rows])).collect())
+    assert got == [(130, 0)] * 100 + [(261, 130)] * 100
+
+
 def test_components(docs, rows):
     assert by_id(jaccard_components(docs)) == brute.components(rows)
 
