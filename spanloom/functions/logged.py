@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom.functions import messages as M
+from spanloom.functions import runs as R
 from spanloom.functions import text as X
 from spanloom.functions.messages import _filled, _get, _is, _truthy
 
@@ -133,6 +134,8 @@ def run_trace(project: str = "", group_by: str | None = None) -> list[Column]:
     details = lambda kind: F.try_parse_json(f"{kind}_tokens_details")
     read = _count(*[_get(usage, f"$.{k}", "long") for k in ("cache_read_input_tokens", "cache_read", "input_token_details.cache_read")], _get(details("prompt"), "$.cached_tokens", "long"))
     agent, node = call_site(meta, F.col("name"), F.lit(project), group_by)
+    began = F.col("start_time").try_cast("timestamp")
+    score, n_scores = R.feedback(F.coalesce(F.from_json("feedback_stats", "map<string,struct<avg:double,n:bigint>>"), F.create_map().cast("map<string,struct<avg:double,n:bigint>>")))
     own_tools = F.coalesce(_truthy(_get(sent, "$.tools", "variant")), _truthy(_get(sent, "$.functions", "variant")))
     columns = {
         "trace_id": F.substring(F.coalesce(_filled(F.col("trace_id")), F.col("id"), F.lit("")), 1, 64),
@@ -158,6 +161,10 @@ def run_trace(project: str = "", group_by: str | None = None) -> list[Column]:
         "error": F.coalesce(F.col("error"), F.lit("")),
         "start_time": F.coalesce(F.col("start_time"), F.lit("")),
         "source": F.coalesce(_filled(F.lit(project)), _word(meta, "$.ls_project"), F.lit("")),
+        "runtime_ms": R.runtime_ms(began, F.col("end_time").try_cast("timestamp")),
+        "ttft_ms": R.ttft_ms(began, F.col("first_token_time").try_cast("timestamp")),
+        "feedback_score": score,
+        "feedback_n": n_scores,
     }
     return [c.alias(n) for n, c in columns.items()]
 

@@ -89,10 +89,18 @@ def sections(every: DataFrame) -> DataFrame:
     return rows.select("graph_path", name.alias("name"), F.row_number().over(order).alias("place"), "key").orderBy("graph_path", "place")
 
 
-def buckets(calls: DataFrame, by: str, order: str, shown: list[str], most: int) -> DataFrame:
-    """The calls of each call-site in order, numbered: up to ``most`` of each, as a bucket is a window of a log."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return calls.select(by, order, *shown, place.alias("place")).where(F.col("place") <= most)
+def buckets(calls: DataFrame, by: str, order: str, shown: list[str], most: int | None = None, block: int = 1 << 12) -> DataFrame:
+    """The calls of each call-site in order, numbered from 1; ``most``: only the first so many of each.
+
+    Orders are whole numbers.  A call-site's calls are numbered in blocks of ``block`` orders, each a group of its own, and start
+    after those of the blocks before, so a call-site that has a third of all calls is many tasks' work."""
+    rows = calls.select(by, order, *shown, F.floor(F.col(order) / block).alias("block_"))
+    sizes = rows.groupBy(by, "block_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(by, "block_").orderBy(order))
+    rows = rows.withColumn("own_", own).join(sizes.select(by, "block_", before.alias("before_")), [by, "block_"])
+    out = rows.select(by, order, *shown, (F.col("own_") + F.col("before_")).alias("place"))
+    return out if most is None else out.where(F.col("place") <= most)
 
 
 def coverage(rows: DataFrame, sample: DataFrame, by: str, item: str, system: str, user: str) -> DataFrame:

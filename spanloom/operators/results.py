@@ -72,3 +72,27 @@ def found(cells: DataFrame, by: str, text: str, label: str | None = None, verdic
     rows = cells.where(F.contains(F.lower(F.col(by).cast("string")), F.lower(F.lit(text))))
     rows = rows.where(F.col("label") == label) if label else rows
     return (rows.where(F.col("verdict") == verdict) if verdict else rows).select(by).distinct()
+
+
+def documents(cells: DataFrame, answers: DataFrame, votes: DataFrame, page_items: int = 100) -> DataFrame:
+    """Pages of a job's results as JSON: (job_id, page from 1, document).  A document has its requests in order, a request the
+    original's answers and its candidates in order, a candidate its answers, an answer its judges' votes.
+
+    cells: event_id, job_id, seq, label, pos (0: the original), kept, runs, verdict; answers: item, cand, run, model,
+    latency_ms, cost_micros, error, recorded; votes: item, cand, run, vote, kept, reason.  Everything is dealt once by item, which
+    serves all inner levels; a page bounds what is gathered.  Null fields are written as null.
+    """
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    key = ["item", "cand", "run"]
+    judges = votes.repartition("item").groupBy(*key).agg(listed("vote", "kept", "reason").alias("judges"))
+    none = F.array().cast(judges.schema["judges"].dataType)
+    told = answers.repartition("item").join(judges, key, "left").withColumn("judges", F.coalesce("judges", none))
+    runs = told.groupBy("item", "cand").agg(listed("run", "model", "latency_ms", "cost_micros", "error", "recorded", "judges").alias("answers"))
+    sides = cells.select(F.col("event_id").alias("item"), F.col("pos").alias("cand"), "job_id", "seq", "label", "verdict", "kept", F.col("runs").alias("of")).repartition("item")
+    sides = sides.join(runs, ["item", "cand"], "left")
+    own = F.max(F.when(F.col("cand") == 0, F.struct("kept", "of", "answers")))
+    others = F.filter(listed("cand", "label", "verdict", "kept", "of", "answers"), lambda x: x["cand"] > 0)
+    requests = sides.groupBy("item").agg(F.first("job_id").alias("job_id"), F.first("seq").alias("seq"), own.alias("reference"), others.alias("candidates"))
+    page = (F.floor((F.col("seq") - 1) / page_items) + 1).cast("long").alias("page")
+    pages = requests.groupBy("job_id", page).agg(listed("seq", "item", "reference", "candidates").alias("results"))
+    return pages.select("job_id", "page", F.to_json(F.struct("job_id", "page", "results"), {"ignoreNullFields": "false"}).alias("document"))

@@ -55,6 +55,44 @@ def logs_lookup(spark: SparkSession, d: str) -> DataFrame:
     return logs.lookup(table(spark, d, "runs"), ids, "run_id").select("run_id", F.coalesce(F.when(F.col("output") != "", F.col("output")), F.col("error")).alias("response"))
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_orderdate >= DATE '1993-06-01')
+WHERE k <= 5 ORDER BY o_orderkey LIMIT 2000"""
+)
+def logs_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A log of orders (priority as run type, status as agent, customer as prompt) by type, agent and window, at most five copies of a
+    prompt, 2,000 rows in all: the limits are the feature."""
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    out = logs.scan(rows, "o_orderkey", "o_custkey", equal={"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}, time="o_orderdate", since="1993-06-01")
+    return out.select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+#: Logged calls as JSON: requests that are objects or bare messages, parameters beside them that clash with the body, are null or unknown.
+_LOGGED = """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN concat('[{{"content":"q', event_id, '","role":"user"}}]')
+  ELSE concat('{{"messages":[{{"content":"q', event_id, '","role":"user"}}],"temperature":', event_id % 3, ',"x":{{"a":[1,null]}},"model":"asked-', event_id % 4, '"', CASE WHEN event_id % 7 = 0 THEN ',"stop":null' ELSE '' END, '}}') END AS request,
+  CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '[1]' ELSE concat('{{"temperature":9,"max_tokens":', event_id % 900, ',"stop":["a","b"],"seed":null,"unknown":1,"tools":[{{"name":"t', event_id % 3, '"}}]}}') END AS params,
+  CASE WHEN event_id % 8 = 0 THEN NULL WHEN event_id % 8 = 1 THEN '{{"choices":[]}}' ELSE concat('{{"model":"answered-', event_id % 3, '"}}') END AS response, CASE WHEN event_id % 9 = 0 THEN 'routed' WHEN event_id % 9 = 1 THEN '' END AS served FROM {events}"""
+_BESIDE = ", ".join(f"'{k}'" for k in logs.BESIDE)
+
+
+@query(
+    f"""WITH c AS ({_LOGGED.format(events="events")}), l AS (SELECT * FROM c WHERE event_id IN (SELECT doc_id FROM documents)),
+b AS (SELECT event_id, j.key, CAST(j.value AS VARCHAR) AS value FROM l, json_each(CASE WHEN left(request, 1) = '{{' THEN request ELSE '{{"messages":' || request || '}}' END) AS j),
+p AS (SELECT event_id, j.key, CAST(j.value AS VARCHAR) AS value FROM l, json_each(CASE WHEN left(params, 1) = '{{' THEN params ELSE '{{}}' END) AS j WHERE j.key IN ({_BESIDE}) AND CAST(j.value AS VARCHAR) <> 'null'),
+m AS (SELECT event_id, '"' || coalesce(nullif(served, ''), json_extract_string(response, '$.model')) || '"' AS value FROM l)
+SELECT event_id, key, value FROM b WHERE key <> 'model' OR event_id NOT IN (SELECT event_id FROM m WHERE value IS NOT NULL)
+UNION ALL SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.event_id = p.event_id AND b.key = p.key) UNION ALL SELECT event_id, 'model', value FROM m WHERE value IS NOT NULL"""
+)
+def logs_lookup_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the calls that any document is numbered after: parameters under the body, the model that answered on top; a row
+    for each key."""
+    calls = spark.sql(_LOGGED, events=spark.read.parquet(f"{d}/events.parquet"))
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("event_id"))
+    found = logs.lookup(calls, ids, "event_id")
+    whole = logs.whole_request(*[F.col(c) for c in ("request", "params", "response", "served")])
+    return found.select("event_id", F.explode(whole)).select("event_id", "key", F.to_json("value").alias("value"))
+
+
 @query(
     oracle(
         """WITH u AS (SELECT 'revision' AS field, revision AS value, day FROM runs UNION ALL SELECT 'name', name, day FROM runs UNION ALL SELECT 'node', node_hint, day FROM runs WHERE node_hint IS NOT NULL),
@@ -113,11 +151,11 @@ def diagnose_numbers_difference(spark: SparkSession, d: str) -> DataFrame:
     return a.select("n").exceptAll(a.where("doc_id % 2 = 0").select("n")).groupBy("n").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT event_type AS k, arg_max(value, event_id) AS v, count(*) AS writes FROM events GROUP BY event_type")
+@query("SELECT event_type AS k, arg_max(value, event_id) AS v, count(*) AS writes, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_at FROM events GROUP BY event_type")
 def store_last_write_wins(spark: SparkSession, d: str) -> DataFrame:
     """A key-value store's state: the last write of each key."""
     g = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("k"))
-    return g.agg(F.max_by("value", "event_id").alias("v"), F.count(F.lit(1)).alias("writes"))
+    return g.agg(F.max_by("value", "event_id").alias("v"), F.count(F.lit(1)).alias("writes"), F.unix_timestamp(F.max("ts").cast("timestamp")).alias("last_at"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -128,10 +166,26 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.option("pathGlobFilter", "events.parquet").parquet(d) if single else stream.parquet(f"{d}/events.parquet")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
+#: When events arrive: in four runs by day of the month; every 17th a run late, every 101st two runs late.
+_ARRIVAL = "least(3, floor((day(ts) - 1) / 8) + CASE WHEN event_id % 101 = 0 THEN 2 WHEN event_id % 17 = 0 THEN 1 ELSE 0 END)"
+
+
+@query(
+    f"""WITH e AS (SELECT *, CAST({_ARRIVAL} AS BIGINT) AS run, date_trunc('day', ts) AS d FROM events), m AS (SELECT run, max(ts) AS latest FROM e GROUP BY run),
+w AS (SELECT r.run, max(m.latest) - INTERVAL 10 DAY AS mark FROM (SELECT DISTINCT run FROM e) r LEFT JOIN m ON m.run < r.run GROUP BY r.run),
+k AS (SELECT e.*, coalesce(d + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN w USING (run))
+SELECT CASE WHEN NOT late THEN strftime(d, '%Y-%m-%d') END AS day, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM k GROUP BY ALL"""
+)
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The stream's counts over all events as a batch: a stream keeps back the windows that its watermark has not passed."""
-    return streams.daily(spark.read.parquet(f"{d}/events.parquet"))
+    """Counts of days, upserted by four runs of one stream, part of whose rows are late; without a day: rows too late for their
+    window."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("run", F.expr(_ARRIVAL).cast("long"))
+    runs_ = [e.where(F.col("run") == k).drop("run") for k in range(4)]
+    counted, arrived = streams.upserted(runs_, lambda s: streams.daily(s, "10 days"), ["day", "event_type"])
+    seen = counted.groupBy("event_type").agg(F.sum("n").alias("seen"), F.sum("ids").alias("seen_ids"))
+    late = arrived.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).join(seen, "event_type", "left").na.fill(0)
+    late = late.select(F.lit(None).cast("string").alias("day"), "event_type", (F.col("n") - F.col("seen")).alias("n"), (F.col("ids") - F.col("seen_ids")).alias("ids"))
+    return counted.unionByName(late.where("n > 0"))
 
 
 @query(
@@ -143,11 +197,23 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(spark.read.parquet(f"{d}/events.parquet"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT event_id % 500 AS item, 'w' || (user_id % 5) AS worker, event_id % 1000 + 1 AS second, ['claim', 'claim', 'beat', 'done'][event_id % 4 + 1] AS kind FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY second, worker, kind) AS k FROM l),
+s AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS k, '' AS holder, CAST(0 AS BIGINT) AS seen, false AS done, '' AS worker, CAST(0 AS BIGINT) AS second, '' AS kind, false AS accepted, '' AS lapsed, CAST(0 AS BIGINT) AS lapsed_at FROM n
+  UNION ALL SELECT item, k, CASE WHEN ok THEN worker ELSE held END, CASE WHEN ok THEN second ELSE seen END, CASE WHEN ok THEN kind = 'done' ELSE done END, worker, second, kind, ok, lapsed, seen + 120
+  FROM (SELECT *, NOT done AND (held = worker OR (held = '' AND kind = 'claim')) AS ok FROM (
+    SELECT n.*, s.seen, s.done, CASE WHEN s.holder <> '' AND NOT s.done AND n.second - s.seen > 120 THEN s.holder ELSE '' END AS lapsed, CASE WHEN s.holder <> '' AND NOT s.done AND n.second - s.seen > 120 THEN '' ELSE s.holder END AS held
+    FROM s JOIN n ON n.item = s.item AND n.k = s.k + 1))),
+z AS (SELECT item, arg_max(holder, k) AS holder, arg_max(seen, k) AS seen, arg_max(done, k) AS done FROM s GROUP BY item)
+SELECT item, worker, second, kind, accepted FROM s WHERE k > 0 UNION ALL SELECT item, lapsed, lapsed_at, 'freed', true FROM s WHERE lapsed <> ''
+UNION ALL SELECT item, holder, seen + 120, 'freed', true FROM z WHERE holder <> '' AND NOT done AND seen + 121 <= (SELECT max(second) FROM l)"""
+)
 def stream_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims, beats and results on requests as a stream with a state and a timer for each request."""
     e = _stream(spark, d)
     kind = F.element_at(F.array(F.lit("claim"), F.lit("claim"), F.lit("beat"), F.lit("done")), (F.col("event_id") % 4 + 1).cast("int"))
-    log = e.select((F.col("event_id") % 500).alias("item"), F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("worker"), (F.col("event_id") % 1000).alias("at"), kind.alias("kind"))
+    log = e.select((F.col("event_id") % 500).alias("item"), F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("worker"), (F.col("event_id") % 1000 + 1).alias("second"), kind.alias("kind"))
     return streams.drained(streams.claims(log), "claims")
 
 

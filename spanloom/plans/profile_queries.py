@@ -139,11 +139,31 @@ def profile_revisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "runs").agg(names("revision").alias("revisions"), names("name").alias("graphs"))
 
 
-@query(oracle("SELECT node, run_id, output, CAST(k AS INT) AS place FROM (SELECT coalesce(node_hint, name) AS node, run_id, output, row_number() OVER (PARTITION BY coalesce(node_hint, name) ORDER BY run_id) AS k FROM runs WHERE run_type = 'llm') WHERE k <= 200", "runs"))
+@query(oracle("SELECT coalesce(node_hint, name) AS node, run_id, output, row_number() OVER (PARTITION BY coalesce(node_hint, name) ORDER BY run_id) AS place FROM runs WHERE run_type = 'llm'", "runs"))
 def profile_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 calls of each node: a bucket is bounded by purpose."""
+    """All calls of each node, numbered in order."""
     rows = table(spark, d, "runs").where("run_type = 'llm'").withColumn("node", F.coalesce("node_hint", "name"))
-    return P.buckets(rows, "node", "run_id", ["output"], 200)
+    return P.buckets(rows, "node", "run_id", ["output"])
+
+
+@query(
+    oracle(
+        """WITH j AS (SELECT item, cand, run, list({'vote': vote, 'kept': kept, 'reason': reason} ORDER BY vote) AS judges FROM votes GROUP BY ALL),
+a AS (SELECT w.item, w.cand, list({'run': w.run, 'model': model, 'latency_ms': latency_ms, 'cost_micros': cost_micros, 'error': error, 'recorded': recorded, 'judges': coalesce(judges, [])} ORDER BY w.run) AS answers
+  FROM answers w LEFT JOIN j ON j.item = w.item AND j.cand = w.cand AND j.run = w.run GROUP BY w.item, w.cand),
+s AS (SELECT event_id AS item, job_id, seq, pos, {'kept': kept, 'of': runs, 'answers': answers} AS own, {'cand': pos, 'label': label, 'verdict': verdict, 'kept': kept, 'of': runs, 'answers': answers} AS one
+  FROM cells JOIN a ON a.item = event_id AND a.cand = pos),
+r AS (SELECT item, job_id, seq, any_value(own) FILTER (WHERE pos = 0) AS reference, list(one ORDER BY pos) FILTER (WHERE pos > 0) AS candidates FROM s GROUP BY ALL),
+p AS (SELECT job_id, CAST((seq - 1) // 100 + 1 AS BIGINT) AS page, list({'seq': seq, 'item': item, 'reference': reference, 'candidates': candidates} ORDER BY seq) AS results FROM r GROUP BY ALL)
+SELECT job_id, page, CAST(to_json({'job_id': job_id, 'page': page, 'results': results}) AS VARCHAR) AS document FROM p""",
+        "cells",
+        "answers",
+        "votes",
+    )
+)
+def results_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of results as JSON: requests, candidates, answers, votes."""
+    return R.documents(*[table(spark, d, t) for t in ("cells", "answers", "votes")])
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW_RUN = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("id", "trace_id", "parent_run_id", "dotted_order", "run_type", "name", "start_time", "end_time", "error", "inputs", "outputs", "extra", "prompt_tokens", "completion_tokens", "prompt_tokens_details", "completion_tokens_details", "total_cost")]
+    [T.StructField(n, T.StringType()) for n in ("id", "trace_id", "parent_run_id", "dotted_order", "run_type", "name", "start_time", "end_time", "error", "inputs", "outputs", "extra", "prompt_tokens", "completion_tokens", "prompt_tokens_details", "completion_tokens_details", "total_cost", "first_token_time", "feedback_stats")]
 )
 
 
@@ -50,6 +50,47 @@ def in_window(day: Column, as_of: str, days: int | None = None, hours: int | Non
     return F.to_date(day) >= F.date_sub(F.lit(as_of).cast("date"), n)
 
 
+def scan(rows: DataFrame, id: str, prompt: str, *, equal: dict[str, str] | None = None, time: str | None = None, since: object = None, copies: int | None = 5, limit: int | None = 2000) -> DataFrame:
+    """A log in one scan: rows of given values (run type, agent, node: ``equal`` goes by column), on or after ``since``, at most so many
+    copies of each prompt, and so many rows in all; of more, those of the smallest ids.
+
+    Conditions are plain comparisons of columns with literals of their own type, so that files and partitions are
+    skipped by them.  Copies are thinned in each task before any row is shuffled.  None: no such limit."""
+    kinds = dict(rows.dtypes)
+    for column, value in (equal or {}).items():
+        rows = rows.where(F.col(column) == F.lit(value).cast(kinds[column]))
+    if time is not None and since is not None:
+        rows = rows.where(F.col(time) >= F.lit(since).cast(kinds[time]))
+    if copies is not None:
+        rows = capped_per_group(rows, F.col(prompt), id, copies)
+    return rows if limit is None else rows.orderBy(id).limit(limit)
+
+
+# Fields that may be logged beside the body of a request instead of in it.
+BESIDE = ["max_tokens", "max_completion_tokens", "tools", "tool_choice", "parallel_tool_calls", "response_format", "temperature", "top_p", "seed", "stop", "reasoning_effort", "frequency_penalty", "presence_penalty"]
+
+
+def whole_request(request: Column, params: Column, response: Column, served: Column) -> Column:
+    """The request of a logged call as a map from key to value (variants), whatever keys there are.
+
+    Known fields of ``params`` (JSON) lie under the body: they count where the body doesn't name the key.  On top is the
+    model that answered: ``served``, else the response's.  A request that is no object is its messages.  Inner objects have
+    their keys in order.
+    """
+    parsed = lambda c: F.try_parse_json(c)
+    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    fields = lambda v: F.when(is_object(v), v.cast("map<string,variant>"))
+    stated = lambda v: F.coalesce(F.schema_of_variant(v) != "VOID", F.lit(False))
+    asked = parsed(request)
+    body = F.coalesce(fields(asked), F.create_map(F.lit("messages"), asked))
+    under = F.map_filter(fields(parsed(params)), lambda k, v: k.isin(BESIDE) & stated(v) & ~F.map_contains_key(body, k))
+    nothing = F.create_map().cast("map<string,variant>")
+    answered = F.coalesce(F.when(served != "", served), F.try_variant_get(parsed(response), "$.model", "string"))
+    top = F.when(answered != "", F.create_map(F.lit("model"), F.to_variant_object(F.create_map(F.lit("m"), answered)).cast("map<string,variant>")["m"]))
+    own = F.when(answered != "", F.map_filter(body, lambda k, v: k != "model")).otherwise(body)
+    return F.map_concat(F.coalesce(under, nothing), own, F.coalesce(top, nothing))
+
+
 def lookup(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is asked for; unknown ids are absent."""
     return rows.join(ids.select(key).distinct(), key, "left_semi")

@@ -162,11 +162,11 @@ def test_claims_and_budget(spark):
 
 
 def test_stream_of_claims(spark, tmp_path):
-    rows = [(1, "a", 0, "claim"), (1, "b", 10, "claim"), (1, "a", 50, "beat"), (1, "b", 300, "claim"), (1, "a", 310, "done"), (1, "b", 320, "done"), (1, "b", 330, "beat")]
-    spark.createDataFrame(rows, "item long, worker string, at long, kind string").write.parquet(str(tmp_path / "log"))
-    log = spark.readStream.schema("item long, worker string, at long, kind string").parquet(str(tmp_path / "log"))
-    got = {(r["worker"], r["at"]): r["accepted"] for r in streams.drained(streams.claims(log), "claims_test").collect()}
-    assert got == {("a", 0): True, ("b", 10): False, ("a", 50): True, ("b", 300): True, ("a", 310): False, ("b", 320): True, ("b", 330): False}
+    rows = [(1, "a", 1, "claim"), (1, "b", 10, "claim"), (1, "a", 50, "beat"), (1, "b", 300, "claim"), (1, "a", 310, "done"), (1, "b", 320, "done"), (1, "b", 330, "beat")]
+    spark.createDataFrame(rows, "item long, worker string, second long, kind string").write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema("item long, worker string, second long, kind string").parquet(str(tmp_path / "log"))
+    got = {(r["worker"], r["second"]): r["accepted"] for r in streams.drained(streams.claims(log), "claims_test").collect()}
+    assert got == {("a", 1): True, ("b", 10): False, ("a", 50): True, ("a", 170): True, ("b", 300): True, ("a", 310): False, ("b", 320): True, ("b", 330): False}
 
 
 def test_read_runs(spark, tmp_path):
