@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import eligible, is_generic, is_json
+from spanloom.operators import facts
 from spanloom.sources.storage import cut
 
 #: Traces of up to so many runs are walked in one array; larger ones by joins.
@@ -82,7 +83,8 @@ def resolve(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
     """``runs`` with node, tagged and path.
 
     node: the run's hint, else that of the nearest ancestor with a hint or the name of the nearest named chain, else its
-    own name (then tagged is false).  path: named ancestors from the outermost, without the node itself.
+    own name (then tagged is false).  path: the recorded ``graph_path`` if the run has one, else named ancestors from the
+    outermost, without the node itself.
     """
     label = _own_label()
     named = F.when(label.isNotNull(), F.array(F.struct("run_id", label.alias("label")))).otherwise(F.array().cast(_NAMED.format(dict(runs.dtypes)["run_id"])))
@@ -92,9 +94,25 @@ def resolve(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
     found = F.coalesce(own, F.get("above_", F.lit(0)))
     rows = rows.withColumn("node", F.coalesce(found, F.when(F.col("name") != "", F.col("name")), F.lit("llm"))).withColumn("tagged", found.isNotNull())
     path = F.array_join(F.reverse(F.filter("above_", lambda x: ~is_generic(x) & (x != F.col("node")))), "/")
+    if "graph_path" in runs.columns:
+        path = F.coalesce(F.when(F.col("graph_path") != "", _bare(F.col("graph_path"))), path)
     return rows.withColumn("path", path).select(*runs.columns, "node", "tagged", "path")
 
 
+def _bare(path: Column) -> Column:
+    return F.btrim(path, F.lit("/"))
+
+
+def _recorded_key(runs: DataFrame, agent: str, name: Column) -> Column:
+    """agent/[recorded path/]name of a run that is no call."""
+    at = _recorded_path(runs)
+    return F.concat_ws("/", F.lit(agent), F.when(at != "", at), name)
+
+
+def _recorded_path(runs: DataFrame) -> Column:
+    return F.coalesce(_bare(F.col("graph_path")), F.lit("")) if "graph_path" in runs.columns else F.lit("")
+
+
 _NAMED = "array<struct<run_id:{},label:string>>"
 
 
@@ -105,11 +123,16 @@ def nearest_label(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
 
 
 def call_sites(resolved: DataFrame, agent: str) -> DataFrame:
-    """llm runs with their call-site key: agent/[path/]node, and ~variant only where a (path, node) has several."""
-    calls = resolved.where(F.col("run_type") == "llm")
-    variant = F.when(F.col("last_role") == "tool", "after-tool").otherwise("initial")
-    calls = calls.withColumn("variant_", variant)
-    calls = cut(calls)  # read for the kinds, the calls and, mostly, statistics
+    """llm runs with their call-site key: agent/[path/]node, and ~variant only where a (path, node) has several.
+
+    A variant is after-tool where any message of the call (``tool_turn``) is a tool's, else the authored frame that its
+    ``prompt`` begins with (see ``facts.frame_variants``), else initial.
+    """
+    calls = cut(resolved.where(F.col("run_type") == "llm"))  # read for frames, kinds, the calls and, mostly, statistics
+    first = calls.where(~F.col("tool_turn")).select("node", "run_id", "trace_id", "prompt")
+    frames = facts.frame_variants(first, "node", "run_id", "trace_id", "prompt").where("frame <> ''").select("run_id", "frame")
+    variant = F.when(F.col("tool_turn"), "after-tool").otherwise(F.coalesce("frame", F.lit("initial")))
+    calls = cut(calls.join(frames.dropDuplicates(["run_id"]), "run_id", "left").withColumn("variant_", variant).drop("frame"))
     # Added up before the shuffle, so a call-site of a third of all calls is as good as any.
     kinds = calls.groupBy("path", "node").agg((F.min("variant_") != F.max("variant_")).alias("several_"))
     calls = calls.join(kinds, ["path", "node"]).withColumn("variant", F.when(F.col("several_"), F.col("variant_")).otherwise("")).drop("several_")
@@ -129,19 +152,23 @@ def nearest_rank(rows: DataFrame, by: str, value: str, quantiles: dict[str, floa
 
 
 def modal(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """The most common value of each group (the first seen of equals), how many values there are, and all as "name xN"."""
+    """The most common value of each group (the first seen of equals), how many values there are, and all as "name xN" and as
+    (name, calls); an empty name is listed as "?"."""
+    name = lambda x: F.when(x["v"] == "", "?").otherwise(x["v"])
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"), F.min(order).alias("first_"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n_")).alias("less"), F.col("first_"), F.col(value).alias("v"), F.col("n_").alias("n"))))
     return counted.groupBy(*by).agg(ranked.alias("all_")).select(
         *by,
         F.col("all_")[0]["v"].alias(value),
         F.size("all_").alias("n_values"),
-        F.array_join(F.transform("all_", lambda x: F.concat(x["v"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("listed"),
+        F.array_join(F.transform("all_", lambda x: F.concat(name(x), F.lit(" x"), x["n"].cast("string"))), ", ").alias("listed"),
+        F.transform("all_", lambda x: F.struct(name(x).alias("name"), x["n"].alias("calls"))).alias("named"),
     )
 
 
 def node_stats(calls: DataFrame) -> DataFrame:
-    """Statistics of each call-site over its usable calls; unusable ones count in errors_excluded alone."""
+    """Statistics of each call-site over its usable calls; unusable ones count in errors_excluded alone.  seen_trace, seen_ord:
+    the first usable call."""
     ok = F.col("usable")
     of = lambda c: F.when(ok, c)
     n = F.count_if(ok)
@@ -157,13 +184,23 @@ def node_stats(calls: DataFrame) -> DataFrame:
         F.bround(F.avg(of(F.col("runtime_ms")))).cast("long").alias("avg_ms"),
         F.sum(of(F.col("n_tools"))).alias("tools"),
         F.count_if(ok & is_json(F.col("output"))).alias("n_json"),
-        F.count_if(ok & (F.col("last_role") == "tool")).alias("n_tool_input"),
+        F.count_if(ok & F.col("tool_turn")).alias("n_tool_input"),
         F.min(of(F.col("day"))).alias("first_day"),
         F.max(of(F.col("day"))).alias("last_day"),
+        F.min(of(F.struct("trace_id", "ord", (~F.col("tagged")).alias("untagged")))).alias("seen_"),
+        (F.sum(of(F.col("cost_micros"))) / 1e6).alias("cost_ls"),
+        F.bround(F.avg(of(F.col("feedback_score"))), 3).alias("feedback_score"),
+        F.bround(F.avg(of(F.col("ttft_ms")))).cast("long").alias("ttft_ms"),
     )
-    ranks = nearest_rank(calls.where("usable"), "key", "out_tokens", {"out_p50": 0.5, "out_p95": 0.95})
+    rows = calls.where("usable")
+    models = modal(rows.withColumn("seen_", F.struct("trace_id", "ord")), ["key"], "model_name", "seen_")
+    models = models.select("key", F.col("model_name").alias("model"), F.col("listed").alias("models"), F.col("named").alias("models_list"), (F.col("n_values") > 1).alias("mixed_model"))
+    ranks = nearest_rank(rows, "key", "out_tokens", {"out_p50": 0.5, "out_p95": 0.95})
     zero = F.lit(0).cast("long")
-    stats = stats.where("samples > 0").join(ranks, "key", "left")  # a call-site of errors alone is no node
+    stats = stats.where("samples > 0").join(ranks, "key", "left").join(models, "key")  # a call-site of errors alone is no node
+    stats = stats.select("*", F.col("seen_.trace_id").alias("seen_trace"), F.col("seen_.ord").alias("seen_ord"), "seen_.untagged").drop("seen_")
+    per_call = lambda c, digits: F.bround(F.col(c) / F.col("samples"), digits)
+    stats = stats.withColumn("avg_tools", per_call("tools", 1)).withColumn("tool_input_rate", per_call("n_tool_input", 2))
     stats = stats.withColumn("out_p50", F.coalesce("out_p50", zero)).withColumn("out_p95", F.coalesce("out_p95", zero))
     kind = F.when(F.col("n_json") * 2 > F.col("samples"), "json").when(F.col("avg_out") < 25, "short").otherwise("free-form")
     rate = F.bround(F.col("errors_excluded") / (F.col("samples") + F.col("errors_excluded")), 3)
@@ -174,7 +211,9 @@ def structural_nodes(runs: DataFrame, agent: str) -> DataFrame:
     """Tools and retrievers by name: calls, errors, traces and mean time."""
     rows = runs.where(F.col("run_type").isin("tool", "retriever")).withColumn("node", F.coalesce("node_hint", "name", "run_type"))
     rows = rows.where(~is_generic(F.col("node")))
-    return rows.groupBy(F.concat(F.lit(agent + "/"), F.col("node")).alias("key"), F.col("run_type").alias("type")).agg(
+    return rows.groupBy(_recorded_key(runs, agent, F.col("node")).alias("key"), F.col("run_type").alias("type")).agg(
+        F.first("node").alias("node"),
+        F.first(_recorded_path(runs)).alias("graph_path"),
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("error") != "").alias("errors"),
         F.count_distinct("trace_id").alias("traces"),
@@ -195,7 +234,7 @@ def flow_edges(resolved: DataFrame, agent: str) -> DataFrame:
     """Pairs of neighbouring nodes inside traces, repeats of one node collapsed, counted; A to B to A is kept.  The most
     frequent first, of equals the one seen first."""
     name = F.coalesce("node_hint", "name")
-    own = F.when(~is_generic(name), F.concat_ws("/", F.lit(agent), name))
+    own = F.when(~is_generic(name), _recorded_key(resolved, agent, name))
     llm = F.when(eligible(F.col("error"), F.col("output")) == "ok", F.concat_ws("/", F.lit(agent), F.when(F.col("path") != "", F.col("path")), F.col("node")))
     keyed = resolved.withColumn("k_", F.when(F.col("run_type") == "llm", llm).otherwise(own)).where("k_ IS NOT NULL")
     w = Window.partitionBy("trace_id").orderBy("ord", "run_id")
@@ -205,22 +244,31 @@ def flow_edges(resolved: DataFrame, agent: str) -> DataFrame:
     return counted.orderBy(F.desc("count"), "seen_").drop("seen_")
 
 
-def merge_variants(stats: DataFrame) -> DataFrame:
-    """Variants of a (path, node) as one row: means weighted by samples, percentiles of the largest variant."""
-    weight = F.sum("samples")
-    mean = lambda c: F.bround(F.sum(F.col(c) * F.col("samples")) / weight).cast("long").alias(c)
-    largest = F.struct(F.col("samples"), F.when(F.col("variant") == "after-tool", 0).otherwise(1))
-    merged = stats.groupBy("graph_path", "node").agg(
+def merge_variants(stats: DataFrame, calls: DataFrame) -> DataFrame:
+    """Variants of a (path, node) as one row: means weighted by samples, percentiles and kind of answers of the largest variant (the
+    first seen of equals), models and tag of the one seen first, and traces counted over all of its calls."""
+    weight, by = F.sum("samples"), ["graph_path", "node"]
+    seen = F.struct("seen_trace", "seen_ord")
+    largest = F.struct((-F.col("samples")).alias("less"), seen.alias("seen"))
+    weighted = lambda c: F.sum(F.col(c) * F.col("samples"))
+    given = lambda c: F.try_divide(weighted(c), F.sum(F.when(F.col(c).isNotNull(), F.col("samples"))))
+    mean = lambda c: F.bround(weighted(c) / weight).cast("long").alias(c)
+    merged = stats.groupBy(*by).agg(
         weight.alias("calls"),
-        mean("avg_in"),
-        mean("avg_out"),
-        mean("avg_ms"),
-        F.max_by("out_p50", largest).alias("out_p50"),
-        F.max_by("out_p95", largest).alias("out_p95"),
+        *[F.min_by(c, seen).alias(c) for c in ("variant", "model", "models", "models_list", "untagged")],
+        *[F.min_by(c, largest).alias(c) for c in ("out_p50", "out_p95", "out_type")],
+        *[mean(c) for c in ("avg_in", "avg_out", "avg_ms")],
+        F.bool_or("mixed_model").alias("mixed"),
+        F.bround(F.sum("cost_ls"), 6).alias("cost_ls"),
         F.sum("errors_excluded").alias("errors_excluded"),
+        F.bround(weighted("avg_tools") / weight, 1).alias("avg_tools"),
+        F.bround(weighted("tool_input_rate") / weight, 2).alias("tool_input_rate"),
+        F.bround(given("ttft_ms")).cast("long").alias("ttft_ms"),
+        F.bround(given("feedback_score"), 3).alias("feedback_score"),
         F.count(F.lit(1)).alias("variants"),
     )
-    return merged.withColumn("error_rate", F.bround(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
+    traces = calls.where("usable").groupBy(F.col("path").alias("graph_path"), "node").agg(F.first("site").alias("key"), F.count_distinct("trace_id").alias("traces"))
+    return merged.join(traces, by).withColumn("error_rate", F.bround(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
 
 
 def sub_agents(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:

@@ -15,7 +15,7 @@ def with_cost(nodes: DataFrame, prices: DataFrame, basis: int, digits: int = 6)
     stated = F.when(F.col("cost_platform") > 0, F.col("cost_platform") / F.greatest(F.lit(1), F.col("calls")))
     rows = rows.withColumn("per_call", F.coalesce(listed, stated)).withColumn("source", F.when(listed.isNotNull(), "catalog").when(stated.isNotNull(), "platform").otherwise("unknown"))
     total = F.when(listed.isNotNull(), listed * F.col("calls")).otherwise(F.when(stated.isNotNull(), F.col("cost_platform")))
-    return rows.withColumn("per_basis", F.bround(F.col("per_call") * basis, digits)).withColumn("total_measured", F.bround(total, digits)).withColumn("per_call", F.bround("per_call", digits + 3)).drop("input", "output")
+    return rows.withColumn("per_basis", F.bround(F.col("per_call") * basis, digits)).withColumn("total_measured", F.bround(total, digits + 3)).withColumn("per_call", F.bround("per_call", digits + 3)).drop("input", "output")
 
 
 def shape(out_type: Column, avg_out: Column, avg_in: Column, tool_input_rate: Column, avg_tools: Column) -> Column:
@@ -84,7 +84,7 @@ def sections(every: DataFrame) -> DataFrame:
     """graph_path, name, place and key: nodes by subgraph, the top level first, then by name; call-sites first, dear ones first."""
     path = F.coalesce("graph_path", F.lit(""))
     rows = every.select(path.alias("graph_path"), "key", "type", "per_basis")
-    order = Window.partitionBy("graph_path").orderBy((F.col("type") != "llm").cast("int"), F.coalesce("per_basis", F.lit(0.0)).desc(), "key")
+    order = Window.partitionBy("graph_path").orderBy((F.col("type") != "llm").cast("int"), F.coalesce("per_basis", F.lit(0.0)).desc(), "key", "type")
     name = F.when(F.col("graph_path") != "", F.col("graph_path")).otherwise("top level")
     return rows.select("graph_path", name.alias("name"), F.row_number().over(order).alias("place"), "key").orderBy("graph_path", "place")
 

@@ -19,7 +19,11 @@ RUNS = f"""SELECT r.event_id AS run_id, r.user_id AS trace_id, r.ord AS ord, p.e
     ELSE concat('Answer number ', CAST(r.k AS string), ' told in a few more words.') END AS output,
   CAST(floor(r.value * 10) AS bigint) AS runtime_ms, 50 + r.k * 7 AS in_tokens, (r.event_id * 3 + r.k) % 90 AS out_tokens, r.k % 3 AS n_tools,
   (r.user_id + r.k % 2) % 46 AS model_ord, concat('rev', CAST(CAST(floor((day(r.ts) - 1) / 10) AS bigint) AS string)) AS revision,
-  CAST(CAST(r.ts AS date) AS string) AS day, CASE WHEN r.k % 5 = 0 THEN 'tool' ELSE 'user' END AS last_role, r.k AS k
+  CAST(CAST(r.ts AS date) AS string) AS day, CASE WHEN r.k % 5 = 0 THEN 'tool' ELSE 'user' END AS last_role, r.k AS k,
+  CASE r.k % 11 WHEN 0 THEN 'billing' WHEN 1 THEN '/refund/' ELSE '' END AS graph_path, (r.k % 5 = 0 OR r.k % 8 = 1) AS tool_turn,
+  CASE WHEN r.k % 17 = 0 THEN '' ELSE concat('m', CAST((r.user_id + r.k % 2) % 46 AS string)) END AS model_name, r.k % 40 AS cost_micros,
+  CASE WHEN r.k % 3 = 0 THEN CAST(r.k % 5 AS double) / 4 END AS feedback_score, CASE WHEN r.k % 4 <> 0 THEN r.k * 3 END AS ttft_ms,
+  CASE WHEN r.k % 7 = 3 THEN 'Hello there' WHEN r.k % 2 = 0 THEN concat('Plan the next steps for the request ', CAST(r.k AS string)) ELSE concat('Review the answer below for any mistakes ', CAST(r.k AS string)) END AS prompt
 FROM ({_NUMBERED}) r LEFT JOIN ({_NUMBERED}) p ON p.user_id = r.user_id AND r.ord > 1 AND p.ord = CAST(floor(r.ord / 2) AS bigint)"""
 
 #: Calls: every assistant turn with the turns before it.

@@ -17,10 +17,16 @@ _UP = f"""up AS (SELECT trace_id, run_id, parent_id AS at, 1 AS depth FROM runs
 above AS (SELECT up.run_id, depth, {_LABEL} AS label FROM up JOIN runs p ON p.trace_id = up.trace_id AND p.run_id = up.at),
 nearest AS (SELECT run_id, arg_min(label, depth) AS label FROM above WHERE label IS NOT NULL GROUP BY run_id),
 named AS (SELECT r.*, coalesce(nullif(r.node_hint, ''), n.label, nullif(r.name, ''), 'llm') AS node, coalesce(nullif(r.node_hint, ''), n.label) IS NOT NULL AS tagged FROM runs r LEFT JOIN nearest n ON n.run_id = r.run_id),
-resolved AS (SELECT n.*, coalesce(p.path, '') AS path FROM named n LEFT JOIN (SELECT a.run_id, string_agg(a.label, '/' ORDER BY a.depth DESC) AS path
+resolved AS (SELECT n.*, CASE WHEN n.graph_path <> '' THEN trim(n.graph_path, '/') ELSE coalesce(p.path, '') END AS path FROM named n LEFT JOIN (SELECT a.run_id, string_agg(a.label, '/' ORDER BY a.depth DESC) AS path
   FROM above a JOIN named m ON m.run_id = a.run_id WHERE a.label IS NOT NULL AND lower(trim(a.label)) NOT IN ({_GENERIC}) AND a.label <> m.node GROUP BY a.run_id) p ON p.run_id = n.run_id)"""
 _CALLS = f"""{_UP},
-v AS (SELECT *, CASE WHEN last_role = 'tool' THEN 'after-tool' ELSE 'initial' END AS v, trim(output) <> '' AS usable FROM resolved WHERE run_type = 'llm'),
+ll AS (SELECT *, trim(output) <> '' AS usable FROM resolved WHERE run_type = 'llm'),
+fc AS (SELECT node, run_id, trace_id, CASE WHEN len(string_split(prompt, ' ')) >= 6 THEN string_split(prompt, ' ')[1:6] END AS six FROM ll WHERE NOT tool_turn),
+fr AS (SELECT node, six, left(regexp_replace(lower(array_to_string(six[1:3], '')), '[^a-z0-9]+', '', 'g'), 14) AS frame FROM fc WHERE six IS NOT NULL GROUP BY node, six HAVING count(*) >= greatest(2, 0.2 * (SELECT count(*) FROM fc x WHERE x.node = fc.node))),
+ft AS (SELECT node, trace_id, count(*) AS n, count(DISTINCT fr.six) AS k FROM fc LEFT JOIN fr USING (node, six) GROUP BY ALL),
+fk AS (SELECT node FROM ft WHERE n >= 2 GROUP BY node HAVING count(*) FILTER (WHERE k >= 2) * 2 >= count(*) INTERSECT SELECT node FROM fr GROUP BY node HAVING count(*) >= 2),
+fv AS (SELECT run_id, frame FROM fc JOIN fr USING (node, six) WHERE node IN (SELECT node FROM fk)),
+v AS (SELECT ll.*, CASE WHEN tool_turn THEN 'after-tool' ELSE coalesce(frame, 'initial') END AS v FROM ll LEFT JOIN fv USING (run_id)),
 w AS (SELECT *, min(v) OVER (PARTITION BY path, node) <> max(v) OVER (PARTITION BY path, node) AS several FROM v),
 calls AS (SELECT *, CASE WHEN several THEN v ELSE '' END AS variant, concat_ws('/', 'agent', nullif(path, ''), node) AS site,
   concat_ws('/', 'agent', nullif(path, ''), node) || CASE WHEN several THEN '~' || v ELSE '' END AS key FROM w)"""
@@ -29,11 +35,17 @@ agg AS (SELECT key, min(node) AS node, min(path) AS graph_path, min(variant) AS
   count(DISTINCT trace_id) FILTER (WHERE usable) AS traces, count(*) FILTER (WHERE NOT usable) AS errors_excluded,
   CAST(round_even(avg(in_tokens) FILTER (WHERE usable), 0) AS BIGINT) AS avg_in, CAST(round_even(avg(out_tokens) FILTER (WHERE usable), 0) AS BIGINT) AS avg_out,
   CAST(round_even(avg(runtime_ms) FILTER (WHERE usable), 0) AS BIGINT) AS avg_ms, CAST(sum(n_tools) FILTER (WHERE usable) AS BIGINT) AS tools,
-  count(*) FILTER (WHERE usable AND left(output, 1) IN ('{{', '[')) AS n_json, count(*) FILTER (WHERE usable AND last_role = 'tool') AS n_tool_input,
+  count(*) FILTER (WHERE usable AND left(output, 1) IN ('{{', '[')) AS n_json, count(*) FILTER (WHERE usable AND tool_turn) AS n_tool_input,
+  min({{'t': trace_id, 'o': ord, 'u': NOT tagged}}) FILTER (WHERE usable) AS seen, sum(cost_micros) FILTER (WHERE usable) / 1e6 AS cost_ls,
+  round_even(avg(feedback_score) FILTER (WHERE usable), 3) AS feedback_score, CAST(round_even(avg(ttft_ms) FILTER (WHERE usable), 0) AS BIGINT) AS ttft_ms,
   list_sort(list(out_tokens) FILTER (WHERE usable)) AS outs, min(day) FILTER (WHERE usable) AS first_day, max(day) FILTER (WHERE usable) AS last_day FROM calls GROUP BY key),
-stats AS (SELECT * EXCLUDE (outs), CAST(outs[least(len(outs) - 1, CAST(floor(len(outs) * 0.5) AS INT)) + 1] AS BIGINT) AS out_p50, CAST(outs[least(len(outs) - 1, CAST(floor(len(outs) * 0.95) AS INT)) + 1] AS BIGINT) AS out_p95,
+mn AS (SELECT key, model_name AS v, count(*) AS n, min({{'t': trace_id, 'o': ord}}) AS first FROM calls WHERE usable GROUP BY ALL),
+ml AS (SELECT key, list(v ORDER BY n DESC, first)[1] AS model, string_agg(CASE WHEN v = '' THEN '?' ELSE v END || ' x' || n, ', ' ORDER BY n DESC, first) AS models,
+  CAST(to_json(list({{'name': CASE WHEN v = '' THEN '?' ELSE v END, 'calls': n}} ORDER BY n DESC, first)) AS VARCHAR) AS models_list, count(*) > 1 AS mixed_model FROM mn GROUP BY key),
+stats AS (SELECT agg.* EXCLUDE (outs, seen), seen.t AS seen_trace, seen.o AS seen_ord, seen.u AS untagged, round_even(tools / samples, 1) AS avg_tools, round_even(n_tool_input / samples, 2) AS tool_input_rate, CAST(outs[least(len(outs) - 1, CAST(floor(len(outs) * 0.5) AS INT)) + 1] AS BIGINT) AS out_p50, CAST(outs[least(len(outs) - 1, CAST(floor(len(outs) * 0.95) AS INT)) + 1] AS BIGINT) AS out_p95,
   CASE WHEN n_json * 2 > samples THEN 'json' WHEN avg_out < 25 THEN 'short' ELSE 'free-form' END AS out_type,
-  round_even(errors_excluded / (samples + errors_excluded), 3) AS error_rate FROM agg WHERE samples > 0)"""
+  round_even(errors_excluded / (samples + errors_excluded), 3) AS error_rate FROM agg WHERE samples > 0),
+full_stats AS (SELECT stats.*, ml.* EXCLUDE (key) FROM stats JOIN ml USING (key))"""
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -54,9 +66,9 @@ def graph_nearest_label_by_jumps(spark: SparkSession, d: str) -> DataFrame:
     return G.nearest_label(table(spark, d, "runs"), small=0)
 
 
-@query(oracle(f"WITH {_STATS} SELECT * FROM stats", "runs", recursive=True))
+@query(oracle(f"WITH {_STATS} SELECT * FROM full_stats", "runs", recursive=True))
 def graph_node_stats(spark: SparkSession, d: str) -> DataFrame:
-    return G.node_stats(calls(spark, d)).orderBy(F.desc("avg_out"), "key")
+    return G.node_stats(calls(spark, d)).withColumn("models_list", F.to_json("models_list")).orderBy(F.desc("avg_out"), "key")
 
 
 @query(
@@ -71,12 +83,12 @@ def graph_modal_models(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.catalog import catalog
 
     rows = calls(spark, d).where("usable").join(catalog(spark).select(F.col("ord").cast("long").alias("model_ord"), F.col("name").alias("model")), "model_ord")
-    return G.modal(rows, ["key"], "model", "run_id")
+    return G.modal(rows, ["key"], "model", "run_id").drop("named")
 
 
 @query(
     oracle(
-        f"""SELECT 'agent/' || coalesce(node_hint, name, run_type) AS key, run_type AS type, count(*) AS calls, count(*) FILTER (WHERE error <> '') AS errors, count(DISTINCT trace_id) AS traces,
+        f"""SELECT concat_ws('/', 'agent', nullif(trim(graph_path, '/'), ''), coalesce(node_hint, name, run_type)) AS key, run_type AS type, min(coalesce(node_hint, name, run_type)) AS node, min(trim(graph_path, '/')) AS graph_path, count(*) AS calls, count(*) FILTER (WHERE error <> '') AS errors, count(DISTINCT trace_id) AS traces,
 CAST(round_even(avg(runtime_ms), 0) AS BIGINT) AS avg_ms FROM runs WHERE run_type IN ('tool', 'retriever') AND lower(trim(coalesce(node_hint, name, run_type))) NOT IN ({_GENERIC}) GROUP BY ALL""",
         "runs",
     )
@@ -86,12 +98,13 @@ def graph_structural_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SPLIT = "SELECT * REPLACE (CASE WHEN node_hint IN ('n5', 'n6') AND run_type <> 'chain' THEN NULL ELSE node_hint END AS node_hint) FROM runs"
+_FUNCTIONS = f"""s AS ({_SPLIT}), functions AS (SELECT 'agent/' || node_hint AS key, count(*) AS calls, count(DISTINCT trace_id) AS traces, arg_min(output, (trace_id, ord)) FILTER (WHERE output <> '') AS out_sample
+  FROM s WHERE run_type = 'chain' AND coalesce(node_hint, '') <> '' AND node_hint NOT IN (SELECT node_hint FROM s WHERE run_type <> 'chain' AND node_hint IS NOT NULL) GROUP BY ALL)"""
 
 
 @query(
     oracle(
-        f"""WITH s AS ({_SPLIT}) SELECT 'agent/' || node_hint AS key, count(*) AS calls, count(DISTINCT trace_id) AS traces, arg_min(output, (trace_id, ord)) FILTER (WHERE output <> '') AS out_sample
-FROM s WHERE run_type = 'chain' AND coalesce(node_hint, '') <> '' AND node_hint NOT IN (SELECT node_hint FROM s WHERE run_type <> 'chain' AND node_hint IS NOT NULL) GROUP BY ALL""",
+        f"WITH {_FUNCTIONS} SELECT * FROM functions",
         "runs",
     )
 )
@@ -104,7 +117,7 @@ def graph_function_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     oracle(
         f"""WITH {_UP}, k AS (SELECT trace_id, ord, run_id, CASE WHEN run_type = 'llm' THEN CASE WHEN trim(output) <> '' THEN concat_ws('/', 'agent', nullif(path, ''), node) END
-  WHEN lower(trim(coalesce(node_hint, name))) NOT IN ({_GENERIC}) THEN 'agent/' || coalesce(node_hint, name) END AS k FROM resolved),
+  WHEN lower(trim(coalesce(node_hint, name))) NOT IN ({_GENERIC}) THEN concat_ws('/', 'agent', nullif(trim(graph_path, '/'), ''), coalesce(node_hint, name)) END AS k FROM resolved),
 c AS (SELECT *, lag(k) OVER (PARTITION BY trace_id ORDER BY ord, run_id) AS before FROM k WHERE k IS NOT NULL),
 p AS (SELECT k AS src, lead(k) OVER (PARTITION BY trace_id ORDER BY ord, run_id) AS dst FROM c WHERE before IS NULL OR before <> k)
 SELECT src, dst, count(*) AS count FROM p WHERE dst IS NOT NULL GROUP BY ALL""",
@@ -118,17 +131,20 @@ def graph_flow_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     oracle(
-        f"""WITH {_STATS}, m AS (SELECT graph_path, node, CAST(sum(samples) AS BIGINT) AS calls, CAST(round_even(sum(avg_in * samples) / sum(samples), 0) AS BIGINT) AS avg_in,
-  CAST(round_even(sum(avg_out * samples) / sum(samples), 0) AS BIGINT) AS avg_out, CAST(round_even(sum(avg_ms * samples) / sum(samples), 0) AS BIGINT) AS avg_ms,
-  arg_max(out_p50, (samples, CASE WHEN variant = 'after-tool' THEN 0 ELSE 1 END)) AS out_p50, arg_max(out_p95, (samples, CASE WHEN variant = 'after-tool' THEN 0 ELSE 1 END)) AS out_p95,
-  CAST(sum(errors_excluded) AS BIGINT) AS errors_excluded, count(*) AS variants FROM stats GROUP BY ALL)
-SELECT *, round_even(errors_excluded / (calls + errors_excluded), 3) AS error_rate FROM m""",
+        f"""WITH {_STATS}, m AS (SELECT graph_path, node, CAST(sum(samples) AS BIGINT) AS calls, {", ".join(f"arg_min({c}, (seen_trace, seen_ord)) AS {c}" for c in ("variant", "model", "models", "models_list", "untagged"))},
+  {", ".join(f"arg_min({c}, (-samples, seen_trace, seen_ord)) AS {c}" for c in ("out_p50", "out_p95", "out_type"))}, {", ".join(f"CAST(round_even(sum({c} * samples) / sum(samples), 0) AS BIGINT) AS {c}" for c in ("avg_in", "avg_out", "avg_ms"))},
+  bool_or(mixed_model) AS mixed, round_even(sum(cost_ls), 6) AS cost_ls, CAST(sum(errors_excluded) AS BIGINT) AS errors_excluded, round_even(sum(avg_tools * samples) / sum(samples), 1) AS avg_tools,
+  round_even(sum(tool_input_rate * samples) / sum(samples), 2) AS tool_input_rate, CAST(round_even(sum(ttft_ms * samples) / sum(samples) FILTER (WHERE ttft_ms IS NOT NULL), 0) AS BIGINT) AS ttft_ms,
+  round_even(sum(feedback_score * samples) / sum(samples) FILTER (WHERE feedback_score IS NOT NULL), 3) AS feedback_score, count(*) AS variants FROM full_stats GROUP BY graph_path, node),
+t AS (SELECT path AS graph_path, node, min(site) AS key, count(DISTINCT trace_id) AS traces FROM calls WHERE usable GROUP BY ALL)
+SELECT m.*, key, traces, round_even(errors_excluded / (calls + errors_excluded), 3) AS error_rate FROM m JOIN t USING (graph_path, node)""",
         "runs",
         recursive=True,
     )
 )
 def graph_merge_variants(spark: SparkSession, d: str) -> DataFrame:
-    return G.merge_variants(G.node_stats(calls(spark, d)))
+    rows = calls(spark, d)
+    return G.merge_variants(G.node_stats(rows), rows).withColumn("models_list", F.to_json("models_list"))
 
 
 @query(oracle("SELECT coalesce(node_hint, '(no node)') AS node, run_type, count(*) AS runs FROM runs GROUP BY ALL", "runs"))

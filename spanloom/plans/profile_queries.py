@@ -10,7 +10,7 @@ from spanloom.operators import graph as G
 from spanloom.operators import profile as P
 from spanloom.operators import results as R
 from spanloom.plans.fixtures import oracle, table
-from spanloom.plans.graph_queries import _STATS, calls
+from spanloom.plans.graph_queries import _FUNCTIONS, _STATS, calls, graph_function_nodes
 from spanloom.plans.ladder_queries import deployed
 from spanloom.plans.registry import query
 from spanloom.sources.storage import cut
@@ -20,9 +20,10 @@ mm AS (SELECT key, arg_min(model, (-n, first)) AS model FROM mc GROUP BY key),
 raw_nodes AS (SELECT s.*, mm.model, samples AS calls, CASE WHEN samples % 2 = 0 THEN samples * 0.25::DOUBLE ELSE 0.0::DOUBLE END AS cost_platform FROM stats s JOIN mm USING (key)),
 priced AS (SELECT n.*, (avg_in * p.input + avg_out * p.output) / 1e6 AS listed, CASE WHEN cost_platform > 0 THEN cost_platform / greatest(1, calls) END AS stated FROM raw_nodes n LEFT JOIN (SELECT * FROM catalog WHERE ord % 3 <> 0) p ON p.name = n.model),
 nodes AS (SELECT *, CASE WHEN listed IS NOT NULL THEN 'catalog' WHEN stated IS NOT NULL THEN 'platform' ELSE 'unknown' END AS source, round_even(coalesce(listed, stated) * 10000, 6) AS per_basis, round_even(coalesce(listed, stated), 9) AS per_call,
-  round_even(CASE WHEN listed IS NOT NULL THEN listed * calls WHEN stated IS NOT NULL THEN cost_platform END, 6) AS total_measured FROM priced),
-structural AS (SELECT 'agent/' || coalesce(node_hint, name, run_type) AS key, any_value(coalesce(node_hint, name, run_type)) AS node, run_type AS type, count(*) AS calls, CAST(round_even(avg(runtime_ms), 0) AS BIGINT) AS avg_ms, round_even(count(*) FILTER (WHERE error <> '') / count(*), 3) AS error_rate
-  FROM runs WHERE run_type IN ('tool', 'retriever') AND lower(trim(coalesce(node_hint, name, run_type))) NOT IN ('', 'langgraph') GROUP BY 1, 3)"""
+  round_even(CASE WHEN listed IS NOT NULL THEN listed * calls WHEN stated IS NOT NULL THEN cost_platform END, 9) AS total_measured FROM priced),
+structural AS (SELECT concat_ws('/', 'agent', nullif(trim(graph_path, '/'), ''), coalesce(node_hint, name, run_type)) AS key, any_value(coalesce(node_hint, name, run_type)) AS node, any_value(trim(graph_path, '/')) AS graph_path, run_type AS type, count(*) AS calls, CAST(round_even(avg(runtime_ms), 0) AS BIGINT) AS avg_ms, round_even(count(*) FILTER (WHERE error <> '') / count(*), 3) AS error_rate
+  FROM runs WHERE run_type IN ('tool', 'retriever') AND lower(trim(coalesce(node_hint, name, run_type))) NOT IN ('', 'langgraph') GROUP BY key, type),
+{_FUNCTIONS}"""
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -30,14 +31,14 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = calls(spark, d)
     names = C.catalog(spark).select(F.col("ord").cast("long").alias("model_ord"), F.col("name").alias("model"), (F.col("ord") % 3 != 0).alias("priced_"), "input", "output")
     models = G.modal(rows.where("usable").join(F.broadcast(names), "model_ord"), ["key"], "model", "run_id").select("key", "model")
-    stats = G.node_stats(rows).join(models, "key").withColumn("calls", F.col("samples"))
+    stats = G.node_stats(rows).drop("model", "ttft_ms", "feedback_score").join(models, "key").withColumn("calls", F.col("samples"))
     stats = stats.withColumn("cost_platform", F.when(F.col("samples") % 2 == 0, F.col("samples") * 0.25).otherwise(0.0))
     return P.with_cost(stats, C.catalog(spark).where("ord % 3 <> 0"), 10_000)
 
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
     rows = G.structural_nodes(table(spark, d, "runs"), "agent")
-    return rows.withColumn("node", F.substring_index("key", "/", -1)).withColumn("error_rate", F.bround(F.col("errors") / F.col("calls"), 3))
+    return rows.withColumn("error_rate", F.bround(F.col("errors") / F.col("calls"), 3))
 
 
 @query(oracle(f"WITH {_NODES} SELECT key, model, source, per_call, per_basis, total_measured FROM nodes", "runs", recursive=True))
@@ -50,13 +51,14 @@ def profile_costs(spark: SparkSession, d: str) -> DataFrame:
     oracle(
         f"""WITH {_NODES} SELECT count(*) AS call_sites, CAST(sum(calls) AS BIGINT) AS total_calls, CAST(sum(avg_in * calls) AS BIGINT) AS total_in, CAST(sum(avg_out * calls) AS BIGINT) AS total_out, round_even(sum(per_basis), 4) AS total_cost_basis,
 round_even(sum(errors_excluded) / greatest(1, sum(calls) + sum(errors_excluded)), 3) AS error_rate, bool_or(source = 'unknown') AS price_incomplete,
-(SELECT count(*) FROM structural WHERE type = 'tool') AS tool_count, (SELECT count(*) FROM structural WHERE type = 'retriever') AS retriever_count, CAST(0 AS BIGINT) AS function_count FROM nodes""",
+(SELECT count(*) FROM structural WHERE type = 'tool') AS tool_count, (SELECT count(*) FROM structural WHERE type = 'retriever') AS retriever_count, (SELECT count(*) FROM functions) AS function_count FROM nodes""",
         "runs",
         recursive=True,
     )
 )
 def profile_header(spark: SparkSession, d: str) -> DataFrame:
-    return P.header(nodes(spark, d), structural(spark, d))
+    functions = graph_function_nodes(spark, d).select("key", F.lit("function").alias("type"))
+    return P.header(nodes(spark, d), structural(spark, d).select("key", "type").unionByName(functions))
 
 
 @query(
@@ -73,15 +75,14 @@ def profile_hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     oracle(
-        f"""WITH {_NODES}, a AS (SELECT coalesce(graph_path, '') AS graph_path, key, 'llm' AS type, per_basis FROM nodes UNION ALL SELECT '', key, type, NULL FROM structural)
-SELECT graph_path, CASE WHEN graph_path <> '' THEN graph_path ELSE 'top level' END AS name, CAST(row_number() OVER (PARTITION BY graph_path ORDER BY type <> 'llm', coalesce(per_basis, 0) DESC, key) AS INT) AS place, key FROM a""",
+        f"""WITH {_NODES}, a AS (SELECT coalesce(graph_path, '') AS graph_path, key, 'llm' AS type, per_basis FROM nodes UNION ALL SELECT graph_path, key, type, NULL FROM structural UNION ALL SELECT '', key, 'function', NULL FROM functions)
+SELECT graph_path, CASE WHEN graph_path <> '' THEN graph_path ELSE 'top level' END AS name, CAST(row_number() OVER (PARTITION BY graph_path ORDER BY type <> 'llm', coalesce(per_basis, 0) DESC, key, type) AS INT) AS place, key FROM a""",
         "runs",
         recursive=True,
     )
 )
 def profile_sections(spark: SparkSession, d: str) -> DataFrame:
-    functions = spark.createDataFrame([], "key string, calls long, traces long")
-    return P.sections(P.all_nodes(nodes(spark, d), structural(spark, d), functions))
+    return P.sections(P.all_nodes(nodes(spark, d), structural(spark, d), graph_function_nodes(spark, d)))
 
 
 @query(
