@@ -42,12 +42,20 @@ def version(meta: Column) -> Column:
     return F.coalesce(_word(meta, *[f"$.{k}" for k in VERSIONS]), F.lit(""))
 
 
+def _key(name: str) -> str:
+    """The path of an object's key, in the quotes that it doesn't hold."""
+    quote = next((q for q in "'\"" if q not in name), None)
+    if quote is None:
+        raise ValueError(f"a key with both kinds of quotes can't be looked up: {name}")
+    return f"$[{quote}{name}{quote}]"
+
+
 def call_site(meta: Column, name: Column, project: Column, group_by: str | None = None) -> tuple[Column, Column]:
     """(agent, node) of a run.  ``group_by`` chooses the node: run_name, langgraph_node or ``metadata:<key>``; without it,
     the labels of the metadata come before the run's name."""
     agent = F.coalesce(_word(meta, "$.agent_id", "$.agent"), _filled(project), F.lit("agent"))
     if group_by and group_by.startswith("metadata:"):
-        return agent, F.coalesce(_get(meta, f"$['{group_by.split(':', 1)[1]}']", "string"), F.lit("unknown"))
+        return agent, F.coalesce(_get(meta, _key(group_by.split(":", 1)[1]), "string"), F.lit("unknown"))
     labels = {"run_name": [], "langgraph_node": ["$.langgraph_node"]}.get(group_by or "", ["$.langgraph_node", "$.node"])
     known = [_word(meta, *labels)] if labels else []
     return agent, F.coalesce(*known, _filled(name), F.lit("unknown" if group_by in ("run_name", "langgraph_node") else "node"))
@@ -207,20 +215,25 @@ def request_trace(request: Column, response: Column) -> list[Column]:
     return [c.alias(n) for n, c in columns.items()]
 
 
+# What is said of a trace that lacks something.
+NO_AGENT, NO_MESSAGES, NO_USER, NO_TOKENS = "missing agent_id", "no input_messages", "no user turn", "no input_tokens"
+UNKNOWN_MODEL, NOT_IN_CATALOG = "unknown model", "(not in the model catalog)"
+
+
 def trace_problems(agent: Column, roles: Column, input_tokens: Column, model: Column, known: Column) -> Column:
     """What is wrong with a trace; a model that is not known is a warning."""
     checks = [
-        F.when(F.coalesce(agent, F.lit("")) == "", "missing agent_id"),
-        F.when(F.coalesce(F.size(roles), F.lit(0)) <= 0, "no input_messages").when(~F.array_contains(roles, "user"), "no user turn"),
-        F.when(F.coalesce(input_tokens, F.lit(0)) <= 0, "no input_tokens"),
-        F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown model '"), F.coalesce(model, F.lit("")), F.lit("' (not in the model catalog)"))),
+        F.when(F.coalesce(agent, F.lit("")) == "", NO_AGENT),
+        F.when(F.coalesce(F.size(roles), F.lit(0)) <= 0, NO_MESSAGES).when(~F.array_contains(roles, "user"), NO_USER),
+        F.when(F.coalesce(input_tokens, F.lit(0)) <= 0, NO_TOKENS),
+        F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit(f"{UNKNOWN_MODEL} '"), F.coalesce(model, F.lit("")), F.lit(f"' {NOT_IN_CATALOG}"))),
     ]
     return F.array_compact(F.array(*checks))
 
 
 def valid(problems: Column) -> Column:
     """No problem but a model that is not known."""
-    return F.size(F.filter(problems, lambda p: ~F.startswith(p, F.lit("unknown model")))) == 0
+    return F.size(F.filter(problems, lambda p: ~F.startswith(p, F.lit(UNKNOWN_MODEL)))) == 0
 
 
 def _keyed(root: object, word: str) -> Iterator[tuple[str, str]]:

@@ -63,13 +63,18 @@ def request_text(messages: Column, tools: Column) -> Column:
     return F.array_join(F.when(F.size(tools) > 0, with_tools).otherwise(said), "\n\n")
 
 
+# What is said of a submitted item that can't run.
+TWICE, SAME_LABELS, RESERVED = "duplicate item id", "candidate labels must be unique", "candidate label 'original' is reserved for the original model"
+NO_MODEL, LONG_MODEL, NO_USER = "request.model is required", "request.model must be a model name of at most 120 characters", "request.messages needs a user message"
+
+
 def problems(duplicate: Column, labels: Column, model: Column, roles: Column) -> Column:
     """All problems of a submitted item at once; empty if it can run."""
     checks = [
-        F.when(duplicate, "duplicate item id"),
-        F.when(F.size(F.array_distinct(labels)) != F.size(labels), "candidate labels must be unique"),
-        F.when(F.array_contains(labels, "original"), "candidate label 'original' is reserved for the original model"),
-        F.when(F.coalesce(model, F.lit("")) == "", "request.model is required").when(F.length(model) > 120, "request.model must be a model name of at most 120 characters"),
-        F.when(~F.coalesce(F.array_contains(roles, "user"), F.lit(False)), "request.messages needs a user message"),
+        F.when(duplicate, TWICE),
+        F.when(F.size(F.array_distinct(labels)) != F.size(labels), SAME_LABELS),
+        F.when(F.array_contains(labels, "original"), RESERVED),
+        F.when(F.coalesce(model, F.lit("")) == "", NO_MODEL).when(F.length(model) > 120, LONG_MODEL),
+        F.when(~F.coalesce(F.array_contains(roles, "user"), F.lit(False)), NO_USER),
     ]
     return F.array_compact(F.array(*checks))

@@ -107,22 +107,29 @@ def usage_of(prompt: Column, input_tokens: Column, read: Column, nested_read: Co
     return F.coalesce(F.when(input_tokens != 0, input_tokens), rest), cached
 
 
+# How judges' replies state a verdict, what each word means, and what is said where no reason is given.
+FIT_LINE = r"(?m)^\W*(?:[Vv]erdict\W*)?(EQUIVALENT|VARIATION|DRIFT|UNSURE|KEPT|BROKE)\b(.*)$"
+FIT_YES, FIT_NO, FIT_ALIKE, FIT_OPEN = ["EQUIVALENT", "VARIATION", "KEPT"], ["DRIFT", "BROKE"], "VARIATION", "UNSURE"
+AROUND_REASON = r"^[ \t:.\-–—*_`|]+|[ \t:.\-–—*_`|]+$"
+SAID_YES, SAID_NO, SAID_OPEN, SAID_NOTHING = "matches the set", "differs from the set", "the judge is unsure", "no verdict in the judge's reply"
+DIVERGENT_LIST, CONSISTENT_COUNT = r"(?mi)^\W*DIVERGENT\b[:\s]*(none|[0-9, ]+)", r"(?i)CONSISTENT\W*(\d+)\s*/\s*\d+"
+
+
 def parse_fit(reply: Column) -> tuple[Column, Column]:
     """(kept, reason) of a judge's reply: the first line that starts with a verdict; null if unsure or unreadable."""
-    pattern = r"(?m)^\W*(?:[Vv]erdict\W*)?(EQUIVALENT|VARIATION|DRIFT|UNSURE|KEPT|BROKE)\b(.*)$"
-    word = F.regexp_extract(F.coalesce(reply, F.lit("")), pattern, 1)
-    kept = F.when(word.isin("EQUIVALENT", "VARIATION", "KEPT"), True).when(word.isin("DRIFT", "BROKE"), False)
-    tail = F.regexp_replace(F.regexp_extract(F.coalesce(reply, F.lit("")), pattern, 2), r"^[ \t:.\-–—*_`|]+|[ \t:.\-–—*_`|]+$", "")
-    default = F.when(kept, "matches the set").when(~kept, "differs from the set").otherwise("the judge is unsure")
+    word = F.regexp_extract(F.coalesce(reply, F.lit("")), FIT_LINE, 1)
+    kept = F.when(word.isin(FIT_YES), True).when(word.isin(FIT_NO), False)
+    tail = F.regexp_replace(F.regexp_extract(F.coalesce(reply, F.lit("")), FIT_LINE, 2), AROUND_REASON, "")
+    default = F.when(kept, SAID_YES).when(~kept, SAID_NO).otherwise(SAID_OPEN)
     reason = F.coalesce(F.when(tail != "", F.substring(tail, 1, 240)), default)
-    said = F.when(word == "VARIATION", F.concat(F.lit("acceptable: "), reason)).when(word == "UNSURE", F.concat(F.lit("unclear: "), reason)).otherwise(reason)
-    return kept, F.when(word == "", "no verdict in the judge's reply").otherwise(said)
+    said = F.when(word == FIT_ALIKE, F.concat(F.lit("acceptable: "), reason)).when(word == FIT_OPEN, F.concat(F.lit("unclear: "), reason)).otherwise(reason)
+    return kept, F.when(word == "", SAID_NOTHING).otherwise(said)
 
 
 def parse_coherence(reply: Column, total: Column) -> Column:
     """How many of ``total`` answers agree: those not listed as divergent, else the stated count; null if unreadable."""
-    listed = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?mi)^\W*DIVERGENT\b[:\s]*(none|[0-9, ]+)", 1)
+    listed = F.regexp_extract(F.coalesce(reply, F.lit("")), DIVERGENT_LIST, 1)
     numbers = F.transform(F.regexp_extract_all(listed, F.lit("([0-9]+)"), 1), lambda x: x.try_cast("int"))
     divergent = F.size(F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= total))))
-    stated = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?i)CONSISTENT\W*(\d+)\s*/\s*\d+", 1).try_cast("int")
+    stated = F.regexp_extract(F.coalesce(reply, F.lit("")), CONSISTENT_COUNT, 1).try_cast("int")
     return F.when(listed != "", total - divergent).otherwise(F.greatest(F.lit(0), F.least(stated, total)) + stated * 0)

@@ -24,18 +24,21 @@ def needed_votes(votes: DataFrame) -> DataFrame:
 
 
 def run_outcomes(votes: DataFrame) -> DataFrame:
-    """Each run's outcome: kept by a majority of the votes that decide, if those are more than half of all."""
+    """Each run's outcome: kept by a majority of the votes that decide, if those are more than half of all; reason: of the first
+    vote for that outcome, else of the first one."""
     g = votes.groupBy("item", "cand", "run").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("kept").alias("decided"),
         F.count_if("kept").alias("yes"),
         F.count_if(F.col("kept") & F.startswith("reason", F.lit("acceptable:"))).alias("loose"),
+        *[F.min_by("reason", F.when(which, F.col("vote"))).alias(name) for name, which in (("yes_", F.col("kept")), ("no_", ~F.col("kept")), ("any_", F.lit(True)))],
     )
     judged = F.col("decided") * 2 > F.col("n")
     g = g.withColumn("kept", judged & (F.col("yes") * 2 > F.col("decided")))
     category = F.when(~judged, "unclear").when(F.col("kept"), F.when(F.col("loose") * 2 > F.col("yes"), "acceptable").otherwise("match")).otherwise("drift")
     shown = F.concat(F.when(F.col("kept"), F.col("yes")).otherwise(F.col("decided") - F.col("yes")).cast("string"), F.lit("/"), F.col("decided").cast("string"))
-    return g.withColumn("category", category).withColumn("votes", shown)
+    reason = F.coalesce(F.when(F.col("kept"), F.col("yes_")).otherwise(F.col("no_")), F.col("any_"))
+    return g.withColumn("category", category).withColumn("votes", shown).withColumn("reason", reason).drop("yes_", "no_", "any_")
 
 
 def verdict(kept: Column, runs: Column, failed: Column, agree: Column, of: Column, floor: float = 0.6, margin: float = 0.2) -> Column:
@@ -52,6 +55,20 @@ def candidates(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("item", "cand").agg(F.count(F.lit(1)).alias("of"), F.count_if("kept").alias("kept"), *answers)
 
 
+def judge_reasons(outcomes: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """item, cand and judge_reason: the most common reason of a candidate's runs that came out as its verdict (a run is kept where
+    that is within); of equals the one of the first run."""
+    decisive = outcomes.join(verdicts.select("item", "cand", "verdict"), ["item", "cand"]).where((F.col("reason") != "") & (F.col("kept") == (F.col("verdict") == "within")))
+    counted = decisive.groupBy("item", "cand", "reason").agg(F.count(F.lit(1)).alias("n_"), F.min("run").alias("first_"))
+    return counted.groupBy("item", "cand").agg(F.min_by("reason", F.struct((-F.col("n_")).alias("n"), "first_")).alias("judge_reason"))
+
+
+def averages(answers: DataFrame) -> DataFrame:
+    """item, cand, latency_ms and cost_micros: means over the runs that were timed (a time of 0 is none), and over the priced ones."""
+    timed = F.when(F.col("latency_ms") != 0, F.col("latency_ms"))
+    return answers.groupBy("item", "cand").agg(F.bround(F.avg(timed)).cast("long").alias("latency_ms"), F.bround(F.avg("cost_micros")).cast("long").alias("cost_micros"))
+
+
 def node_safe(inputs: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
     """A call-site is SAFE if at least ``share`` of its inputs are within; with fewer inputs than ``least`` it can't be told."""
     g = inputs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "within").alias("safe"))

@@ -56,8 +56,14 @@ DEPLOYED = f"""SELECT p.p_partkey AS deployment, concat(CASE p.p_partkey % 4 WHE
   CASE p.p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-20250101' ELSE ':v2' END) AS wire_name, p.p_size AS max_output, CASE WHEN p.p_partkey % 7 = 0 THEN 'embedding' ELSE 'chat' END AS mode
 FROM {{part}} p JOIN ({CATALOG_SQL}) c ON c.ord = p.p_partkey % 61"""
 
-TABLES = {"runs": RUNS, "turns": TURNS, "cells": CELLS, "votes": VOTES, "answers": ANSWERS, "deployed": DEPLOYED}
-_BASE = {"runs": "events", "turns": "conversations", "cells": "events", "votes": "events", "answers": "events", "deployed": "part"}
+#: Model names as logs write them, one for each part: as in the catalog, dated, shouted, behind a route, misspelt, cut, by alias, unknown.
+NAMES = f"""SELECT p.p_partkey AS part, CASE WHEN p.p_partkey % 97 = 0 THEN concat('unknown-', CAST(p.p_partkey AS string)) ELSE CASE p.p_partkey % 8 WHEN 0 THEN c.name WHEN 1 THEN concat(c.name, '-20240101') WHEN 2 THEN upper(c.name)
+  WHEN 3 THEN concat('bedrock/us.', c.name, '-v1:0') WHEN 4 THEN concat(c.name, 'x') WHEN 5 THEN a.alias WHEN 6 THEN concat(a.alias, '-20250101') ELSE substr(c.name, 1, 6) END END AS raw
+FROM {{part}} p JOIN ({CATALOG_SQL}) c ON c.ord = p.p_partkey % 61
+JOIN (SELECT alias, row_number() OVER (ORDER BY alias) - 1 AS n, count(*) OVER () AS n_all FROM ({ALIAS_SQL})) a ON a.n = p.p_partkey % a.n_all"""
+
+TABLES = {"names": NAMES, "runs": RUNS, "turns": TURNS, "cells": CELLS, "votes": VOTES, "answers": ANSWERS, "deployed": DEPLOYED}
+_BASE = {"names": "part", "runs": "events", "turns": "conversations", "cells": "events", "votes": "events", "answers": "events", "deployed": "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,8 +12,10 @@ from spanloom.plans.fixtures import oracle, table
 from spanloom.plans.registry import query
 
 _OUT = """need AS (SELECT v.* FROM votes v JOIN (SELECT item, cand, run, kept AS k0 FROM votes WHERE vote = 0) f USING (item, cand, run) WHERE vote = 0 OR k0 IS NULL OR NOT k0),
-g AS (SELECT item, cand, run, count(*) AS n, count(kept) AS decided, count(*) FILTER (WHERE kept) AS yes, count(*) FILTER (WHERE kept AND starts_with(reason, 'acceptable:')) AS loose FROM need GROUP BY ALL),
-o AS (SELECT item, cand, run, n, decided, yes, loose, decided * 2 > n AND yes * 2 > decided AS kept, CASE WHEN decided * 2 <= n THEN 'unclear' WHEN yes * 2 > decided THEN CASE WHEN loose * 2 > yes THEN 'acceptable' ELSE 'match' END ELSE 'drift' END AS category FROM g),
+g AS (SELECT item, cand, run, count(*) AS n, count(kept) AS decided, count(*) FILTER (WHERE kept) AS yes, count(*) FILTER (WHERE kept AND starts_with(reason, 'acceptable:')) AS loose,
+  arg_min(reason, vote) FILTER (WHERE kept) AS ry, arg_min(reason, vote) FILTER (WHERE NOT kept) AS rn, arg_min(reason, vote) AS ra FROM need GROUP BY ALL),
+o AS (SELECT item, cand, run, n, decided, yes, loose, decided * 2 > n AND yes * 2 > decided AS kept, CASE WHEN decided * 2 <= n THEN 'unclear' WHEN yes * 2 > decided THEN CASE WHEN loose * 2 > yes THEN 'acceptable' ELSE 'match' END ELSE 'drift' END AS category,
+  coalesce(CASE WHEN decided * 2 > n AND yes * 2 > decided THEN ry ELSE rn END, ra) AS reason FROM g),
 runs_of AS (SELECT *, CASE WHEN kept THEN yes ELSE decided - yes END || '/' || decided AS votes FROM o)"""
 _CAND = f"""{_OUT}, c AS (SELECT item, cand, count(*) AS "of", count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE category = 'match') AS match, count(*) FILTER (WHERE category = 'acceptable') AS acceptable,
   count(*) FILTER (WHERE category = 'drift') AS drift, count(*) FILTER (WHERE category = 'unclear') AS unclear FROM runs_of GROUP BY ALL),
@@ -36,6 +38,26 @@ def votes_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d)
 
 
+@query(
+    oracle(
+        f"""WITH {_CAND}, dr AS (SELECT r.item, r.cand, r.reason, count(*) AS n, min(r.run) AS first FROM runs_of r JOIN judged j ON j.item = r.item AND j.cand = r.cand WHERE r.reason <> '' AND r.kept = (j.verdict = 'within') GROUP BY ALL),
+jr AS (SELECT item, cand, arg_min(reason, (-n, first)) AS judge_reason FROM dr GROUP BY ALL),
+av AS (SELECT item, cand, CAST(round_even(avg(nullif(latency_ms, 0)), 0) AS BIGINT) AS latency_ms, CAST(round_even(avg(cost_micros), 0) AS BIGINT) AS cost_micros FROM answers GROUP BY ALL)
+SELECT j.item, j.cand, j.kept, j."of", round_even(j.kept / j."of", 3) AS fit_rate, j.verdict, coalesce(jr.judge_reason, '') AS judge_reason, latency_ms, cost_micros
+FROM judged j LEFT JOIN jr ON jr.item = j.item AND jr.cand = j.cand LEFT JOIN av ON av.item = j.item AND av.cand = j.cand""",
+        "votes",
+        "answers",
+    )
+)
+def votes_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with their verdict, the judges' most common reason for it, and mean time and cost of an answer."""
+    outcomes = V.run_outcomes(V.needed_votes(table(spark, d, "votes")))
+    rows, by = judged(spark, d), ["item", "cand"]
+    out = rows.join(V.judge_reasons(outcomes, rows), by, "left").join(V.averages(table(spark, d, "answers")), by, "left")
+    fit = F.bround(F.col("kept") / F.col("of"), 3).alias("fit_rate")
+    return out.select("item", "cand", "kept", "of", fit, "verdict", F.coalesce("judge_reason", F.lit("")).alias("judge_reason"), "latency_ms", "cost_micros")
+
+
 @query(
     oracle(
         f"""WITH {_CAND} SELECT 'node' || (item % 40) AS key, count(*) AS n, count(*) FILTER (WHERE verdict = 'within') AS safe,

@@ -95,57 +95,51 @@ def ladder_totals(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("wins"), F.sum(F.bround(F.col("usd") * 1000).cast("long")).alias("mills"), F.max_by("key", F.struct("usd", "key")).alias("best"))
 
 
-_RAW_SQL = """raw AS (SELECT name || s AS raw FROM catalog, (VALUES (''), ('-20240101'), ('-latest'), ('-v2'), ('x')) v(s) UNION SELECT upper(name) FROM catalog UNION SELECT alias FROM alias UNION SELECT alias || '-20250101' FROM alias
-  UNION SELECT 'bedrock/us.' || name || '-v1:0' FROM catalog UNION SELECT left(name, 6) FROM catalog UNION SELECT 'unknown-model')"""
-
-
-def raw_names(spark: SparkSession) -> DataFrame:
-    cat, alias = C.catalog(spark), C.aliases(spark)
-    marks = F.explode(F.array(*[F.lit(s) for s in ("", "-20240101", "-latest", "-v2", "x")]))
-    parts = [
-        cat.select("name", marks.alias("s")).select(F.concat("name", "s").alias("raw")),
-        cat.select(F.upper("name")),
-        alias.select("alias"),
-        alias.select(F.concat("alias", F.lit("-20250101"))),
-        cat.select(F.concat(F.lit("bedrock/us."), "name", F.lit("-v1:0"))),
-        cat.select(F.substring("name", 1, 6)),
-        spark.sql("SELECT 'unknown-model' AS raw"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """How many parts have each raw name."""
+    return table(spark, d, "names").groupBy("raw").agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query(
-    oracle(
-        f"""WITH {_RAW_SQL}, b AS (SELECT raw, lower(trim(raw)) AS n, regexp_replace(lower(trim(raw)), '[-_/:](\\d{{6,8}}|v\\d+|latest|preview|exp)$', '') AS base FROM raw),
-f AS (SELECT raw, arg_min(name, ord) AS fuzzy FROM b JOIN catalog ON n = lower(name) OR lower(name) = base OR starts_with(n, lower(name)) OR starts_with(base, lower(name)) OR starts_with(lower(name), base) GROUP BY raw)
-SELECT b.raw, coalesce(c.name, a1.target, a2.target, f.fuzzy) AS model FROM b LEFT JOIN catalog c ON c.name = trim(b.raw) LEFT JOIN alias a1 ON a1.alias = b.n LEFT JOIN alias a2 ON a2.alias = b.base LEFT JOIN f ON f.raw = b.raw"""
-    )
-)
+_RAW_SQL = "raw AS (SELECT raw, count(*) AS parts FROM names GROUP BY raw)"
+_CANONICAL = f"""{_RAW_SQL}, b AS (SELECT raw, parts, lower(trim(raw)) AS n, regexp_replace(lower(trim(raw)), '[-_/:](\\d{{6,8}}|v\\d+|latest|preview|exp)$', '') AS base FROM raw),
+f AS (SELECT raw, arg_min(name, ord) AS fuzzy FROM b JOIN catalog ON n = lower(name) OR lower(name) = base OR starts_with(n, lower(name)) OR starts_with(base, lower(name)) OR starts_with(lower(name), base) GROUP BY raw),
+canon AS (SELECT b.raw, b.parts, coalesce(c.name, a1.target, a2.target, f.fuzzy) AS model FROM b LEFT JOIN catalog c ON c.name = trim(b.raw) LEFT JOIN alias a1 ON a1.alias = b.n LEFT JOIN alias a2 ON a2.alias = b.base LEFT JOIN f ON f.raw = b.raw)"""
+
+
+def canonical(spark: SparkSession, d: str) -> DataFrame:
+    rows = named(spark, d)
+    return rows.join(L.canonical(rows.select("raw"), C.catalog(spark), C.aliases(spark)), "raw").select("raw", "parts", "model")
+
+
+@query(oracle(f"WITH {_CANONICAL} SELECT * FROM canon", "names"))
 def catalog_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return L.canonical(raw_names(spark), C.catalog(spark), C.aliases(spark))
+    """Raw model names of parts, and the catalog's model that each means."""
+    return canonical(spark, d)
 
 
 @query(
     oracle(
         f"""WITH {_RAW_SQL}, m AS (SELECT raw, name, ord FROM raw JOIN catalog ON regexp_matches(' ' || lower(trim(raw)) || ' ', '[^a-z0-9]' || replace(name, '.', '\\.') || '[^a-z0-9]'))
-SELECT r.raw, (SELECT arg_max(name, (length(name), -ord)) FROM m WHERE m.raw = r.raw) AS model FROM raw r"""
+SELECT r.raw, r.parts, (SELECT arg_max(name, (length(name), -ord)) FROM m WHERE m.raw = r.raw) AS model FROM raw r""",
+        "names",
     )
 )
 def catalog_bounded_name(spark: SparkSession, d: str) -> DataFrame:
-    return L.bounded_name(raw_names(spark), C.catalog(spark))
+    return L.bounded_name(named(spark, d), C.catalog(spark)).select("raw", "parts", "model")
 
 
-@query(oracle("SELECT name AS model, arg_min(target, path_ord) AS migrates_to FROM catalog JOIN migration ON regexp_matches(lower(name), pattern) GROUP BY name"))
+@query(oracle(f"WITH {_CANONICAL}, u AS (SELECT model, CAST(sum(parts) AS BIGINT) AS parts FROM canon WHERE model IS NOT NULL GROUP BY model) SELECT model, parts, arg_min(target, path_ord) AS migrates_to FROM u JOIN migration ON regexp_matches(lower(model), pattern) GROUP BY model, parts", "names"))
 def catalog_migrations(spark: SparkSession, d: str) -> DataFrame:
-    return L.migration(C.catalog(spark).select(F.col("name").alias("model")), C.migrations(spark))
+    """Models in use that their vendor moves on from, and by how many parts."""
+    used = canonical(spark, d).where("model IS NOT NULL").groupBy("model").agg(F.sum("parts").alias("parts"))
+    return L.migration(used.select("model"), C.migrations(spark)).join(used, "model")
 
 
-@query(oracle("SELECT name, retire_date FROM catalog WHERE CAST(retire_date AS DATE) <= DATE '2026-01-15' + 180"))
+@query(oracle(f"WITH {_CANONICAL} SELECT name, retire_date, CAST(sum(parts) AS BIGINT) AS parts FROM canon JOIN catalog ON name = model WHERE CAST(retire_date AS DATE) <= DATE '2026-01-15' + 180 GROUP BY ALL", "names"))
 def catalog_retiring(spark: SparkSession, d: str) -> DataFrame:
-    return L.retiring(C.catalog(spark), AS_OF)
+    """Models in use that retire soon, and by how many parts they are used."""
+    used = canonical(spark, d).where("model IS NOT NULL").groupBy(F.col("model").alias("name")).agg(F.sum("parts").alias("parts"))
+    return L.retiring(C.catalog(spark), AS_OF).join(used, "name")
 
 
 _FLAVOUR = """d AS (SELECT deployment, wire_name, max_output, mode FROM deployed),
@@ -175,10 +169,10 @@ def gateway_coverage(spark: SparkSession, d: str) -> DataFrame:
     return deployed(spark, d).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("deployments"))
 
 
-@query(oracle(f"WITH {_FLAVOUR} SELECT name, provider FROM catalog WHERE name NOT IN (SELECT model FROM r WHERE model IS NOT NULL AND deployment % 61 < 30)", "deployed"))
+@query(oracle(f"WITH {_FLAVOUR} SELECT name, provider FROM catalog WHERE name NOT IN (SELECT model FROM r WHERE model IS NOT NULL AND mode = 'chat' AND max_output >= 50)", "deployed"))
 def gateway_not_served(spark: SparkSession, d: str) -> DataFrame:
-    """Models that no deployment of the first half of the gateway's list has."""
-    served = deployed(spark, d).where("model IS NOT NULL AND deployment % 61 < 30").select(F.col("model").alias("name"))
+    """Models that no chat deployment with room for an answer of 50 has."""
+    served = deployed(spark, d).where("model IS NOT NULL AND mode = 'chat' AND max_output >= 50").select(F.col("model").alias("name"))
     return C.catalog(spark).join(served, "name", "left_anti").select("name", "provider")
 
 

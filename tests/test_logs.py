@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_queries import SF
 
 from spanloom.functions import logged
-from spanloom.operators import profile, results
+from spanloom.operators import profile, results, votes
 from spanloom.plans.queries import QUERIES
 from spanloom.sources import logs
 
@@ -101,3 +101,24 @@ def test_documents_are_pages_in_order(spark):
     assert answer["judges"] == [{"vote": v, "kept": None if v == 0 else True, "reason": f"w{v}"} for v in (0, 1, 2)]
     assert got[1, 1]["results"][2]["reference"]["answers"] is None  # a request that nothing answered
     assert results.documents(cells.limit(0), answers, votes).count() == 0
+
+
+def test_call_site_by_a_key_with_quotes(spark):
+    rows = spark.createDataFrame([('{"a\'b":"x","c\\"d":"y","plain":"z"}',)], "m string").select(F.try_parse_json("m").alias("m"))
+    for key, want in (("a'b", "x"), ('c"d', "y"), ("plain", "z"), ("none", "unknown")):
+        assert rows.select(logged.call_site(F.col("m"), F.lit("n"), F.lit("p"), f"metadata:{key}")[1].alias("n")).first()["n"] == want
+    with pytest.raises(ValueError, match="both kinds"):
+        logged.call_site(F.col("m"), F.lit("n"), F.lit("p"), "metadata:a'b\"c")
+
+
+def test_reasons_of_runs_and_candidates(spark):
+    """A run's reason is its outcome's first vote's, a candidate's the most common one of the runs that came out as its verdict."""
+    kept = {0: [True], 1: [False, True, False], 2: [None, None, None], 3: [False, False, True], 4: [True]}
+    rows = [(1, 1, run, v, k, f"{'yes' if k else 'no' if k is False else 'open'}{v if run != 3 else 0}") for run, votes_ in kept.items() for v, k in enumerate(votes_)]
+    outcomes = votes.run_outcomes(spark.createDataFrame(rows, "item long, cand int, run int, vote int, kept boolean, reason string"))
+    assert {r["run"]: (r["kept"], r["reason"]) for r in outcomes.collect()} == {0: (True, "yes0"), 1: (False, "no0"), 2: (False, "open0"), 3: (False, "no0"), 4: (True, "yes0")}
+    for verdict, want in (("within", "yes0"), ("outside", "no0"), ("unverified", "no0")):
+        told = spark.createDataFrame([(1, 1, verdict)], "item long, cand int, verdict string")
+        assert votes.judge_reasons(outcomes, told).first()["judge_reason"] == want
+    answers = spark.createDataFrame([(1, 1, 0, None), (1, 1, 10, 4), (1, 1, 21, 0), (2, 1, 0, None)], "item long, cand int, latency_ms long, cost_micros long")
+    assert {r["item"]: (r["latency_ms"], r["cost_micros"]) for r in votes.averages(answers).collect()} == {1: (16, 2), 2: (None, None)}
