@@ -112,6 +112,7 @@ FIT_LINE = r"(?m)^\W*(?:[Vv]erdict\W*)?(EQUIVALENT|VARIATION|DRIFT|UNSURE|KEPT|B
 FIT_YES, FIT_NO, FIT_ALIKE, FIT_OPEN = ["EQUIVALENT", "VARIATION", "KEPT"], ["DRIFT", "BROKE"], "VARIATION", "UNSURE"
 AROUND_REASON = r"^[ \t:.\-–—*_`|]+|[ \t:.\-–—*_`|]+$"
 SAID_YES, SAID_NO, SAID_OPEN, SAID_NOTHING = "matches the set", "differs from the set", "the judge is unsure", "no verdict in the judge's reply"
+NUMBERED_REASON = r"(?m)^\s*(\d+)\s*[:\-]\s*(.+)$"
 DIVERGENT_LIST, CONSISTENT_COUNT = r"(?mi)^\W*DIVERGENT\b[:\s]*(none|[0-9, ]+)", r"(?i)CONSISTENT\W*(\d+)\s*/\s*\d+"
 
 
@@ -126,10 +127,28 @@ def parse_fit(reply: Column) -> tuple[Column, Column]:
     return kept, F.when(word == "", SAID_NOTHING).otherwise(said)
 
 
-def parse_coherence(reply: Column, total: Column) -> Column:
-    """How many of ``total`` answers agree: those not listed as divergent, else the stated count; null if unreadable."""
+def _divergent(reply: Column, total: Column) -> tuple[Column, Column]:
+    """The list of divergent answers as it stands in a reply ('' if there is none), and their numbers, in order."""
     listed = F.regexp_extract(F.coalesce(reply, F.lit("")), DIVERGENT_LIST, 1)
     numbers = F.transform(F.regexp_extract_all(listed, F.lit("([0-9]+)"), 1), lambda x: x.try_cast("int"))
-    divergent = F.size(F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= total))))
+    return listed, F.array_sort(F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= total))))
+
+
+def parse_coherence(reply: Column, total: Column) -> Column:
+    """How many of ``total`` answers agree: those not listed as divergent, else the stated count; null if unreadable."""
+    listed, numbers = _divergent(reply, total)
+    divergent = F.size(numbers)
     stated = F.regexp_extract(F.coalesce(reply, F.lit("")), CONSISTENT_COUNT, 1).try_cast("int")
     return F.when(listed != "", total - divergent).otherwise(F.greatest(F.lit(0), F.least(stated, total)) + stated * 0)
+
+
+def coherence(reply: Column, total: Column) -> Column:
+    """(agree, divergent: numbers in order, reasons: (number, reason) in order, of several for one answer the last); null where the
+    reply has no readable count."""
+    agree, (_, divergent) = parse_coherence(reply, total), _divergent(reply, total)
+    text = F.coalesce(reply, F.lit(""))
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(NUMBERED_REASON), 1).alias("n"), F.regexp_extract_all(text, F.lit(NUMBERED_REASON), 2).alias("why"))
+    of = lambda k: F.try_element_at(F.filter(found, lambda x: x["n"].try_cast("int") == k), F.lit(-1))["why"]
+    numbers = F.filter(F.sequence(F.lit(1), F.greatest(total.cast("int"), F.lit(1))), lambda k: (k <= total) & of(k).isNotNull())
+    reasons = F.transform(numbers, lambda k: F.struct(k.alias("number"), F.substring(strip(of(k)), 1, 120).alias("reason")))
+    return F.when(agree.isNotNull(), F.struct(agree.alias("agree"), divergent.alias("divergent"), reasons.alias("reasons")))

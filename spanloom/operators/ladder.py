@@ -61,23 +61,30 @@ def _best(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("place_", first).where("place_ = 1").select("key", F.col("name").alias("target"))
 
 
-def next_cheaper(sites: DataFrame, catalog: DataFrame, as_of: str) -> DataFrame:
+def usable(catalog: DataFrame, as_of: str, served: DataFrame | None = None) -> DataFrame:
+    """Catalog models that can be called; ``served`` (model): only those that a gateway serves.  No more rows than the catalog has,
+    so the result may be broadcast."""
+    rows = catalog.where(live(catalog, as_of))
+    return rows if served is None else rows.join(served.select(F.col("model").alias("name")).distinct(), "name", "left_semi")
+
+
+def next_cheaper(sites: DataFrame, catalog: DataFrame, as_of: str, served: DataFrame | None = None) -> DataFrame:
     """By the site's tokens: of the provider's models in lower tiers that save, the nearest tier's newest."""
-    rows = _current(sites, catalog).join(F.broadcast(catalog.where(live(catalog, as_of))), (F.col("provider") == F.col("provider0")) & (F.col("tier_rank") > F.col("rank0")))
+    rows = _current(sites, catalog).join(F.broadcast(usable(catalog, as_of, served)), (F.col("provider") == F.col("provider0")) & (F.col("tier_rank") > F.col("rank0")))
     rows = rows.where(_saving() > 0)
     return _best(rows, F.col("tier_rank"), F.coalesce("release", F.lit("")).desc(), _saving().desc(), F.col("ord"))
 
 
-def next_pareto(sites: DataFrame, catalog: DataFrame, as_of: str) -> DataFrame:
+def next_pareto(sites: DataFrame, catalog: DataFrame, as_of: str, served: DataFrame | None = None) -> DataFrame:
     """Without tokens: no price higher and one lower; the nearest tier's dearest input."""
-    rows = _current(sites, catalog).join(F.broadcast(catalog.where(live(catalog, as_of))), (F.col("provider") == F.col("provider0")) & (F.col("tier_rank") > F.col("rank0")))
+    rows = _current(sites, catalog).join(F.broadcast(usable(catalog, as_of, served)), (F.col("provider") == F.col("provider0")) & (F.col("tier_rank") > F.col("rank0")))
     cheaper = (F.col("input") <= F.col("in0")) & (F.col("output") <= F.col("out0")) & ((F.col("input") < F.col("in0")) | (F.col("output") < F.col("out0")))
     return _best(rows.where(cheaper), F.col("tier_rank"), F.col("input").desc(), F.col("ord"))
 
 
-def next_in_order(sites: DataFrame, catalog: DataFrame, as_of: str) -> DataFrame:
+def next_in_order(sites: DataFrame, catalog: DataFrame, as_of: str, served: DataFrame | None = None) -> DataFrame:
     """For models without a tier: the provider's next usable model in file order."""
-    rows = _current(sites, catalog).join(F.broadcast(catalog.where(live(catalog, as_of))), (F.col("provider") == F.col("provider0")) & (F.col("ord") > F.col("ord0")))
+    rows = _current(sites, catalog).join(F.broadcast(usable(catalog, as_of, served)), (F.col("provider") == F.col("provider0")) & (F.col("ord") > F.col("ord0")))
     return _best(rows, F.col("ord"))
 
 
@@ -94,12 +101,16 @@ def migration(models: DataFrame, paths: DataFrame) -> DataFrame:
     return found.groupBy("model").agg(F.min_by("target", "path_ord").alias("migrates_to"))
 
 
-def downgrades(sites: DataFrame, catalog: DataFrame, paths: DataFrame, as_of: str, per_calls: int) -> DataFrame:
+def downgrades(sites: DataFrame, catalog: DataFrame, paths: DataFrame, as_of: str, per_calls: int, served: DataFrame | None = None) -> DataFrame:
     """Candidates that save: the vendor's target where there is one (even if it saves nothing, there is no other), else
-    the next cheaper model.  Sites of mixed models are left out."""
+    the next cheaper model; ``served`` (model): of those alone that a gateway serves.  Sites of mixed models are left out."""
     single = sites.where(~F.col("mixed"))
     moved = single.join(F.broadcast(migration(single.select("model").distinct(), paths)), "model", "left")
-    moved = moved.join(next_cheaper(single, catalog, as_of), "key", "left")
+    if served is not None:
+        here = served.select(F.col("model").alias("migrates_to")).join(F.broadcast(paths.select(F.col("target").alias("migrates_to"))), "migrates_to", "left_semi").distinct()
+        moved = moved.join(F.broadcast(here.withColumn("here_", F.lit(True))), "migrates_to", "left")  # no more rows than paths have targets
+        moved = moved.withColumn("migrates_to", F.when(F.col("here_"), F.col("migrates_to"))).drop("here_")
+    moved = moved.join(next_cheaper(single, catalog, as_of, served), "key", "left")
     moved = moved.withColumn("cheaper", F.coalesce("migrates_to", "target")).where("cheaper IS NOT NULL")
     moved = moved.withColumn("reason", F.when(F.col("migrates_to").isNotNull(), "migration").otherwise("cost-downgrade")).drop("target", "migrates_to")
     new = catalog.select(F.col("name").alias("cheaper"), "input", "output")

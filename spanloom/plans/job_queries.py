@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import parse_coherence, parse_fit
+from spanloom.functions.text import coherence, parse_coherence, parse_fit
 from spanloom.operators import jobs as J
 from spanloom.operators import votes as V
 from spanloom.plans.fixtures import oracle, table
@@ -118,6 +118,24 @@ def judges_parse_coherence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", parse_coherence(F.col("coherence"), F.lit(4)).alias("agree"))
 
 
+@query(
+    f"""WITH r AS (SELECT id, coherence || chr(10) || '2: differs by ' || id || ' ' || chr(10) || ' 4 - second' || chr(10) || '9: beyond' || CASE WHEN id % 3 = 0 THEN chr(10) || '2 - the last' ELSE '' END AS reply FROM ({_REPLIES_DUCK})),
+p AS (SELECT id, reply, regexp_extract(reply, '(?mi)^\\W*DIVERGENT\\b[:\\s]*(none|[0-9, ]+)', 1) AS listed, TRY_CAST(nullif(regexp_extract(reply, '(?i)CONSISTENT\\W*(\\d+)\\s*/\\s*\\d+', 1), '') AS INT) AS stated,
+  regexp_extract_all(reply, '(?m)^\\s*(\\d+)\\s*[:\\-]\\s*(.+)$', 1) AS ns, regexp_extract_all(reply, '(?m)^\\s*(\\d+)\\s*[:\\-]\\s*(.+)$', 2) AS ws FROM r),
+q AS (SELECT *, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(listed, '[0-9]+'), lambda x: CAST(x AS INT))), lambda x: x BETWEEN 1 AND 4)) AS div FROM p),
+w AS (SELECT id, n, arg_max(left(trim(why), 120), i) AS why FROM (SELECT id, unnest(ns) AS n, unnest(ws) AS why, generate_subscripts(ns, 1) AS i FROM q) WHERE CAST(n AS INT) BETWEEN 1 AND 4 GROUP BY id, n),
+s AS (SELECT id, string_agg(n || ': ' || why, '; ' ORDER BY CAST(n AS INT)) AS reasons FROM w GROUP BY id)
+SELECT id, CAST(CASE WHEN listed <> '' THEN 4 - len(div) ELSE greatest(0, least(stated, 4)) END AS INT) AS agree, array_to_string(div, ',') AS divergent, coalesce(reasons, '') AS reasons FROM q LEFT JOIN s USING (id) WHERE listed <> '' OR stated IS NOT NULL"""
+)
+def judges_coherence(spark: SparkSession, d: str) -> DataFrame:
+    """Readable replies about an original's four answers: how many agree, which don't, and why."""
+    rows = spark.sql(_REPLIES.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+    more = F.concat("coherence", F.lit("\n2: differs by "), F.col("id").cast("string"), F.lit(" \n 4 - second\n9: beyond"), F.when(F.col("id") % 3 == 0, "\n2 - the last").otherwise(""))
+    c = rows.select("id", coherence(more, F.lit(4)).alias("c")).where("c IS NOT NULL")
+    said = F.transform("c.reasons", lambda x: F.concat(x["number"].cast("string"), F.lit(": "), x["reason"]))
+    return c.select("id", "c.agree", F.array_join("c.divergent", ",").alias("divergent"), F.array_join(said, "; ").alias("reasons"))
+
+
 _V = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in J.VERDICTS)
 _SUMMARY = f"""s AS (SELECT job_id, label, min(pos) AS pos, count(*) AS requests, {_V}, round_even(avg(kept / runs), 3) AS avg_rate,
   CAST(round_even(avg(latency_ms), 0) AS BIGINT) AS avg_latency_ms, CAST(round_even(avg(cost_micros), 0) AS BIGINT) AS avg_cost_micros FROM cells GROUP BY job_id, label)"""

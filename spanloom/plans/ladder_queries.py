@@ -188,3 +188,24 @@ def catalog_report(spark: SparkSession, d: str) -> DataFrame:
     filled = lambda c: F.when(F.col(c) != 0, F.col(c))
     rows = C.catalog(spark).join(g.withColumn("served", F.lit(True)), "name", "left")
     return rows.select("name", "provider", "tier", "cache_mode", F.coalesce("served", F.lit(False)).alias("served"), F.coalesce(filled("gateway_max"), filled("max_output"), F.lit(32768)).alias("max_output"), F.coalesce("cache_min", F.lit(1024)).alias("cache_min"))
+
+
+_SERVED = "ok AS (SELECT DISTINCT model FROM r WHERE model IS NOT NULL AND mode = 'chat' AND max_output >= 50)"
+_SITES_SERVED = _SITES_SQL.replace("FROM catalog WHERE callable", "FROM catalog WHERE name IN (SELECT model FROM ok) AND callable")
+_MIGRATE_SERVED = _MIGRATE.replace("mig AS (", "mig0 AS (") + ", mig AS (SELECT * FROM mig0 WHERE migrates_to IN (SELECT model FROM ok))"
+
+
+def served(spark: SparkSession, d: str) -> DataFrame:
+    return deployed(spark, d).where("model IS NOT NULL AND mode = 'chat' AND max_output >= 50").select("model")
+
+
+@query(oracle(f"WITH {_FLAVOUR}, {_SERVED}, {_SITES_SERVED}, {_NEXT} SELECT * FROM next", "runs", "deployed"))
+def ladder_next_served(spark: SparkSession, d: str) -> DataFrame:
+    """The next cheaper model of those that the gateway serves with room for 50."""
+    return L.next_cheaper(sites(spark, d), C.catalog(spark), AS_OF, served(spark, d))
+
+
+@query(oracle(f"WITH {_FLAVOUR}, {_SERVED}, {_SITES_SERVED}, {_NEXT}, {_MIGRATE_SERVED}, {_DOWN} SELECT key, model, cheaper, reason, usd FROM down", "runs", "deployed"))
+def ladder_downgrades_served(spark: SparkSession, d: str) -> DataFrame:
+    """Downgrades to what the gateway serves: a vendor's target that isn't served gives way to the next cheaper model."""
+    return L.downgrades(sites(spark, d), C.catalog(spark), C.migrations(spark), AS_OF, 10_000, served(spark, d))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import runs
+from spanloom.operators import diagnose
 from spanloom.plans.fixtures import oracle, table
 from spanloom.plans.registry import query
 from spanloom.sources import logs
@@ -110,6 +111,23 @@ def diagnose_version_fields(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("k", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).where("k <= 8").drop("k")
 
 
+#: Metadata of events as JSON: fields that vary, one that is stable, numbers and nulls, and two that are absent.
+_META = """SELECT event_id, CAST(ts AS string) AS seen, concat('{{"revision_id":"r', event_id % 13, '","LANGSMITH_HOST_REVISION_ID":', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE concat('"h', event_id % 4, '"') END,
+  ',"graph_id":"main","assistant_id":', event_id % 5, ',"langgraph_version":"', CASE WHEN event_id % 2 = 0 THEN '0.1' ELSE 'a version whose name is longer than what a table has room for' END, '","other":1', CASE WHEN event_id % 7 = 0 THEN concat(',"LANGSMITH_HOST_PROJECT_ID":"p', event_id % 2, '"') ELSE '' END, '}}') AS meta FROM {events}"""
+_FIELDS = ", ".join(f"('{f}', {k})" for k, f in enumerate(diagnose.VERSION_FIELDS, 1))
+
+
+@query(
+    f"""WITH e AS ({_META.format(events="events")}), v AS (SELECT * FROM (VALUES {_FIELDS}) AS t(field, place)), u AS (SELECT field, json_extract_string(meta, '$.' || field) AS value, left(seen, 19) AS seen FROM e CROSS JOIN v),
+g AS (SELECT field, value, count(*) AS n, min(seen) AS first_at, max(seen) AS last_at FROM u WHERE value IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, first_at, value) AS k, count(*) OVER (PARTITION BY field) AS n_values FROM g)
+SELECT v.field, v.place, CASE WHEN n_values IS NULL THEN 'absent' WHEN n_values = 1 THEN 'STABLE (one value)' ELSE 'VARIES → ' || n_values || ' values' END AS state, left(value, 40) AS value, coalesce(n, 0) AS n, first_at, last_at
+FROM v LEFT JOIN (SELECT * FROM r WHERE k <= 8) r USING (field)"""
+)
+def diagnose_version_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent values of eight version fields of metadata: a top-k report."""
+    return diagnose.version_fields(spark.sql(_META, events=spark.read.parquet(f"{d}/events.parquet")), "meta", "seen")
+
+
 @query(oracle("SELECT revision, count(*) AS runs, count(DISTINCT trace_id) AS traces, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (WHERE error <> '') AS errors FROM runs GROUP BY revision", "runs"))
 def diagnose_tally(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "runs").groupBy("revision")

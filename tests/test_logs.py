@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF
 
-from spanloom.functions import logged
-from spanloom.operators import profile, results, votes
+from spanloom.functions import logged, text
+from spanloom.operators import diagnose, profile, results, votes
 from spanloom.plans.queries import QUERIES
 from spanloom.sources import logs
 
@@ -122,3 +122,36 @@ def test_reasons_of_runs_and_candidates(spark):
         assert votes.judge_reasons(outcomes, told).first()["judge_reason"] == want
     answers = spark.createDataFrame([(1, 1, 0, None), (1, 1, 10, 4), (1, 1, 21, 0), (2, 1, 0, None)], "item long, cand int, latency_ms long, cost_micros long")
     assert {r["item"]: (r["latency_ms"], r["cost_micros"]) for r in votes.averages(answers).collect()} == {1: (16, 2), 2: (None, None)}
+
+
+def test_coherence_of_replies(spark):
+    replies = ["CONSISTENT 3/4\nDIVERGENT 2\n2: longer", "DIVERGENT none", "divergent 4, 2, 9, 2\n2 - a\n\n 4:  b \n5: out\n4: again", "CONSISTENT 9/9", "consistent: 1 / 4\n1: " + "x" * 200, "nothing to read\n1: why", "", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i long, r string").select("i", text.coherence(F.col("r"), F.lit(4)).alias("c")).orderBy("i").collect()
+    told = [None if r["c"] is None else (r["c"]["agree"], r["c"]["divergent"], [tuple(x) for x in r["c"]["reasons"]]) for r in got]
+    assert told == [(3, [2], [(2, "longer")]), (4, [], []), (2, [2, 4], [(2, "a"), (4, "again")]), (4, [], []), (1, [], [(1, "x" * 120)]), None, None, None]
+
+
+def test_version_fields_absent_stable_and_varying(spark):
+    rows = [(json.dumps({"graph_id": "g", "revision_id": f"r{i % 10}"}), f"2024-01-0{1 + i % 3}T00:00:00.5") for i in range(30)] + [("no json", "2024"), (None, None)]
+    got = diagnose.version_fields(spark.createDataFrame(rows, "m string, at string"), "m", "at").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["field"], []).append(r)
+    assert len(by) == 8 and len(by["revision_id"]) == 8 and by["revision_id"][0]["state"] == "VARIES → 10 values"
+    assert [(r["state"], r["value"], r["n"], r["first_at"], r["last_at"]) for r in by["graph_id"]] == [("STABLE (one value)", "g", 30, "2024-01-01T00:00:00", "2024-01-03T00:00:00")]
+    assert [(r["state"], r["value"], r["n"]) for r in by["assistant_id"]] == [("absent", None, 0)]
+
+
+def test_only_what_is_served_is_proposed(spark):
+    from spanloom import catalog as C
+    from spanloom.operators import ladder
+
+    catalog = C.catalog(spark)
+    sites = spark.createDataFrame([(r["name"], r["name"], 1000, 1000, False) for r in catalog.where("callable").collect()], "key string, model string, avg_in long, avg_out long, mixed boolean")
+    every = ladder.next_cheaper(sites, catalog, "2026-01-15")
+    first = every.first()["target"]
+    few = ladder.next_cheaper(sites, catalog, "2026-01-15", every.where(F.col("target") != first).select(F.col("target").alias("model")))
+    assert every.count() > few.where(F.col("target") != first).count() - 1 and few.where(F.col("target") == first).count() == 0
+    assert ladder.next_cheaper(sites, catalog, "2026-01-15", every.limit(0).select(F.col("target").alias("model"))).count() == 0
+    down = ladder.downgrades(sites, catalog, C.migrations(spark), "2026-01-15", 100, every.limit(0).select(F.col("target").alias("model")))
+    assert down.count() == 0 and ladder.downgrades(sites, catalog, C.migrations(spark), "2026-01-15", 100).count() > 0
