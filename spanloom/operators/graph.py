@@ -285,3 +285,11 @@ def sub_agents(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
     rows = _of_parent(runs.where("run_type = 'llm'"), upward(runs, own, joined, small), "above_")
     agent = F.when(F.col("above_.found"), F.coalesce("above_.below", F.lit("(task, unnamed)"))).otherwise("(orchestrator)")
     return rows.select("trace_id", "run_id", agent.alias("agent"))
+
+
+def noise(runs: DataFrame) -> DataFrame:
+    """One row: traces, runs, llm and chain runs, chains of middleware, and their share of all runs in whole percent."""
+    chain = F.col("run_type") == "chain"
+    middleware = F.count_if(chain & F.coalesce(F.contains("name", F.lit("Middleware")), F.lit(False)))
+    n = F.count(F.lit(1))
+    return runs.agg(F.count_distinct("trace_id").alias("traces"), n.alias("runs"), F.count_if(F.col("run_type") == "llm").alias("llm"), F.count_if(chain).alias("chains"), middleware.alias("middleware"), F.bround(middleware * 100 / F.greatest(n, F.lit(1))).cast("long").alias("noise_percent"))

@@ -220,3 +220,17 @@ SELECT r.trace_id, r.run_id, CASE WHEN n.d IS NULL THEN '(orchestrator)' ELSE co
 def graph_sub_agents(spark: SparkSession, d: str) -> DataFrame:
     named = F.when((F.col("run_type") == "tool") & F.col("name").isin("n2", "n3"), F.concat(F.lit("task-"), "name")).otherwise(F.col("name"))
     return G.sub_agents(table(spark, d, "runs").withColumn("name", named))
+
+
+@query(
+    oracle(
+        """WITH m AS (SELECT *, CASE WHEN run_type = 'chain' AND k % 3 = 0 THEN name || 'Middleware.before' ELSE name END AS n FROM runs)
+SELECT count(DISTINCT trace_id) AS traces, count(*) AS runs, count(*) FILTER (WHERE run_type = 'llm') AS llm, count(*) FILTER (WHERE run_type = 'chain') AS chains, count(*) FILTER (WHERE run_type = 'chain' AND contains(n, 'Middleware')) AS middleware,
+CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE run_type = 'chain' AND contains(n, 'Middleware')) / greatest(1, count(*)), 0) AS BIGINT) AS noise_percent FROM m""",
+        "runs",
+    )
+)
+def graph_noise(spark: SparkSession, d: str) -> DataFrame:
+    """How much of a log is middleware."""
+    middle = F.when((F.col("run_type") == "chain") & (F.col("k") % 3 == 0), F.concat("name", F.lit("Middleware.before"))).otherwise(F.col("name"))
+    return G.noise(table(spark, d, "runs").withColumn("name", middle))

@@ -67,6 +67,34 @@ def text_merged_turns(spark: SparkSession, d: str) -> DataFrame:
     return _merged(turns(spark, d))
 
 
+_REPLAYED = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN 'assistant' WHEN conv_id % 10 = 3 THEN 'system' ELSE role END AS role, CASE WHEN conv_id % 10 = 7 THEN ' ' ELSE text END AS text FROM {conversations}"
+
+
+@query(
+    f"""WITH c AS ({_REPLAYED.format(conversations="conversations")}), t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM c WHERE role <> 'system'),
+g AS (SELECT *, sum(CASE WHEN before = role THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t WHERE text <> '')),
+m AS (SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS content FROM g GROUP BY conv_id, island)
+SELECT * FROM m UNION ALL SELECT conv_id, 0, 'user', '(continue)' FROM m WHERE island = 1 AND role <> 'user' UNION ALL SELECT DISTINCT conv_id, 1, 'user', '(no user turn)' FROM c WHERE conv_id NOT IN (SELECT conv_id FROM m)"""
+)
+def text_replay_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as a re-run sends them: merged turns that begin with a user's, put in where there is none."""
+    rows = spark.sql(_REPLAYED, conversations=turns(spark, d))
+    return starting_with_user(_merged(rows), rows.select("conv_id").distinct())
+
+
+# What stands for a user's turn that a conversation lacks.
+CONTINUE, NO_USER_TURN = "(continue)", "(no user turn)"
+
+
+def starting_with_user(merged: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Merged turns (conv_id, island from 1, role, content), and a user's turn before those of a conversation that begins otherwise
+    (island 0) or has none."""
+    said = lambda island, text: [F.lit(island).cast("long").alias("island"), F.lit("user").alias("role"), F.lit(text).alias("content")]
+    late = merged.where("island = 1 AND role <> 'user'").select("conv_id", *said(0, CONTINUE))
+    silent = conversations.join(merged.where("island = 1"), "conv_id", "left_anti").select("conv_id", *said(1, NO_USER_TURN))
+    return merged.unionByName(late).unionByName(silent)
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     rows = rows.where("role <> 'system'").withColumn("role", F.when(F.col("role") == "assistant", "assistant").otherwise("user")).withColumn("text", X.strip(F.col("text"))).where("text <> ''")
     w = Window.partitionBy("conv_id").orderBy("turn")

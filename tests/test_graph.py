@@ -51,3 +51,18 @@ def test_structural_nodes_and_edges_by_recorded_path(spark):
     runs = spark.createDataFrame(rows, RUN)
     assert {(r["key"], r["graph_path"]) for r in G.structural_nodes(runs, "a").collect()} == {("a/billing/search", "billing"), ("a/search", "")}
     assert {(r["src"], r["dst"]) for r in G.flow_edges(G.resolve(runs), "a").collect()} == {("a/billing/search", "a/search"), ("a/search", "a/billing/worker")}
+
+
+def test_noise_of_middleware(spark):
+    rows = [run(1, i, "n", kind=k)[:5] + (name,) + run(1, i, "n")[6:] for i, (k, name) in enumerate([("chain", "AMiddleware.x"), ("chain", "plain"), ("llm", "Middleware"), ("chain", None)], 1)]
+    assert tuple(G.noise(spark.createDataFrame(rows, RUN)).first()) == (1, 4, 1, 3, 1, 25)
+    assert tuple(G.noise(spark.createDataFrame([], RUN)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_replayed_conversations_begin_with_a_user(spark):
+    from spanloom.plans.text_queries import starting_with_user
+
+    merged = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (2, 1, "assistant", "so"), (2, 2, "user", "go")], "conv_id long, island long, role string, content string")
+    every = spark.createDataFrame([(1,), (2,), (3,)], "conv_id long")
+    got = sorted(map(tuple, starting_with_user(merged, every).collect()))
+    assert got == [(1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (2, 0, "user", "(continue)"), (2, 1, "assistant", "so"), (2, 2, "user", "go"), (3, 1, "user", "(no user turn)")]
