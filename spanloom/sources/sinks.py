@@ -30,10 +30,19 @@ def state(spark: SparkSession, path: str) -> DataFrame:
     return last.select("key", "w.value", "w.created_at").where("value IS NOT NULL")
 
 
-def pin(rows: DataFrame, path: str, snapshot: str) -> None:
-    """Keep a snapshot that later steps read instead of fetching again."""
-    rows.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(path)
+#: Whose data a snapshot is: columns beside its own.
+OWNER = ["owner_source", "owner_workspace", "owner_project"]
 
 
-def pinned(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("snapshot") == snapshot).drop("snapshot")
+def pin(rows: DataFrame, path: str, snapshot: str, owner: tuple[str, str, str] = ("", "", "")) -> None:
+    """Keep a snapshot that later steps read instead of fetching again; owner: its source, workspace and project."""
+    owned = rows.select("*", *[F.lit(x).alias(c) for c, x in zip(OWNER, owner, strict=True)], F.lit(snapshot).alias("snapshot"))
+    owned.write.mode("append").partitionBy("snapshot").parquet(path)
+
+
+def pinned(spark: SparkSession, path: str, snapshot: str, owner: tuple[str, str, str] | None = None) -> DataFrame:
+    """A snapshot's rows; with an owner, none where it is another's, as an id alone gives no right to it."""
+    rows = spark.read.parquet(path).where(F.col("snapshot") == snapshot)
+    for column, value in zip(OWNER, owner or (), strict=False):
+        rows = rows.where(F.col(column) == value)
+    return rows.drop("snapshot", *OWNER)

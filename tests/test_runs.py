@@ -82,3 +82,12 @@ def test_store_and_snapshots(spark, tmp_path):
     sinks.pin(spark.range(3), str(tmp_path / "snap"), "s1")
     sinks.pin(spark.range(5), str(tmp_path / "snap"), "s2")
     assert sinks.pinned(spark, str(tmp_path / "snap"), "s1").count() == 3
+    assert sinks.pinned(spark, str(tmp_path / "snap"), "s1").columns == ["id"]
+
+
+def test_snapshots_of_others_are_not_shown(spark, tmp_path):
+    path, own = str(tmp_path / "snap"), ("langsmith", "w1", "agent")
+    sinks.pin(spark.range(4), path, "s1", own)
+    assert sinks.pinned(spark, path, "s1", own).count() == sinks.pinned(spark, path, "s1").count() == 4
+    for other in (("bigquery", "w1", "agent"), ("langsmith", "w2", "agent"), ("langsmith", "w1", "other")):
+        assert sinks.pinned(spark, path, "s1", other).count() == 0
