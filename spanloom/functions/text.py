@@ -74,6 +74,14 @@ def digest(text: Column, most: int = 1400, head: int = 900, tail: int = 400) ->
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), F.lit("\n[...]\n"), F.substring(text, -tail, tail))).otherwise(text)
 
 
+def omitted(text: Column, most: int = 1400, head: int = 900, tail: int = 400) -> Column:
+    """A long message as its head and tail, and how much lies between; empty for null."""
+    text = F.coalesce(text, F.lit(""))
+    # Fixed value: the words between head and tail.
+    between = F.format_string("\n...[%d chars omitted]...\n", F.length(text) - (head + tail))
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), between, F.substring(text, -tail, tail))).otherwise(text)
+
+
 def fingerprint(system: Column) -> Column:
     """Name of a call-site by its system prompt: its first four words and a hash in which digits don't count."""
     words = F.regexp_extract_all(F.lower(system), F.lit("([a-z0-9]+)"), 1)

@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import masked, out_shape
+from spanloom.functions.text import masked, omitted, out_shape
 from spanloom.sources.storage import cut
 
 
+def common_lines(rows: DataFrame, by: str, row: str, text: str, form: Callable[[Column], Column] = lambda t: t) -> DataFrame:
+    """The lines that all rows of each group have, ``form`` of the text taken: (by, n_, common_), written.
+
+    Such a line is in the group's shortest text too, so only that text's lines are counted in the others.  Texts stay where they
+    lie: what is shuffled are the counts.  The tables that meet the texts have a row for each group and are written, so that Spark
+    knows their size and broadcasts them if they are small.
+    """
+    rows = rows.select(F.col(by).alias("g_"), F.col(row).alias("r_"), F.coalesce(F.col(text), F.lit("")).alias("t_"))
+    lines = F.array_distinct(F.split(form(F.col("t_")), "\n"))
+    same = lambda *names: reduce(and_, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in names])
+    sizes = cut(rows.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), F.min_by("r_", F.length("t_")).alias("r_")))
+    shortest = rows.alias("x").join(sizes.alias("y"), same("g_", "r_")).select("y.g_", "n_", lines.alias("can_"))
+    can = cut(shortest.dropDuplicates(["g_"]))
+    met = rows.alias("x").join(can.alias("y"), same("g_")).select("y.g_", "n_", F.explode(F.array_intersect("can_", lines)).alias("l_"))
+    all_have = met.groupBy("g_", "n_", "l_").agg(F.count(F.lit(1)).alias("m_")).where("m_ = n_")
+    common = all_have.groupBy("g_").agg(F.collect_list("l_").alias("common_"))  # at most the shortest text
+    none = F.array().cast("array<string>")
+    return cut(can.alias("x").join(common.alias("y"), same("g_"), "left").select(F.col("x.g_").alias(by), "n_", F.coalesce("common_", none).alias("common_")))
+
+
+def without(lines: Column, common: Column) -> Column:
+    return F.filter(lines, lambda x: ~F.array_contains(common, x))
+
+
 def frame_stripped(rows: DataFrame, by: str, row: str, text: str) -> DataFrame:
-    """Distinct texts of each group after masking numbers and dropping the lines that all of its rows have."""
-    norm = rows.select(by, row, masked(F.col(text)).alias("t_"))
-    n = norm.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
-    lines = norm.select(by, row, F.posexplode(F.split("t_", "\n")).alias("p_", "l_"))
-    shared = lines.groupBy(by, "l_").agg(F.count_distinct(row).alias("m_")).join(n, by).where("m_ = n_ AND n_ > 1").select(by, "l_")
-    left = lines.join(shared, [by, "l_"], "left_anti").groupBy(by, row).agg(F.array_sort(F.collect_list(F.struct("p_", "l_"))).alias("a_"))
-    texts = norm.select(by, row).join(left, [by, row], "left").select(by, F.array_join(F.transform(F.coalesce("a_", F.array()), lambda x: x["l_"]), "\n").alias("t_"))
-    return texts.groupBy(by).agg(F.count_distinct("t_").alias("distinct_output"))
+    """Distinct texts of each group after masking numbers and dropping the lines that all of its rows have.
+
+    Texts are told apart by their SHA-256, so none is shuffled.  A group without a name (null) is a group.
+    """
+    frames = common_lines(rows, by, row, text, masked)
+    own = rows.alias("x").join(frames.alias("y"), F.col(f"x.{by}").eqNullSafe(F.col(f"y.{by}")))
+    lines = F.split(masked(F.col(f"x.{text}")), "\n")
+    left = F.array_join(F.when(F.col("n_") > 1, without(lines, F.col("common_"))).otherwise(lines), "\n")
+    return own.select(f"y.{by}", F.sha2(left, 256).alias("t_")).groupBy(by).agg(F.count_distinct("t_").alias("distinct_output"))
 
 
 def shape_mix(rows: DataFrame, by: str, text: str) -> DataFrame:
@@ -48,11 +77,8 @@ def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int) -
     Lines that all rows of a group have are left out first.  The greedy walk is ``most`` rounds over all groups at once:
     each keeps a group's first row and drops what is alike, so no group is gathered and none is cut short.
     """
-    lines = rows.select(by, order, F.explode(F.array_distinct(F.split(text, "\n"))).alias("l_"))
-    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
-    common = lines.groupBy(by, "l_").agg(F.count(F.lit(1)).alias("m_")).join(n, by).where("m_ = n_").groupBy(by).agg(F.collect_list("l_").alias("common_"))
-    own = rows.join(common, by, "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("common_", F.array().cast("array<string>")), x)), "\n")
+    own = rows.join(common_lines(rows, by, order, text), by)
+    rest = F.array_join(without(F.split(text, "\n"), F.col("common_")), "\n")
     words = words_of(rest)
     left = cut(own.select(by, F.col(order).alias("o_"), F.when(F.size(words) > 0, words).otherwise(words_of(F.col(text))).alias("w_")))
     kept = None
@@ -85,3 +111,67 @@ def frame_variants(calls: DataFrame, by: str, item: str, trace: str, text: str)
     two = real.groupBy(by).agg(F.count(F.lit(1)).alias("k_")).where("k_ >= 2").join(met, by, "left_semi")
     shown = real.join(two, by, "left_semi")
     return rows.join(shown, [by, "six_"], "left").select(by, item, F.coalesce("frame_", F.lit("")).alias("frame"))
+
+
+def bucket_facts(calls: DataFrame, by: str, system: str, user: str) -> DataFrame:
+    """How many calls each call-site has, and how many system prompts and users' texts differ, by their SHA-256."""
+    seen = lambda c: F.count_distinct(F.sha2(F.coalesce(F.col(c), F.lit("")), 256))
+    return calls.groupBy(by).agg(F.count(F.lit(1)).alias("n"), seen(system).alias("distinct_system"), seen(user).alias("distinct_user"))
+
+
+def tools_called(calls: DataFrame, by: str, tools: str) -> DataFrame:
+    """The distinct names in ``tools`` of each call-site, in order."""
+    return calls.select(by, F.explode(tools).alias("t_")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("t_")).alias("tools"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """Names of the nodes before and after each key of (src, dst): key, upstream, downstream, in order, itself left out."""
+    rows = edges.where("src <> dst").select("src", "dst").distinct()
+    name = lambda c: F.substring_index(F.col(c), "/", -1)
+    both = rows.select(F.col("dst").alias("key"), name("src").alias("up_"), F.lit(None).cast("string").alias("down_"))
+    both = both.unionByName(rows.select(F.col("src").alias("key"), F.lit(None).cast("string").alias("up_"), name("dst").alias("down_")))
+    names = lambda c: F.array_sort(F.collect_set(c))
+    return both.groupBy("key").agg(names("up_").alias("upstream"), names("down_").alias("downstream"))
+
+
+def packs(nodes: DataFrame, structural: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """All that is known of each node without a model's help, a row each; what a kind of node lacks is null.
+
+    nodes: as ``graph.node_stats`` gives them; structural: key, type, node, graph_path, calls, error_rate, avg_ms; calls: the
+    usable ones with key, run_id, system, user, roles, contents, tools_called and output; edges: as ``graph.flow_edges``.
+    """
+    none = F.array().cast("array<string>")
+    own = nodes.select("key", F.lit("llm").alias("kind"), "node", "graph_path", F.col("out_type").alias("output_type"), F.col("tool_input_rate").alias("tool_rate"), "avg_tools", "untagged", "mixed_model", "error_rate")
+    known = [
+        bucket_facts(calls, "key", "system", "user"),
+        structure(calls, "key").drop("n"),
+        shape_mix(calls, "key", "output").withColumnRenamed("mixed", "mixed_shapes"),
+        frame_stripped(calls.select("key", "run_id", "output"), "key", "run_id", "output"),
+        tools_called(calls, "key", "tools_called"),
+    ]
+    for part in known:
+        own = own.join(part, "key", "left")
+    other = structural.select("key", F.col("type").alias("kind"), "node", "graph_path", F.col("node").alias("op"), "calls", "error_rate", "avg_ms")
+    flow = neighbours(edges)
+    rows = own.unionByName(other, allowMissingColumns=True).join(flow, "key", "left")
+    for c in ("tools", "upstream", "downstream"):
+        rows = rows.withColumn(c, F.coalesce(c, none))
+    return rows
+
+
+def digests(sample: DataFrame, by: str, most: int = 2000) -> DataFrame:
+    """Sampled calls (by, run_id, trace_id, model_name, roles, contents, output) as an analyst reads them: long messages by head
+    and tail with their length, whether a system message is the whole system text of all of the sample, and the answer's
+    beginning."""
+    same = Window.partitionBy(by)  # a sample is bounded
+    system = F.array_join(F.transform(F.filter(F.arrays_zip("roles", "contents"), lambda m: m["roles"] == "system"), lambda m: m["contents"]), "\n")
+    rows = sample.withColumn("system_", system)
+    one = F.when(F.min("system_").over(same) == F.max("system_").over(same), F.col("system_"))
+    rows = rows.withColumn("one_", one)
+    said = F.zip_with("roles", "contents", lambda r, c: F.struct(
+        r.alias("role"),
+        F.length(c).alias("chars"),
+        omitted(c).alias("text"),
+        F.when(r == "system", F.coalesce(c == F.col("one_"), F.lit(False))).alias("identical_across_sample"),
+    ))
+    return rows.select(by, "run_id", "trace_id", F.col("model_name").alias("model"), said.alias("messages"), F.substring("output", 1, most).alias("output"), F.length("output").alias("output_chars"))

@@ -103,10 +103,11 @@ def buckets(calls: DataFrame, by: str, order: str, shown: list[str], most: int |
     return out if most is None else out.where(F.col("place") <= most)
 
 
-def coverage(rows: DataFrame, sample: DataFrame, by: str, item: str, system: str, user: str) -> DataFrame:
-    """How much of each group a sample (by, item) covers."""
-    every = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct(system).alias("distinct_system_all"), F.count_distinct(user).alias("distinct_user_all"))
-    chosen = rows.join(sample.select(by, item), [by, item], "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct(system).alias("distinct_system_in_sample"))
+def coverage(calls: DataFrame, sample: DataFrame, by: str, item: str, system: str, user: str) -> DataFrame:
+    """How much of each group a sample (by, item) covers; texts are told apart by their SHA-256."""
+    own = calls.select(by, item, *[F.sha2(F.coalesce(F.col(c), F.lit("")), 256).alias(n) for c, n in ((system, "s_"), (user, "u_"))])
+    every = own.groupBy(by).agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct("s_").alias("distinct_system_all"), F.count_distinct("u_").alias("distinct_user_all"))
+    chosen = own.join(sample.select(by, item), [by, item], "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("s_").alias("distinct_system_in_sample"))
     return every.join(chosen, by, "left").na.fill(0, ["sampled", "distinct_system_in_sample"])
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import catalog as C
+from spanloom.operators import facts
 from spanloom.operators import graph as G
 from spanloom.operators import profile as P
 from spanloom.operators import results as R
 from spanloom.plans.fixtures import oracle, table
-from spanloom.plans.graph_queries import _FUNCTIONS, _STATS, calls, graph_function_nodes
+from spanloom.plans.graph_queries import _CALLS, _FUNCTIONS, _GENERIC, _STATS, calls, graph_function_nodes, resolved
 from spanloom.plans.ladder_queries import deployed
 from spanloom.plans.registry import query
+from spanloom.plans.text_queries import step
 from spanloom.sources.storage import cut
 
 _NODES = f"""{_STATS}, mc AS (SELECT key, k.name AS model, count(*) AS n, min(run_id) AS first FROM calls JOIN catalog k ON k.ord = model_ord WHERE usable GROUP BY ALL),
@@ -103,35 +105,69 @@ def profile_shapes(spark: SparkSession, d: str) -> DataFrame:
     return n.select("key", words.alias("shape"), F.lit("").alias("summary")).unionByName(others)
 
 
-_PACKS = """f AS (SELECT coalesce(node_hint, '(none)') AS node, count(*) AS n, count(DISTINCT name) AS distinct_system, count(DISTINCT output) AS distinct_output, list_sort(list(DISTINCT 'tool' || (k % 9)) FILTER (WHERE n_tools > 0)) AS tools,
-  count(*) FILTER (WHERE ord > 1) * 2 > count(*) AS multi_turn, count(*) FILTER (WHERE k % 4 = 0) * 2 > count(*) AS rag_present FROM runs GROUP BY ALL),
-e AS (SELECT coalesce(node_hint, '(none)') AS src, lead(coalesce(node_hint, '(none)')) OVER (PARTITION BY trace_id ORDER BY ord, run_id) AS dst FROM runs), p AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL AND src <> dst),
-u AS (SELECT dst AS node, string_agg(src, ', ' ORDER BY src) AS up FROM p GROUP BY dst), w AS (SELECT src AS node, string_agg(dst, ', ' ORDER BY dst) AS down FROM p GROUP BY src)"""
+_EDGES = f"""fe AS (SELECT trace_id, ord, run_id, CASE WHEN run_type = 'llm' THEN CASE WHEN trim(output) <> '' THEN concat_ws('/', 'agent', nullif(path, ''), node) END
+  WHEN lower(trim(coalesce(node_hint, name))) NOT IN ({_GENERIC}) THEN concat_ws('/', 'agent', nullif(trim(graph_path, '/'), ''), coalesce(node_hint, name)) END AS k FROM resolved),
+fl AS (SELECT *, lag(k) OVER (PARTITION BY trace_id ORDER BY ord, run_id) AS before FROM fe WHERE k IS NOT NULL),
+edges AS (SELECT DISTINCT src, dst FROM (SELECT k AS src, lead(k) OVER (PARTITION BY trace_id ORDER BY ord, run_id) AS dst FROM fl WHERE before IS NULL OR before <> k) WHERE dst IS NOT NULL AND src <> dst)"""
+_SYSTEM = "concat('You are ', name, CASE WHEN k % 7 = 3 AND k % 19 = 0 THEN concat(', number ', CAST(k AS string)) ELSE '' END)"
+_USER = "concat(CASE WHEN k % 7 IN (1, 2) AND k % 3 <> 0 THEN '[2] quoted: ' ELSE '' END, prompt, CASE WHEN k % 7 = 4 THEN concat(chr(10), 'go on with ', CAST(k % 3 AS string)) ELSE '' END)"
+_OUTPUT = "concat(output, CASE WHEN k % 7 >= 5 THEN concat(chr(10), 'Signed, with regards ', CAST(run_id AS string)) ELSE '' END)"
+#: What the usable calls said, as SQL over ``calls``.
+_SAID = f"""SELECT *, {_SYSTEM} AS system_text, {_USER} AS user_text, {_OUTPUT} AS said FROM calls WHERE usable"""
+
+
+def said(calls_: DataFrame) -> DataFrame:
+    """Usable calls with the messages that went before: system, user (in two turns for one node), a tool's result, and the tools
+    that the answer calls."""
+    k = F.col("k")
+    rows = calls_.where("usable").withColumn("system", F.expr(_SYSTEM)).withColumn("user", F.expr(_USER)).withColumn("output", F.expr(_OUTPUT))
+    first = F.split("user", "\n")
+    several, tool = k % 7 == 4, F.col("tool_turn")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    turns = F.array(
+        message("system", F.col("system")),
+        message("user", first[0]),
+        F.when(several, message("assistant", F.lit("yes"))),
+        F.when(several, message("user", F.get(first, F.lit(1)))),
+        F.when(tool, message("tool", F.lit("a result"))),
+    )
+    rows = rows.withColumn("messages", F.array_compact(turns))
+    called = F.when(F.col("n_tools") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_tools") - 1), lambda i: F.concat(F.lit("tool"), ((k + i) % 9).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("roles", F.col("messages.role")).withColumn("contents", F.col("messages.content")).withColumn("tools_called", called)
 
 
 @query(
     oracle(
-        f"""WITH {_PACKS} SELECT f.node, array_to_string([x FOR x IN [CASE WHEN distinct_system = 1 THEN 'frame: fixed' ELSE 'frame: varies (' || distinct_system || ')' END, 'distinct out: ' || distinct_output || '/' || n,
- CASE WHEN len(tools) > 0 THEN 'calls: ' || array_to_string(tools, ', ') END, CASE WHEN multi_turn THEN 'multi-turn' END, CASE WHEN rag_present THEN 'RAG' END] IF x IS NOT NULL], '; ') AS facts,
- CASE WHEN up IS NOT NULL OR down IS NOT NULL THEN coalesce(up, '·') || ' → this → ' || coalesce(down, '·') ELSE '' END AS flow FROM f LEFT JOIN u USING (node) LEFT JOIN w USING (node)""",
+        f"""WITH {_NODES}, {_EDGES}, u AS ({_SAID}),
+b AS (SELECT key, count(*) AS n, count(DISTINCT system_text) AS distinct_system, count(DISTINCT user_text) AS distinct_user, count(*) FILTER (WHERE k % 7 = 4) * 2 > count(*) AS multi_turn, bool_or(tool_turn) AS has_tool_result,
+  count(*) FILTER (WHERE k % 7 IN (1, 2) AND k % 3 <> 0) * 2 > count(*) AS rag_present FROM u GROUP BY key),
+sh AS (SELECT key, CASE WHEN trim(said, ' ' || chr(10)) = '' THEN 'empty' WHEN left(said, 1) IN ('{{', '[') THEN 'json' WHEN len(string_split(said, ' ')) <= 4 AND NOT contains(said, chr(10)) THEN 'label' ELSE 'prose' END AS s FROM u),
+sm AS (SELECT key, {", ".join(f"count(*) FILTER (WHERE s = '{x}') AS {x}" for x in ("empty", "json", "label", "prose"))} FROM sh GROUP BY key),
+ms AS (SELECT key, run_id, lower(regexp_replace(trim(said, ' ' || chr(10)), '[0-9]+', '#', 'g')) AS t FROM u), ls AS (SELECT key, run_id, unnest(string_split(t, chr(10))) AS l FROM ms),
+co AS (SELECT key, l FROM ls GROUP BY key, l HAVING count(DISTINCT run_id) = (SELECT n FROM b WHERE b.key = ls.key) AND count(DISTINCT run_id) > 1), cl AS (SELECT key, list(l) AS common FROM co GROUP BY key),
+ds AS (SELECT key, count(DISTINCT array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(coalesce(common, []), x)), chr(10))) AS distinct_output FROM ms LEFT JOIN cl USING (key) GROUP BY key),
+tc AS (SELECT key, string_agg(DISTINCT 'tool' || ((k + i) % 9), ', ' ORDER BY 'tool' || ((k + i) % 9)) AS tools FROM u, unnest(range(0, n_tools)) AS r(i) GROUP BY key),
+up_of AS (SELECT dst AS key, string_agg(DISTINCT split_part(src, '/', -1), ', ' ORDER BY split_part(src, '/', -1)) AS names FROM edges GROUP BY dst), down_of AS (SELECT src AS key, string_agg(DISTINCT split_part(dst, '/', -1), ', ' ORDER BY split_part(dst, '/', -1)) AS names FROM edges GROUP BY src),
+every AS (SELECT key, 'llm' AS kind, node, graph_path, n, distinct_system, distinct_user, out_type AS output_type, distinct_output, empty, json, label, prose, list_reverse_sort([json, label, prose])[2] >= 2 AS mixed_shapes,
+  tool_input_rate AS tool_rate, avg_tools, coalesce(tools_, '') AS tools, multi_turn, has_tool_result, rag_present, untagged, mixed_model, error_rate
+  FROM full_stats JOIN b USING (key) JOIN sm USING (key) JOIN ds USING (key) LEFT JOIN (SELECT key, tools AS tools_ FROM tc) USING (key)
+UNION ALL BY NAME SELECT key, type AS kind, node, graph_path, '' AS tools, error_rate, node AS op, calls, avg_ms FROM structural)
+SELECT every.*, coalesce(a.names, '') AS upstream, coalesce(z.names, '') AS downstream, CASE WHEN kind = 'llm' THEN array_to_string([x FOR x IN [CASE WHEN distinct_system = 1 THEN 'frame: fixed' ELSE 'frame: varies (' || distinct_system || ')' END,
+  'distinct out: ' || distinct_output || '/' || n, CASE WHEN tools <> '' THEN 'calls: ' || tools END, CASE WHEN multi_turn THEN 'multi-turn' END, CASE WHEN rag_present THEN 'RAG' END] IF x IS NOT NULL], '; ') ELSE '' END AS facts,
+  CASE WHEN a.names IS NOT NULL OR z.names IS NOT NULL THEN coalesce(a.names, '·') || ' → this → ' || coalesce(z.names, '·') ELSE '' END AS flow FROM every LEFT JOIN up_of a USING (key) LEFT JOIN down_of z USING (key)""",
         "runs",
+        recursive=True,
     )
 )
 def profile_fact_packs(spark: SparkSession, d: str) -> DataFrame:
-    """Facts and neighbours of each node, as shown."""
-    from pyspark.sql import Window
-
-    node = F.coalesce("node_hint", F.lit("(none)"))
-    r = table(spark, d, "runs").withColumn("node", node)
-    tools = F.array_sort(F.collect_set(F.when(F.col("n_tools") > 0, F.concat(F.lit("tool"), (F.col("k") % 9).cast("string")))))
-    n = F.count(F.lit(1))
-    f = r.groupBy("node").agg(n.alias("n"), F.count_distinct("name").alias("distinct_system"), F.count_distinct("output").alias("distinct_output"), tools.alias("tools"), (F.count_if(F.col("ord") > 1) * 2 > n).alias("multi_turn"), (F.count_if(F.col("k") % 4 == 0) * 2 > n).alias("rag_present"))
-    e = r.select("node", F.lead("node").over(Window.partitionBy("trace_id").orderBy("ord", "run_id")).alias("dst")).where("dst IS NOT NULL AND node <> dst").distinct()
-    up = e.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("node")).alias("up"))
-    down = e.groupBy("node").agg(F.array_sort(F.collect_set("dst")).alias("down"))
-    none = F.array().cast("array<string>")
-    rows = f.join(up, "node", "left").join(down, "node", "left")
-    return rows.select("node", P.facts_line(rows).alias("facts"), P.flow_line(F.coalesce("up", none), F.coalesce("down", none)).alias("flow"))
+    """All facts of each node and its neighbours, and both as shown."""
+    r = cut(resolved(spark, d))
+    rows = G.call_sites(r, "agent")
+    packs = facts.packs(G.node_stats(rows), structural(spark, d), said(rows), G.flow_edges(r, "agent"))
+    shown = packs.withColumn("facts", P.facts_line(packs)).withColumn("flow", P.flow_line(F.col("upstream"), F.col("downstream")))
+    for c in ("tools", "upstream", "downstream"):
+        shown = shown.withColumn(c, F.array_join(c, ", "))
+    return shown
 
 
 @query(oracle("SELECT array_to_string(list_sort(list(DISTINCT revision)), ',') AS revisions, array_to_string(list_sort(list(DISTINCT name)), ',') AS graphs FROM runs", "runs"))
@@ -167,17 +203,54 @@ def results_documents(spark: SparkSession, d: str) -> DataFrame:
     return R.documents(*[table(spark, d, t) for t in ("cells", "answers", "votes")])
 
 
+_INPUTS = f"""u AS ({_SAID}), tx AS (SELECT key, run_id, system_text, user_text, system_text || chr(10) || user_text AS text FROM u), nk AS (SELECT key, count(*) AS n FROM tx GROUP BY key),
+li AS (SELECT key, run_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM tx), lc AS (SELECT key, line, count(*) AS m FROM li GROUP BY key, line), lf AS (SELECT key, list(line) AS lines FROM lc JOIN nk USING (key) WHERE m = n GROUP BY key),
+wo AS (SELECT key, run_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(lines, []), x)), chr(10)) AS rest FROM tx LEFT JOIN lf USING (key)),
+ws AS (SELECT key, run_id, list_filter(list_distinct(regexp_split_to_array(lower(rest), '\\s+')), lambda x: x <> '') AS w, list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda x: x <> '') AS every FROM wo),
+l0 AS (SELECT key, run_id, CASE WHEN len(w) > 0 THEN w ELSE every END AS w FROM ws), {", ".join(step(i, "key", "run_id") for i in range(1, 6))},
+picked AS ({" UNION ALL ".join(f"SELECT key, run_id FROM k{i}" for i in range(1, 6))})"""
+
+
+def sampled(calls_: DataFrame) -> DataFrame:
+    """Up to five calls of each call-site whose inputs differ: the limit is the feature."""
+    text = F.concat_ws("\n", "system", "user")
+    return facts.diverse_sample(calls_.select("key", "run_id", text.alias("text")), "key", "run_id", "text", 5)
+
+
 @query(
     oracle(
-        """WITH r AS (SELECT coalesce(node_hint, name) AS node, run_id, name, output, row_number() OVER (PARTITION BY coalesce(node_hint, name) ORDER BY run_id) AS k FROM runs)
-SELECT node, count(*) AS n_total, count(DISTINCT name) AS distinct_system_all, count(DISTINCT output) AS distinct_user_all, count(*) FILTER (WHERE k <= 5) AS sampled, count(DISTINCT name) FILTER (WHERE k <= 5) AS distinct_system_in_sample FROM r GROUP BY node""",
+        f"""WITH {_CALLS}, {_INPUTS}
+SELECT key, count(*) AS n_total, count(DISTINCT system_text) AS distinct_system_all, count(DISTINCT user_text) AS distinct_user_all, count(p.run_id) AS sampled,
+  count(DISTINCT system_text) FILTER (WHERE p.run_id IS NOT NULL) AS distinct_system_in_sample FROM tx LEFT JOIN picked p USING (key, run_id) GROUP BY key""",
         "runs",
+        recursive=True,
     )
 )
 def profile_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """What the first five calls of a node show of it."""
-    rows = table(spark, d, "runs").withColumn("node", F.coalesce("node_hint", "name"))
-    return P.coverage(rows, P.buckets(rows, "node", "run_id", [], 5), "node", "run_id", "name", "output")
+    """What a sample of calls that differ shows of each call-site."""
+    rows = cut(said(calls(spark, d)))
+    return P.coverage(rows, sampled(rows), "key", "run_id", "system", "user")
+
+
+@query(
+    oracle(
+        f"""WITH {_CALLS}, {_INPUTS}, s AS (SELECT u.*, min(system_text) OVER (PARTITION BY key) = max(system_text) OVER (PARTITION BY key) AS same, string_split(user_text, chr(10)) AS parts FROM u JOIN picked USING (key, run_id)),
+m AS (SELECT *, [x FOR x IN [{{'role': 'system', 'content': system_text}}, {{'role': 'user', 'content': parts[1]}}, CASE WHEN k % 7 = 4 THEN {{'role': 'assistant', 'content': 'yes'}} END, CASE WHEN k % 7 = 4 THEN {{'role': 'user', 'content': parts[2]}} END,
+  CASE WHEN tool_turn THEN {{'role': 'tool', 'content': 'a result'}} END] IF x IS NOT NULL] AS messages FROM s)
+SELECT key, run_id, trace_id, model_name AS model, array_to_string([x.role || ' (' || length(x.content) || CASE WHEN x.role <> 'system' THEN '' WHEN same THEN ', same' ELSE ', own' END || '): ' || x.content FOR x IN messages], chr(10)) AS messages,
+  left(said, 2000) AS output, CAST(length(said) AS INT) AS output_chars FROM m""",
+        "runs",
+        recursive=True,
+    )
+)
+def profile_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled calls as an analyst reads them, their messages as text."""
+    rows = cut(said(calls(spark, d)))
+    chosen = rows.join(sampled(rows), ["key", "run_id"], "left_semi")
+    mark = lambda m: F.when(m["role"] != "system", "").when(m["identical_across_sample"], ", same").otherwise(", own")
+    line = lambda m: F.concat(m["role"], F.lit(" ("), m["chars"].cast("string"), mark(m), F.lit("): "), m["text"])
+    return facts.digests(chosen, "key").withColumn("messages", F.array_join(F.transform("messages", line), "\n"))
+
 
 
 _WIRE = """m AS (SELECT wire_name, arg_max(name, (length(name), -ord)) AS model FROM (SELECT DISTINCT wire_name FROM deployed WHERE mode = 'chat') JOIN catalog ON regexp_matches(' ' || lower(trim(wire_name)) || ' ', '[^a-z0-9]' || replace(name, '.', '\\.') || '[^a-z0-9]') GROUP BY wire_name),

@@ -204,11 +204,11 @@ def facts_buckets(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("distinct_system"), F.count_distinct("output").alias("distinct_user"), F.count_distinct("model_ord").alias("models"), same.alias("same_system"))
 
 
-def _step(i: int) -> str:
-    """Keep each source's first document, and leave out what is like it."""
+def step(i: int, by: str, item: str) -> str:
+    """SQL that keeps each group's first item, and leaves out what is like it."""
     both = "len(list_intersect(l.w, k.w))"
-    return f"""k{i} AS (SELECT source, min(doc_id) AS doc_id, arg_min(w, doc_id) AS w FROM l{i - 1} GROUP BY source),
-l{i} AS (SELECT l.* FROM l{i - 1} l JOIN k{i} k ON k.source = l.source WHERE l.doc_id > k.doc_id AND {both} / greatest(1, len(l.w) + len(k.w) - {both}) < 0.8)"""
+    return f"""k{i} AS (SELECT {by}, min({item}) AS {item}, arg_min(w, {item}) AS w FROM l{i - 1} GROUP BY {by}),
+l{i} AS (SELECT l.* FROM l{i - 1} l JOIN k{i} k ON k.{by} = l.{by} WHERE l.{item} > k.{item} AND {both} / greatest(1, len(l.w) + len(k.w) - {both}) < 0.8)"""
 
 
 @query(
@@ -216,7 +216,7 @@ l{i} AS (SELECT l.* FROM l{i - 1} l JOIN k{i} k ON k.source = l.source WHERE l.d
 c AS (SELECT source, line FROM t GROUP BY source, line HAVING count(DISTINCT doc_id) = (SELECT count(*) FROM documents x WHERE x.source = t.source)), f AS (SELECT source, list(line) AS lines FROM c GROUP BY source),
 r AS (SELECT source, doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(lines, []), x)), chr(10)) AS rest FROM documents LEFT JOIN f USING (source)),
 v AS (SELECT source, doc_id, list_filter(list_distinct(regexp_split_to_array(lower(rest), '\\s+')), lambda x: x <> '') AS w, list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda x: x <> '') AS every FROM r),
-l0 AS (SELECT source, doc_id, CASE WHEN len(w) > 0 THEN w ELSE every END AS w FROM v), {", ".join(_step(i) for i in range(1, 6))}
+l0 AS (SELECT source, doc_id, CASE WHEN len(w) > 0 THEN w ELSE every END AS w FROM v), {", ".join(step(i, "source", "doc_id") for i in range(1, 6))}
 {" UNION ALL ".join(f"SELECT source, doc_id FROM k{i}" for i in range(1, 6))}"""
 )
 def facts_diverse_sample(spark: SparkSession, d: str) -> DataFrame:
