@@ -55,6 +55,33 @@ def with_original(cells: DataFrame) -> DataFrame:
     return cells.select("*", *carried).where("label <> 'original'")
 
 
+#: Columns of an export, in order: the original's, then a candidate's.
+EXPORT = """request_id original_model original_consistency original_avg_latency_ms original_avg_cost_usd label candidate_model served_model verdict
+fit fit_rate avg_latency_ms avg_cost_usd reason judge_reason match acceptable drift unclear""".split()
+
+
+def export_rows(cells: DataFrame) -> DataFrame:
+    """A row for each request and candidate with the original's figures beside it, in the columns of ``EXPORT`` after job_id, seq
+    and pos.
+
+    cells: job_id, seq, pos (0: the original), request_id, label, model, served_model, verdict, kept, runs, latency_ms, cost_usd,
+    reason, judge_reason and the four counts of answers.  Requests meet their original by a join, so a job's size is no matter.
+    """
+    share = F.concat(F.coalesce(F.col("kept").cast("string"), F.lit("?")), F.lit("/"), F.col("runs").cast("string"))
+    of = {"original_model": F.col("model"), "original_consistency": share, "original_avg_latency_ms": F.bround("latency_ms").cast("long"), "original_avg_cost_usd": F.col("cost_usd")}
+    original = cells.where("pos = 0").select("job_id", "seq", *[c.alias(n) for n, c in of.items()])
+    own = {
+        "candidate_model": F.col("model"),
+        "fit": share,
+        "fit_rate": F.bround(F.try_divide(F.col("kept").cast("double"), F.col("runs")), 3),
+        "avg_latency_ms": F.bround("latency_ms").cast("long"),
+        "avg_cost_usd": F.col("cost_usd"),
+        "judge_reason": F.coalesce("judge_reason", F.lit("")),
+    }
+    rows = cells.where("pos > 0").withColumns(own).join(original, ["job_id", "seq"], "left")
+    return rows.select("job_id", "seq", "pos", *EXPORT)
+
+
 def claims(items: DataFrame, now: int, stale: int = 120, size: int = 5) -> DataFrame:
     """The next group: the first ``size`` free requests of each job (no result, and no claim younger than ``stale``)."""
     free = items.where(F.col("result").isNull() & (F.col("claimed_at").isNull() | (F.col("claimed_at") < now - stale)))

@@ -49,6 +49,21 @@ def verdict(kept: Column, runs: Column, failed: Column, agree: Column, of: Colum
     )
 
 
+def verdict_reason(said: Column, kept: Column, runs: Column, failed: Column, agree: Column, of: Column, floor: float = 0.6) -> Column:
+    """Why ``verdict`` said so."""
+    share = lambda a, b: F.concat(a.cast("string"), F.lit("/"), b.cast("string"))
+    rates = F.concat(F.lit(" ("), share(kept, runs), F.lit(" vs original "), share(agree, of), F.lit(")"))
+    # The reasons as reports word them.
+    calls_failed = F.concat(failed.cast("string"), F.lit(" of "), runs.cast("string"), F.lit(" candidate calls failed"))
+    unread = F.lit("the original's consistency could not be read from the judge's reply")
+    unstable = F.concat(F.lit("the original gave different answers here ("), share(agree, of), F.lit(" consistent); no stable behaviour to certify against"))
+    within = F.concat(F.lit("stays within the original's own range"), rates)
+    outside = F.concat(F.lit("less consistent than the original"), rates)
+    return (
+        F.when(failed > 0, calls_failed).when(agree.isNull(), unread).when(agree / of < floor - EPSILON, unstable).when(said == "within", within).otherwise(outside)
+    )
+
+
 def candidates(outcomes: DataFrame) -> DataFrame:
     """Each candidate's kept runs, answers by category, and whether a run could not be judged."""
     answers = [F.count_if(F.col("category") == c).alias(c) for c in ("match", "acceptable", "drift", "unclear")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import coherence, parse_coherence, parse_fit
 from spanloom.operators import jobs as J
+from spanloom.operators import results as R
 from spanloom.operators import votes as V
 from spanloom.plans.fixtures import oracle, table
 from spanloom.plans.registry import query
@@ -192,11 +193,6 @@ def jobs_export_rows(spark: SparkSession, d: str) -> DataFrame:
     return J.with_original(table(spark, d, "cells")).drop("event_id")
 
 
-@query(oracle("SELECT job_id, label, string_agg(DISTINCT served_model, ',' ORDER BY served_model) AS models FROM cells GROUP BY ALL", "cells"))
-def jobs_models(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cells").groupBy("job_id", "label").agg(F.array_join(F.array_sort(F.collect_set("served_model")), ",").alias("models"))
-
-
 _ITEMS = """SELECT event_id, user_id % 20 AS job_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS bigint) AS seq, CASE WHEN event_id % 3 = 0 THEN 'done' END AS result,
  CASE WHEN event_id % 4 = 0 THEN 1000 - event_id % 400 END AS claimed_at, concat('w', CAST(event_id % 6 AS string)) AS worker, event_id % 50 AS spend FROM {events}"""
 
@@ -205,6 +201,50 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_ITEMS, events=spark.read.parquet(f"{d}/events.parquet"))
 
 
+_RATE = "j.kept || '/' || j.\"of\" || ' vs original ' || j.item % 5 || '/4)'"
+
+
+@query(
+    oracle(
+        f"""WITH {_CAND}, v AS (SELECT item, cand, CASE WHEN item % 17 = 0 THEN 'unverified' ELSE verdict END AS verdict FROM judged),
+dr AS (SELECT r.item, r.cand, r.reason, count(*) AS n, min(r.run) AS first FROM runs_of r JOIN v j ON j.item = r.item AND j.cand = r.cand WHERE r.reason <> '' AND r.kept = (j.verdict = 'within') GROUP BY ALL),
+jr AS (SELECT item, cand, arg_min(reason, (-n, first)) AS judge_reason FROM dr GROUP BY ALL),
+av AS (SELECT item, cand, CAST(round_even(avg(nullif(latency_ms, 0)), 0) AS BIGINT) AS latency_ms, CAST(round_even(avg(cost_micros), 0) AS BIGINT) / 1e6 AS cost_usd FROM answers WHERE cand > 0 OR (NOT recorded AND error = '') GROUP BY ALL),
+sn AS (SELECT item, cand, model, count(*) AS n, min(run) AS first FROM answers WHERE model <> '' AND error = '' GROUP BY ALL), sv AS (SELECT item, cand, arg_min(model, (-n, first)) AS served_model FROM sn GROUP BY ALL),
+it AS ({_ITEMS.replace("{events}", "events")})
+SELECT it.job_id, it.seq, CAST(j.cand AS INT) AS pos, j.item AS request_id, 'original-model' AS original_model, CASE WHEN j.item % 17 = 0 THEN '?' ELSE CAST(j.item % 5 AS VARCHAR) END || '/4' AS original_consistency, o.latency_ms AS original_avg_latency_ms, o.cost_usd AS original_avg_cost_usd,
+  CASE WHEN j.cand = 1 THEN 'mini' ELSE 'router' END AS label, CASE WHEN j.cand = 1 THEN 'mini-a' ELSE 'router-x' END AS candidate_model, sv.served_model, v.verdict, j.kept || '/' || j."of" AS fit, round_even(j.kept / j."of", 3) AS fit_rate, a.latency_ms AS avg_latency_ms, a.cost_usd AS avg_cost_usd,
+  CASE WHEN f.failed > 0 THEN f.failed || ' of ' || j."of" || ' candidate calls failed' WHEN j.item % 17 = 0 THEN 'the original''s consistency could not be read from the judge''s reply'
+   WHEN (j.item % 5) / 4.0 < 0.6 - 1e-9 THEN 'the original gave different answers here (' || j.item % 5 || '/4 consistent); no stable behaviour to certify against'
+   WHEN v.verdict = 'within' THEN 'stays within the original''s own range (' || {_RATE} ELSE 'less consistent than the original (' || {_RATE} END AS reason, coalesce(jr.judge_reason, '') AS judge_reason, match, acceptable, drift, unclear
+FROM judged j JOIN (SELECT item, cand, CASE WHEN item % 13 = 0 THEN 1 ELSE 0 END + unclear AS failed FROM judged) f ON f.item = j.item AND f.cand = j.cand
+JOIN v ON v.item = j.item AND v.cand = j.cand
+JOIN it ON it.event_id = j.item LEFT JOIN av o ON o.item = j.item AND o.cand = 0 LEFT JOIN av a ON a.item = j.item AND a.cand = j.cand LEFT JOIN sv ON sv.item = j.item AND sv.cand = j.cand LEFT JOIN jr ON jr.item = j.item AND jr.cand = j.cand""",
+        "votes",
+        "answers",
+    )
+)
+def jobs_export(spark: SparkSession, d: str) -> DataFrame:
+    """Results of jobs as a spreadsheet has them: verdicts with their reasons, folded from votes and answers."""
+    outcomes = V.run_outcomes(V.needed_votes(table(spark, d, "votes")))
+    item, answers, by = F.col("item"), table(spark, d, "answers"), ["item", "cand"]
+    agree = F.when(item % 17 != 0, item % 5)  # every 17th item's consistency could not be read
+    failed = F.when(item % 13 == 0, 1).otherwise(0) + F.col("unclear")
+    rows = V.candidates(outcomes).withColumn("failed", failed).withColumn("verdict", V.verdict(F.col("kept"), F.col("of"), F.col("failed"), agree, F.lit(4)))
+    rows = rows.withColumn("reason", V.verdict_reason(F.col("verdict"), F.col("kept"), F.col("of"), F.col("failed"), agree, F.lit(4)))
+    rows = rows.join(V.judge_reasons(outcomes, rows), by, "left")
+    original = answers.where("cand = 0").select("item", "cand").distinct().select(*by, agree.alias("kept"), F.lit(4).cast("long").alias("of"))
+    every = rows.unionByName(original, allowMissingColumns=True).join(R.cells(answers), by, "left").join(_items(spark, d).select(F.col("event_id").alias("item"), "job_id", "seq"), "item")
+    named = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cand") + 1)
+    cells = every.withColumns({"pos": F.col("cand").cast("int"), "label": named("original", "mini", "router"), "model": named("original-model", "mini-a", "router-x"), "cost_usd": F.col("cost_micros") / 1e6})
+    return J.export_rows(cells.withColumnsRenamed({"of": "runs", "item": "request_id"}))
+
+
+@query(oracle("SELECT job_id, label, string_agg(DISTINCT served_model, ',' ORDER BY served_model) AS models FROM cells GROUP BY ALL", "cells"))
+def jobs_models(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cells").groupBy("job_id", "label").agg(F.array_join(F.array_sort(F.collect_set("served_model")), ",").alias("models"))
+
+
 @query(
     "WITH i AS (" + _ITEMS.format(events="events") + "), f AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k FROM i WHERE result IS NULL AND (claimed_at IS NULL OR claimed_at < 1000 - 120)) SELECT job_id, seq, worker FROM f WHERE k <= 5"
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanloom import catalog as C
 from spanloom.functions import text as X
 from spanloom.operators import facts, graph, jobs, ladder, votes
-from spanloom.sources import logs
+from spanloom.sources import logs, sinks
 from spanloom.streaming import jobs as streams
 
 
@@ -174,3 +174,63 @@ def test_read_runs(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": "3", "run_type": "llm"}]')
     got = logs.read_runs(spark, str(tmp_path)).orderBy("id").collect()
     assert [r["id"] for r in got] == ["1", "2", "3"] and got[0]["inputs"].replace(" ", "") == '{"messages":[]}'
+
+
+def test_common_lines(spark):
+    rows = [("a", 1, "x\ny\nx"), ("a", 2, "y\nz\nx"), ("a", 3, "x\nlonger than the others\ny"), ("b", 1, "alone"), (None, 1, "p\nq"), (None, 2, "q"), ("c", 1, None), ("c", 2, "text"), ("d", None, "k\nl"), ("d", None, "l")]
+    got = facts.common_lines(spark.createDataFrame(rows, "g string, i long, t string"), "g", "i", "t").collect()
+    assert {r.g: (r.n_, sorted(r.common_)) for r in got} == {"a": (3, ["x", "y"]), "b": (1, ["alone"]), None: (2, ["q"]), "c": (2, []), "d": (2, ["l"])}
+    stripped = facts.frame_stripped(spark.createDataFrame(rows, "g string, i long, t string"), "g", "i", "t").collect()
+    assert {r.g: r.distinct_output for r in stripped} == {"a": 3, "b": 1, None: 2, "c": 2, "d": 2}
+    assert facts.frame_stripped(spark.createDataFrame([], "g string, i long, t string"), "g", "i", "t").collect() == []
+
+
+def test_neighbours_and_tools(spark):
+    edges = spark.createDataFrame([("a/x", "a/y"), ("a/y", "a/x"), ("a/y", "a/y"), ("a/b/x", "a/y")], "src string, dst string")
+    assert {r.key: (r.upstream, r.downstream) for r in facts.neighbours(edges).collect()} == {"a/x": (["y"], ["y"]), "a/y": (["x"], ["x"]), "a/b/x": ([], ["y"])}
+    calls = spark.createDataFrame([("k", ["b", "a"]), ("k", ["b"]), ("m", [])], "key string, t array<string>")
+    assert [tuple(r) for r in facts.tools_called(calls, "key", "t").collect()] == [("k", ["a", "b"])]
+
+
+def test_omitted(spark):
+    assert one(spark, X.omitted(F.lit("a" * 1400))) == "a" * 1400
+    assert one(spark, X.omitted(F.lit("a" * 900 + "b" * 200 + "c" * 400))) == "a" * 900 + "\n...[200 chars omitted]...\n" + "c" * 400
+    assert one(spark, X.omitted(F.lit(None).cast("string"))) == ""
+
+
+def test_digests(spark):
+    row = "key string, run_id long, trace_id long, model_name string, roles array<string>, contents array<string>, output string"
+    rows = [("k", 1, 1, "m", ["system", "user"], ["same", "x"], "o" * 3000), ("k", 2, 2, "m", ["system", "system"], ["sa", "me"], None), ("j", 3, 3, "m", ["system"], ["own"], "")]
+    got = {r.run_id: r for r in facts.digests(spark.createDataFrame(rows, row), "key").collect()}
+    assert [m.identical_across_sample for m in got[1].messages] == [False, None] and [m.identical_across_sample for m in got[3].messages] == [True]
+    assert (len(got[1].output), got[1].output_chars, got[2].output) == (2000, 3000, None)
+
+
+def test_export_rows(spark, tmp_path):
+    kinds = "job_id long, seq long, pos int, request_id string, label string, model string, served_model string, verdict string, kept long, runs long, latency_ms double, cost_usd double, reason string, judge_reason string, match long, acceptable long, drift long, unclear long"
+    rows = [
+        (1, 1, 0, "r", "original", "big", None, None, None, 5, 12.5, 0.2, None, None, None, None, None, None),
+        (1, 1, 1, "r", "mini", "small", "small-2", "within", 2, 3, None, None, "why, \"so\"", None, 1, 1, 1, 0),
+        (1, 2, 1, "s", "mini", "small", None, "outside", 0, 0, 3.0, 0.1, "no", "x", 0, 0, 0, 0),
+    ]
+    out = jobs.export_rows(spark.createDataFrame(rows, kinds))
+    assert out.columns[3:] == jobs.EXPORT and len(jobs.EXPORT) == 19
+    sinks.write_csv(out.drop("job_id", "seq", "pos").coalesce(1), str(tmp_path / "csv"))
+    read = {r.request_id: r for r in spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()}
+    assert (read["r"].original_consistency, read["r"].original_avg_latency_ms, read["r"].fit, read["r"].fit_rate, read["r"].reason) == ("?/5", "12", "2/3", "0.667", 'why, "so"')
+    assert (read["s"].original_model, read["s"].fit_rate, read["s"].judge_reason) == (None, None, "x")
+
+
+@pytest.mark.parametrize(
+    ("failed", "agree", "kept", "reason"),
+    [
+        (2, 4, 5, "2 of 5 candidate calls failed"),
+        (0, None, 5, "the original's consistency could not be read from the judge's reply"),
+        (0, 2, 5, "the original gave different answers here (2/4 consistent); no stable behaviour to certify against"),
+        (0, 4, 4, "stays within the original's own range (4/5 vs original 4/4)"),
+        (0, 4, 3, "less consistent than the original (3/5 vs original 4/4)"),
+    ],
+)
+def test_verdict_reason(spark, failed, agree, kept, reason):
+    c = [F.lit(kept), F.lit(5), F.lit(failed), F.lit(agree).cast("int"), F.lit(4)]
+    assert one(spark, votes.verdict_reason(votes.verdict(*c), *c)) == reason
