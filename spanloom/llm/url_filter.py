@@ -6,7 +6,8 @@ and whose path starts with the entry's path; of the entries that fit, the longes
 The filter is blocked: one 64-bit word a block, four bits a key, so a test reads a single word.  It holds the listed
 hosts, and the pairs of host and path.  A URL's host and domains above it are tested first, so most URLs end there; for
 those that pass, the beginnings of the path that have a listed length.  Only possible hits are exploded and meet the list
-in a hash join, which removes the false positives; all other rows go by it unshuffled.
+in a hash join, which removes the false positives; rows none of whose domains pass go by it unshuffled, also where the filter
+is too large for a literal.
 
 Cases: a null URL or one without ``://`` has an empty host and path and fits no entry; repeated rows each get their
 own row of the result; entries listed twice count once, and of two verdicts for one entry the larger string (block)
@@ -19,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrowmap import free_name
+from spanloom.llm.store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bloom filters up to so many 64-bit words (128 KiB) travel as a literal with the plan; larger ones are joined.
+#: Bloom filters up to so many 64-bit words (128 KiB) travel as a literal with the plan, larger ones up to so many more as a
+#: broadcast table (word, bits); beyond that they are joined by hash, and adaptive execution splits frequent words.
 LITERAL_WORDS = 1 << 14
+BROADCAST_WORDS = 1 << 20
 #: Lists up to so many entries are broadcast in the exact join.
 BROADCAST_ENTRIES = 100_000
 
@@ -52,11 +56,11 @@ def bloom_words(entries: DataFrame, key: str, words: int) -> DataFrame:
     return entries.groupBy(_word(F.xxhash64(key), words).alias("word")).agg(F.bit_or(_mask(F.col(key))).alias("bits"))
 
 
-def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow", bits_per_key: int = 32, literal_words: int = LITERAL_WORDS, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow", bits_per_key: int = 32, literal_words: int = LITERAL_WORDS, broadcast_words: int = BROADCAST_WORDS, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """``id_col``, host, path, rule (null if none fits) and verdict of each row of ``pages``.
 
-    entries: host, path, verdict.  literal_words, broadcast_entries: sizes up to which the filter is a literal and the
-    list is broadcast; beyond them both are joined by hash.
+    entries: host, path, verdict.  literal_words, broadcast_words, broadcast_entries: sizes up to which the filter is a
+    literal, the filter is broadcast, and the list is broadcast; beyond them both are joined by hash.
     """
     listed = (
         entries.where(F.col("host").isNotNull() & F.col("path").isNotNull())
@@ -90,18 +94,25 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url: str = "url", id_col: s
         rows = rows.withColumn(hits, F.filter(F.flatten(F.transform(F.filter(above, passes), paths)), passes))
         clean = rows.where(F.size(hits) == 0).select(*shown, none.alias("rule"), F.lit(default).alias("verdict"))
         return judged(rows.where(F.size(hits) > 0).withColumn(rid, F.monotonically_increasing_id()).select(rid, id_col, host, path, F.explode(hits).alias(hit))).unionByName(clean)
-    word = free_name(pages, "word")
-    table = bloom_words(keyed, "key", words).select(F.col("word").alias(word), F.col("bits").alias("bloom_bits"))
+    word, met_bits, above_hits = (free_name(pages, x) for x in ("word", "bloom_bits", "above_hits"))
+    table = written(bloom_words(keyed, "key", words).select(F.col("word").alias(word), F.col("bits").alias(met_bits)), "url-words")
+    table = F.broadcast(table) if words <= broadcast_words else table  # at most ``words`` rows of two numbers
 
-    def tested(keys: DataFrame) -> DataFrame:
+    def passing(keys: DataFrame, key: str) -> DataFrame:
         """Keys that cannot be listed as null."""
-        met = keys.withColumn(word, _word(F.xxhash64(F.col(hit)), words)).join(table, word, "left")
-        passed = F.col("bloom_bits").bitwiseAND(_mask(F.col(hit))) == _mask(F.col(hit))
-        return met.withColumn(hit, F.when(passed, F.col(hit))).drop(word, "bloom_bits")
-
-    hosts = tested(rows.withColumn(rid, F.monotonically_increasing_id()).select(rid, id_col, host, path, F.explode_outer(above).alias(hit)))
-    pairs = hosts.select(rid, id_col, host, path, F.explode_outer(F.when(F.col(hit).isNotNull(), paths(F.col(hit)))).alias(hit))
-    return judged(tested(pairs))
+        met = keys.withColumn(word, _word(F.xxhash64(F.col(key)), words)).join(table, word, "left")
+        return met.withColumn(key, F.when(F.col(met_bits).bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)), F.col(key))).drop(word, met_bits)
+
+    # Each listed length of a host is tested where the row lies; rows that pass none are done.
+    names = [free_name(pages, f"above_{m}") for m in sorted(shape.labels)]
+    for m, name in zip(sorted(shape.labels), names, strict=True):
+        key = F.concat(F.call_function("substring_index", F.col(host), F.lit("."), F.lit(-m)), F.lit("\x00"))
+        rows = passing(rows.withColumn(name, F.when((F.col(host) != "") & (dots >= m - 1), key)), name)
+    rows = rows.withColumn(above_hits, F.array_compact(F.array(*names))).drop(*names)
+    clean = rows.where(F.size(above_hits) == 0).select(*shown, none.alias("rule"), F.lit(default).alias("verdict"))
+    possible = rows.where(F.size(above_hits) > 0).withColumn(rid, F.monotonically_increasing_id())
+    pairs = possible.select(rid, id_col, host, path, F.explode_outer(F.flatten(F.transform(above_hits, paths))).alias(hit))
+    return judged(passing(pairs, hit)).unionByName(clean)
 
 
 def entries_of(spark, rules: list[tuple[str, str, str]]) -> DataFrame:

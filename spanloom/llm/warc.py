@@ -114,22 +114,33 @@ def _number(urn: str) -> int | None:
     return int(digits) if digits else None
 
 
-def _with_kind(pages: DataFrame, id_col: Column, payload: Column, min_bytes: int) -> DataFrame:
-    """record_id, url, payload, digest, refers_to (null: a response)."""
+def _with_kind(pages: DataFrame, id_col: Column, payload: Column, min_bytes: int, broadcast_groups: int) -> DataFrame:
+    """record_id, url, payload, digest, refers_to (null: a response).
+
+    Groups of equal payloads are broadcast if they are few.  If not, those with more rows than the ``broadcast_groups``-th part
+    of all are (they are fewer than that), so none of the payloads that are then shuffled on their digest is frequent.
+    """
     rows = pages.select(id_col.cast("long").alias("record_id"), F.col("url"), F.coalesce(F.encode(payload, "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
     groups = rows.where(large).groupBy("digest").agg(F.max("record_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.where("n > 1").select("digest", "largest"), "equal-payloads")
-    few = groups.count() <= BROADCAST_GROUPS
-    rows = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
+    groups = written(groups.where("n > 1"), "equal-payloads")
+    size = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+    if size.groups <= broadcast_groups:
+        rows = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        hot = F.col("n") * broadcast_groups > size.rows
+        rows = rows.join(F.broadcast(groups.where(hot).drop("n")), "digest", "left")
+        open_ = large & F.col("largest").isNull()
+        others = rows.where(open_).drop("largest").join(groups.where(~hot).drop("n"), "digest", "left")
+        rows = rows.where(~open_).unionByName(others)
     other = ~F.col("record_id").eqNullSafe(F.col("largest")) & F.col("largest").isNotNull() & large
     return rows.select("record_id", "url", "payload", "digest", F.when(other, F.col("largest")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000, bundle_bytes: int = 1 << 28, frame_bytes: int = 1 << 18) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000, bundle_bytes: int = 1 << 28, frame_bytes: int = 1 << 18, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Write a record for each row to bundles in ``folder`` (a URI that all executors reach); gives back the index."""
-    rows = _with_kind(pages.withColumnRenamed(url, "url") if url != "url" else pages, F.col(f"`{id_col}`"), F.col(f"`{payload}`"), min_bytes)
+    rows = _with_kind(pages.withColumnRenamed(url, "url") if url != "url" else pages, F.col(f"`{id_col}`"), F.col(f"`{payload}`"), min_bytes, broadcast_groups)
     pyarrow.fs.FileSystem.from_uri(folder)[0].create_dir(pyarrow.fs.FileSystem.from_uri(folder)[1])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
