@@ -71,26 +71,53 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
-    """Up to ``most`` rows of each group, in order, whose word sets are less than 0.8 alike with every kept one.
+def _alike(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))) >= 0.8
 
-    Lines that all rows of a group have are left out first.  The greedy walk is ``most`` rounds over all groups at once:
-    each keeps a group's first row and drops what is alike, so no group is gathered and none is cut short.
-    """
-    own = rows.join(common_lines(rows, by, order, text), by)
-    rest = F.array_join(without(F.split(text, "\n"), F.col("common_")), "\n")
-    words = words_of(rest)
-    left = cut(own.select(by, F.col(order).alias("o_"), F.when(F.size(words) > 0, words).otherwise(words_of(F.col(text))).alias("w_")))
+
+def _kept_in_rounds(left: DataFrame, by: str, rounds: int) -> DataFrame:
+    """(by, o_, w_, round_): in each round the first row of each group, after which what is like it goes."""
     kept = None
-    for _ in range(most):
-        first = left.groupBy(by).agg(F.min(F.struct("o_", "w_")).alias("k_"))
-        kept = first.select(by, F.col("k_.o_").alias(order)) if kept is None else kept.unionByName(first.select(by, F.col("k_.o_").alias(order)))
-        alike = F.size(F.array_intersect("k_.w_", "w_")) / F.greatest(F.lit(1), F.size(F.array_union("k_.w_", "w_"))) >= 0.8
-        # Written each round: the next one reads it twice.
-        left = cut(left.join(first, by).where((F.col("o_") > F.col("k_.o_")) & ~alike).select(by, "o_", "w_"))
+    for k in range(1, rounds + 1):
+        first = cut(left.groupBy(by).agg(F.min(F.struct("o_", "w_")).alias("k_")))
+        one = first.select(by, "k_.o_", "k_.w_", F.lit(k).alias("round_"))
+        kept = one if kept is None else kept.unionByName(one)
+        if k < rounds:
+            # Written each round: the next one reads it twice.
+            left = cut(left.join(first, by).where((F.col("o_") > F.col("k_.o_")) & ~_alike(F.col("k_.w_"), F.col("w_"))).select(by, "o_", "w_"))
     return kept
 
 
+def diverse_sample(rows: DataFrame, by: str, order: str, text: str, most: int, block: int = 64) -> DataFrame:
+    """Up to ``most`` rows of each group, in order, whose word sets are less than 0.8 alike with every kept one.
+
+    Lines that all rows of a group have are left out first.  The greedy walk is ``most`` rounds over all groups at once: each
+    keeps a group's first row and drops what is alike.  It begins with the first ``block`` rows of each group, which mostly are
+    enough; groups that are not full then go on with all of their other rows, so none is gathered and none is cut short.
+    """
+    common = common_lines(rows, by, order, text)
+
+    def word_sets(some: DataFrame, *more: str) -> DataFrame:
+        said = F.coalesce(F.col(text), F.lit(""))
+        rest = words_of(F.array_join(without(F.split(said, "\n"), F.col("common_")), "\n"))
+        return some.join(common, by).select(by, F.col(order).alias("o_"), F.when(F.size(rest) > 0, rest).otherwise(words_of(said)).alias("w_"), *more)
+
+    # Only so many rows of a group leave each task: Spark limits the groups before it sorts them.
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    heads = cut(rows.select(by, order).withColumn("k_", place).where(F.col("k_") <= block))
+    kept = cut(_kept_in_rounds(cut(word_sets(rows.join(heads, [by, order], "left_semi"))), by, most))
+    seen = heads.groupBy(by).agg(F.max(order).alias("last_"), F.count(F.lit(1)).alias("h_"))
+    so_far = kept.groupBy(by).agg(F.count(F.lit(1)).alias("c_"), F.collect_list("w_").alias("sets_")).where(F.col("c_") < most)
+    unfilled = cut(so_far.join(seen, by).join(common.select(by, "n_"), by).where("h_ < n_").drop("h_", "n_"))
+    kept = kept.select(by, F.col("o_").alias(order))
+    if unfilled.isEmpty():
+        return kept
+    others = word_sets(rows.join(unfilled, by).where(F.col(order) > F.col("last_")), "sets_")
+    others = cut(others.where(~F.exists("sets_", lambda s: _alike(s, F.col("w_")))).drop("sets_"))
+    later = _kept_in_rounds(others, by, most - 1).join(unfilled.select(by, "c_"), by).where(F.col("c_") + F.col("round_") <= most)
+    return kept.unionByName(later.select(by, F.col("o_").alias(order)))
+
+
 def frame_variants(calls: DataFrame, by: str, item: str, trace: str, text: str) -> DataFrame:
     """Authored kinds of calls at one node: (by, item, frame), where frame is '' unless at least two frames recur and meet
     inside traces.

@@ -234,3 +234,23 @@ def test_export_rows(spark, tmp_path):
 def test_verdict_reason(spark, failed, agree, kept, reason):
     c = [F.lit(kept), F.lit(5), F.lit(failed), F.lit(agree).cast("int"), F.lit(4)]
     assert one(spark, votes.verdict_reason(votes.verdict(*c), *c)) == reason
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_diverse_sample_beyond_its_first_block(spark, block):
+    """Against the walk in plain Python: groups that fill at once, late, or never."""
+    rows = [("a", i, f"head\nword{i} x{i}") for i in range(9)]
+    rows += [("b", i, "head\nsame words here" if i % 4 else f"head\nother {i} y{i}") for i in range(30)]
+    rows += [("c", i, "all alike") for i in range(12)] + [("d", 0, "one"), ("d", 0, "two"), ("d", 1, None)]
+    want = []
+    for g in "abcd":
+        own = [(i, (t or "").split("\n")) for k, i, t in rows if k == g]
+        common = set.intersection(*[set(x) for _, x in own])
+        kept = []
+        for i, x in sorted(own):
+            w = set(" ".join(y for y in x if y not in common).split()) or set(" ".join(x).split())
+            if len(kept) < 5 and all(i > j and len(w & v) / max(1, len(w | v)) < 0.8 for j, v in kept):
+                kept.append((i, w))
+        want += [(g, i) for i, _ in kept]
+    got = facts.diverse_sample(spark.createDataFrame(rows, "b string, i long, t string"), "b", "i", "t", 5, block=block)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
