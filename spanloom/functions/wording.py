@@ -30,7 +30,10 @@ def milliseconds(x: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return _or_dash(F.concat(_nearest(share * 100).cast("string"), F.lit("%")))
+    """A share in whole percent.  Halves are told by the share's decimal digits: 0.145 is 15 %, though 100 times it is less than
+    14.5 as a double."""
+    exact = F.floor(share.try_cast("decimal(30,18)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+    return _or_dash(F.concat(F.coalesce(exact, _nearest(share * 100)).cast("string"), F.lit("%")))
 
 
 def against(x: Column, base: Column) -> Column:

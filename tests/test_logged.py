@@ -131,6 +131,12 @@ def test_wording(spark):
     assert list(got.first()) == ["—", "0", "—", "—", None, "", "13%", -87]
 
 
+def test_halves_of_shares_go_up_by_their_digits(spark):
+    shares = [0.145, 0.285, -0.145, -0.005, 0.1449999, 1e13, 0.0]
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select(W.percent(F.col("x")).alias("p")).collect()
+    assert [r["p"] for r in got] == ["15%", "29%", "-14%", "0%", "14%", "1000000000000000%", "0%"]
+
+
 def test_recorded(spark, tmp_path):
     for name, agent, nodes in (("one", "shared", ["x", "", None]), ("shared", "two", ["y"]), ("zero", "two", [])):
         (tmp_path / f"{name}.json").write_text(json.dumps({"agent": agent, "traces": [{"trace_id": f"{name}{i}", "node_id": n} for i, n in enumerate(nodes)]}))
