@@ -95,6 +95,12 @@ def graph_path(namespace: Column, own: Column) -> Column:
     return F.array_join(F.filter(parts, lambda s: ~is_generic(s) & ~s.eqNullSafe(own)), "/")
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """A double to some digits as SQL's round_even has it: scaled as a double, halves to even.  ``bround`` goes by the shortest
+    decimal text instead: 0.575 is 0.58 there, but 57.49999999999999 hundredths, so 0.57, here."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(""))
 

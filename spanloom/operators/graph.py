@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import eligible, is_generic, is_json
+from spanloom.functions.text import eligible, is_generic, is_json, round_even
 from spanloom.operators import facts
 from spanloom.sources.storage import cut
 
@@ -189,7 +189,7 @@ def node_stats(calls: DataFrame) -> DataFrame:
         F.max(of(F.col("day"))).alias("last_day"),
         F.min(of(F.struct("trace_id", "ord", (~F.col("tagged")).alias("untagged")))).alias("seen_"),
         (F.sum(of(F.col("cost_micros"))) / 1e6).alias("cost_ls"),
-        F.bround(F.avg(of(F.col("feedback_score"))), 3).alias("feedback_score"),
+        round_even(F.avg(of(F.col("feedback_score"))), 3).alias("feedback_score"),
         F.bround(F.avg(of(F.col("ttft_ms")))).cast("long").alias("ttft_ms"),
     )
     rows = calls.where("usable")
@@ -199,11 +199,11 @@ def node_stats(calls: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     stats = stats.where("samples > 0").join(ranks, "key", "left").join(models, "key")  # a call-site of errors alone is no node
     stats = stats.select("*", F.col("seen_.trace_id").alias("seen_trace"), F.col("seen_.ord").alias("seen_ord"), "seen_.untagged").drop("seen_")
-    per_call = lambda c, digits: F.bround(F.col(c) / F.col("samples"), digits)
+    per_call = lambda c, digits: round_even(F.col(c) / F.col("samples"), digits)
     stats = stats.withColumn("avg_tools", per_call("tools", 1)).withColumn("tool_input_rate", per_call("n_tool_input", 2))
     stats = stats.withColumn("out_p50", F.coalesce("out_p50", zero)).withColumn("out_p95", F.coalesce("out_p95", zero))
     kind = F.when(F.col("n_json") * 2 > F.col("samples"), "json").when(F.col("avg_out") < 25, "short").otherwise("free-form")
-    rate = F.bround(F.col("errors_excluded") / (F.col("samples") + F.col("errors_excluded")), 3)
+    rate = round_even(F.col("errors_excluded") / (F.col("samples") + F.col("errors_excluded")), 3)
     return stats.withColumn("out_type", kind).withColumn("error_rate", rate)
 
 
@@ -246,12 +246,17 @@ def flow_edges(resolved: DataFrame, agent: str) -> DataFrame:
 
 def merge_variants(stats: DataFrame, calls: DataFrame) -> DataFrame:
     """Variants of a (path, node) as one row: means weighted by samples, percentiles and kind of answers of the largest variant (the
-    first seen of equals), models and tag of the one seen first, and traces counted over all of its calls."""
+    first seen of equals), models and tag of the one seen first, and traces counted over all of its calls.
+
+    Means of fractions are added up from the smallest variant on, so that they don't depend on how rows are dealt; a (path, node)
+    has as many variants as frames that each begin a fifth of its calls, so few are gathered."""
     weight, by = F.sum("samples"), ["graph_path", "node"]
     seen = F.struct("seen_trace", "seen_ord")
     largest = F.struct((-F.col("samples")).alias("less"), seen.alias("seen"))
     weighted = lambda c: F.sum(F.col(c) * F.col("samples"))
-    given = lambda c: F.try_divide(weighted(c), F.sum(F.when(F.col(c).isNotNull(), F.col("samples"))))
+    products = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("samples", "seen_trace", "seen_ord", (F.col(c) * F.col("samples")).alias("x")))))
+    in_order = lambda c: F.aggregate(products(c), F.lit(0.0), lambda total, p: total + p["x"])
+    of_given = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("samples")))
     mean = lambda c: F.bround(weighted(c) / weight).cast("long").alias(c)
     merged = stats.groupBy(*by).agg(
         weight.alias("calls"),
@@ -261,14 +266,14 @@ def merge_variants(stats: DataFrame, calls: DataFrame) -> DataFrame:
         F.bool_or("mixed_model").alias("mixed"),
         F.bround(F.sum("cost_ls"), 6).alias("cost_ls"),
         F.sum("errors_excluded").alias("errors_excluded"),
-        F.bround(weighted("avg_tools") / weight, 1).alias("avg_tools"),
-        F.bround(weighted("tool_input_rate") / weight, 2).alias("tool_input_rate"),
-        F.bround(given("ttft_ms")).cast("long").alias("ttft_ms"),
-        F.bround(given("feedback_score"), 3).alias("feedback_score"),
+        round_even(in_order("avg_tools") / weight, 1).alias("avg_tools"),
+        round_even(in_order("tool_input_rate") / weight, 2).alias("tool_input_rate"),
+        F.bround(F.try_divide(weighted("ttft_ms"), of_given("ttft_ms"))).cast("long").alias("ttft_ms"),
+        round_even(F.try_divide(in_order("feedback_score"), of_given("feedback_score")), 3).alias("feedback_score"),
         F.count(F.lit(1)).alias("variants"),
     )
     traces = calls.where("usable").groupBy(F.col("path").alias("graph_path"), "node").agg(F.first("site").alias("key"), F.count_distinct("trace_id").alias("traces"))
-    return merged.join(traces, by).withColumn("error_rate", F.bround(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
+    return merged.join(traces, by).withColumn("error_rate", round_even(F.col("errors_excluded") / (F.col("calls") + F.col("errors_excluded")), 3))
 
 
 def sub_agents(runs: DataFrame, small: int = SMALL_TRACE) -> DataFrame:

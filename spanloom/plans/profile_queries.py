@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import catalog as C
+from spanloom.functions.text import round_even
 from spanloom.operators import facts
 from spanloom.operators import graph as G
 from spanloom.operators import profile as P
@@ -40,7 +41,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
     rows = G.structural_nodes(table(spark, d, "runs"), "agent")
-    return rows.withColumn("error_rate", F.bround(F.col("errors") / F.col("calls"), 3))
+    return rows.withColumn("error_rate", round_even(F.col("errors") / F.col("calls"), 3))
 
 
 @query(oracle(f"WITH {_NODES} SELECT key, model, source, per_call, per_basis, total_measured FROM nodes", "runs", recursive=True))

@@ -46,6 +46,13 @@ def test_merge_takes_each_figure_from_the_right_variant(spark):
     assert (m["ttft_ms"], m["feedback_score"], m["tool_input_rate"]) == (20, 0.5, 0.75)
 
 
+def test_merged_means_are_rounded_as_in_sql(spark):
+    calls = sites(spark, [run(1, i, "n", tool=i <= 23) for i in range(1, 41)])
+    for parts in (1, 7):
+        (m,) = G.merge_variants(G.node_stats(calls).repartition(parts), calls).collect()
+        assert (m["calls"], m["variants"], m["tool_input_rate"]) == (40, 2, 0.57)  # 0.575 * 100 is less than 57.5
+
+
 def test_structural_nodes_and_edges_by_recorded_path(spark):
     rows = [run(1, 1, "search", "billing", kind="tool"), run(1, 2, "search", "", kind="tool"), run(1, 3, "worker", "billing")]
     runs = spark.createDataFrame(rows, RUN)
