@@ -61,8 +61,8 @@ k % 17 <> 0 AND {_IN} > 0 AS valid FROM e"""
 )
 def runs_traces(spark: SparkSession, d: str) -> DataFrame:
     """Raw llm runs as traces, with their problems."""
-    tenant = L.call_site(F.try_variant_get(F.try_parse_json("extra"), "$.metadata", "variant"), F.col("name"), F.lit("proj"), "metadata:tenant")[1]
-    rows = _runs(spark, d).select(F.col("id").cast("long").alias("e"), tenant.alias("tenant"), *L.run_trace("proj"))
+    tenant = lambda meta: L.call_site(meta, F.col("name"), F.lit("proj"), "metadata:tenant")[1]
+    rows = L.run_traces(_runs(spark, d), "proj", more={"e": lambda _: F.col("id").cast("long"), "tenant": tenant})
     roles = F.transform("input_messages", lambda m: m["role"])
     rows = rows.withColumn("found", L.trace_problems(F.col("agent_id"), roles, F.col("input_tokens"), F.col("model_raw"), F.col("model_raw") != "other"))
     shown = ["trace_id", "e", "agent_id", "node_id", "tenant", "graph_path", "model_raw", "output", "thinking_enabled", "input_tokens", "output_tokens", "cached_tokens", "cache_write_tokens", "max_output_tokens", "revision"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import logged as L
 from spanloom.functions import wording as W
 from spanloom.sources import recorded
+from spanloom.sources.logs import RAW_RUN
 
 
 def read(spark, f, raw):
@@ -131,6 +132,21 @@ def test_wording(spark):
     assert list(got.first()) == ["—", "0", "—", "—", None, "", "13%", -87]
 
 
+def test_whole_tables_of_traces_read_json_once(spark):
+    run = {"outputs": {"generations": [[{"message": {"kwargs": {"content": "so", "tool_calls": [{"name": "find", "args": {"b": 1, "a": 2}}]}}}]], "llm_output": {"token_usage": {"prompt_tokens": 7}}}, "extra": {"metadata": {"agent": "x", "langgraph_checkpoint_ns": "a:1|b:2"}, "invocation_params": {"model": "m"}}}
+    rows = [{f: None for f in RAW_RUN.fieldNames()} | {"id": str(i), "inputs": json.dumps(["hi"])} | {k: v if isinstance(v, str) else json.dumps(v) for k, v in parts.items()} for i, parts in enumerate([run, {"outputs": "{", "extra": "[]"}, {}])]
+    raw = spark.createDataFrame(rows, RAW_RUN)
+    whole = L.run_traces(raw, "p", more={"n": lambda meta: F.col("id")})
+    assert [r[1:] for r in map(tuple, whole.collect())] == list(map(tuple, raw.select(*L.run_trace("p")).collect()))
+    assert whole.first()["output"] == 'so\n[calls find({"a":2,"b":1})]' and whole.first()["graph_path"] == "a/b"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(whole.select("output", "graph_path", "model_raw")).count("parseJson") <= 4
+    assert plan(raw.select(L.behaviour(F.col("outputs")))).count("parseJson") <= 4  # once for the outputs, and for arguments
+    asked, reply = json.dumps({"messages": [{"role": "user", "content": "hi"}], "seed": 3}), json.dumps({"id": "r1", "choices": [{"message": {"content": "yes"}}]})
+    logged = spark.createDataFrame([(asked, reply), ("{", None)], "request string, response string")
+    assert L.request_traces(logged, "request", "response").collect() == logged.select(*L.request_trace(F.col("request"), F.col("response"))).collect()
+
+
 def test_halves_of_shares_go_up_by_their_digits(spark):
     shares = [0.145, 0.285, -0.145, -0.005, 0.1449999, 1e13, 0.0]
     got = spark.createDataFrame([(x,) for x in shares], "x double").select(W.percent(F.col("x")).alias("p")).collect()
