@@ -91,7 +91,7 @@ def requests_traces(spark: SparkSession, d: str) -> DataFrame:
     ident = F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     reply = F.struct(ident.alias("id"), F.when(F.col("turn") % 2 == 0, "served").alias("model"), F.array(F.struct(message.alias("message"))).alias("choices"), usage.alias("usage"))
     rows = spark.read.parquet(f"{d}/conversations.parquet").where("role IN ('user', 'assistant')").select(F.to_json(body).alias("request"), F.to_json(reply).alias("response"))
-    traces = rows.select(*L.request_trace(F.col("request"), F.col("response")))
+    traces = L.request_traces(rows, "request", "response")
     shown = ["trace_id", "node_id", "model_raw", "output", "input_tokens", "output_tokens", "cached_tokens", "max_output_tokens"]
     return traces.select(*shown, F.array_join("tools_called", ",").alias("tools_called"), F.array_join(F.json_object_keys("logged_request"), ",").alias("sent"))
 
