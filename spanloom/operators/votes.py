@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-9
@@ -18,9 +18,14 @@ def plan_calls(items: DataFrame, reference_runs: int = 4, candidate_runs: int =
 
 
 def needed_votes(votes: DataFrame) -> DataFrame:
-    """The votes that are spent: the first one, and the others only where the first is not a pass."""
-    first = votes.where("vote = 0").select("item", "cand", "run", F.col("kept").alias("first_kept"))
-    return votes.join(first, ["item", "cand", "run"]).where("vote = 0 OR first_kept IS NULL OR NOT first_kept").drop("first_kept")
+    """The votes that are spent: the first one, and the others only where the first is not a pass; none of a run that has no first.
+
+    Votes are dealt once, by item, which serves what is folded of runs and candidates too."""
+    run = Window.partitionBy("item", "cand", "run")
+    first = F.col("vote") == 0
+    # Whether there is a first vote, and whether it is a pass.
+    rows = votes.dropna(subset=["item", "cand", "run"]).repartition("item").withColumn("first_", F.max(F.when(first, F.coalesce("kept", F.lit(False)))).over(run))
+    return rows.where("first_ IS NOT NULL AND (vote = 0 OR NOT first_)").drop("first_")
 
 
 def run_outcomes(votes: DataFrame) -> DataFrame:
