@@ -155,3 +155,30 @@ def test_only_what_is_served_is_proposed(spark):
     assert ladder.next_cheaper(sites, catalog, "2026-01-15", every.limit(0).select(F.col("target").alias("model"))).count() == 0
     down = ladder.downgrades(sites, catalog, C.migrations(spark), "2026-01-15", 100, every.limit(0).select(F.col("target").alias("model")))
     assert down.count() == 0 and ladder.downgrades(sites, catalog, C.migrations(spark), "2026-01-15", 100).count() > 0
+
+
+def _dealt(df):
+    """How often a plan deals rows by a key."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_documents_and_votes_are_dealt_once(spark):
+    from spanloom.operators import results, votes
+    from spanloom.plans.fixtures import table
+
+    tables = [table(spark, "/root/testdata/sf0.001", t) for t in ("cells", "answers", "votes")]
+    own = sum(_dealt(t) for t in tables)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _dealt(results.documents(*tables)) - own == 4  # each table by item, requests by page
+        assert _dealt(votes.candidates(votes.run_outcomes(votes.needed_votes(tables[2])))) == _dealt(tables[2]) + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_votes_of_a_run_without_a_first_one_count_for_nothing(spark):
+    from spanloom.operators import votes
+
+    rows = [(1, 1, 0, 0, True, "a"), (1, 1, 0, 1, False, "b"), (1, 1, 1, 0, None, "c"), (1, 1, 1, 1, True, "d"), (1, 1, 2, 1, True, "e"), (1, None, 0, 0, False, "f"), (1, 1, 3, 0, False, "g"), (1, 1, 3, 2, True, "h")]
+    spent = votes.needed_votes(spark.createDataFrame(rows, "item long, cand int, run int, vote int, kept boolean, reason string"))
+    assert sorted(r["reason"] for r in spent.collect()) == ["a", "c", "d", "g", "h"] and spent.columns == ["item", "cand", "run", "vote", "kept", "reason"]
