@@ -53,7 +53,8 @@ def _upward_in_arrays(own: DataFrame, joined: Callable[[Column, Column], Column]
     def jump(s: Column, _: Column) -> Column:
         up = F.transform(s["up"], lambda u: F.when(u >= 0, F.get(s["up"], u)).otherwise(-1))
         said = F.transform(s["said"], lambda x, i: F.when(F.get(s["up"], i) >= 0, joined(x, F.get(s["said"], F.get(s["up"], i)))).otherwise(x))
-        return F.struct(up.alias("up"), said.alias("said"))
+        # A tree of depth h is done after log2(h) rounds; the others, which a chain would need, pass it on.
+        return F.when(F.exists(s["up"], lambda u: u >= 0), F.struct(up.alias("up"), said.alias("said"))).otherwise(s)
 
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("rows"))).cast("int") + 1)
     end = traces.select("trace_id", "ids", F.aggregate(rounds, first, jump)["said"].alias("said"))
@@ -167,8 +168,19 @@ def modal(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
 
 
 def node_stats(calls: DataFrame) -> DataFrame:
-    """Statistics of each call-site over its usable calls; unusable ones count in errors_excluded alone.  seen_trace, seen_ord:
-    the first usable call."""
+    """``node_figures`` with quantiles of out_tokens and the models that served each call-site."""
+    rows = calls.where("usable")
+    models = modal(rows.withColumn("seen_", F.struct("trace_id", "ord")), ["key"], "model_name", "seen_")
+    models = models.select("key", F.col("model_name").alias("model"), F.col("listed").alias("models"), F.col("named").alias("models_list"), (F.col("n_values") > 1).alias("mixed_model"))
+    ranks = nearest_rank(rows, "key", "out_tokens", {"out_p50": 0.5, "out_p95": 0.95})
+    zero = F.lit(0).cast("long")
+    stats = node_figures(calls).join(ranks, "key", "left").join(models, "key")
+    return stats.withColumn("out_p50", F.coalesce("out_p50", zero)).withColumn("out_p95", F.coalesce("out_p95", zero))
+
+
+def node_figures(calls: DataFrame) -> DataFrame:
+    """Figures of each call-site over its usable calls, by one aggregation of which Spark does what is asked for; unusable calls count
+    in errors_excluded alone.  seen_trace, seen_ord: the first usable call."""
     ok = F.col("usable")
     of = lambda c: F.when(ok, c)
     n = F.count_if(ok)
@@ -192,16 +204,10 @@ def node_stats(calls: DataFrame) -> DataFrame:
         round_even(F.avg(of(F.col("feedback_score"))), 3).alias("feedback_score"),
         F.bround(F.avg(of(F.col("ttft_ms")))).cast("long").alias("ttft_ms"),
     )
-    rows = calls.where("usable")
-    models = modal(rows.withColumn("seen_", F.struct("trace_id", "ord")), ["key"], "model_name", "seen_")
-    models = models.select("key", F.col("model_name").alias("model"), F.col("listed").alias("models"), F.col("named").alias("models_list"), (F.col("n_values") > 1).alias("mixed_model"))
-    ranks = nearest_rank(rows, "key", "out_tokens", {"out_p50": 0.5, "out_p95": 0.95})
-    zero = F.lit(0).cast("long")
-    stats = stats.where("samples > 0").join(ranks, "key", "left").join(models, "key")  # a call-site of errors alone is no node
+    stats = stats.where("samples > 0")  # a call-site of errors alone is no node
     stats = stats.select("*", F.col("seen_.trace_id").alias("seen_trace"), F.col("seen_.ord").alias("seen_ord"), "seen_.untagged").drop("seen_")
     per_call = lambda c, digits: round_even(F.col(c) / F.col("samples"), digits)
     stats = stats.withColumn("avg_tools", per_call("tools", 1)).withColumn("tool_input_rate", per_call("n_tool_input", 2))
-    stats = stats.withColumn("out_p50", F.coalesce("out_p50", zero)).withColumn("out_p95", F.coalesce("out_p95", zero))
     kind = F.when(F.col("n_json") * 2 > F.col("samples"), "json").when(F.col("avg_out") < 25, "short").otherwise("free-form")
     rate = round_even(F.col("errors_excluded") / (F.col("samples") + F.col("errors_excluded")), 3)
     return stats.withColumn("out_type", kind).withColumn("error_rate", rate)

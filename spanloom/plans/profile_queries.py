@@ -34,7 +34,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = calls(spark, d)
     names = C.catalog(spark).select(F.col("ord").cast("long").alias("model_ord"), F.col("name").alias("model"), (F.col("ord") % 3 != 0).alias("priced_"), "input", "output")
     models = G.modal(rows.where("usable").join(F.broadcast(names), "model_ord"), ["key"], "model", "run_id").select("key", "model")
-    stats = G.node_stats(rows).drop("model", "ttft_ms", "feedback_score").join(models, "key").withColumn("calls", F.col("samples"))
+    stats = G.node_figures(rows).drop("ttft_ms", "feedback_score").join(models, "key").withColumn("calls", F.col("samples"))
     stats = stats.withColumn("cost_platform", F.when(F.col("samples") % 2 == 0, F.col("samples") * 0.25).otherwise(0.0))
     return P.with_cost(stats, C.catalog(spark).where("ord % 3 <> 0"), 10_000)
 
@@ -73,7 +73,8 @@ UNION ALL SELECT 'costliest', arg_min(node, (-per_basis, key)), max(per_basis) F
     )
 )
 def profile_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    return P.hotspots(cut(nodes(spark, d)), structural(spark, d))
+    # Written are the columns that are read, so that no other figure is computed.
+    return P.hotspots(cut(nodes(spark, d).select("key", "node", "calls", "per_basis")), structural(spark, d))
 
 
 @query(

@@ -73,3 +73,11 @@ def test_replayed_conversations_begin_with_a_user(spark):
     every = spark.createDataFrame([(1,), (2,), (3,)], "conv_id long")
     got = sorted(map(tuple, starting_with_user(merged, every).collect()))
     assert got == [(1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (2, 0, "user", "(continue)"), (2, 1, "assistant", "so"), (2, 2, "user", "go"), (3, 1, "user", "(no user turn)")]
+
+
+def test_figures_that_nobody_reads_are_not_computed(spark):
+    calls = sites(spark, [run(1, 1, "n"), run(2, 2, "n"), run(2, 3, "gone", error="boom", output="")])
+    few = G.node_figures(calls).select("key", "samples", "avg_in")
+    plan, before = (t._jdf.queryExecution().optimizedPlan().toString() for t in (few, calls))
+    assert plan.count("Join") <= before.count("Join") and "Expand" not in plan and "n_json" not in plan
+    assert [tuple(r) for r in few.collect()] == [("a/n", 2, 10)]
