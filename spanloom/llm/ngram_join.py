@@ -39,13 +39,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from spanloom.llm.arrowmap import append_struct, free_name
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
+from spanloom.llm.sift import only_listed
 from spanloom.llm.store import MANY_ROWS, batch_rows, partitions, without_nulls, written
 from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, releasing, whole, word_hash, words_of
 
-#: Ids of up to so many documents are broadcast when their texts are read again; beyond, they are joined.
-BROADCAST_IDS = 500_000
-
-
 def _ranked(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Hashes whose order puts shingles of many characters first: they are the rarer ones."""
     return ((U64(63) - np.minimum(chars, 63).astype(U64)) << U64(58)) | (hashes >> U64(6))
@@ -479,9 +476,8 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     needed = written(pairs.where("seal IS NOT NULL").select("seal", "task").unionByName(clusters), "needed")
     # One document stands for each set; its text is read again for the tasks that need the set.
     reps = known.where("n > 0").groupBy("seal").agg(F.min("id").alias("id"))
-    at = needed.groupBy("seal").agg(F.collect_list("task").alias("tasks")).join(reps, "seal").select("id", F.col("seal").alias("want"), "tasks")
+    at = needed.groupBy("seal").agg(F.collect_list("task").alias("tasks")).join(reps, "seal").select(F.col("id").alias("of_id"), F.col("seal").alias("want"), "tasks")
     at = written(at, "wanted")
-    at = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["task", "seal", "shingles"], [pa.int64(), pa.int64(), pa.binary()]
@@ -494,7 +490,7 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 if made:
                     yield _batches(names, made, kinds)
 
-    sets = rows.join(at, "id").select("text", "want", "tasks").mapInArrow(releasing(read), "task long, seal long, shingles binary")
+    sets = only_listed(rows, "id", at, "of_id", "inner").select("text", "want", "tasks").mapInArrow(releasing(read), "task long, seal long, shingles binary")
     spec = pairs.where("payload IS NOT NULL").select("task", "payload").unionByName(clusters_spec(needed))
     links = spec.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(releasing(verify(percent)), "a long, b long")
     part = written(components(links.select("a", "b")).withColumnRenamed("node", "seal"), "linked")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.arrowmap import free_name
 from spanloom.llm.decontaminate import find_phrases, without
 from spanloom.llm.mixing import BROADCAST_SOURCES, mix, with_size
-from spanloom.llm.ngram_join import BROADCAST_IDS, set_components, with_seal
+from spanloom.llm.ngram_join import set_components, with_seal
 from spanloom.llm.quality_rules import fit_rules, judge
 from spanloom.llm.secret_scan import scan_secrets
+from spanloom.llm.sift import BROADCAST_IDS
 from spanloom.llm.store import FEW_ROWS, batch_rows, written
 
 

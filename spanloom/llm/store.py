@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; one of our own where it is unset."""
@@ -35,7 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """The table's own shuffles are not needed again, so their files go at once: else they lie on the disks of executors until
+    the driver happens to collect its garbage, those of all steps at worst."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

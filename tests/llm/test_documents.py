@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with every awkward case."""
 
+import glob
 import hashlib
 
 import brute
@@ -8,7 +9,7 @@ import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
-from spanloom.llm import ngram_join, registry, stages
+from spanloom.llm import ngram_join, registry, sift, stages
 from spanloom.llm.decontaminate import FMIndex, find_phrases, suffix_array
 from spanloom.llm.langid import identify, train, viterbi
 from spanloom.llm.mixing import mix, targets, with_size
@@ -17,6 +18,7 @@ from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.quality_rules import fit_rules, judge, learn_rules
 from spanloom.llm.repeats import NO_ID, home_of
 from spanloom.llm.secret_scan import KINDS, VOCABULARY, encoding, scan_secrets
+from spanloom.llm.store import written
 from spanloom.llm.substring_dedup import remove_repeated_words
 from spanloom.llm.suffix_dedup import Collection, remove_repeated_bytes
 
@@ -83,6 +85,30 @@ def test_components_do_not_depend_on_parameters(docs, rows, how):
     assert by_id(jaccard_components(docs, **how)) == brute.components(rows)
 
 
+def test_components_of_lists_too_long_to_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(sift, "BROADCAST_IDS", 0)
+    assert by_id(jaccard_components(docs)) == brute.components(rows)
+
+
+def test_only_listed_rows_are_shuffled(spark):
+    """Of rows whose keys meet a long list, few besides the listed ones leave their places; a small filter changes no result."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("k"), F.lit("text").alias("text"))
+    listed = spark.range(0, 20_000, 20).select(F.col("id").alias("at"))
+    for most, limit in ((1 << 19, 1_100), (16, 20_000)):
+        may, never = sift.sifted(rows, "k", listed, "at", most)
+        assert may.count() <= limit and may.count() + never.count() == 20_000
+        assert may.where("k % 20 = 0").count() == 1_000 and not never.where("k % 20 = 0").count() and may.columns == rows.columns
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        return {f for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{top}/*/shuffle_*")}
+
+    before = files()
+    out = written(spark.range(1000).repartition(7, "id").groupBy("id").count(), "shuffled")
+    assert not files() - before and out.count() == 1000
+
+
 def test_repeated_rows_and_ids(spark):
     text = " ".join(f"w{i}" for i in range(120))
     many = table(spark, [(1, text, "en", "a"), (1, text, "en", "a"), (1, "other " + text, "en", "a"), (2, text, "en", "a"), (None, text, "en", "a")])
