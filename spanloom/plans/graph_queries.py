@@ -129,13 +129,17 @@ def graph_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.flow_edges(resolved(spark, d), "agent")
 
 
+#: Sums of fractions depend on their order, and a mean near a half of its last digit shows it: variants are added up in this one.
+_SMALLEST_FIRST = "ORDER BY samples, seen_trace, seen_ord"
+
+
 @query(
     oracle(
         f"""WITH {_STATS}, m AS (SELECT graph_path, node, CAST(sum(samples) AS BIGINT) AS calls, {", ".join(f"arg_min({c}, (seen_trace, seen_ord)) AS {c}" for c in ("variant", "model", "models", "models_list", "untagged"))},
   {", ".join(f"arg_min({c}, (-samples, seen_trace, seen_ord)) AS {c}" for c in ("out_p50", "out_p95", "out_type"))}, {", ".join(f"CAST(round_even(sum({c} * samples) / sum(samples), 0) AS BIGINT) AS {c}" for c in ("avg_in", "avg_out", "avg_ms"))},
-  bool_or(mixed_model) AS mixed, round_even(sum(cost_ls), 6) AS cost_ls, CAST(sum(errors_excluded) AS BIGINT) AS errors_excluded, round_even(sum(avg_tools * samples) / sum(samples), 1) AS avg_tools,
-  round_even(sum(tool_input_rate * samples) / sum(samples), 2) AS tool_input_rate, CAST(round_even(sum(ttft_ms * samples) / sum(samples) FILTER (WHERE ttft_ms IS NOT NULL), 0) AS BIGINT) AS ttft_ms,
-  round_even(sum(feedback_score * samples) / sum(samples) FILTER (WHERE feedback_score IS NOT NULL), 3) AS feedback_score, count(*) AS variants FROM full_stats GROUP BY graph_path, node),
+  bool_or(mixed_model) AS mixed, round_even(sum(cost_ls), 6) AS cost_ls, CAST(sum(errors_excluded) AS BIGINT) AS errors_excluded, round_even(sum(avg_tools * samples {_SMALLEST_FIRST}) / sum(samples), 1) AS avg_tools,
+  round_even(sum(tool_input_rate * samples {_SMALLEST_FIRST}) / sum(samples), 2) AS tool_input_rate, CAST(round_even(sum(ttft_ms * samples) / sum(samples) FILTER (WHERE ttft_ms IS NOT NULL), 0) AS BIGINT) AS ttft_ms,
+  round_even(sum(feedback_score * samples {_SMALLEST_FIRST}) / sum(samples) FILTER (WHERE feedback_score IS NOT NULL), 3) AS feedback_score, count(*) AS variants FROM full_stats GROUP BY graph_path, node),
 t AS (SELECT path AS graph_path, node, min(site) AS key, count(DISTINCT trace_id) AS traces FROM calls WHERE usable GROUP BY ALL)
 SELECT m.*, key, traces, round_even(errors_excluded / (calls + errors_excluded), 3) AS error_rate FROM m JOIN t USING (graph_path, node)""",
         "runs",

@@ -1,6 +1,12 @@
 """Call-sites on a small log: recorded paths, tools' turns, authored frames, and merged variants."""
 
+from itertools import permutations
+
+import duckdb
+import pytest
+
 from spanloom.operators import graph as G
+from spanloom.plans.queries import SQL
 
 RUN = "trace_id long, run_id long, parent_id long, ord long, run_type string, name string, node_hint string, graph_path string, tool_turn boolean, prompt string, error string, output string, in_tokens long, out_tokens long, runtime_ms long, n_tools long, day string, model_name string, cost_micros long, feedback_score double, ttft_ms long"
 
@@ -81,3 +87,25 @@ def test_figures_that_nobody_reads_are_not_computed(spark):
     plan, before = (t._jdf.queryExecution().optimizedPlan().toString() for t in (few, calls))
     assert plan.count("Join") <= before.count("Join") and "Expand" not in plan and "n_json" not in plan
     assert [tuple(r) for r in few.collect()] == [("a/n", 2, 10)]
+
+
+@pytest.mark.parametrize("column", ["feedback_score", "avg_tools", "tool_input_rate"])
+def test_merged_fractions_in_sql_do_not_depend_on_the_order_of_rows(column):
+    """A mean next to a half of its last digit, from three variants in every order."""
+    variants, want = {
+        "feedback_score": ([(36, 0.527), (27, 0.517), (39, 0.326)], 0.447),
+        "avg_tools": ([(34, 0.6), (16, 2.8), (22, 0.8)], 1.2),
+        "tool_input_rate": ([(12, 0.04), (25, 1.79), (39, 1.13)], 1.17),
+    }[column]
+    whole = SQL["graph_merge_variants"]
+    m = whole[whole.index("m AS (SELECT graph_path, node, CAST(sum(samples)") : whole.index("\nt AS (SELECT path AS graph_path")].rstrip(",")
+    texts = ", ".join(f"'x' AS {c}" for c in ("graph_path", "node", "variant", "model", "models", "models_list", "out_type"))
+    longs = ", ".join(f"1 AS {c}" for c in ("out_p50", "out_p95", "avg_in", "avg_out", "avg_ms", "errors_excluded", "ttft_ms"))
+    rest = ", ".join(f"0.5::DOUBLE AS {c}" for c in ("cost_ls", "feedback_score", "avg_tools", "tool_input_rate") if c != column)
+    con, got = duckdb.connect(), set()
+    con.execute("SET threads = 1")
+    for order in permutations(enumerate(variants)):
+        rows = ", ".join(f"({k}, {n}, {x}::DOUBLE)" for k, (n, x) in order)
+        stats = f"SELECT *, {texts}, {longs}, {rest}, false AS untagged, false AS mixed_model, 1 AS seen_ord FROM (VALUES {rows}) AS v(seen_trace, samples, {column})"
+        got.add(con.execute(f"WITH full_stats AS MATERIALIZED ({stats}), {m} SELECT {column} FROM m").fetchone()[0])
+    assert got == {want}
