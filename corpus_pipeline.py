@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import stages
-from spanloom.llm.store import written
+from spanloom.llm.store import new_path, remove, written_at
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each on what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each on what the one before has written, which then goes."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        docs = written_at(stage(spark, docs, sf_dir), path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs

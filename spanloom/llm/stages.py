@@ -14,7 +14,7 @@ from spanloom.llm.mixing import BROADCAST_SOURCES, mix, with_size
 from spanloom.llm.ngram_join import set_components, with_seal
 from spanloom.llm.quality_rules import fit_rules, judge
 from spanloom.llm.secret_scan import scan_secrets
-from spanloom.llm.sift import BROADCAST_IDS
+from spanloom.llm.sift import BROADCAST_IDS, not_listed, only_listed
 from spanloom.llm.store import FEW_ROWS, batch_rows, written
 
 
@@ -40,14 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     parts = written(set_components(docs.select("doc_id", "text")), "components").where("id IS NOT NULL")
     seal, of_set, least, chars = (free_name(docs, x) for x in ("set_seal", "set_class", "set_least", "set_chars"))
     twice = written(parts.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone_id")), "twice")
-    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
-    some = small(twice)
-    goes = written(parts.where("id <> component").join(some, F.col("id") == F.col("gone_id"), "left_anti").select(F.col("id").alias("gone_id")), "goes")
-    left = docs.join(small(goes), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    once = left.join(some, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    goes = written(not_listed(parts.where("id <> component"), "id", twice, "gone_id").select(F.col("id").alias("gone_id")), "goes")
+    left = not_listed(docs, "doc_id", goes, "gone_id")
+    once = not_listed(left, "doc_id", twice, "gone_id")
     # Rows of repeated ids, few as a rule, are told apart by their sets.
-    sets = parts.where("n > 0").join(some, F.col("id") == F.col("gone_id"), "left_semi").select(F.col("seal").alias(seal), F.col("class").alias(of_set), F.col("component").alias(least)).distinct()
-    again = with_seal(left.join(some, F.col("doc_id") == F.col("gone_id"), "left_semi"), "text", seal)
+    sets = only_listed(parts.where("n > 0"), "id", twice, "gone_id").select(F.col("seal").alias(seal), F.col("class").alias(of_set), F.col("component").alias(least)).distinct()
+    again = with_seal(only_listed(left, "doc_id", twice, "gone_id"), "text", seal)
     bare = again.where(F.col(seal) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     first = again.where(F.col(seal) != 0).join(sets, seal).where(F.col(least) == F.col("doc_id"))

@@ -18,7 +18,7 @@ from spanloom.llm.op10 import OP10_SQL, op10_decontaminate
 from spanloom.llm.quality_rules import fit_rules, judge, learn_rules
 from spanloom.llm.repeats import NO_ID, home_of
 from spanloom.llm.secret_scan import KINDS, VOCABULARY, encoding, scan_secrets
-from spanloom.llm.store import written
+from spanloom.llm.store import shared_dir, written
 from spanloom.llm.substring_dedup import remove_repeated_words
 from spanloom.llm.suffix_dedup import Collection, remove_repeated_bytes
 
@@ -85,9 +85,11 @@ def test_components_do_not_depend_on_parameters(docs, rows, how):
     assert by_id(jaccard_components(docs, **how)) == brute.components(rows)
 
 
-def test_components_of_lists_too_long_to_broadcast(docs, rows, monkeypatch):
+def test_components_of_lists_too_long_to_broadcast(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(sift, "BROADCAST_IDS", 0)
     assert by_id(jaccard_components(docs)) == brute.components(rows)
+    want = {i for i, (_, c) in brute.components(rows).items() if i == c}
+    assert {r["doc_id"] for r in stages.near_duplicates(spark, docs, "").collect()} == want
 
 
 def test_only_listed_rows_are_shuffled(spark):
@@ -462,3 +464,12 @@ def test_pipeline(spark, folder, rows):
     got = [(r["doc_id"], r["text"], r["source"], r[size], round(r[target], 6), r[taken], r[copy]) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 30
     assert any("[secret]" in g[1] for g in got)
+
+
+def test_pipeline_keeps_the_table_of_its_last_stage_alone(spark, folder, docs, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first_stage", lambda s, d, f: d), ("next_stage", lambda s, d, f: d)])
+    assert corpus_pipeline.run(spark, folder).count() == docs.count()
+    where = shared_dir(spark).removeprefix("file://")
+    assert not glob.glob(f"{where}/first_stage-*") and glob.glob(f"{where}/next_stage-*")
