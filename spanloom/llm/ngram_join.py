@@ -20,6 +20,10 @@ tiles of about ``tile_sets``, and each two tiles meet in a task.  Tasks verify o
 through others already and give a spanning forest.  So nothing emits all pairs of a group, and no link between components
 is lost; a cluster of m sets that do not link costs (m / tile_sets) ** 2 tasks of bounded size.
 
+As a corpus grows, shingles that meet by chance fill longer lists, and such lists join sets that have nothing in common to
+clusters that grow with all sets.  Where clusters would ship more than a twentieth of all sets, the shingles of long lists are
+put last as well and all lists are made anew, as often as that makes clusters smaller.
+
 Cases: a null text or one without words has an empty set and no links; a text of fewer words than a shingle has one
 shingle, all its words; rows without an id have their own n_shingles, no links and no component; rows of equal id are
 one node, each with its own n_shingles; an empty table gives an empty result; extra columns are not looked at.
@@ -40,7 +44,10 @@ from spanloom.llm.arrowmap import append_struct, free_name
 from spanloom.llm.components import components
 from spanloom.llm.repeats import _batches, _by_bucket, _split, expand, pack
 from spanloom.llm.sift import only_listed
-from spanloom.llm.store import MANY_ROWS, batch_rows, partitions, without_nulls, written
+from spanloom.llm.store import MANY_ROWS, batch_rows, new_path, partitions, remove, without_nulls, written, written_at
+
+#: Lists are made anew at most so often.
+MOST_ROUNDS = 4
 from spanloom.llm.textnp import U64, Texts, chunks, grams, mix, releasing, whole, word_hash, words_of
 
 def _ranked(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
@@ -247,6 +254,17 @@ def keys_of(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, df: np.
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _with_long(frequent: np.ndarray, df: np.ndarray, found: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles and those of the longest lists, ``limit`` at most; a list's key has lost the last bit of its shingle."""
+    top = found.where("gram IS NOT NULL").orderBy(F.desc("df"), "gram").limit(limit).select("gram", "df").toPandas()
+    key = top["gram"].to_numpy(np.int64).view(U64)
+    gram, own = np.concatenate([key, key | U64(1)]), np.tile(top["df"].to_numpy(np.int64), 2)
+    new = ~np.isin(gram, frequent)
+    gram, own = np.concatenate([frequent, gram[new]]), np.concatenate([df, own[new]])
+    order = np.argsort(gram)
+    return gram[order], own[order]
+
+
 def postings(docs: DataFrame, size: int, shared, percent: int, boundary: int, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, df = shared.value
@@ -283,7 +301,8 @@ def postings(docs: DataFrame, size: int, shared, percent: int, boundary: int, n_
 
 
 def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
-    """For mapInArrow: lists of a bucket to pairs of seals (task, payload) and links of clusters (a, b)."""
+    """For mapInArrow: lists of a bucket to pairs of seals (task, payload), links of clusters (a, b) and shingles of long lists
+    (gram, df)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _by_bucket(batches):
@@ -309,9 +328,9 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
                 # A subset alone is enough; of lists, two sets must share as many as the smaller one asks for.
                 met = np.where(key[i] & U64(1) == 1, _ENOUGH, 1)
                 pairs = _summed(np.minimum(seal[i], seal[j]), np.maximum(seal[i], seal[j]), met, shared_lists(np.minimum(n[i], n[j]), percent))
-                rows = [(task, pack(*(x[k] for x in pairs)), None, None, int((pairs[2][k] >= _ENOUGH).sum()), int((pairs[2][k] < _ENOUGH).sum())) for task, k in _split((mix(pairs[0].view(U64)) % U64(n_tasks)).astype(np.int64))]
+                rows = [(task, pack(*(x[k] for x in pairs)), None, None, int((pairs[2][k] >= _ENOUGH).sum()), int((pairs[2][k] < _ENOUGH).sum()), None, None) for task, k in _split((mix(pairs[0].view(U64)) % U64(n_tasks)).astype(np.int64))]
                 if rows:
-                    yield _batches(_FOUND, rows, [pa.int64(), pa.binary(), *[pa.int64()] * 4])
+                    yield _batches(_FOUND, rows, [pa.int64(), pa.binary(), *[pa.int64()] * 6])
             light = (key[cut] & U64(1) == 0) & (n[cut + length - 1] <= boundary)
             for k in np.flatnonzero((length > small_list) & ~light):
                 # A star for each range of sizes in which sets can link; ranges overlap by one step.
@@ -327,13 +346,17 @@ def candidates(percent: int, boundary: int, small_list: int, n_tasks: int):
                     lo = hi
                 links = np.concatenate(links)
                 none = pa.nulls(len(links), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none.cast(pa.string()).cast(pa.binary()), pa.array(links[:, 0]), pa.array(links[:, 1]), none, none], names=_FOUND)
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.string()).cast(pa.binary()), pa.array(links[:, 0]), pa.array(links[:, 1]), none, none, none, none], names=_FOUND)
+            long = np.flatnonzero((length > small_list) & ~light & (key[cut] & U64(1) == 0))
+            if len(long):
+                none = pa.nulls(len(long), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.string()).cast(pa.binary()), *[none] * 4, pa.array(key[cut[long]].view(np.int64)), pa.array(length[long].astype(np.int64))], names=_FOUND)
 
     return run
 
 
 _ENOUGH = 1 << 20
-_FOUND = ["task", "payload", "a", "b", "by_subsets", "by_lists"]
+_FOUND = ["task", "payload", "a", "b", "by_subsets", "by_lists", "gram", "df"]
 
 
 def _summed(a: np.ndarray, b: np.ndarray, met: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -426,11 +449,16 @@ def _all_pairs(sets: list[np.ndarray], n: np.ndarray, forest: Forest, percent: i
     return links
 
 
-def _cluster_tasks(star: DataFrame, tile_sets: int) -> DataFrame:
+def _clusters(star: DataFrame, tile_sets: int) -> tuple[DataFrame, int]:
+    """(seal, component, tiles) of sets in clusters, and how many sets their tasks would read, each as often as it is read."""
+    member = written(components(star).select(F.col("node").alias("seal"), "component"), "clusters")
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m")).withColumn("tiles", F.ceil(F.col("m") / tile_sets).cast("int"))
+    read = sizes.agg(F.sum(F.col("m") * F.greatest(F.col("tiles") - 1, F.lit(1)))).first()[0] or 0
+    return member.join(sizes, "component"), read
+
+
+def _cluster_tasks(rows: DataFrame) -> DataFrame:
     """(seal, task): every two tiles of a cluster meet in a task; negative numbers keep them apart from pairs' tasks."""
-    member = components(star).select(F.col("node").alias("seal"), "component")
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    rows = member.join(sizes, "component").withColumn("tiles", F.ceil(F.col("m") / tile_sets).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("seal", F.lit(5)), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     rows = rows.select("seal", "component", "tile", "tiles", other)
@@ -440,15 +468,16 @@ def _cluster_tasks(star: DataFrame, tile_sets: int) -> DataFrame:
     return rows.select("seal", (-F.abs(F.shiftright(task, 1)) - 1).alias("task"))
 
 
-def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 200.0, report: dict | None = None) -> DataFrame:
+def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, frequent_df: int = 8, frequent_limit: int = 200_000, small_list: int = 32, tile_sets: int = 4096, pair_cost: float = 200.0, most_clustered: float = 0.05, report: dict | None = None) -> DataFrame:
     """For each row: id, n (shingles), seal (of its set), class (the smallest seal that links reach from this one, its own
     included) and component (the smallest id of a row of the class).  Equal sets are one node; equal ids join nothing.  A row
     with an empty set is alone, without a class; one without an id has n alone.
 
     frequent_limit: of the most frequent shingles, so many (16 bytes each) are known to all tasks; it bounds memory and
     changes only the order in which shingles are looked at, never the result.  pair_cost: what a verification costs in
-    keys; a key takes well under a microsecond, reading two sets again some fifty.  report: gets the boundary, and how
-    many pairs subsets and lists gave.
+    keys; a key takes well under a microsecond, reading two sets again some fifty.  most_clustered: lists are made anew while
+    tasks of clusters would read more than this share of the documents' number, and each time halves it.  report: gets the
+    boundary, what clusters would read in each round, and how many pairs subsets and lists gave.
     """
     spark = docs.sparkSession
     batch_rows(spark, MANY_ROWS)
@@ -461,19 +490,27 @@ def set_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     frequent = top["gram"].to_numpy(np.int64).view(U64)
     order = np.argsort(frequent)
     frequent, df = frequent[order], top["df"].to_numpy(np.int64)[order]
-    boundary = choose_boundary(scanned, known.count(), pair_cost)
+    documents, reads = known.count(), []
+    boundary = choose_boundary(scanned, documents, pair_cost)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(partitions(spark), total // (32 << 20))
     n_buckets = max(64, total // (8 << 20))
-    shared = spark.sparkContext.broadcast((frequent, df))
-    lists = postings(rows.select("text"), size, shared, percent, boundary, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = written(lists.mapInArrow(releasing(candidates(percent, boundary, small_list, n_buckets)), "task long, payload binary, a long, b long, by_subsets long, by_lists long"), "candidates")
+    while True:
+        shared = spark.sparkContext.broadcast((frequent, df))
+        lists = postings(rows.select("text"), size, shared, percent, boundary, n_buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        path = new_path(spark, "candidates")
+        found = written_at(lists.mapInArrow(releasing(candidates(percent, boundary, small_list, n_buckets)), "task long, payload binary, a long, b long, by_subsets long, by_lists long, gram long, df long"), path)
+        clusters, read = _clusters(found.where("a IS NOT NULL").select("a", "b"), tile_sets)
+        reads.append(read)
+        if read <= most_clustered * documents or len(reads) > MOST_ROUNDS or (len(reads) > 1 and 2 * read > reads[-2]):
+            break
+        frequent, df = _with_long(frequent, df, found, frequent_limit)
+        remove(spark, path)
     if report is not None:
-        report.update(boundary=boundary, **found.agg(F.sum("by_subsets").alias("by_subsets"), F.sum("by_lists").alias("by_lists"), F.count("a").alias("by_stars")).first().asDict())
+        report.update(boundary=boundary, clustered=reads, **found.agg(F.sum("by_subsets").alias("by_subsets"), F.sum("by_lists").alias("by_lists"), F.count("a").alias("by_stars")).first().asDict())
     pairs = found.where("payload IS NOT NULL").select("task", "payload").repartition(tasks, "task").sortWithinPartitions("task")
     pairs = written(pairs.mapInArrow(releasing(unique_pairs), "task long, payload binary, seal long"), "pairs")
-    clusters = _cluster_tasks(found.where("a IS NOT NULL").select("a", "b"), tile_sets)
-    needed = written(pairs.where("seal IS NOT NULL").select("seal", "task").unionByName(clusters), "needed")
+    needed = written(pairs.where("seal IS NOT NULL").select("seal", "task").unionByName(_cluster_tasks(clusters)), "needed")
     # One document stands for each set; its text is read again for the tasks that need the set.
     reps = known.where("n > 0").groupBy("seal").agg(F.min("id").alias("id"))
     at = needed.groupBy("seal").agg(F.collect_list("task").alias("tasks")).join(reps, "seal").select(F.col("id").alias("of_id"), F.col("seal").alias("want"), "tasks")

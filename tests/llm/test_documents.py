@@ -92,6 +92,16 @@ def test_components_of_lists_too_long_to_broadcast(spark, docs, rows, monkeypatc
     assert {r["doc_id"] for r in stages.near_duplicates(spark, docs, "").collect()} == want
 
 
+def test_lists_that_grow_with_the_corpus_make_no_cluster(spark):
+    """All texts share a phrase of long words that was not counted as frequent: a second round puts it last."""
+    phrase = " ".join(f"uncommonlylongword{k}" for k in range(6))
+    rows = [(i, " ".join([*(f"a{i // 2}b{k}" for k in range(60)), phrase]), "en", "a") for i in range(120)]
+    report = {}
+    got = by_id(jaccard_components(table(spark, rows), frequent_df=10**9, small_list=10, report=report))
+    assert got == brute.components(rows)
+    assert report["clustered"] == [60, 0]
+
+
 def test_only_listed_rows_are_shuffled(spark):
     """Of rows whose keys meet a long list, few besides the listed ones leave their places; a small filter changes no result."""
     rows = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("k"), F.lit("text").alias("text"))
